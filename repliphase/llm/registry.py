@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from repliphase.llm import jaccard_join
+from repliphase.llm import jaccard_join, mixing, sharding, token_counts
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +16,32 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(_docs(spark, sf_dir))
 
 
+def op5_best_fit_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.shard(_docs(spark, sf_dir), shards=40)
+    return rows.select(
+        "doc_id",
+        F.col("sh_size").alias("size"),
+        F.col("sh_crc32").alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        F.col("sh_shard").alias("shard"),
+        F.col("sh_slot").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.Mix(_docs(spark, sf_dir)).taken().drop("source")
+
+
+def op10_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.length_histogram(_docs(spark, sf_dir))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op5_best_fit_sharding": op5_best_fit_sharding,
+    "op6_mix_sources": op6_mix_sources,
+    "op10_token_histogram": op10_token_histogram,
 }
 
 ORACLES: dict[str, str] = {}
