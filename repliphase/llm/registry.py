@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repliphase.llm import jaccard_join, mixing, sharding, token_counts
+from repliphase.llm import jaccard_join, mixing, quality_rules, sharding, token_counts
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,12 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(_docs(spark, sf_dir))
 
 
+def op4_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("words", "word_chars", "symbols", "dup_lines", "repeat_words", "base_failed", "kept")
+    rows = quality_rules.quality_rules(_docs(spark, sf_dir))
+    return rows.select("doc_id", *[F.col(f"qr_{x}").alias(f"n_{x}" if x in ("words", "symbols", "dup_lines", "repeat_words") else x) for x in names])
+
+
 def op5_best_fit_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard(_docs(spark, sf_dir), shards=40)
     return rows.select(
@@ -39,9 +45,12 @@ def op10_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op4_line_frequency_rules": op4_line_frequency_rules,
     "op5_best_fit_sharding": op5_best_fit_sharding,
     "op6_mix_sources": op6_mix_sources,
     "op10_token_histogram": op10_token_histogram,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_line_frequency_rules": quality_rules.ORACLE,
+}
