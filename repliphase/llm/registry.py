@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repliphase.llm import jaccard_join, mixing, quality_rules, sharding, token_counts
+from repliphase.llm import chat_format, jaccard_join, mixing, quality_rules, sharding, token_counts
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +39,24 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(_docs(spark, sf_dir)).taken().drop("source")
 
 
+def op8_schema_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema))
+    records = rows.select("conv_id", "turn", F.to_variant_object(F.struct("role", "text")).alias("record"))
+    made = chat_format.format_chats(chat_format.canonical_turns(records, "conv_id", "turn", "record"))
+    made = made.withColumns({"turns": chat_format.read_back(F.col("formatted")), "masked": chat_format.masked(F.col("formatted"), F.col("loss_spans"))})
+    lines = F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n")))
+    return made.select(
+        F.col("id").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("turns_sha256"),
+        F.char_length("masked").cast("long").alias("loss_chars"),
+        F.sha2(F.col("masked").cast("binary"), 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op10_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.length_histogram(_docs(spark, sf_dir))
 
@@ -48,9 +66,11 @@ QUERIES = {
     "op4_line_frequency_rules": op4_line_frequency_rules,
     "op5_best_fit_sharding": op5_best_fit_sharding,
     "op6_mix_sources": op6_mix_sources,
+    "op8_schema_chat_format": op8_schema_chat_format,
     "op10_token_histogram": op10_token_histogram,
 }
 
 ORACLES: dict[str, str] = {
     "op4_line_frequency_rules": quality_rules.ORACLE,
+    "op8_schema_chat_format": chat_format.ORACLE,
 }
