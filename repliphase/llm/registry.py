@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repliphase.llm import chat_format, jaccard_join, mixing, quality_rules, sharding, token_counts
+from repliphase.llm import chat_format, jaccard_join, line_dedup, mixing, quality_rules, sharding, token_counts
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +57,12 @@ def op8_schema_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    rows = line_dedup.LineDedup(spark).insert(docs).resolve(docs)
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op10_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.length_histogram(_docs(spark, sf_dir))
 
@@ -67,10 +73,12 @@ QUERIES = {
     "op5_best_fit_sharding": op5_best_fit_sharding,
     "op6_mix_sources": op6_mix_sources,
     "op8_schema_chat_format": op8_schema_chat_format,
+    "op9_line_dedup": op9_line_dedup,
     "op10_token_histogram": op10_token_histogram,
 }
 
 ORACLES: dict[str, str] = {
     "op4_line_frequency_rules": quality_rules.ORACLE,
     "op8_schema_chat_format": chat_format.ORACLE,
+    "op9_line_dedup": line_dedup.ORACLE,
 }
