@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repliphase.llm import chat_format, jaccard_join, line_dedup, mixing, quality_rules, sharding, token_counts
+from repliphase.llm import chat_format, jaccard_join, language_id, line_dedup, mixing, quality_rules, sharding, token_counts
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +39,17 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(_docs(spark, sf_dir)).taken().drop("source")
 
 
+def op7_kneser_ney_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).select("doc_id", "text", "lang")
+    crc = F.crc32(F.col("doc_id").cast("string"))
+    learn = docs.where(crc % 4 != 2)
+    # One training row in 64 calibrates instead of being counted.
+    aside = F.pmod(F.xxhash64("doc_id"), F.lit(64)) == 0
+    model = language_id.train(learn.where(~aside), calibration=learn.where(aside))
+    rows = language_id.identify(docs.select("doc_id", "text"), model)
+    return rows.select("doc_id", F.coalesce(crc % 4 == 2, F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), "lang_accepted")
+
+
 def op8_schema_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
@@ -72,6 +83,7 @@ QUERIES = {
     "op4_line_frequency_rules": op4_line_frequency_rules,
     "op5_best_fit_sharding": op5_best_fit_sharding,
     "op6_mix_sources": op6_mix_sources,
+    "op7_kneser_ney_language_id": op7_kneser_ney_language_id,
     "op8_schema_chat_format": op8_schema_chat_format,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_histogram": op10_token_histogram,
