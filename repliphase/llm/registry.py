@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repliphase.llm import chat_format, jaccard_join, language_id, line_dedup, mixing, quality_rules, sharding, token_counts
+from repliphase.llm import chat_format, decontaminate, jaccard_join, language_id, line_dedup, mixing, quality_rules, sharding, token_counts
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,11 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(_docs(spark, sf_dir))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.leaks(_docs(spark, sf_dir), benchmark)
+
+
 def op4_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("words", "word_chars", "symbols", "dup_lines", "repeat_words", "base_failed", "kept")
     rows = quality_rules.quality_rules(_docs(spark, sf_dir))
@@ -80,6 +85,7 @@ def op10_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_decontaminate": op2_decontaminate,
     "op4_line_frequency_rules": op4_line_frequency_rules,
     "op5_best_fit_sharding": op5_best_fit_sharding,
     "op6_mix_sources": op6_mix_sources,
