@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repliphase.llm import chat_format, decontaminate, jaccard_join, language_id, line_dedup, mixing, quality_rules, sharding, token_counts
+from repliphase.llm import chat_format, decontaminate, jaccard_join, language_id, line_dedup, mixing, quality_classifier, quality_rules, sharding, token_counts
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,12 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_docs(spark, sf_dir), benchmark)
 
 
+def op3_co_trained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    model = quality_classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_classifier.score(docs, model)
+
+
 def op4_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("words", "word_chars", "symbols", "dup_lines", "repeat_words", "base_failed", "kept")
     rows = quality_rules.quality_rules(_docs(spark, sf_dir))
@@ -86,6 +92,7 @@ def op10_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_decontaminate": op2_decontaminate,
+    "op3_co_trained_quality": op3_co_trained_quality,
     "op4_line_frequency_rules": op4_line_frequency_rules,
     "op5_best_fit_sharding": op5_best_fit_sharding,
     "op6_mix_sources": op6_mix_sources,
