@@ -76,7 +76,7 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
         x, h, m, k = value[todo], half[todo], mask[todo], key[todo]
         left, right = x >> h, x & m
         for r in range(4):
-            left, right = right, left ^ (bw.mix(right + bw.mix(k + _U(r + 1) * _U(0x9E3779B97F4A7C15))) & m)
+            left, right = right, left ^ (bw.mix(right + bw.mix(k + _U((r + 1) * 0x9E3779B97F4A7C15 % 2**64))) & m)
         value[todo] = (left << h) | right
         todo = todo[value[todo] >= size[todo].astype(_U)]
     return value.astype(np.int64)
@@ -108,6 +108,7 @@ class Mix:
         spark = docs.sparkSession
         text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
         base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text, F.lit(st.WORD)).cast("long").alias("size"), F.md5(text.cast("binary")).alias("print"))
+        base = st.written(base, "sizes")  # the texts are read once
         sizes = base.groupBy("source").agg(F.sum("size").alias("n"))
         found = sizes.limit(most_sources + 1).collect()
         if len(found) > most_sources:
@@ -133,7 +134,8 @@ class Mix:
         slots = plan.repartition(max(1, min(len(rows), 200))).mapInArrow(_slots(seed), "shard int, src int, slot long, block long")
         whole = self.placed.where("size > 0").select("src", "start", "size", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")).alias("block"))
         whole = whole.selectExpr("src", "start", "block", f"greatest(0, block * {block} - start) as from_word", f"least(size, (block + 1) * {block} - start) as to_word")
-        self.pieces = slots.join(whole, ["src", "block"])
+        # Both sides grow with the input, though the plan that the slots come from looks small.
+        self.pieces = slots.hint("merge").join(whole, ["src", "block"])
 
     def taken(self) -> DataFrame:
         """Rows (doc_id, size, source_size, target, taken, source): one per document."""
