@@ -144,8 +144,51 @@ class Mix:
         return rows.join(self.sources, "src").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
 
     def rounds(self) -> DataFrame:
-        """Rows (doc_id, print, round, spans): the words of a document that each round takes, merged and in order."""
+        """Rows (doc_id, print, size, src, round, spans): the words of a document that each round takes, merged and in order."""
         times = self.pieces.groupBy("src", "start", "from_word", "to_word").agg(F.count("*").alias("times"))
         times = times.select("src", "start", "from_word", "to_word", F.explode(F.expr("sequence(1, cast(times as int))")).alias("round"))
         spans = times.groupBy("src", "start", "round").agg(F.sort_array(F.collect_list(F.struct("from_word", "to_word"))).alias("spans"))
-        return self.placed.where("size > 0").join(spans, ["src", "start"]).select("doc_id", "print", "size", "round", "spans")
+        return self.placed.where("size > 0").join(spans, ["src", "start"]).select("doc_id", "print", "size", "src", "round", "spans")
+
+    def texts(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+        """The mix as rows of ``docs``: one per document and round that takes words of it, with only those words.
+
+        Neighbouring spans stay as they stand in the text, other gaps become a line end.
+        """
+        print_of = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))
+        rows = docs.withColumn("_print", print_of)
+        # Rows that repeat id and text have a place each in ``placed``, so here they count once.
+        others = [c for c in docs.columns if c not in (id_col, source_col)]
+        rows = rows.groupBy(F.col(id_col).alias("_id"), "_print").agg(*[F.first(c).alias(c) for c in others])
+        taken = self.rounds().join(self.sources.select("src", F.col("source").alias("_source")), "src")
+        made = rows.join(taken, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_print") == F.col("print")))
+        cut = made.select(F.col("_id").alias(id_col), F.col("_source").alias(source_col), *[c for c in others if c != text_col], F.col(text_col).alias("_text"), "spans")
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields[:-2]) + f", `{text_col}` string"
+        return cut.mapInArrow(_cut(text_col), schema).select(*docs.columns)
+
+
+def _cut(text_col: str):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, out = batch.column(batch.num_columns - 2), [""] * len(batch)
+            spans = batch.column(batch.num_columns - 1).to_pylist()
+            for first, raw, at in bw.chunks(texts):
+                starts, ends, before = bw.word_spans(raw, at)
+                for k in range(len(at) - 1):
+                    parts, begin, stop = [], None, None
+                    for x in [*spans[first + k], None]:
+                        if x is not None and x["from_word"] == stop:
+                            stop = x["to_word"]
+                            continue
+                        if stop is not None:
+                            # The first and last words of a text bring the white space around it.
+                            a = at[k] if begin == 0 else starts[before[k] + begin]
+                            z = at[k + 1] if before[k] + stop == before[k + 1] else ends[before[k] + stop - 1]
+                            parts.append(raw[a:z].tobytes())
+                        if x is not None:
+                            begin, stop = x["from_word"], x["to_word"]
+                    out[first + k] = b"\n".join(parts).decode()
+            names = [*batch.schema.names[:-2], text_col]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(out, pa.string())], names=names)
+
+    return work
