@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from repliphase.llm import spark_tools as st
+
 _WS = r"[\x20\x09-\x0D]+"
 _WS_CHARS = "\x20\x09\x0a\x0b\x0c\x0d"
 _SYMBOLS = "#*$%&|<>"
@@ -64,58 +66,77 @@ def repeat_words(tokens: Column, width: int) -> Column:
     return _let(tokens, lambda w: F.when(F.size(w) < width, F.lit(0).cast("long")).otherwise(_let(hashed(w), repeated)))
 
 
-def quality_rules(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", *,
-    min_words: int = 20, repeat_width: int = 8, repeat_percent: int = 30, min_docs: int = 20, share_percent: int = 10, lost_percent: int = 50,
-) -> DataFrame:
-    """``docs`` with its measures, verdict and cleaned text.
+def _print(text: Column) -> Column:
+    return F.xxhash64(text)
 
-    New columns: qr_words, qr_word_chars, qr_symbols, qr_dup_lines, qr_repeat_words,
-    qr_base_failed, qr_removed_lines, qr_removed_words, qr_kept, qr_text (the text without the
-    removed lines).
-    """
+
+def _same(a: str, b: str) -> Column:
+    """Two sides' rows stand for the same document."""
+    match = F.col(f"{a}.qr_print") == F.col(f"{b}.qr_print")
+    for c in ("qr_id", "qr_host"):
+        match = match & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
+    return match
+
+
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", *, repeat_width: int = 8) -> DataFrame:
+    """One row per document, without its text, written once: qr_id, qr_host, qr_print (a hash of
+    the text), the measures of the basic rules, and qr_lines (hash and words of each line with a word)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    host, doc = F.col(host_col).cast("string"), F.col(id_col)
+    n_words = lambda x: F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     with_words = F.filter(F.split(text, "\n", -1), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
-    line = lambda x: F.struct(F.xxhash64(normal_line(x)).alias("h"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("w"))
-    # One row per distinct line of a document, with the words and lines that it stands for.
-    seen = docs.select(doc.alias("_id"), host.alias("_host"), F.md5(text.cast("binary")).alias("_print"), F.explode(F.transform(with_words, line)).alias("_l"))
-    seen = seen.select("_id", "_host", "_print", F.col("_l.h").alias("_h"), F.col("_l.w").alias("_w"))
-
-    hosts = docs.groupBy(host.alias("_host")).agg(F.count_distinct(F.md5(text.cast("binary"))).alias("_docs"))
-    hosts = hosts.select(F.col("_host").alias("_of"), F.greatest(F.lit(min_docs), F.ceil(F.col("_docs") * share_percent / F.lit(100))).alias("_limit"))
-    often = seen.groupBy("_host", "_h").agg(F.count_distinct("_print").alias("_n")).where(F.col("_n") > min_docs)
-    often = often.join(hosts, F.col("_host").eqNullSafe(F.col("_of"))).where("_n > _limit").select(F.col("_host").alias("_lh"), F.col("_h").alias("_lk"))
-    hit = seen.join(often, F.col("_host").eqNullSafe(F.col("_lh")) & (F.col("_h") == F.col("_lk")))
-    # A row of a repeated document counts once: its lines are gathered with how often they occur.
-    copies = docs.groupBy(doc.alias("_id"), host.alias("_host"), F.md5(text.cast("binary")).alias("_print")).agg(F.count("*").alias("_copies"))
-    lost = hit.groupBy("_id", "_host", "_print").agg(F.sum("_w").alias("_rw"), F.count("*").alias("_rl"), F.collect_set("_h").alias("_rh"))
-    same = lambda a, b: F.col(f"{a}._id").eqNullSafe(F.col(f"{b}._id")) & F.col(f"{a}._host").eqNullSafe(F.col(f"{b}._host")) & (F.col(f"{a}._print") == F.col(f"{b}._print"))
-    lost = lost.alias("a").join(copies.where("_copies > 1").alias("b"), same("a", "b"), "left").select(
-        F.col("a._id").alias("_i"), F.col("a._host").alias("_o"), F.col("a._print").alias("_p"),
-        F.expr("_rw div coalesce(_copies, 1)").alias("_rw"), F.expr("_rl div coalesce(_copies, 1)").alias("_rl"), "_rh",
-    )
-
-    n_words = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    out = docs.withColumns({
-        "_p0": F.md5(text.cast("binary")),
-        "_o0": host,
-        "qr_words": n_words,
-        "qr_word_chars": F.char_length(F.translate(text, _WS_CHARS, "")).cast("long"),
-        "qr_symbols": (F.char_length(text) - F.char_length(F.translate(text, _SYMBOLS, ""))).cast("long"),
-        "qr_dup_lines": _let(with_words, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "qr_repeat_words": repeat_words(words(text), repeat_width).cast("long"),
-    })
-    out = out.withColumn("qr_base_failed", (F.col("qr_words") < min_words) | (100 * F.col("qr_repeat_words") > repeat_percent * F.col("qr_words")))
-    out = out.join(lost, doc.eqNullSafe(F.col("_i")) & F.col("_o0").eqNullSafe(F.col("_o")) & (F.col("_p0") == F.col("_p")), "left")
-    gone = F.coalesce("_rw", F.lit(0)).cast("long")
-    left = F.filter(F.split(text, "\n", -1), lambda x: ~F.array_contains(F.col("_rh"), F.xxhash64(normal_line(x))))
-    return out.withColumns({
-        "qr_removed_lines": F.coalesce("_rl", F.lit(0)).cast("long"),
-        "qr_removed_words": gone,
-        "qr_kept": ~F.col("qr_base_failed") & (100 * gone <= lost_percent * F.col("qr_words")),
-        "qr_text": F.when(F.col("_rh").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n")),
-    }).drop("_p0", "_o0", "_i", "_o", "_p", "_rw", "_rl", "_rh")
+    line = lambda x: F.struct(F.xxhash64(normal_line(x)).alias("h"), n_words(x).cast("int").alias("w"))
+    rows = docs.select(
+        F.col(id_col).alias("qr_id"),
+        F.col(host_col).cast("string").alias("qr_host"),
+        _print(text).alias("qr_print"),
+        n_words(text).alias("qr_words"),
+        F.char_length(F.translate(text, _WS_CHARS, "")).cast("long").alias("qr_word_chars"),
+        (F.char_length(text) - F.char_length(F.translate(text, _SYMBOLS, ""))).cast("long").alias("qr_symbols"),
+        repeat_words(words(text), repeat_width).cast("long").alias("qr_repeat_words"),
+        _let(with_words, lambda x: F.struct((F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"), F.transform(x, line).alias("lines"))).alias("_l"),
+    )
+    rows = rows.select("*", F.col("_l.dup").alias("qr_dup_lines"), F.col("_l.lines").alias("qr_lines")).drop("_l")
+    return st.written(rows, "measures")
+
+
+def judge(
+    measured: DataFrame, *, min_words: int = 20, repeat_percent: int = 30, min_docs: int = 20, share_percent: int = 10, lost_percent: int = 50,
+) -> DataFrame:
+    """The measured rows with qr_base_failed, qr_removed_lines, qr_removed_words, qr_removed (their hashes) and qr_kept."""
+    key = ["qr_id", "qr_host", "qr_print"]
+    # Rows that repeat a document count once; copies under other ids are one text of their host.
+    seen = measured.groupBy(*key).agg(F.first("qr_lines").alias("l")).select(*key, F.explode("l").alias("l")).select(*key, "l.h", "l.w")
+    hosts = measured.groupBy("qr_host").agg(F.count_distinct("qr_print").alias("n"))
+    hosts = hosts.select(F.col("qr_host").alias("_of"), F.greatest(F.lit(min_docs), F.ceil(F.col("n") * share_percent / F.lit(100))).alias("_limit"))
+    often = seen.groupBy("qr_host", "h").agg(F.count_distinct("qr_print").alias("n")).where(F.col("n") > min_docs)
+    often = often.join(hosts, F.col("qr_host").eqNullSafe(F.col("_of"))).where("n > _limit").select(F.col("qr_host").alias("_lh"), F.col("h").alias("_lk"))
+    hit = seen.join(often, F.col("qr_host").eqNullSafe(F.col("_lh")) & (F.col("h") == F.col("_lk")))
+    lost = hit.groupBy(*key).agg(F.sum("w").alias("words"), F.count("*").alias("lines"), F.collect_set("h").alias("hashes"))
+    out = measured.alias("a").join(lost.alias("b"), _same("a", "b"), "left")
+    gone = F.coalesce("b.words", F.lit(0)).cast("long")
+    failed = (F.col("a.qr_words") < min_words) | (100 * F.col("a.qr_repeat_words") > repeat_percent * F.col("a.qr_words"))
+    return out.select(
+        *[F.col(f"a.{c}") for c in measured.columns if c != "qr_lines"],
+        failed.alias("qr_base_failed"),
+        F.coalesce("b.lines", F.lit(0)).cast("long").alias("qr_removed_lines"),
+        gone.alias("qr_removed_words"),
+        F.col("b.hashes").alias("qr_removed"),
+        (~failed & (100 * gone <= lost_percent * F.col("a.qr_words"))).alias("qr_kept"),
+    )
+
+
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", *, repeat_width: int = 8, **limits) -> DataFrame:
+    """``docs`` with its measures, verdict and cleaned text: the columns of ``judge`` and qr_text.
+
+    qr_text is the text without the removed lines.
+    """
+    judged = judge(measure(docs, id_col, text_col, host_col, repeat_width=repeat_width), **limits)
+    judged = judged.dropDuplicates(["qr_id", "qr_host", "qr_print"])
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.withColumns({"_i": F.col(id_col), "_h": F.col(host_col).cast("string"), "_p": _print(text)})
+    out = rows.join(judged, F.col("_i").eqNullSafe(F.col("qr_id")) & F.col("_h").eqNullSafe(F.col("qr_host")) & (F.col("_p") == F.col("qr_print")))
+    left = F.filter(F.split(text, "\n", -1), lambda x: ~F.array_contains(F.col("qr_removed"), F.xxhash64(normal_line(x))))
+    return out.withColumn("qr_text", F.when(F.col("qr_removed").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))).drop("_i", "_h", "_p", "qr_id", "qr_host", "qr_print", "qr_removed")
 
 
 ORACLE = r"""
