@@ -34,8 +34,8 @@ def spearman(df: DataFrame, a: str, b: str, least: int = 5) -> DataFrame:
     """One row (rho, n): rank correlation of the rows where both are finite; NULL for fewer than ``least``."""
     both = finite(df.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")), "a", "b")
     ranked = both.select(average_rank("a").alias("ra"), average_rank("b").alias("rb"))
-    n, sa, sb = F.count("*"), F.stddev_pop("ra"), F.stddev_pop("rb")
-    return ranked.agg(F.when((n >= least) & (sa > 0) & (sb > 0), F.corr("ra", "rb")).alias("rho"), n.alias("n"))
+    n, size = F.count("*"), F.stddev_pop("ra") * F.stddev_pop("rb")
+    return ranked.agg(F.when(n >= least, F.covar_pop("ra", "rb") / F.nullif(size, F.lit(0.0))).alias("rho"), n.alias("n"))
 
 
 def finite(df: DataFrame, *names: str) -> DataFrame:

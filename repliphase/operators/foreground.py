@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from repliphase.functions.storage import settled
 from repliphase.operators import events as ev
 
 
@@ -50,7 +51,7 @@ def fit_mixture(gaps: DataFrame, iterations: int = 200, tolerance: float = 1e-7)
     Distinct gap values with their counts stand for the gaps in every step, so a step reads at
     most one row per distinct length, whatever the number of events.
     """
-    values = gaps.groupBy("gap").agg(F.count("*").alias("c")).select(F.log(F.col("gap").cast("double")).alias("x"), "c").checkpoint() if gaps.sparkSession.sparkContext.getCheckpointDir() else gaps.groupBy("gap").agg(F.count("*").alias("c")).select(F.log(F.col("gap").cast("double")).alias("x"), "c").cache()
+    values = settled(gaps.groupBy("gap").agg(F.count("*").alias("c")).select(F.log(F.col("gap").cast("double")).alias("x"), "c"))
     q = values.agg(F.percentile("x", F.lit(0.25), F.col("c")).alias("q1"), F.percentile("x", F.lit(0.75), F.col("c")).alias("q3"), F.sum("c").alias("n"), (F.sum(F.col("c") * F.col("x") * F.col("x")) / F.sum("c") - F.pow(F.sum(F.col("c") * F.col("x")) / F.sum("c"), 2)).alias("v")).first()
     if not q.n or q.n < 50:
         return None
