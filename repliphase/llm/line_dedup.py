@@ -256,7 +256,7 @@ class LineDedup:
         return self.refs.groupBy("k1", "k2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
 
     def resolve(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """Rows (doc_id, n_lines, n_dropped, kept): the documents without the lines they lose now."""
+        """Rows (doc_id, n_lines, n_dropped, kept): the documents without the lines they lose now; those not inserted stay whole."""
         often = self.counts().where(F.col("n_docs") >= self.min_docs)
         drop = self.refs.join(often, ["k1", "k2"]).where("doc_id <> last_doc").groupBy("doc_id").agg(F.collect_list(F.struct("k1", "k2")).alias("drop"))
         rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
