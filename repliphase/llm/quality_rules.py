@@ -9,7 +9,8 @@ The limit of a host is the larger of ``min_docs`` and ``share_percent`` of its d
 
 Defined cases: null text is empty, has no words and fails the basic rules; a null host is a host
 of its own; rows that repeat id, host and text have the same verdict; lines without a word are
-neither counted nor removed. Columns of the input keep their values; new ones are prefixed qr_.
+neither counted nor removed. Columns of the input keep their values, but those named qr_* or
+__* are replaced; new ones are prefixed qr_.
 """
 
 from __future__ import annotations
@@ -130,13 +131,14 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     qr_text is the text without the removed lines.
     """
+    docs = docs.drop(*[c for c in docs.columns if c.startswith(("qr_", "__"))])
     judged = judge(measure(docs, id_col, text_col, host_col, repeat_width=repeat_width), **limits)
     judged = judged.dropDuplicates(["qr_id", "qr_host", "qr_print"])
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.withColumns({"_i": F.col(id_col), "_h": F.col(host_col).cast("string"), "_p": _print(text)})
-    out = rows.join(judged, F.col("_i").eqNullSafe(F.col("qr_id")) & F.col("_h").eqNullSafe(F.col("qr_host")) & (F.col("_p") == F.col("qr_print")))
+    rows = docs.withColumns({"__i": F.col(id_col), "__h": F.col(host_col).cast("string"), "__p": _print(text)})
+    out = rows.join(judged, F.col("__i").eqNullSafe(F.col("qr_id")) & F.col("__h").eqNullSafe(F.col("qr_host")) & (F.col("__p") == F.col("qr_print")))
     left = F.filter(F.split(text, "\n", -1), lambda x: ~F.array_contains(F.col("qr_removed"), F.xxhash64(normal_line(x))))
-    return out.withColumn("qr_text", F.when(F.col("qr_removed").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))).drop("_i", "_h", "_p", "qr_id", "qr_host", "qr_print", "qr_removed")
+    return out.withColumn("qr_text", F.when(F.col("qr_removed").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))).drop("__i", "__h", "__p", "qr_id", "qr_host", "qr_print", "qr_removed")
 
 
 ORACLE = r"""
