@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repliphase.functions import genome, stats
-from repliphase.operators import events, extension, foreground, gates, intervals, matrix, seriation, similarity, timing
+from repliphase.functions.storage import settled
+from repliphase.operators import events, extension, foreground, gates, intervals, matrix, report, seriation, similarity, timing
 from repliphase.plans.standin import GRAPH, PREFIX, RT, Tables, merged_sql, means_sql, phi_sql
 from repliphase.sources import text_tables
 
@@ -194,7 +195,8 @@ def _status(t: Tables) -> DataFrame:
     raw = t.events()
     cells = events.depth(raw).join(events.breadth(raw, t.chroms(), RT, t.usable()), "cell", "left")
     cells = cells.select("cell", "n", "log_depth", F.coalesce("breadth", F.lit(0.0)).alias("breadth"), F.coalesce("n_events", F.lit(0)).alias("n_signal"))
-    return gates.status(cells.withColumn("frac_signal", F.col("n_signal") / F.col("n")), _GATES)
+    # A row per cell, which the thresholds read several times.
+    return gates.status(settled(cells.withColumn("frac_signal", F.col("n_signal") / F.col("n"))), _GATES)
 
 
 @_query("SELECT cell, n, round(breadth, 6) AS breadth, status FROM qc", _QC)
@@ -445,6 +447,50 @@ def region_matrix(t):
     return matrix.region_counts(t.events(), 0, 500_000, 1_500_000, 50_000).select("cell", "bin", "n", *_six("share"))
 
 
+_PR = "pr AS (SELECT cell, (row_number() OVER (ORDER BY n, v, cell) - 0.5::DOUBLE) / count(*) OVER () AS x FROM pc)"
+_PD = "pd AS (SELECT abs(a.x - b.x) AS d, phi FROM pp JOIN pr a ON a.cell = i JOIN pr b ON b.cell = j WHERE phi IS NOT NULL)"
+
+
+def _ordered(t: Tables) -> DataFrame:
+    return timing.total_order(t.per_cell(), ["n", "v", "cell"])
+
+
+@_query("SELECT least(floor(d * 40)::BIGINT, 39) AS bin, count(*) AS n, round(avg(phi), 6) AS phi FROM pd GROUP BY 1", phi_sql("occ"), _PR, _PD)
+def similarity_decay(t):
+    return report.similarity_decay(similarity.pair_phi(t.occupancy(), t.blocks()), _ordered(t)).select("bin", "n", *_six("phi"))
+
+
+@_query("""SELECT round(CASE WHEN count(*) >= 50 THEN corr(a, b) END, 6) AS rho, count(*) AS n FROM (
+  SELECT rank() OVER (ORDER BY near) + (count(*) OVER (PARTITION BY near) - 1) / 2.0::DOUBLE AS a, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0::DOUBLE AS b
+  FROM (SELECT -round(d, 9) AS near, round(phi, 9) AS p FROM pd))""", phi_sql("occ"), _PR, _PD)
+def robinson_score(t):
+    return report.robinson_score(similarity.pair_phi(t.occupancy(), t.blocks()), _ordered(t)).select(*_six("rho"), "n")
+
+
+@_query("SELECT b.bin, coalesce(n, 0) AS n FROM (SELECT unnest(range(50)) AS bin) b LEFT JOIN (SELECT least(floor((breadth - 0) / 1 * 50)::BIGINT, 49) AS bin, count(*) AS n FROM bd WHERE breadth BETWEEN 0 AND 1 GROUP BY 1) x ON x.bin = b.bin")
+def breadth_histogram(t):
+    return report.histogram(events.breadth(t.events(), t.chroms(), RT, t.usable()), "breadth", 0.0, 1.0, 50)
+
+
+@_query("""SELECT name, round(quantile_cont(v, 0.05), 6) AS p05, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.95), 6) AS p95
+FROM (SELECT 'n' AS name, n::DOUBLE AS v FROM pc UNION ALL SELECT 'v', v FROM pc) GROUP BY name""")
+def summary_percentiles(t):
+    return report.percentiles(t.per_cell(), ["n", "v"]).select("name", *_six("p05", "median", "p95"))
+
+
+@_query("""SELECT name, round(corr(a, b), 6) AS rho, count(*) AS n FROM (
+  SELECT name, rank() OVER (PARTITION BY name ORDER BY x) AS a, rank() OVER (PARTITION BY name ORDER BY y) + (count(*) OVER (PARTITION BY name, y) - 1) / 2.0::DOUBLE AS b
+  FROM (SELECT 'n' AS name, x, n::DOUBLE AS y FROM pr JOIN pc USING (cell) UNION ALL SELECT 'v', x, v FROM pr JOIN pc USING (cell))) GROUP BY name""", _PR)
+def confounding_checks(t):
+    return report.confounding(_ordered(t), "progression", ["n", "v"]).select("name", *_six("rho"), "n")
+
+
+@_query("""SELECT cell FROM (SELECT cell, row_number() OVER (ORDER BY n, v, cell) - 1 AS r, count(*) OVER () AS c FROM pc)
+WHERE c <= 50 OR r IN (SELECT round_even(k * ((SELECT count(*) FROM pc) - 1) / 49.0::DOUBLE, 0)::BIGINT FROM (SELECT unnest(range(50)) AS k))""")
+def display_sample(t):
+    return report.evenly_spaced(_ordered(t), "global_order", 50).select("cell")
+
+
 @_query(None)
 def landmark_seriation(t):
     """Orders of the landmarks under the base weights, split halves and bootstrap replicates."""

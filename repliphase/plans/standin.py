@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repliphase.functions import genome
+from repliphase.functions.storage import settled
 from repliphase.operators import events as ev_ops
 from repliphase.operators import intervals, matrix
 
@@ -55,7 +55,8 @@ class Tables:
 
     def usable(self) -> DataFrame:
         chroms = self.chroms()
-        return ev_ops.usable_bins(self.events(), chroms, RT, intervals.bin_fraction(chroms, self.merged(), RT), intervals.bin_means(chroms, self.anchor(), RT))
+        # A row per bin, which most queries join more than once.
+        return settled(ev_ops.usable_bins(self.events(), chroms, RT, intervals.bin_fraction(chroms, self.merged(), RT), intervals.bin_means(chroms, self.anchor(), RT)))
 
     def columns(self) -> DataFrame:
         chroms = self.chroms()
@@ -65,7 +66,7 @@ class Tables:
         return matrix.occupancy(self.events(), self.chroms(), GRAPH, self.columns())
 
     def blocks(self) -> DataFrame:
-        return matrix.blocks(self.columns(), 10, 12, 16)
+        return settled(matrix.blocks(self.columns(), 10, 12, 16))
 
     def per_cell(self) -> DataFrame:
         return self.events().groupBy("cell").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("v"))
