@@ -1,9 +1,9 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
 Texts are compared in lower case, with every run of ASCII characters other than letters and
-digits as one space. Each item is cut into segments of ``length`` bytes that overlap by half (a
-shorter item is one segment). A document leaks an item when one of its segments occurs in it
-with at most k edits, k being ``edit_percent`` of the segment's length.
+digits as one space. Each item is cut into segments of ``length`` bytes, each a quarter of that
+further on (a shorter item is one segment). A document leaks an item when one of its segments
+occurs in it with at most k edits, k being ``edit_percent`` of the segment's length.
 
 By the q-gram lemma such an occurrence shares at least m + 1 - q(k + 1) of the segment's q-grams
 on diagonals that differ by at most k. Hits are therefore counted in diagonal bands of 2(k + 1)
@@ -76,7 +76,7 @@ class Index:
             a, m = int(begin[k]), int(begin[k + 1] - begin[k] - 1)
             if m < Q:
                 continue
-            places = [0] if m <= length else sorted({*range(0, m - length + 1, length // 2), m - length})
+            places = [0] if m <= length else sorted({*range(0, m - length + 1, length // 4), m - length})
             for p in places:
                 segs.append((k, p, min(m, length)))
                 starts.append(a + p)
