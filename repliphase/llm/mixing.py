@@ -131,7 +131,8 @@ class Mix:
                     rows.append((s, k, int(first[k]) + at, min(1 << 16, int(drawn[s, k]) - at), int(blocks[k])))
                 first[k] += drawn[s, k]
         plan = spark.createDataFrame(rows, "shard int, src int, first long, count long, blocks long")
-        slots = plan.repartition(max(1, min(len(rows), 200))).mapInArrow(_slots(seed), "shard int, src int, slot long, block long")
+        tasks = max(1, min(len(rows), max(200, int(drawn.sum()) >> 20)))
+        slots = plan.repartition(tasks).mapInArrow(_slots(seed), "shard int, src int, slot long, block long")
         whole = self.placed.where("size > 0").select("src", "start", "size", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")).alias("block"))
         whole = whole.selectExpr("src", "start", "block", f"greatest(0, block * {block} - start) as from_word", f"least(size, (block + 1) * {block} - start) as to_word")
         # Both sides grow with the input, though the plan that the slots come from looks small.
@@ -156,13 +157,14 @@ class Mix:
         Neighbouring spans stay as they stand in the text, other gaps become a line end.
         """
         print_of = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))
-        rows = docs.withColumn("_print", print_of)
-        # Rows that repeat id and text have a place each in ``placed``, so here they count once.
         others = [c for c in docs.columns if c not in (id_col, source_col)]
-        rows = rows.groupBy(F.col(id_col).alias("_id"), "_print").agg(*[F.first(c).alias(c) for c in others])
-        taken = self.rounds().join(self.sources.select("src", F.col("source").alias("_source")), "src")
-        made = rows.join(taken, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_print") == F.col("print")))
-        cut = made.select(F.col("_id").alias(id_col), F.col("_source").alias(source_col), *[c for c in others if c != text_col], F.col(text_col).alias("_text"), "spans")
+        # Rows that repeat id and text have a place each in the streams, so here they count once.
+        # Texts move once: grouping and join have the same keys.
+        rows = docs.groupBy(print_of.alias("__print"), F.xxhash64(id_col).alias("__key")).agg(F.first(id_col).alias("__id"), *[F.first(c).alias(c) for c in others])
+        taken = self.rounds().join(self.sources.select("src", F.col("source").alias("__source")), "src")
+        taken = taken.select(F.col("print").alias("__print"), F.xxhash64("doc_id").alias("__key"), "__source", F.col("spans").alias("__spans"))
+        made = rows.join(taken, ["__print", "__key"])
+        cut = made.select(F.col("__id").alias(id_col), F.col("__source").alias(source_col), *[c for c in others if c != text_col], F.col(text_col).alias("__text"), "__spans")
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields[:-2]) + f", `{text_col}` string"
         return cut.mapInArrow(_cut(text_col), schema).select(*docs.columns)
 

@@ -8,7 +8,7 @@ a class as fit go at once, which is what packing them one after the other gives.
 numbered within their class and read their shard from the class's row.
 
 Defined cases: null text equals empty text; repeated rows are rows of one group; an empty table
-gives no rows; a null id is an id. Groups larger than an equal share get a shard of their own
+gives gives no rows; a null id is an id; columns named sh_* or __* are replaced. Groups larger than an equal share get a shard of their own
 and the rest is shared by the other shards.
 """
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 import random
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from repliphase.llm import spark_tools as st
@@ -142,18 +142,23 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, sh
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.withColumns({"sh_size": (F.octet_length(text) + overhead).cast("long"), "sh_crc32": F.crc32(text), "sh_group": F.md5(text.cast("binary"))})
-    groups = rows.groupBy("sh_group").agg(F.sum("sh_size").alias("_bytes")).withColumn("_class", F.expr(_size_class("_bytes")))
-    classes = [tuple(r) for r in groups.groupBy("_class").count().collect()]  # bounded by the classes
+    docs = docs.drop(*[c for c in docs.columns if c.startswith(("sh_", "__"))])
+    rows = docs.withColumns({"sh_size": (F.octet_length(text) + overhead).cast("long"), "sh_crc32": F.crc32(text), "sh_group": F.md5(text.cast("binary")), "__id": F.xxhash64(id_col)})
+    # Rows with equal id and text are told apart only at the end; until then they are one entry.
+    entries = rows.groupBy("sh_group", "__id").agg(F.count("*").alias("__times"), F.first("sh_size").alias("__one"))
+    groups = entries.groupBy("sh_group").agg(F.sum(F.col("__times") * F.col("__one")).alias("__bytes")).withColumn("__class", F.expr(_size_class("__bytes")))
+    classes = [tuple(r) for r in groups.groupBy("__class").count().collect()]  # bounded by the classes
     runs = best_fit_decreasing(classes, capacity) if capacity else pack_evenly(classes, shards)
     plan: dict[int, tuple[list[int], list[int]]] = {}
     for size, name, count in runs:
         ends, names = plan.setdefault(size, ([], []))
         ends.append((ends[-1] if ends else 0) + count)
         names.append(name)
-    table = spark.createDataFrame([(size, ends, names) for size, (ends, names) in plan.items()], "_of long, _ends array<long>, _names array<int>")
-    groups = st.running(groups, ["_class"], ["sh_group"], None, "_at", 64)
-    groups = groups.join(table, groups._class == table._of)
-    placed = groups.select(F.col("sh_group").alias("_group"), F.expr("_names[size(filter(_ends, e -> e <= _at))]").alias("sh_shard"))
-    out = rows.join(placed, rows.sh_group == placed._group).drop("_group")
-    return st.running(out, ["sh_shard"], [id_col, "sh_group"], None, "sh_slot", 64)
+    table = spark.createDataFrame([(size, ends, names) for size, (ends, names) in plan.items()], "__class long, ends array<long>, names array<int>")
+    groups = st.running(groups, ["__class"], ["sh_group"], None, "__at", 64).join(table, "__class")
+    placed = groups.select("sh_group", F.expr("names[size(filter(ends, e -> e <= __at))]").alias("sh_shard"))
+    entries = st.running(entries.join(placed, "sh_group"), ["sh_shard"], ["__id", "sh_group"], "__times", "__first", 64)
+    # The only step that moves texts: one shuffle by id and text.
+    again = Window.partitionBy("sh_group", "__id").orderBy("sh_crc32")
+    out = rows.withColumn("__again", F.row_number().over(again) - 1).join(entries.select("sh_group", "__id", "sh_shard", "__first"), ["sh_group", "__id"])
+    return out.select(*docs.columns, "sh_size", "sh_crc32", "sh_group", "sh_shard", (F.col("__first") + F.col("__again")).alias("sh_slot"))
