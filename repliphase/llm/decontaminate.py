@@ -260,5 +260,5 @@ def _blocks(items: DataFrame, most: int) -> Iterator[tuple[list, list]]:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that leak no item."""
-    found = leaks(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("_leak")), "left_anti")
+    found = leaks(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias("leaking")).distinct()
+    return docs.join(found, docs[id_col].eqNullSafe(found["leaking"]), "left_anti")
