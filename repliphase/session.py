@@ -1,5 +1,11 @@
 """Spark session defaults: UTC, ANSI-safe, adaptive."""
 
+from __future__ import annotations
+
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -18,3 +24,20 @@ def get_session(app: str = "repliphase", master: str | None = None, **conf: str)
     for key, value in {**DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the executors, once per application, so that they need no copy of it installed."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        root = Path(__file__).resolve().parent
+        path = Path(tempfile.mkdtemp(prefix="package-")) / f"{root.name}.zip"
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+            for f in sorted(root.rglob("*.py")):
+                out.write(f, f.relative_to(root.parent))
+        context.addPyFile(str(path))
+        _shipped.add(context.applicationId)
+    return spark
