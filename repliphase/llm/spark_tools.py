@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The white space that splits words: space and the six ASCII controls around tab.
@@ -49,32 +49,28 @@ def offsets_within(counts: DataFrame, keys: list[str], bucket: str, value: str,
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], size: str | None, alias: str, buckets: int) -> DataFrame:
-    """Exclusive running sum of ``size`` (of ones if None) within ``keys``, in a fixed order.
+    """Exclusive running sum of ``size`` (of ones if None) within ``keys``, which are never null, in a fixed order.
 
     The order is by a hash bucket of the ``order`` columns, then by those columns. A key that
     holds most rows is still split over ``buckets`` tasks: each bucket is summed by itself and
-    moved by the total of the buckets before it.
+    moved by the total of the buckets before it. One shuffle serves sums and join.
     """
     bucket = F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int")
-    df = df.withColumn("_b", bucket).withColumn("_v", F.lit(1).cast("long") if size is None else F.col(size).cast("long"))
-    named = [f"_k{i}" for i in range(len(keys))]
-    totals = df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, named)], F.col("_b").alias("_bk")).agg(F.sum("_v").alias("_t"))
-    totals = offsets_within(totals, named, "_bk", "_t", "_before").drop("_t")
-    over = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumn("_in", F.coalesce(F.sum("_v").over(over), F.lit(0)))
-    same: Column = F.col("_b") == F.col("_bk")
-    for k, n in zip(keys, named):
-        same = same & F.col(k).eqNullSafe(F.col(n))
-    return df.join(totals, same).withColumn(alias, F.col("_before") + F.col("_in")).drop("_b", "_v", "_bk", "_before", "_in", *named)
+    df = df.withColumn("__bucket", bucket).withColumn("__size", F.lit(1).cast("long") if size is None else F.col(size).cast("long"))
+    totals = df.groupBy(*keys, "__bucket").agg(F.sum("__size").alias("__total"))
+    totals = offsets_within(totals, keys, "__bucket", "__total", "__before").drop("__total")
+    over = Window.partitionBy(*keys, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("__inside", F.coalesce(F.sum("__size").over(over), F.lit(0)))
+    return df.join(totals, [*keys, "__bucket"]).withColumn(alias, F.col("__before") + F.col("__inside")).drop("__bucket", "__size", "__before", "__inside")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of the edges (``u``, ``v``): rows (``node``, ``component``), the smallest node.
 
-    Alternates large-star and small-star rounds, each from a checkpoint, until the edges no
-    longer change. Each step takes a minimum for each node, which is combined before the
-    shuffle, and joins it back, which adaptive execution can split: a hub node is no hot task.
-    Nodes without edges are not returned. Both columns are long and not null.
+    Alternates large-star and small-star steps, each from a checkpoint, until every component
+    is a star around its smallest node. Each step takes a minimum for each node, which is
+    combined before the shuffle, and joins it back, which adaptive execution can split: a hub
+    node is no hot task. Nodes without edges are not returned. Both columns are long and not null.
     """
     shared_dir(edges.sparkSession)
 
@@ -88,17 +84,17 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             out = down.select(F.explode(F.array(F.col("o"), F.col("n"))).alias("v"), F.col("m").alias("u"))
         return out.where("u < v").distinct()
 
-    def print_of(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first())
+    def settled(e: DataFrame) -> bool:
+        """Each larger node has one edge, and no node is both the smaller and the larger of edges."""
+        ends = e.select(F.col("v").alias("n"), F.lit(1).alias("below"), F.lit(0).alias("above")).union(e.select("u", F.lit(0), F.lit(1)))
+        ends = ends.groupBy("n").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+        return not ends.where("below > 1 or (below > 0 and above > 0)").take(1)
 
     e = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct().checkpoint()
-    before = print_of(e)
     for _ in range(most_rounds):
-        e = star(star(e, True), False).checkpoint()
-        now = print_of(e)
-        if now == before:
+        if settled(e):
             break
-        before = now
+        e = star(star(e, True).checkpoint(), False).checkpoint()
     else:
         raise RuntimeError("the components did not settle")
-    return e.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("component")).union(e.select("u", F.col("u").alias("c")).distinct())
+    return e.select(F.col("v").alias("node"), F.col("u").alias("component")).union(e.select("u", F.col("u").alias("c")).distinct())
