@@ -103,6 +103,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": jaccard_join.ORACLE,
     "op4_line_frequency_rules": quality_rules.ORACLE,
     "op8_schema_chat_format": chat_format.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
