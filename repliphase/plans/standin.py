@@ -13,11 +13,22 @@ SIZE, RT, GRAPH = 2_592_000, 86_400, 21_600
 NAMES = ("click", "error", "purchase", "signup", "view")
 
 
+def _once(make):
+    """The method's rows, settled when first asked for and then kept with the object."""
+
+    def kept(self):
+        if make.__name__ not in self.kept:
+            self.kept[make.__name__] = settled(make(self))
+        return self.kept[make.__name__]
+
+    return kept
+
+
 class Tables:
-    """The stand-in tables of one folder."""
+    """The stand-in tables of one folder; what a query reads more than once is worked out once."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.path, self.kept = spark, path, {}
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
@@ -36,6 +47,7 @@ class Tables:
         rows = self.read("supplier").where("s_suppkey < 100" if overlapping else "s_suppkey < 100 and s_suppkey % 3 = 0")
         return rows.selectExpr("cast(s_suppkey % 5 as int) as h", f"{s} as s", f"{s} + 2000 + (s_suppkey % 7) * 25000 as e")
 
+    @_once
     def merged(self) -> DataFrame:
         return intervals.merge(self.blacklist())
 
@@ -53,20 +65,23 @@ class Tables:
     def barcodes(self) -> DataFrame:
         return self.read("customer").where("c_mktsegment = 'BUILDING'").selectExpr("c_custkey as cell").distinct()
 
+    @_once
     def usable(self) -> DataFrame:
         chroms = self.chroms()
-        # A row per bin, which most queries join more than once.
-        return settled(ev_ops.usable_bins(self.events(), chroms, RT, intervals.bin_fraction(chroms, self.merged(), RT), intervals.bin_means(chroms, self.anchor(), RT)))
+        return ev_ops.usable_bins(self.events(), chroms, RT, intervals.bin_fraction(chroms, self.merged(), RT), intervals.bin_means(chroms, self.anchor(), RT))
 
+    @_once
     def columns(self) -> DataFrame:
         chroms = self.chroms()
         return matrix.columns(chroms, GRAPH, intervals.bin_fraction(chroms, self.merged(), GRAPH))
 
+    @_once
     def occupancy(self) -> DataFrame:
         return matrix.occupancy(self.events(), self.chroms(), GRAPH, self.columns())
 
+    @_once
     def blocks(self) -> DataFrame:
-        return settled(matrix.blocks(self.columns(), 10, 12, 16))
+        return matrix.blocks(self.columns(), 10, 12, 16)
 
     def per_cell(self) -> DataFrame:
         return self.events().groupBy("cell").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("v"))
