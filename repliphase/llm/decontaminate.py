@@ -28,8 +28,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repliphase.llm import byte_words as bw
-
 _U = np.uint64
 _CHUNK = 1 << 20
 _CLASS = np.arange(256, dtype=np.uint8)
