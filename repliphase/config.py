@@ -1,4 +1,4 @@
-"""Parameters of a run, with their defaults in base pairs."""
+"""Parameters of a run. The defaults are fixed values, lengths in base pairs."""
 
 from __future__ import annotations
 

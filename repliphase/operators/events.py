@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from repliphase.functions import genome, stats
 
+# Fixed values of the collapse distance: the gaps that part short from long ones and end the
+# long ones, the least number of gaps and share of short ones, and the bounds of the result.
+SHORT_GAP, LONG_GAP, LEAST_GAPS, LEAST_SHORT, LEAST_DISTANCE, FALLBACK = 300, 5000, 1000, 0.03, 50, 200
 
 def adjacent_gaps(events: DataFrame) -> DataFrame:
     """``events`` with ``gap``: the distance from the event before in the cell and chromosome; zero and first gaps are NULL."""
@@ -27,22 +32,22 @@ def collapse_distance(gaps: DataFrame, maximum: int = 500) -> tuple[int, dict]:
 
     0 with fewer than 1000 gaps or fewer than 3 % below 300; ``min(200, maximum)`` if there is no dip.
     """
-    n, short = gaps.agg(F.count("*"), F.avg((F.col("gap") < 300).cast("double"))).first()
-    if n < 1000:
+    n, short = gaps.agg(F.count("*"), F.avg((F.col("gap") < SHORT_GAP).cast("double"))).first()
+    if n < LEAST_GAPS:
         return 0, {"mode": "too_few_gaps"}
-    if short < 0.03:
+    if short < LEAST_SHORT:
         return 0, {"mode": "no_short_gap_peak", "short_fraction": short}
     smooth = antimode_table(gaps).collect()  # 240 rows
-    log300, log5000 = 2.4771212547196626, 3.6989700043360187
-    before = [r for r in smooth if r.centre < log300]
-    after = [r for r in smooth if log300 < r.centre < log5000]
+    parting, end = math.log10(SHORT_GAP), math.log10(LONG_GAP)
+    before = [r for r in smooth if r.centre < parting]
+    after = [r for r in smooth if parting < r.centre < end]
     first = max(before, key=lambda r: (r.smooth, -r.bin))
     second = max(after, key=lambda r: (r.smooth, -r.bin))
     between = [r for r in smooth if first.bin < r.bin < second.bin]
     if not between:
-        return min(200, maximum), {"mode": "fallback", "short_fraction": short}
+        return min(FALLBACK, maximum), {"mode": "fallback", "short_fraction": short}
     dip = min(between, key=lambda r: (r.smooth, r.bin)).centre
-    return int(min(max(10**dip, 50), maximum)), {"mode": "antimode", "short_fraction": short, "antimode_bp": 10**dip}
+    return int(min(max(10**dip, LEAST_DISTANCE), maximum)), {"mode": "antimode", "short_fraction": short, "antimode_bp": 10**dip}
 
 
 def antimode_table(gaps: DataFrame) -> DataFrame:
