@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -27,6 +28,16 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop shuffles, broadcasts and checkpoints that nothing refers to any more.
+
+    Its cleaner only learns of them when the driver's garbage is collected, which in a run of many
+    small jobs comes late: until then their files fill disks and their plans the driver's memory.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written as Parquet in the shared folder and read again.
 
@@ -39,6 +50,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -95,6 +107,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if settled(e):
             break
         e = star(star(e, True).checkpoint(), False).checkpoint()
+        release(e.sparkSession)
     else:
         raise RuntimeError("the components did not settle")
     return e.select(F.col("v").alias("node"), F.col("u").alias("component")).union(e.select("u", F.col("u").alias("c")).distinct())
