@@ -5,7 +5,8 @@ kept as a 128-bit hash. Keys of at least ``min_chars`` code points are referred
 documents that hold them: ``refs`` has one row per key and document. A key in at least
 ``min_docs`` documents loses its lines in all of them but the largest doc_id.
 
-Keys are dealt over shards, each with a cuckoo filter of the keys that have references. A batch
+Keys are dealt over shards, each with a cuckoo filter of the keys that have references; the
+shards double as the keys outgrow them, so that a filter stays a matter of one small task. A batch
 asks the filters first: keys they don't know are new and need no look at the stored references.
 Deleting documents takes their references away, and keys without any leave their filter, so
 that inserting and deleting in any order ends in the same state.
@@ -22,6 +23,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -183,7 +185,7 @@ def _grow(keys: pa.Table, filters: pa.Table) -> pa.Table:
     """One shard's filter after adding (n > 0) and removing (n < 0) keys; ``all`` has all its keys if it must be built anew."""
     shard = (keys if keys.num_rows else filters)["shard"][0].as_py()
     if not filters.num_rows:
-        made = CuckooFilter.holding(_hashes(keys.filter(pa.compute.greater(keys["n"], 0))))
+        made = CuckooFilter.holding(_hashes(keys.filter(pc.greater(keys["n"], 0))))
         return pa.table({"shard": pa.array([shard], pa.int32()), "filter": pa.array([made.bytes()], pa.binary()), "full": [False]})
     made = CuckooFilter.read(filters["filter"][0].as_py())
     n, hashes = keys["n"].to_numpy(), _hashes(keys)
@@ -195,8 +197,8 @@ def _grow(keys: pa.Table, filters: pa.Table) -> pa.Table:
 class LineDedup:
     """The state of an incremental line dedup: ``refs`` (k1, k2, doc_id) and ``filters`` (shard, filter)."""
 
-    def __init__(self, spark: SparkSession, *, min_chars: int = 20, min_docs: int = 3, shards: int = 64):
-        self.spark, self.min_chars, self.min_docs, self.shards = spark, min_chars, min_docs, shards
+    def __init__(self, spark: SparkSession, *, min_chars: int = 20, min_docs: int = 3, keys_per_shard: int = 1 << 18):
+        self.spark, self.min_chars, self.min_docs, self.keys_per_shard, self.shards = spark, min_chars, min_docs, keys_per_shard, 8
         self.refs = spark.createDataFrame([], "k1 long, k2 long, doc_id long")
         self.filters = spark.createDataFrame([], "shard int, filter binary")
         self.empty = True
@@ -204,6 +206,14 @@ class LineDedup:
     def _sharded(self, keys: DataFrame) -> DataFrame:
         return keys.withColumn("shard", F.pmod("k1", F.lit(self.shards)).cast("int"))
 
+    def _outgrown(self) -> bool:
+        """Whether the keys are too many for the shards, which then double until they fit; the filters are to be built anew."""
+        keys = self.refs.agg(F.approx_count_distinct("k1")).first()[0]
+        before = self.shards
+        while keys > self.shards * self.keys_per_shard:
+            self.shards *= 2
+        return self.shards > before
+
     def _references_of(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
         # By key and document, so that a line of very many documents is no hot task.
@@ -230,6 +240,7 @@ class LineDedup:
         keys = more.select("k1", "k2").distinct()
         if self.empty:
             self.refs, self.empty = more, False
+            self._outgrown()
             self._update(keys.withColumn("n", F.lit(1)))
             return self
         asked = st.written(self._known(keys), "asked")
@@ -238,6 +249,9 @@ class LineDedup:
         more = st.written(more.join(stored, ["k1", "k2", "doc_id"], "left_anti"), "references")
         new = st.written(new.withColumn("n", F.lit(1)), "new")
         self.refs = self.refs.union(more)
+        if self._outgrown():
+            self.filters = self.filters.limit(0)
+            new = self.refs.select("k1", "k2").distinct().withColumn("n", F.lit(1))
         self._update(new)
         return self
 
@@ -257,7 +271,8 @@ class LineDedup:
 
     def resolve(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Rows (doc_id, n_lines, n_dropped, kept): the documents without the lines they lose now; those not inserted stay whole."""
-        often = self.counts().where(F.col("n_docs") >= self.min_docs)
+        # Written first, so that a line of very many documents can be split when it is joined.
+        often = st.written(self.counts().where(F.col("n_docs") >= self.min_docs).select("k1", "k2", "last_doc"), "often")
         drop = self.refs.join(often, ["k1", "k2"]).where("doc_id <> last_doc").groupBy("doc_id").agg(F.collect_list(F.struct("k1", "k2")).alias("drop"))
         rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
         rows = rows.join(drop, "doc_id", "left").select("doc_id", "text", "drop")

@@ -44,7 +44,7 @@ def lined(words):
 def test_insert_delete_and_insert_again(spark, lined):
     schema = "doc_id long, text string"
     docs = spark.createDataFrame(lined, schema).repartition(3)
-    state = LineDedup(spark, shards=4).insert(docs.where("doc_id < 30 or doc_id is null")).insert(docs.where("doc_id >= 20"))
+    state = LineDedup(spark, keys_per_shard=3).insert(docs.where("doc_id < 30 or doc_id is null")).insert(docs.where("doc_id >= 20"))
     found = sorted(map(tuple, state.resolve(docs).collect()), key=str)
     assert found == brute(lined, lined)
     assert any(r[2] for r in found)
@@ -53,13 +53,14 @@ def test_insert_delete_and_insert_again(spark, lined):
     assert sorted(map(tuple, state.resolve(docs).collect()), key=str) == brute(lined, left)
     state.insert(docs.where("doc_id in (59, 63, 5)"))
     assert sorted(map(tuple, state.resolve(docs).collect()), key=str) == brute(lined, lined)
+    assert state.shards > 8  # they were outgrown
     # Every key with references is in its shard's filter.
     filters = {r.shard: CuckooFilter.read(bytes(r.filter)) for r in state.filters.collect()}
     from repliphase.llm import byte_words as bw
 
     for r in state.refs.select("k1", "k2").distinct().collect():
         h = np.array([r.k1]).view(np.uint64) ^ bw.mix(np.array([r.k2]).view(np.uint64))
-        assert filters[r.k1 % 4].has(h).all()
+        assert filters[r.k1 % state.shards].has(h).all()
 
 
 def test_empty(spark):
