@@ -47,7 +47,7 @@ def _top(values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _weights(values: np.ndarray) -> np.ndarray:
     ok = np.isfinite(values)
-    low = np.where(ok, values, np.inf).min(1, keepdims=True)
+    low = np.where(ok, values, np.inf).min(1, keepdims=True, initial=np.inf)
     return np.where(ok & np.isfinite(low), values - low + FLOOR, 0.0)
 
 

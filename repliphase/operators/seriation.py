@@ -27,6 +27,11 @@ def block_weights(blocks: int, replicates: int, seed: int = 1) -> dict[int, list
     return out
 
 
+def neighbour_count(landmarks: int, knn: int = 0) -> int:
+    """``knn``, or if it is 0 a 25th of the landmarks within 10 and 50; fewer than the landmarks."""
+    return min(knn or int(np.clip(landmarks // 25, 10, 50)), max(3, landmarks - 1))
+
+
 def seriate_replicates(landmarks: DataFrame, block_of: DataFrame, k: int, replicates: int = 40, rounds: int = 2, seed: int = 1) -> DataFrame:
     """Rows (rep, cell, coord, score): the order of the landmarks under each replicate's block weights.
 

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from repliphase.config import Config
 from repliphase.functions import genome, stats
 from repliphase.functions.storage import settled
 from repliphase.operators import events, extension, foreground, gates, intervals, matrix, report, seriation, similarity, timing
@@ -491,20 +492,29 @@ def display_sample(t):
     return report.evenly_spaced(_ordered(t), "global_order", 50).select("cell")
 
 
+_RUN = Config()
+
+
+def _seriated(t: Tables) -> tuple[DataFrame, DataFrame, int, DataFrame]:
+    """The dilated occupancy, that of the landmarks, the number of neighbours and all replicates, as a run has them by default."""
+    occ = settled(matrix.dilate(t.occupancy(), t.columns(), 1))
+    marks = settled(matrix.pick_landmarks(matrix.support(occ), _RUN.max_order_cells))
+    own = settled(occ.join(marks, "cell", "left_semi"))
+    k = seriation.neighbour_count(marks.count(), _RUN.knn)
+    return occ, own, k, seriation.seriate_replicates(own, t.blocks(), k, _RUN.n_bootstrap, _RUN.refine_rounds, _RUN.seed)
+
+
 @_query(None)
 def landmark_seriation(t):
     """Orders of the landmarks under the base weights, split halves and bootstrap replicates."""
-    occ = matrix.dilate(t.occupancy(), t.columns(), 1)
-    marks = matrix.pick_landmarks(matrix.support(occ), 200)
-    return seriation.seriate_replicates(occ.join(marks, "cell", "left_semi"), t.blocks(), 10, replicates=8)
+    return _seriated(t)[-1]
 
 
 @_query(None)
 def landmark_extension(t):
-    """Places of all cells among ordered landmarks."""
-    occ = matrix.dilate(t.occupancy(), t.columns(), 1)
-    marks = matrix.pick_landmarks(matrix.support(occ), 60)
-    own = occ.join(marks, "cell", "left_semi")
-    coords = timing.total_order(marks, ["support", "cell"], "t").select("cell", "t")
-    reps = coords.select(F.lit(0).alias("rep"), "cell", (1 - F.col("t")).alias("coord"))
-    return extension.place(occ, own, coords, reps, t.blocks(), 10)
+    """Places of all cells among the seriated landmarks, and among those of each replicate turned to their order."""
+    occ, own, k, made = _seriated(t)
+    made = settled(made)
+    replicates, _ = seriation.aligned_replicates(made, _RUN.boot_min_abs_rho)
+    coords = made.where(f"rep = {seriation.BASE} and coord is not null").select("cell", F.col("coord").alias("t"))
+    return extension.place(occ, own, coords, replicates, t.blocks(), k)

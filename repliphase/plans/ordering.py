@@ -139,8 +139,7 @@ class Ordering:
             self.warn(f"only {n_blocks} blocks; the uncertainty will be coarse")
         info = matrix.information(occ, block_of)
         least_valid = int(np.clip(c.min_valid_blocks, 1, max(1, n_blocks // 2)))
-        k = c.knn or int(np.clip(n_land // 25, 10, 50))
-        k = min(k, max(3, n_land - 1))
+        k = seriation.neighbour_count(n_land, c.knn)
         land = settled(occ.join(marks, "cell", "left_semi"))
 
         shifts = [similarity.contrast(similarity.pair_phi(matrix.circular_shift(land, cols, r), block_of), k) for r in range(max(1, c.null_shifts))]
