@@ -1,8 +1,9 @@
 """Sharding: best-fit-decreasing bin packing of indivisible groups into fixed-capacity shards.
 
-Groups are rows with equal texts. Their sizes are counted in a histogram whose classes are
-exact below 4096 bytes and have 12 significant bits above, rounded up, so it has at most some
-tens of thousands of rows whatever the input. The driver packs the classes, largest first, each
+Groups are rows with equal texts. Their sizes are counted in a histogram. For a given capacity its
+classes are the exact sizes; n of them need n * n / 2 bytes of input, so there are at most 250,000
+in 30 GB. For a given number of shards they are exact below 4096 bytes and have 12 significant bits
+above, rounded up, at most some tens of thousands whatever the input. The driver packs the classes, largest first, each
 into the bin with the tightest remaining capacity, found in a balanced tree; as many groups of
 a class as fit go at once, which is what packing them one after the other gives. Groups are then
 numbered within their class and read their shard from the class's row.
@@ -146,8 +147,8 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, sh
     rows = docs.withColumns({"sh_size": (F.octet_length(text) + overhead).cast("long"), "sh_crc32": F.crc32(text), "sh_group": F.md5(text.cast("binary")), "__id": F.xxhash64(id_col)})
     # Rows with equal id and text are told apart only at the end; until then they are one entry.
     entries = rows.groupBy("sh_group", "__id").agg(F.count("*").alias("__times"), F.first("sh_size").alias("__one"))
-    groups = entries.groupBy("sh_group").agg(F.sum(F.col("__times") * F.col("__one")).alias("__bytes")).withColumn("__class", F.expr(_size_class("__bytes")))
-    classes = [tuple(r) for r in groups.groupBy("__class").count().collect()]  # bounded by the classes
+    groups = entries.groupBy("sh_group").agg(F.sum(F.col("__times") * F.col("__one")).alias("__bytes")).withColumn("__class", F.col("__bytes") if capacity else F.expr(_size_class("__bytes")))
+    classes = [tuple(r) for r in groups.groupBy("__class").count().collect()]  # bounded by the classes, or the distinct sizes
     runs = best_fit_decreasing(classes, capacity) if capacity else pack_evenly(classes, shards)
     plan: dict[int, tuple[list[int], list[int]]] = {}
     for size, name, count in runs:
