@@ -85,37 +85,34 @@ def reduce_replicates(df: DataFrame, key: str, value: str) -> DataFrame:
     return v.groupBy(key).agg(F.count("v").alias("n_used"), F.stddev_pop("v").alias("sd"), F.percentile("v", F.lit(0.1)).alias("lo10"), F.percentile("v", F.lit(0.9)).alias("hi90"))
 
 
-def quantile_map(pairs: DataFrame, x: str, y: str, queries: DataFrame, q: str, alias: str = "mapped", min_pairs: int = 20) -> DataFrame:
-    """``queries`` with ``q`` mapped from the distribution of x to that of y.
+def quantile_map(pairs: DataFrame, x: str, y: str, queries: DataFrame, q: str, alias: str = "mapped", min_pairs: int = 20, keys: list[str] = ()) -> DataFrame:
+    """``queries`` with ``q`` mapped from the distribution of x to that of y, for each of the ``keys`` by itself.
 
     Knots pair the sorted x with the sorted y, equal x sharing their mean y. Between knots the map
     is linear, beyond the ends it goes on with the end slopes. With fewer than ``min_pairs`` pairs
-    it is the identity, with a single knot a constant.
+    it is the identity, with a single knot a constant. Knots and queries are sorted together once,
+    and a query takes the last knot before it; nothing is joined by range.
     """
-    both = finite(pairs.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")), "x", "y")
-    one = Window.partitionBy(F.lit(0))
-    xs = both.select("x", F.row_number().over(one.orderBy("x")).alias("r"))
-    ys = both.select("y", F.row_number().over(one.orderBy("y")).alias("r"))
-    knots = xs.join(ys, "r").groupBy("x").agg(F.avg("y").alias("y"))
-    order = one.orderBy("x")
-    knots = knots.select(
-        "x", "y", F.lead("x").over(order).alias("x2"), F.lead("y").over(order).alias("y2"), F.row_number().over(order).alias("k"), F.count("*").over(one).alias("n"),
-    )
-    # Every query falls in one span; the first reaches down and the last up without end.
-    inf = float("inf")
-    spans = knots.where("x2 is not null or n = 1").select(
-        F.when(F.col("k") == 1, F.lit(-inf)).otherwise(F.col("x")).alias("lo"),
-        F.when((F.col("k") == F.col("n") - 1) | (F.col("n") == 1), F.lit(inf)).otherwise(F.col("x2")).alias("hi"),
-        F.col("x").alias("x0"), F.col("y").alias("y0"),
-        F.when(F.col("n") == 1, F.lit(0.0)).otherwise((F.col("y2") - F.col("y")) / F.greatest(F.col("x2") - F.col("x"), F.lit(1e-12))).alias("slope"),
-    )
-    enough = both.agg((F.count("*") >= min_pairs).alias("_enough"))
-    # The knots are at most one row per cell that was ordered exactly.
+    keys = list(keys)
+    own = _over(keys)
+    both = finite(pairs.select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")), "x", "y")
+    xs = both.select(*keys, "x", F.row_number().over(own.orderBy("x")).alias("r"))
+    ys = both.select(*keys, "y", F.row_number().over(own.orderBy("y")).alias("r"))
+    knots = xs.join(ys, [*keys, "r"]).groupBy(*keys, "x").agg(F.avg("y").alias("y"), F.count("*").alias("n"))
+    along = own.orderBy("x")
+    slope = lambda x1, y1, x2, y2: (y2 - y1) / F.greatest(x2 - x1, F.lit(1e-12))
+    ahead, behind = (slope(*ends) for ends in ((F.col("x"), F.col("y"), F.lead("x").over(along), F.lead("y").over(along)), (F.lag("x").over(along), F.lag("y").over(along), F.col("x"), F.col("y"))))
+    # From the last knot on the slope before it holds.
+    line = F.struct(F.col("x").alias("x"), F.col("y").alias("y"), F.coalesce(ahead, behind, F.lit(0.0)).alias("slope"))
+    knots = knots.select(*keys, F.col("x").alias("__at"), F.lit(False).alias("__asks"), line.alias("__line"), F.col("n").alias("__n"))
     value = F.when(F.isnan(F.col(q).cast("double")), None).otherwise(F.col(q).cast("double"))
-    out = queries.withColumn("_q", value).crossJoin(enough)
-    out = out.join(spans, (F.col("_q") >= F.col("lo")) & (F.col("_q") < F.col("hi")), "left")
-    mapped = F.when(~F.col("_enough"), F.col("_q")).otherwise(F.col("y0") + F.col("slope") * (F.col("_q") - F.col("x0")))
-    return out.withColumn(alias, mapped).drop("_q", "_enough", "lo", "hi", "x0", "y0", "slope")
+    asked = queries.withColumns({"__at": value, "__asks": F.lit(True)})
+    rows = asked.unionByName(knots, allowMissingColumns=True)
+    sorted_ = own.orderBy(F.col("__at").asc_nulls_first(), "__asks")
+    line = F.coalesce(F.last("__line", ignorenulls=True).over(sorted_.rowsBetween(Window.unboundedPreceding, 0)), F.first("__line", ignorenulls=True).over(sorted_.rowsBetween(0, Window.unboundedFollowing)))
+    rows = rows.withColumns({"__own": line, "__pairs": F.coalesce(F.sum("__n").over(own), F.lit(0))}).where("__asks")
+    mapped = F.when(F.col("__pairs") < min_pairs, F.col("__at")).otherwise(F.col("__own.y") + F.col("__own.slope") * (F.col("__at") - F.col("__own.x")))
+    return rows.withColumn(alias, mapped).drop("__at", "__asks", "__line", "__n", "__own", "__pairs")
 
 
 def binned_baseline(df: DataFrame, statistic: str, support: str, n_bins: int = 20, min_n: int = 25) -> DataFrame:

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from repliphase.functions import spectral
 from repliphase.operators import similarity
 
 FLOOR = 1e-6
@@ -38,77 +39,59 @@ def half_window(k: int, landmarks: int) -> int:
     return max(1, min(k // 3, max(1, landmarks // 20)))
 
 
-def _top(values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Columns and values of the k largest of each row, NaN last."""
-    work = np.where(np.isfinite(values), np.round(values, 9), -np.inf)
-    columns = np.argsort(-work, axis=1, kind="stable")[:, :k]
-    return columns, np.take_along_axis(values, columns, 1)
-
-
-def _weights(values: np.ndarray) -> np.ndarray:
-    ok = np.isfinite(values)
-    low = np.where(ok, values, np.inf).min(1, keepdims=True, initial=np.inf)
-    return np.where(ok & np.isfinite(low), values - low + FLOOR, 0.0)
-
-
-def _means(weights: np.ndarray, t: np.ndarray) -> np.ndarray:
-    use = weights * np.isfinite(t)
-    total = use.sum(-1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(total > 0, (use * np.where(np.isfinite(t), t, 0)).sum(-1) / total, np.nan)
-
-
 def place(targets: DataFrame, landmarks: DataFrame, coords: DataFrame, replicates: DataFrame, block_of: DataFrame, k: int) -> DataFrame:
     """Rows (cell, hat, secondary, contrast, boot): where each target lies among the landmarks.
 
     ``targets`` and ``landmarks`` are occupancies, ``coords`` (cell, t), ``replicates``
     (rep, cell, coord). hat is the centroid over the smoothed similarities, secondary that over
-    the plain ones; boot holds the hats under each replicate's coordinates. Landmarks are bounded
-    and sent packed; targets are read once, a row per cell, and no pair leaves its task.
+    the plain ones; boot holds the hats under each replicate's coordinates, by replicate. Tasks that
+    hold the packed landmarks pick each target's k nearest; their weighted means are plain sums.
     """
-    order, slices, _ = similarity.layout(block_of)
-    ordered = landmarks.join(coords.where("t is not null"), "cell", "left_semi")
-    sent, names = similarity.send_landmarks(ordered, block_of, order)
-    by_cell = {r.cell: r.t for r in coords.where("t is not null").collect()}  # a row per landmark
-    t = np.array([by_cell[c] for c in names.tolist()])
-    turn = np.lexsort((names, t))
-    reps = sorted(r.rep for r in replicates.select("rep").distinct().collect())
-    boot = np.full((len(reps), len(names)), np.nan)
-    at = {c: k for k, c in enumerate(names.tolist())}
-    for r in replicates.toLocalIterator():
-        if r.cell in at:
-            boot[reps.index(r.rep), at[r.cell]] = r.coord
-    lead = targets.sparkSession.sparkContext.broadcast((t[turn], names[turn], boot[:, turn]))
-    places = similarity._places(order)
-    k = min(max(3, k), max(1, len(names) - 1))
-    half = half_window(k, len(names))
-    held = targets.join(block_of.select("col"), "col", "left_semi").groupBy("cell").agg(F.collect_set("col").alias("cols"))
+    coords = coords.where("t is not null")
+    by_cell = {r.cell: r.t for r in coords.collect()}  # a row per landmark
+    sent = similarity.send_landmarks(landmarks.join(coords, "cell", "left_semi"), block_of, by_cell)
+    n = len(sent.value.cells)
+    k = min(max(3, k), max(1, n - 1))
+    half = half_window(k, n)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, names, boot = lead.value
-        bits = similarity.unpack(sent.value, len(order))[turn]
-        for batch in batches:
-            cells, cols = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            for a in range(0, len(cells), similarity.TILE):
-                own = cells[a : a + similarity.TILE]
-                phi = similarity.combined(similarity._matrix(cols[a : a + similarity.TILE], order, places), bits, slices)
-                phi[own[:, None] == names[None, :]] = np.nan
-                ok = np.isfinite(phi)
-                columns, values = _top(phi, k)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    mean = np.where(ok, phi, 0).sum(1) / ok.sum(1)
-                    near = np.where(np.isfinite(values), values, 0).sum(1) / np.isfinite(values).sum(1)
-                secondary = _means(_weights(values), t[columns])
-                total = np.cumsum(np.pad(np.where(ok, phi, 0), ((0, 0), (1, 0))), 1)
-                count = np.cumsum(np.pad(ok, ((0, 0), (1, 0))), 1)
-                lo, hi = np.maximum(np.arange(len(t)) - half, 0), np.minimum(np.arange(len(t)) + half + 1, len(t))
-                n = count[:, hi] - count[:, lo]
-                smooth = np.where(n > 0, (total[:, hi] - total[:, lo]) / np.maximum(n, 1), np.nan)
-                columns, values = _top(smooth, k)
-                w = _weights(values)
-                hat = _means(w, t[columns])
-                boots = np.stack([_means(w, b[columns]) for b in boot], 1) if len(boot) else np.zeros((len(own), 0))
-                arrays = [pa.array(x, mask=~np.isfinite(x)) for x in (hat, secondary, near - mean)]
-                yield pa.RecordBatch.from_arrays([pa.array(own), *arrays, pa.array(list(boots), pa.list_(pa.float64()))], names=["cell", "hat", "secondary", "contrast", "boot"])
-
-    return held.mapInArrow(work, "cell long, hat double, secondary double, contrast double, boot array<double>")
+        names = sent.value.cells
+        for cells, phi in similarity.against(batches, sent.value):
+            picked = []
+            for kind in (phi, box_mean(phi, half)):
+                columns, values = spectral.largest(kind, k)
+                picked.append((similarity._lists(names[columns], values, np.isfinite(values), "landmark", "value"), values))
+            contrast = similarity.contrasts(phi, picked[0][1])
+            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(contrast, mask=np.isnan(contrast)), picked[0][0], picked[1][0]], names=["cell", "contrast", "plain", "smooth"])
+
+    kind = "array<struct<landmark:long,value:double>>"
+    rows = sent.value.rows(targets).mapInArrow(work, f"cell long, contrast double, plain {kind}, smooth {kind}")
+    reps = sorted(r.rep for r in replicates.select("rep").distinct().collect())
+    at = replicates.groupBy(F.col("cell").alias("landmark")).pivot("rep", reps).agg(F.first("coord")) if reps else replicates.select(F.col("cell").alias("landmark")).limit(0)
+    at = coords.select(F.col("cell").alias("landmark"), "t").join(at.withColumnsRenamed({str(r): f"t{r}" for r in reps}), "landmark", "left")
+
+    def weighted(name: str):
+        low = F.array_min(F.transform(name, lambda x: x.value)) - FLOOR
+        return F.transform(name, lambda x: F.struct(F.lit(name).alias("kind"), x.landmark.alias("landmark"), (x.value - low).alias("w")))
+
+    near = rows.select("cell", "contrast", F.explode_outer(F.concat(weighted("plain"), weighted("smooth"))).alias("n")).select("cell", "contrast", "n.*")
+    near = near.join(F.broadcast(at), "landmark", "left")  # a row per landmark, which send_landmarks has checked
+
+    def mean(kind: str, t: str):
+        use = F.when((F.col("kind") == kind) & F.col(t).isNotNull(), F.col("w"))
+        return F.sum(use * F.col(t)) / F.sum(use)
+
+    boot = F.array(*[mean("smooth", f"t{r}") for r in reps]).cast("array<double>")
+    return near.groupBy("cell", "contrast").agg(mean("smooth", "t").alias("hat"), mean("plain", "t").alias("secondary"), boot.alias("boot")).select("cell", "hat", "secondary", "contrast", "boot")
+
+
+def box_mean(values: np.ndarray, half: int) -> np.ndarray:
+    """The mean of what is finite within ``half`` columns on both sides, as a sum of shifted rows; NaN where nothing is."""
+    n, ok = values.shape[1], np.isfinite(values)
+    total, count = np.zeros(values.shape), np.zeros(values.shape)
+    plain = np.where(ok, values, 0.0)
+    for shift in range(-min(half, n), min(half, n) + 1):
+        to, of = slice(max(0, -shift), n - max(0, shift)), slice(max(0, shift), n - max(0, -shift))
+        total[:, to] += plain[:, of]
+        count[:, to] += ok[:, of]
+    return np.where(count > 0, total / np.maximum(count, 1), np.nan)

@@ -6,7 +6,6 @@ removed bin between two kept ones does not part them.
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,42 +53,51 @@ def circular_shift(occ: DataFrame, cols: DataFrame, replicate: int) -> DataFrame
     return rows.select("cell", "h", (F.col("f") + moved).alias("col"))
 
 
-def plan_blocks(counts: dict[int, int], target: int, budget: int, min_bins: int = 64) -> list[tuple[int, int, int, int]]:
-    """Contiguous blocks (block, h, from, to) over the columns of each chromosome, about ``target`` and at most ``budget``.
+def blocks(cols: DataFrame, target: int, budget: int, min_bins: int = 64) -> DataFrame:
+    """Rows (col, block, n_bins): the block of each column and the block's size.
 
-    With more chromosomes than the budget, whole chromosomes are put together, largest first into
-    the lightest block.
+    A chromosome's columns are cut into parts of near-equal size. Of the part sizes on a geometric
+    scale the smallest is taken with which there are at most ``budget`` parts, ``target`` being
+    what the scale begins at. With more chromosomes than the budget they are packed whole.
     """
-    budget, present = max(4, budget), sorted(counts)
-    if len(present) > budget:
-        loads, out = [0] * budget, []
-        for h in sorted(present, key=lambda c: -counts[c]):
-            block = min(range(budget), key=lambda b: (loads[b], b))
-            loads[block] += counts[h]
-            out.append((block, h, 0, counts[h]))
-        return out
-    size = max(sum(counts.values()) / min(max(target, len(present)), budget), float(min_bins))
-
-    def parts(h: int) -> int:
-        return min(max(1, int(np.rint(counts[h] / size))), max(1, counts[h] // min_bins))
-
-    while sum(map(parts, present)) > budget:
-        size *= 1.25
-    out, block = [], 0
-    for h in present:
-        n = parts(h)
-        for j in range(n):
-            out.append((block, h, counts[h] * j // n, counts[h] * (j + 1) // n))
-            block += 1
-    return out
+    budget = max(4, budget)
+    sizes = cols.groupBy("h").agg(F.count("*").alias("n"))  # a row per chromosome, as all tables here but cols
+    parts = _packed(sizes, budget) if sizes.count() > budget else _parts(sizes, target, budget, min_bins)
+    place = F.expr("cast(before + ((col - first + 1) * parts - 1) div n as int)")
+    rows = cols.join(parts, "h").select("col", place.alias("block"))
+    return rows.join(rows.groupBy("block").agg(F.count("*").alias("n_bins")), "block").select("col", "block", "n_bins")
 
 
-def blocks(cols: DataFrame, target: int, budget: int, min_bins: int = 64) -> DataFrame:
-    """Rows (col, block, n_bins): the block of each column and the block's size."""
-    counts = {r.h: r["count"] for r in cols.groupBy("h").count().collect()}  # one row per chromosome
-    plan = cols.sparkSession.createDataFrame(plan_blocks(counts, target, budget, min_bins), "block int, bh int, lo long, hi long")
-    rows = cols.join(plan, F.expr("h = bh and col - first >= lo and col - first < hi")).select("col", "block")
-    return rows.join(rows.groupBy("block").agg(F.count("*").alias("n_bins")), "block").select("col", "block", "n_bins")
+#: Part sizes that are tried, each a quarter larger than the one before.
+_SCALE, _GROWTH = 64, 1.25
+
+
+def _parts(sizes: DataFrame, target: int, budget: int, min_bins: int) -> DataFrame:
+    """Rows (h, n, parts, before): how many parts each chromosome has, and those before it."""
+    every = Window.partitionBy(F.lit(0))
+    wanted = F.least(F.greatest(F.lit(target), F.count("*").over(every)), F.lit(budget))
+    rows = sizes.withColumn("least", F.greatest(F.sum("n").over(every) / wanted, F.lit(float(min_bins))))
+    rows = rows.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(_SCALE - 1))))
+    rows = rows.withColumn("parts", F.greatest(F.lit(1), F.rint(F.col("n") / (F.col("least") * F.pow(F.lit(_GROWTH), "step"))).cast("long")))
+    rows = rows.withColumn("parts", F.least("parts", F.greatest(F.lit(1), F.expr(f"n div {min_bins}"))))
+    rows = rows.withColumn("fits", F.sum("parts").over(Window.partitionBy("step")) <= budget)
+    rows = rows.withColumn("chosen", F.min(F.when(F.col("fits"), F.col("step"))).over(every)).where("step = chosen")
+    before = every.orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.select("h", "n", "parts", F.coalesce(F.sum("parts").over(before), F.lit(0)).alias("before"))
+
+
+def _packed(sizes: DataFrame, bins: int) -> DataFrame:
+    """Rows (h, n, parts, before): each chromosome, largest first, as a whole in the block with the fewest columns."""
+    listed = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "h"))), lambda x: F.struct(x.h.alias("h"), (-x.m).alias("n")))
+    start = F.struct(F.array_repeat(F.lit(0).cast("long"), bins).alias("loads"), F.array().cast("array<struct<h:int,n:long,b:long>>").alias("out"))
+
+    def put(state, chrom):
+        at = F.array_position(state.loads, F.array_min(state.loads))
+        loads = F.transform(state.loads, lambda load, k: load + F.when(k + 1 == at, chrom.n).otherwise(0))
+        return F.struct(loads.alias("loads"), F.concat(state.out, F.array(F.struct(chrom.h.cast("int").alias("h"), chrom.n.alias("n"), (at - 1).cast("long").alias("b")))).alias("out"))
+
+    packed = sizes.agg(listed.alias("all")).select(F.explode(F.aggregate("all", start, put).out).alias("x"))
+    return packed.select("x.h", "x.n", F.lit(1).cast("long").alias("parts"), F.col("x.b").alias("before"))
 
 
 def block_counts(occ: DataFrame, block_of: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Ordering landmarks, with block bootstrap and split halves: one task per replicate."""
+"""Ordering landmarks, with block bootstrap and split halves."""
 
 from __future__ import annotations
 
@@ -6,8 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from repliphase.functions import spectral
 from repliphase.operators import similarity
@@ -32,30 +32,44 @@ def neighbour_count(landmarks: int, knn: int = 0) -> int:
     return min(knn or int(np.clip(landmarks // 25, 10, 50)), max(3, landmarks - 1))
 
 
+#: Rows of similarities that a task holds, by block, while it weighs them for all replicates.
+_ROWS = 32
+
+
 def seriate_replicates(landmarks: DataFrame, block_of: DataFrame, k: int, replicates: int = 40, rounds: int = 2, seed: int = 1) -> DataFrame:
     """Rows (rep, cell, coord, score): the order of the landmarks under each replicate's block weights.
 
-    Each task rebuilds the landmarks' similarity from their packed occupancy, so replicates run
-    side by side and nothing the size of all pairs is moved. A replicate of fewer than two blocks
-    gives no rows.
+    Similarities by block are worked out once, some rows per task, and weighed for every replicate
+    there. What leaves is a sketch of each row, its neighbours and a few of its similarities; a
+    replicate's sketches, one per landmark, are put in order by one task. A replicate of fewer
+    than two blocks gives no rows.
     """
-    spark = landmarks.sparkSession
-    order, slices, _ = similarity.layout(block_of)
-    sent, names = similarity.send_landmarks(landmarks, block_of, order)
-    weights = {r: w for r, w in block_weights(len(slices), replicates, seed).items() if sum(x > 0 for x in w) >= 2 or r == BASE}
-    plan = spark.createDataFrame(list(weights.items()), "rep int, weights array<double>").repartition(len(weights))
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for rep, w in zip(batch["rep"], batch["weights"]):
-                m = similarity.unpack(sent.value, len(order))
-                phi = similarity.combined(m, m, slices, w)
-                np.fill_diagonal(phi, np.nan)
-                coord, score = spectral.seriate(phi, k, rounds)
-                yield pd.DataFrame({"rep": np.int32(rep), "cell": names, "coord": coord, "score": score})
-
-    made = plan.mapInPandas(work, "rep int, cell long, coord double, score double")
-    return made.withColumn("coord", F.when(F.isnan("coord"), None).otherwise(F.col("coord"))).withColumn("score", F.when(F.isnan("score"), None).otherwise(F.col("score")))
+    sent = similarity.send_landmarks(landmarks, block_of)
+    weights = {r: w for r, w in block_weights(len(sent.value.slices), replicates, seed).items() if sum(x > 0 for x in w) >= 2 or r == BASE}
+    names, n = np.array(list(weights), np.int32), len(sent.value.cells)
+    table, k = np.array(list(weights.values())).reshape(len(names), -1), min(max(3, k), max(1, n - 1))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, offsets = sent.value, spectral.Offsets(n)
+        for cells, tile in held.tiles(batches, _ROWS):
+            row = np.searchsorted(held.cells, cells)
+            parts = list(held.blocks(tile))
+            num, den = (np.stack(x).reshape(len(parts), -1) for x in ([phi * w for phi, w in parts], [w for _, w in parts]))
+            for rep, w in zip(names, table):
+                phi = similarity.mixed((w @ num).reshape(len(cells), n), (w @ den).reshape(len(cells), n), cells, held.cells)
+                near, across = spectral.sketch(phi, row, k, offsets)
+                arrays = [pa.array(np.full(len(cells), rep)), pa.array(row), pa.array(list(near.astype(np.int32)), pa.list_(pa.int32())), pa.array(list(across), pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["rep", "row", "near", "across"])
+
+    def ordered(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("row")
+        near, across = (np.array(rows[c].combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(len(rows), -1) for c in ("near", "across"))
+        coord, score = spectral.seriate(near, across, spectral.Offsets(n), rounds)
+        one = pa.array([score], pa.float64(), mask=np.isnan([score])).take(pa.array(np.zeros(n, np.int64)))
+        return pa.table({"rep": rows["rep"], "cell": sent.value.cells, "coord": pa.array(coord, mask=np.isnan(coord)), "score": one})
+
+    sketches = sent.value.rows(landmarks).mapInArrow(work, "rep int, row long, near array<int>, across array<double>")
+    return sketches.repartition(max(1, len(names)), "rep").groupBy("rep").applyInArrow(ordered, "rep int, cell long, coord double, score double")
 
 
 def aligned_replicates(made: DataFrame, min_rho: float = 0.3, min_cover: float = 0.9) -> tuple[DataFrame, dict]:

@@ -286,17 +286,17 @@ def phi_combined(t):
 
 @_query("SELECT i, j, r FROM bw WHERE r <= 10", phi_sql("occ"))
 def topk_neighbours(t):
-    return similarity.neighbours(similarity.pair_phi(t.occupancy(), t.blocks()), 10).select("i", "j", F.col("r").cast("long").alias("r"))
+    return similarity.neighbours(similarity.nearest(t.occupancy(), t.blocks(), 10)).select("i", "j", F.col("r").cast("long").alias("r"))
 
 
 @_query("SELECT least(i, j) AS a, greatest(i, j) AS b, round(sum((10 - r + 1) / 20.0::DOUBLE), 6) AS w FROM bw WHERE r <= 10 GROUP BY 1, 2", phi_sql("occ"))
 def rank_affinity_edges(t):
-    return similarity.affinity_edges(similarity.neighbours(similarity.pair_phi(t.occupancy(), t.blocks()), 10), 10).select("a", "b", *_six("w"))
+    return similarity.affinity_edges(similarity.neighbours(similarity.nearest(t.occupancy(), t.blocks(), 10)), 10).select("a", "b", *_six("w"))
 
 
 @_query("SELECT i, round(avg(phi) FILTER (r <= 10) - avg(phi), 6) AS contrast FROM bw GROUP BY i", phi_sql("occ"))
 def neighbour_contrast(t):
-    return similarity.contrast(similarity.pair_phi(t.occupancy(), t.blocks()), 10).select("i", *_six("contrast"))
+    return similarity.nearest(t.occupancy(), t.blocks(), 10).select("i", *_six("contrast"))
 
 
 _SHIFT = "sh AS (SELECT cell, o.h, f + (((o.col - f - (cell * 7919 + o.h * 104729 + 1299709)) % len) + len) % len AS col FROM occ o JOIN cols ON cols.col = o.col)"
@@ -310,7 +310,7 @@ def circular_shift(t):
 @_query("SELECT i, round(avg(phi) FILTER (r <= 10) - avg(phi), 6) AS contrast FROM bw GROUP BY i", _SHIFT, phi_sql("sh"))
 def circular_shift_null(t):
     shifted = matrix.circular_shift(t.occupancy(), t.columns(), 1)
-    return similarity.contrast(similarity.pair_phi(shifted, t.blocks()), 10).select("i", *_six("contrast"))
+    return similarity.nearest(shifted, t.blocks(), 10).select("i", *_six("contrast"))
 
 
 _BASE = f"""rk AS (SELECT v AS y, log10(n) AS x, row_number() OVER (ORDER BY log10(n), v) - 1 AS r, count(*) OVER () AS c FROM pc),

@@ -142,12 +142,12 @@ class Ordering:
         k = seriation.neighbour_count(n_land, c.knn)
         land = settled(occ.join(marks, "cell", "left_semi"))
 
-        shifts = [similarity.contrast(similarity.pair_phi(matrix.circular_shift(land, cols, r), block_of), k) for r in range(max(1, c.null_shifts))]
+        shifts = [similarity.nearest(matrix.circular_shift(land, cols, r), block_of, k).select("i", "contrast") for r in range(max(1, c.null_shifts))]
         null = shifts[0]
         for more in shifts[1:]:
             null = null.union(more)
         knots = settled(stats.binned_baseline(settled(null.join(sizes, F.col("i") == F.col("cell")).select("contrast", "support")), "contrast", "support"))
-        first = similarity.contrast(similarity.pair_phi(land, block_of), k).withColumnRenamed("i", "cell")
+        first = similarity.nearest(land, block_of, k).select(F.col("i").alias("cell"), "contrast")
 
         def structured(contrasts: DataFrame, rows: DataFrame) -> DataFrame:
             rows = rows.join(contrasts, "cell", "left").join(sizes, "cell").join(info, "cell", "left")
@@ -198,20 +198,20 @@ class Ordering:
     def _calibrated(self, spots: DataFrame, replicates: DataFrame, pending: DataFrame) -> DataFrame:
         """Rows (rep, cell, coord) of pending cells, each replicate's hats mapped to its landmarks' coordinates."""
         reps = sorted(r.rep for r in replicates.select("rep").distinct().collect())
-        out = self.spark.createDataFrame([], "rep int, cell long, coord double")
-        for k, rep in enumerate(reps):
-            hats = spots.select("cell", F.get("boot", k).alias("hat"))
-            pairs = hats.join(replicates.where(f"rep = {rep}").select("cell", "coord"), "cell")
-            mapped = stats.quantile_map(pairs, "hat", "coord", pending.join(hats, "cell"), "hat", "coord")
-            out = out.union(mapped.select(F.lit(rep).alias("rep"), "cell", "coord"))
-        return out
+        names = F.array(*map(F.lit, reps)).cast("array<int>")
+        hats = spots.select("cell", F.posexplode("boot").alias("k", "hat")).select(F.get(names, F.col("k")).alias("rep"), "cell", "hat")
+        pairs = hats.join(replicates.select("rep", "cell", "coord"), ["rep", "cell"])
+        return stats.quantile_map(pairs, "hat", "coord", hats.join(pending, "cell", "left_semi"), "hat", "coord", keys=["rep"]).select("rep", "cell", "coord")
 
     def _order(self, final: DataFrame, cells: DataFrame) -> tuple[DataFrame, dict]:
         """Rows (cell, progression, ...) of the placed cells, and how the axis was turned."""
         c = self.c
         rows = final.withColumn("second", F.coalesce("secondary", "t"))
         ordered = settled(timing.total_order(rows, ["t", "second", "cell"]).join(cells.select("cell", "cell_anchor"), "cell"))
-        mapped = stats.quantile_map(ordered, "t", "progression", self.boots.join(ordered.select("cell"), "cell", "left_semi"), "coord", "p", 5)
+        # Every replicate has the same knots; a copy for each lets them be mapped side by side.
+        reps = [r.rep for r in self.boots.select("rep").distinct().collect()]
+        knots = ordered.select("t", "progression", F.explode(F.array(*map(F.lit, reps)).cast("array<int>")).alias("rep"))
+        mapped = stats.quantile_map(knots, "t", "progression", self.boots.join(ordered.select("cell"), "cell", "left_semi"), "coord", "p", 5, keys=["rep"])
         spread = stats.reduce_replicates(mapped, "cell", "p").withColumnsRenamed({"n_used": "n_bootstrap_used", "sd": "rank_sd", "lo10": "rank_lo10", "hi90": "rank_hi90"})
         flip, rho = timing.orientation(ordered, "progression", "cell_anchor", c.anchor_high, c.flip_order)
         if rho is None:

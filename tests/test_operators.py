@@ -103,10 +103,20 @@ def test_quantile_map_goes_on_beyond_its_ends(spark):
     found = {r.q: r.mapped for r in stats.quantile_map(pairs, "x", "y", q, "q").collect()}
     assert found[None] is None
     assert found[3.5] == pytest.approx(35.0) and found[30.0] == pytest.approx(300.0) and found[-1.0] == pytest.approx(-10.0)
+    assert "NestedLoop" not in stats.quantile_map(pairs, "x", "y", q, "q")._jdf.queryExecution().toString()
     same = stats.quantile_map(pairs.limit(5), "x", "y", q, "q").collect()
     assert {r.q: r.mapped for r in same}[3.5] == 3.5
 
 
+def test_quantile_map_by_key(spark):
+    pairs = frame(spark, [(r, float(k), float(k * (r + 1))) for r in range(2) for k in range(25)] + [(2, 1.0, 9.0)], "rep int, x double, y double")
+    q = frame(spark, [(r, 2.5) for r in range(4)] + [(0, -1.0), (1, 0.0)], "rep int, q double")
+    found = {(r.rep, r.q): r.mapped for r in stats.quantile_map(pairs, "x", "y", q, "q", keys=["rep"]).collect()}
+    assert found == {(0, 2.5): 2.5, (1, 2.5): 5.0, (2, 2.5): 2.5, (3, 2.5): 2.5, (0, -1.0): -1.0, (1, 0.0): 0.0}
+    one = stats.quantile_map(pairs, "x", "y", q, "q", min_pairs=1, keys=["rep"]).where("rep = 2").collect()
+    assert [r.mapped for r in one] == [9.0]
+
+
 def test_tiles(spark):
     cells = frame(spark, [(k,) for k in range(10)], "k int")
     found = timing.tiles(cells, "k", 4).groupBy("pseudotime_bin").count().orderBy("pseudotime_bin")
@@ -178,11 +188,25 @@ def test_dilation_bridges_removed_bins(spark):
     assert rows_of(matrix.dilate(occ, cols, 0), "col") == [(1,), (3,)]
 
 
-def test_blocks():
-    assert [b[2:] for b in matrix.plan_blocks({0: 10, 1: 5}, 3, 8, 1)] == [(0, 5), (5, 10), (0, 5)]
-    packed = matrix.plan_blocks({h: h + 1 for h in range(9)}, 24, 4)
-    assert len(packed) == 9 and {b[0] for b in packed} == {0, 1, 2, 3}
-    assert len(matrix.plan_blocks({0: 1000, 1: 1000}, 50, 10, 1)) <= 10
+def block_ends(spark, counts, *args):
+    """(h, first and last place in the chromosome) of each block."""
+    rows = [(h, sum(counts[:h]) + k, sum(counts[:h])) for h, n in enumerate(counts) for k in range(n)]
+    found = matrix.blocks(frame(spark, rows, "h int, col long, first long"), *args)
+    places = {c: (h, c - f) for h, c, f in rows}
+    held = {}
+    for r in found.collect():
+        held.setdefault(r.block, []).append(places[r.col])
+    assert all(len(v) == n for r in found.collect() for v, n in [(held[r.block], r.n_bins)])
+    return [sorted(held[b]) for b in sorted(held)]
+
+
+def test_blocks(spark):
+    assert [(x[0], x[-1]) for x in block_ends(spark, [10, 5], 3, 8, 1)] == [((0, 0), (0, 4)), ((0, 5), (0, 9)), ((1, 0), (1, 4))]
+    packed = block_ends(spark, [h + 1 for h in range(9)], 24, 4)
+    # Largest first into the lightest: 9, 8, 7, 6; then 5 to 6, 4 to 7, 3 to 8, 2 to 9, 1 to the first of equal ones.
+    assert [sorted({h + 1 for h, _ in x}) for x in packed] == [[1, 2, 9], [3, 8], [4, 7], [5, 6]]
+    assert len(block_ends(spark, [1000, 1000], 50, 10, 1)) <= 10
+    assert len(block_ends(spark, [100, 100], 50, 50, 64)) == 2
 
 
 def occupied(spark, sets):
@@ -270,12 +294,48 @@ def test_order_is_recovered_up_to_reversal():
     phi = np.exp(-np.abs(t[:, None] - t[None, :]) * 6) + rng.normal(0, 0.02, (200, 200))
     phi = (phi + phi.T) / 2
     np.fill_diagonal(phi, np.nan)
-    coord, score = spectral.seriate(phi, 12)
+    coord, score = seriated(phi, 12)
     assert abs(spectral.rank_correlation(coord, t)) > 0.99 and score > 0.9
 
 
+def seriated(phi, k):
+    offsets = spectral.Offsets(len(phi))
+    return spectral.seriate(*spectral.sketch(phi, np.arange(len(phi)), k, offsets), offsets)
+
+
+def test_second_vector_is_that_of_the_dense_matrix():
+    rng = np.random.default_rng(8)
+    t = rng.random(600)
+    phi = np.exp(-np.abs(t[:, None] - t[None, :]) * 6) + rng.normal(0, 0.02, (600, 600))
+    np.fill_diagonal(phi, np.nan)
+    graph = spectral.RankGraph(spectral.sketch(phi, np.arange(600), 10, spectral.Offsets(600))[0])
+    part = graph.within(graph.giant())
+    dense = np.zeros((part.n, part.n))
+    dense[part.a, part.b] = part.weight
+    assert np.allclose(dense, dense.T) and np.allclose(dense.sum(1), part.degree)
+    root = 1 / np.sqrt(part.degree)
+    wanted = root * np.linalg.eigh(root[:, None] * dense * root)[1][:, -2]
+    found = part.second_vector()
+    assert abs(np.corrcoef(found, wanted)[0, 1]) > 1 - 1e-9
+
+
+def test_offsets_go_around_only_where_pairs_are_many():
+    few, many = spectral.Offsets(40), spectral.Offsets(1000)
+    other, counts = few.of(np.arange(40))
+    assert counts.sum() == 40 * 39 // 2 and not few.around and many.around
+    other, counts = many.of(np.arange(1000))
+    assert counts.all() and len(many.steps) <= 128 and other.max() == 999 and (other != np.arange(1000)[:, None]).all()
+
+
+def test_box_mean_leaves_missing_values_out():
+    values = np.array([[1.0, np.nan, 3.0, 8.0], [np.nan] * 4])
+    found = extension.box_mean(values, 1)
+    assert found[0].tolist() == [1.0, 2.0, 5.5, 5.5] and np.isnan(found[1]).all()
+    assert extension.box_mean(values, 9)[0].tolist() == [4.0] * 4
+
+
 def test_small_graphs_have_no_order():
-    coord, score = spectral.seriate(np.eye(5), 3)
+    coord, score = seriated(np.eye(5), 3)
     assert np.isnan(coord).all() and np.isnan(score)
 
 
