@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -16,11 +17,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is what the session names in ``spark.checkpoint.dir``. Only where nothing is named,
-    as in local tests, a new temporary folder is set.
+    It is what the session names in ``spark.checkpoint.dir``. Only where nothing is named and
+    driver and executors are one process, as in local tests, a new temporary folder is set.
     """
     named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="checkpoints-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
@@ -38,15 +41,16 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written as Parquet in the shared folder and read again.
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """The same rows, written as Parquet in the shared folder, in a folder for each value of ``by``, and read again.
 
     This cuts the lineage in a way that survives lost executors; the files go when the
     application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    out = df.write.option("compression", "zstd")
+    (out.partitionBy(by) if by else out).parquet(path)
     jvm = spark.sparkContext._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
@@ -54,6 +58,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """These names with a prefix that no column has, in any case of letters."""
+    taken, mark = {c.lower() for c in columns}, "__"
+    while any(f"{mark}{n}".lower() in taken for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def offsets_within(counts: DataFrame, keys: list[str], bucket: str, value: str, alias: str) -> DataFrame:
     """Exclusive running sums of ``value`` over ``bucket`` within ``keys``; a small table."""
     over = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)

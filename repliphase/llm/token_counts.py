@@ -5,38 +5,62 @@ The histogram (one row per distinct length) carries suffix sums, from which ever
 about a context limit is one lookup.
 
 Defined cases: null and empty text have length 0; repeated rows count each time; an empty table
-gives an empty histogram, totals of 0 and null quantiles. Only the text column is read.
+gives an empty histogram, totals of 0 and null quantiles. Texts of any length are encoded whole:
+the encoder's own splitter gives up on runs of some hundred thousand spaces or line ends, and such
+a text is split by another matcher of the same pattern and encoded piece by piece, which gives the
+same tokens. Only the text column is read.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from repliphase.llm import spark_tools as st
+
 # Fixed value: the public pre-tokenisation pattern of the 50k byte-level vocabularies.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _MOST_VOCABULARY = 64 << 20
-_SPAN = 1024
-_encoders: dict[int, object] = {}
+_SPAN = 64
+_encoders: dict[tuple[str, str], object] = {}
+
+
+def _encoder(raw: bytes, pattern: str):
+    """The encoder of a vocabulary and pattern, kept by the content of both."""
+    import tiktoken
+
+    key = hashlib.sha256(raw).hexdigest(), pattern
+    if key not in _encoders:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
+        _encoders[key] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return _encoders[key]
+
+
+def encoded_length(encoder, pattern: str, text: str) -> int:
+    """How many tokens a text has."""
+    try:
+        return len(encoder.encode_ordinary(text))
+    except BaseException as error:
+        # The splitter panics where its backtracking outgrows its stack; its exception has no importable name.
+        if type(error).__name__ != "PanicException":
+            raise
+    return sum(len(encoder._encode_single_piece(m.group())) for m in regex.finditer(pattern, text))
 
 
 def _counts(vocabulary, pattern: str):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
-
-        raw = vocabulary.value
-        if (encoder := _encoders.get(key := hash(raw))) is None:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
-            encoder = _encoders[key] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        encoder = _encoder(vocabulary.value, pattern)
         for batch in batches:
-            lengths = [len(encoder.encode_ordinary(text.as_py() or "")) for text in batch.column(0)]
+            lengths = [encoded_length(encoder, pattern, text.as_py() or "") for text in batch.column(0)]
             values, docs = np.unique(np.array(lengths, np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(docs)], names=["n_tokens", "docs"])
 
@@ -55,14 +79,15 @@ def length_histogram(docs: DataFrame, text_col: str = "text", *, vocabulary: str
         raise ValueError(f"the vocabulary is larger than {_MOST_VOCABULARY} bytes")
     sent = docs.sparkSession.sparkContext.broadcast(path.read_bytes())
     found = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_counts(sent, pattern), "n_tokens long, docs long")
-    return with_suffix_sums(found.groupBy("n_tokens").agg(F.sum("docs").alias("docs")))
+    # Written, as the suffix sums read it more than once and the texts are to be encoded once.
+    return with_suffix_sums(st.written(found.groupBy("n_tokens").agg(F.sum("docs").alias("docs")), "lengths"))
 
 
 def with_suffix_sums(hist: DataFrame) -> DataFrame:
     """Adds the suffix sums to (n_tokens, docs), by spans of lengths so that no task holds all of them."""
     hist = hist.withColumn("tokens", F.col("n_tokens") * F.col("docs")).withColumn("_s", F.expr(f"n_tokens div {_SPAN}"))
     spans = hist.groupBy("_s").agg(F.sum("docs").alias("_d"), F.sum("tokens").alias("_t"))
-    # One row for each thousand lengths: bounded by the longest document.
+    # One row for each run of lengths that occurs: bounded by the longest document.
     later = Window.orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.select("_s", *[F.coalesce(F.sum(c).over(later), F.lit(0)).alias(c + "_later") for c in ("_d", "_t")], F.sum("_t").over(Window.partitionBy()).alias("_all"))
     down = Window.partitionBy("_s").orderBy(F.desc("n_tokens")).rowsBetween(Window.unboundedPreceding, 0)

@@ -144,3 +144,35 @@ def test_histogram(odd, odd_rows):
     for limit, x in said["limits"].items():
         assert x == {"docs_within": (lengths <= limit).sum(), "tokens_within": lengths[lengths <= limit].sum(), "truncated_tokens": np.minimum(lengths, limit).sum()}
     assert said["quantiles"] == {q: int(np.quantile(lengths, q, method="inverted_cdf")) for q in (0.0, 0.5, 0.9, 1.0)}
+
+
+@pytest.mark.parametrize("unit", [" ", "\n", "a", "1", "!", "\u3000", " \n"])
+def test_histogram_of_very_long_runs(spark, unit):
+    texts = [unit * 1_000_000, "x" + unit * 1_000_000 + "y", unit * 300]
+    found = token_counts.length_histogram(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    assert sum(r.docs for r in found) == 3
+    # Tokens never cross these borders: a run of white space gives its last character to the word after it.
+    encoder = token_counts._encoder(open(token_counts.VOCABULARY, "rb").read(), token_counts.PATTERN)
+    if unit.isspace():
+        piece = lambda t: len(encoder._encode_single_piece(t))
+        last = piece(" y") if unit[-1] == " " else piece(unit[-1]) + piece("y")
+        whole = [piece(texts[0]), piece("x") + piece(texts[0][:-1]) + last, len(encoder.encode_ordinary(texts[2]))]
+        assert sorted(whole) == sorted(n for r in found for n in [r.n_tokens] * r.docs)
+
+
+def test_both_splitters_agree(odd_rows):
+    import regex
+
+    encoder = token_counts._encoder(open(token_counts.VOCABULARY, "rb").read(), token_counts.PATTERN)
+    rng = np.random.default_rng(2)
+    drawn = ["".join(rng.choice(list(" \t\n\r\x0b\x1c\x85\xa0\u2003ab1!'sé\u4e00\U0001f600"), 60)) for _ in range(400)]
+    for text in [*drawn, *[r[1] or "" for r in odd_rows]]:
+        pieces = [m.group() for m in regex.finditer(token_counts.PATTERN, text)]
+        assert [t for p in pieces for t in encoder._encode_single_piece(p)] == encoder.encode_ordinary(text)
+
+
+def test_histogram_with_another_pattern(spark):
+    docs = spark.createDataFrame([("hello world",)], "text string").coalesce(1)
+    long = token_counts.length_histogram(docs).collect()[0].n_tokens
+    assert token_counts.length_histogram(docs, pattern=r"\S|\s").collect()[0].n_tokens == 11
+    assert token_counts.length_histogram(docs).collect()[0].n_tokens == long == 2
