@@ -6,10 +6,13 @@ documents that hold them: ``refs`` has one row per key and document. A key in at
 ``min_docs`` documents loses its lines in all of them but the largest doc_id.
 
 Keys are dealt over shards, each with a cuckoo filter of the keys that have references; the
-shards double as the keys outgrow them, so that a filter stays a matter of one small task. A batch
-asks the filters first: keys they don't know are new and need no look at the stored references.
-Deleting documents takes their references away, and keys without any leave their filter, so
-that inserting and deleting in any order ends in the same state.
+shards double as the keys outgrow them, so that a filter stays a matter of one small task. Stored
+references lie in a folder per shard. A batch asks the filters first. Keys that they don't know
+are new: their references are stored without a look at the others. Only shards with a key that a
+filter may hold are read, and of them only those keys, to leave out references that are stored
+already. Deleting documents takes their references away, and keys without any leave their filter,
+so that inserting and deleting in any order ends in the same state. Reference counts are of
+distinct documents, so that a filter decides what is read and stored, never what comes out.
 
 Defined cases: null or empty text is one empty line; rows that repeat a doc_id are one document,
 each row cleaned by itself; a null doc_id refers to nothing and its row stays whole; an
@@ -187,6 +190,8 @@ def _grow(keys: pa.Table, filters: pa.Table) -> pa.Table:
     if not filters.num_rows:
         made = CuckooFilter.holding(_hashes(keys.filter(pc.greater(keys["n"], 0))))
         return pa.table({"shard": pa.array([shard], pa.int32()), "filter": pa.array([made.bytes()], pa.binary()), "full": [False]})
+    if not keys.num_rows:
+        return pa.table({"shard": pa.array([shard], pa.int32()), "filter": filters["filter"], "full": [False]})
     made = CuckooFilter.read(filters["filter"][0].as_py())
     n, hashes = keys["n"].to_numpy(), _hashes(keys)
     made.remove(hashes[n < 0])
@@ -195,24 +200,35 @@ def _grow(keys: pa.Table, filters: pa.Table) -> pa.Table:
 
 
 class LineDedup:
-    """The state of an incremental line dedup: ``refs`` (k1, k2, doc_id) and ``filters`` (shard, filter)."""
+    """The state of an incremental line dedup: ``refs`` (k1, k2, doc_id, shard) and ``filters`` (shard, filter).
+
+    ``looked`` has the (k1, k2) that the last insertion looked up among the stored references.
+    """
 
     def __init__(self, spark: SparkSession, *, min_chars: int = 20, min_docs: int = 3, keys_per_shard: int = 1 << 18):
         self.spark, self.min_chars, self.min_docs, self.keys_per_shard, self.shards = spark, min_chars, min_docs, keys_per_shard, 8
-        self.refs = spark.createDataFrame([], "k1 long, k2 long, doc_id long")
+        self.refs = spark.createDataFrame([], "k1 long, k2 long, doc_id long, shard int")
         self.filters = spark.createDataFrame([], "shard int, filter binary")
-        self.empty = True
+        self.looked, self.n_keys = spark.createDataFrame([], "k1 long, k2 long"), 0
 
     def _sharded(self, keys: DataFrame) -> DataFrame:
         return keys.withColumn("shard", F.pmod("k1", F.lit(self.shards)).cast("int"))
 
-    def _outgrown(self) -> bool:
-        """Whether the keys are too many for the shards, which then double until they fit; the filters are to be built anew."""
-        keys = self.refs.agg(F.approx_count_distinct("k1")).first()[0]
+    def _stored(self, refs: DataFrame) -> DataFrame:
+        """The references, written with a folder per shard, so that a query of some shards reads only those."""
+        # By document as well, so that a line of very many documents is no hot task; a shard has at most 16 files.
+        refs = refs.repartition("shard", F.pmod(F.xxhash64("doc_id"), F.lit(16)))
+        return st.written(refs, "references", by="shard").select("k1", "k2", "doc_id", "shard")
+
+    def _make_room(self, more: int) -> None:
+        """Doubles the shards until they fit ``more`` keys; stored references and filters are then dealt anew."""
         before = self.shards
-        while keys > self.shards * self.keys_per_shard:
+        while self.n_keys + more > self.shards * self.keys_per_shard:
             self.shards *= 2
-        return self.shards > before
+        if self.n_keys and self.shards > before:
+            self.refs = self._stored(self._sharded(self.refs.drop("shard")))
+            self.filters = self.filters.limit(0)
+            self._update(self.refs.select("k1", "k2").distinct().withColumn("n", F.lit(1)))
 
     def _references_of(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
@@ -221,59 +237,66 @@ class LineDedup:
 
     def _known(self, keys: DataFrame) -> DataFrame:
         """``keys`` with whether a filter may hold them."""
-        both = self._sharded(keys).groupBy("shard").cogroup(self.filters.groupBy("shard"))
+        both = keys.groupBy("shard").cogroup(self.filters.groupBy("shard"))
         return both.applyInArrow(_probe, "k1 long, k2 long, maybe boolean")
 
     def _update(self, changed: DataFrame) -> None:
         """Adds keys with n = 1 to their filters and removes those with n = -1."""
         made = self._sharded(changed).groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInArrow(_grow, "shard int, filter binary, full boolean")
         made = st.written(made, "filters")
-        full = made.where("full").select("shard")
-        keys = self._sharded(self.refs.select("k1", "k2").distinct()).withColumn("n", F.lit(1)).join(full, "shard", "left_semi")
-        none = self.filters.limit(0)
-        again = keys.groupBy("shard").cogroup(none.groupBy("shard")).applyInArrow(_grow, "shard int, filter binary, full boolean") if full.take(1) else made.limit(0)
-        self.filters = made.where("not full").union(again).select("shard", "filter")
+        full = [r.shard for r in made.where("full").select("shard").collect()]  # at most a row per shard
+        self.filters = made.where("not full").select("shard", "filter")
+        if full:
+            # A filter without room is built anew, larger, from its shard's keys.
+            keys = self.refs.where(F.col("shard").isin(full)).select("k1", "k2", "shard").distinct().withColumn("n", F.lit(1))
+            again = keys.groupBy("shard").cogroup(self.filters.limit(0).groupBy("shard")).applyInArrow(_grow, "shard int, filter binary, full boolean")
+            self.filters = self.filters.union(again.select("shard", "filter"))
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineDedup:
         """Adds the references of these documents; those that are in already stay as they are."""
-        more = st.written(self._references_of(docs, id_col, text_col), "references")
-        keys = more.select("k1", "k2").distinct()
-        if self.empty:
-            self.refs, self.empty = more, False
-            self._outgrown()
-            self._update(keys.withColumn("n", F.lit(1)))
-            return self
-        asked = st.written(self._known(keys), "asked")
-        stored = self.refs.join(asked.where("maybe"), ["k1", "k2"], "left_semi")
-        new = asked.join(stored.select("k1", "k2").distinct(), ["k1", "k2"], "left_anti").select("k1", "k2")
-        more = st.written(more.join(stored, ["k1", "k2", "doc_id"], "left_anti"), "references")
+        more = st.written(self._references_of(docs, id_col, text_col), "batch")
+        keys = st.written(more.select("k1", "k2").distinct(), "keys")
+        self._make_room(keys.count())
+        asked = st.written(self._known(self._sharded(keys)), "asked") if self.n_keys else keys.withColumn("maybe", F.lit(False))
+        maybe = asked.where("maybe").select("k1", "k2")
+        touched = [r.shard for r in self._sharded(maybe).select("shard").distinct().collect()]  # at most a row per shard
+        self.looked, new = maybe, keys
+        if touched:
+            stored = self.refs.where(F.col("shard").isin(touched)).join(maybe, ["k1", "k2"], "left_semi")
+            stored = st.written(stored.select("k1", "k2", "doc_id"), "stored")
+            # A key that a filter holds only seemingly has no stored reference and is new all the same.
+            new = keys.join(stored.select("k1", "k2").distinct(), ["k1", "k2"], "left_anti")
+            more = more.join(stored, ["k1", "k2", "doc_id"], "left_anti")
         new = st.written(new.withColumn("n", F.lit(1)), "new")
-        self.refs = self.refs.union(more)
-        if self._outgrown():
-            self.filters = self.filters.limit(0)
-            new = self.refs.select("k1", "k2").distinct().withColumn("n", F.lit(1))
+        self.refs = self.refs.union(self._stored(self._sharded(more)))
         self._update(new)
+        self.n_keys += new.count()
         return self
 
     def delete(self, ids: DataFrame, id_col: str = "doc_id") -> LineDedup:
         """Takes the references of these documents away, as if they had never been inserted."""
         ids = ids.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-        gone = self.refs.join(ids, "doc_id", "left_semi").select("k1", "k2").distinct()
-        left = st.written(self.refs.join(ids, "doc_id", "left_anti").select("k1", "k2", "doc_id"), "references")
-        dead = st.written(gone.join(left, ["k1", "k2"], "left_anti").withColumn("n", F.lit(-1)), "dead")
+        gone = st.written(self.refs.join(ids, "doc_id", "left_semi"), "gone")
+        left = self._stored(self.refs.join(ids, "doc_id", "left_anti"))
+        keys = gone.select("k1", "k2").distinct()
+        # Of the stored keys only those that lost a reference are looked at.
+        held = left.join(keys, ["k1", "k2"], "left_semi").select("k1", "k2").distinct()
+        dead = st.written(keys.join(held, ["k1", "k2"], "left_anti").withColumn("n", F.lit(-1)), "dead")
         self.refs = left
         self._update(dead)
+        self.n_keys -= dead.count()
         return self
 
     def counts(self) -> DataFrame:
         """Rows (k1, k2, n_docs, last_doc): the exact reference counts."""
-        return self.refs.groupBy("k1", "k2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
+        # First by document, which also deals a line of very many documents over many tasks.
+        return self.refs.groupBy("k1", "k2", "doc_id").agg(F.lit(1).alias("one")).groupBy("k1", "k2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
 
     def resolve(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Rows (doc_id, n_lines, n_dropped, kept): the documents without the lines they lose now; those not inserted stay whole."""
         # Written first, so that a line of very many documents can be split when it is joined.
         often = st.written(self.counts().where(F.col("n_docs") >= self.min_docs).select("k1", "k2", "last_doc"), "often")
-        drop = self.refs.join(often, ["k1", "k2"]).where("doc_id <> last_doc").groupBy("doc_id").agg(F.collect_list(F.struct("k1", "k2")).alias("drop"))
+        drop = self.refs.join(often, ["k1", "k2"]).where("doc_id <> last_doc").groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2")).alias("drop"))
         rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
         rows = rows.join(drop, "doc_id", "left").select("doc_id", "text", "drop")
         return rows.mapInArrow(_clean(self.min_chars), "doc_id long, n_lines long, n_dropped long, kept string")

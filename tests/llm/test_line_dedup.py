@@ -63,6 +63,32 @@ def test_insert_delete_and_insert_again(spark, lined):
         assert filters[r.k1 % state.shards].has(h).all()
 
 
+def test_filters_decide_what_is_read_and_never_the_rows(spark, lined):
+    docs = spark.createDataFrame(lined, "doc_id long, text string").repartition(3)
+    want = brute(lined, lined)
+
+    def made(spoil):
+        state = LineDedup(spark).insert(docs.where("doc_id < 40"))
+        if spoil:
+            state.filters = state.filters.rdd.map(lambda r: (r.shard, bytes(len(r.filter)))).toDF("shard int, filter binary")
+        state.insert(docs.where("doc_id >= 20"))
+        return sorted(map(tuple, state.resolve(docs).collect()), key=str), state.looked.count(), state.refs.count()
+
+    rows, looked, stored = made(False)
+    assert rows == want and looked > 0
+    again, none, doubled = made(True)
+    assert again == want and none == 0 and doubled > stored
+
+
+def test_new_keys_are_not_looked_up(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    line = lambda k: f"a line of its own, number {k:06d}"
+    state = LineDedup(spark).insert(frame([(k, line(k)) for k in range(500)]))
+    state.insert(frame([(1000 + k, line(k + 490)) for k in range(500)]))
+    assert 10 <= state.looked.count() < 20
+    assert state.n_keys == state.refs.select("k1", "k2").distinct().count() == 990
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert LineDedup(spark).insert(none).resolve(none).collect() == []
