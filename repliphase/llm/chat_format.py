@@ -2,8 +2,10 @@ r"""Chat formatting by schema fingerprints, in DataFrame functions only.
 
 A record is a VARIANT in one of several layouts. The nested field paths that it has, of those
 that any mapping knows, are hashed; the fingerprint selects a declarative mapping, which turns
-the record into canonical turns (role, text). Other fields of a record are ignored. Rows of one
-conversation are put together by their order and written in one template:
+the record into canonical turns (role, text). Where several mappings fit, the first in their
+order is taken; other fields of a record are ignored. Members of a list have fingerprints of
+their own, so that each may be laid out differently. Rows of one conversation are put together
+by their order and written in one template:
 
     <turn:ROLE>\nTEXT</turn>\n
 
@@ -11,18 +13,23 @@ Inside texts every ``<turn`` and ``</turn``, with any backslashes before ``turn`
 backslash, which reading back removes; in roles the characters ``% < >`` and line ends are
 percent-encoded. The loss mask holds the spans, in code points, of the assistant texts.
 
-Defined cases: null or absent text is empty, a null role is empty; rows with the same place in a
-conversation are ordered by role and text, repeated ones stay; a record whose fingerprint no
-mapping has gives no turns and is counted in n_unknown; a null id is an id; empty tables give no
-rows. A conversation is one value of one row, so one task holds it.
+Defined cases: null or absent text is empty, a null role is empty; a text that is a list of parts
+is its parts' texts with an empty line between; a list of turns may be a single turn, or a string
+of JSON, and any other string is one turn without a role; rows with the same place in a
+conversation are ordered by role and text, repeated ones stay; a record of no layout, and a member
+of a list without any known field, give no turn and are counted in n_unknown, while the rest of the
+conversation stays; an empty list gives no turns; a null id is an id; empty tables give no rows. A
+conversation is one value of one row, so one task holds it.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from itertools import product
+from functools import reduce
+from itertools import combinations
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 OPEN, HEAD_END, CLOSE = "<turn:", ">\n", "</turn>\n"
@@ -31,41 +38,40 @@ _ROLE_CODES = (("%", "%25"), ("<", "%3C"), (">", "%3E"), ("\n", "%0A"), ("\r", "
 
 @dataclass(frozen=True)
 class Mapping:
-    """How one layout becomes turns.
+    """How one layout becomes turns; records that have all its required paths are of that layout.
 
     ``fields`` are (role, path, optional) of records with a field per turn; optional fields may be
-    absent, and paths of one role in sequence are joined by an empty line. ``items`` is the
-    (array path, role key, text key) of records with a list of turns. ``row`` is the (role path,
-    text path) of records that are one turn. ``roles`` renames roles.
+    absent, and paths of one role in sequence are joined by an empty line. ``items`` is the path
+    of a list of turns. ``row`` is the (role path, text path) of records that are one turn.
+    ``roles`` renames roles.
     """
 
     name: str
     fields: tuple[tuple[str, str, bool], ...] = ()
-    items: tuple[str, str, str] | None = None
+    items: str | None = None
     row: tuple[str, str] | None = None
     roles: dict[str, str] = field(default_factory=dict)
 
-    def path_sets(self) -> list[frozenset[str]]:
-        """The sets of known paths that records of this layout have."""
-        if self.items:
-            array, role, text = self.items
-            # An empty list has no members, and a member may lack its role or its text.
-            return [frozenset({array, *more}) for more in ((), (f"{array}[0].{role}", f"{array}[0].{text}"))]
-        if self.row:
-            return [frozenset(self.row)]
-        choices = [((path,), ()) if optional else ((path,),) for _, path, optional in self.fields]
-        return [frozenset(sum(some, ())) for some in product(*choices)]
+    def required(self) -> frozenset[str]:
+        return frozenset(self.row or ([self.items] if self.items else [path for _, path, optional in self.fields if not optional]))
 
+    def paths(self) -> set[str]:
+        return {*self.required(), *(path for _, path, _ in self.fields)}
 
+
+#: In order of precedence.
 MAPPINGS = (
-    Mapping("turn rows", row=("$.role", "$.text")),
-    Mapping("messages", items=("$.messages", "role", "content")),
-    Mapping("conversations", items=("$.conversations", "from", "value"), roles={"human": "user", "gpt": "assistant"}),
+    Mapping("messages", items="$.messages"),
+    Mapping("conversations", items="$.conversations", roles={"human": "user", "gpt": "assistant"}),
     Mapping("instruction", fields=(("system", "$.system", True), ("user", "$.instruction", False), ("user", "$.input", True), ("assistant", "$.output", False))),
-    Mapping("prompt and completion", fields=(("system", "$.system", True), ("user", "$.prompt", False), ("assistant", "$.completion", False))),
+    Mapping("prompt and completion", fields=(("system", "$.system", True), ("user", "$.prompt", False), ("assistant", "$.completion", False), ("assistant", "$.response", True))),
     Mapping("prompt and response", fields=(("system", "$.system", True), ("user", "$.prompt", False), ("assistant", "$.response", False))),
+    Mapping("turn rows", row=("$.role", "$.text")),
 )
 
+#: The fields of a list's members, in order of precedence.
+MEMBER_ROLES, MEMBER_TEXTS = ("$.role", "$.from"), ("$.content", "$.value", "$.text")
+
 
 def escape(text: Column) -> Column:
     return F.regexp_replace(text, r"<(/?)(\\*)turn", r"<$1\\$2turn")
@@ -88,29 +94,74 @@ def _decode_role(role: Column) -> Column:
 
 
 def _known(mappings: tuple[Mapping, ...]) -> list[str]:
-    return sorted({path for m in mappings for some in m.path_sets() for path in some})
+    return sorted({path for m in mappings for path in m.paths()})
 
 
-def fingerprint(record: Column, mappings: tuple[Mapping, ...] = MAPPINGS) -> Column:
-    """The hash of the known field paths that a VARIANT record has."""
-    return F.xxhash64(F.concat_ws("|", *[F.when(F.try_variant_get(record, path, "variant").isNotNull(), F.lit(path)) for path in _known(mappings)]))
+def fingerprint(record: Column, paths: list[str]) -> Column:
+    """The hash of those of the paths that a VARIANT has."""
+    return F.xxhash64(F.concat_ws("|", *[F.when(F.try_variant_get(record, path, "variant").isNotNull(), F.lit(path)) for path in paths]))
 
 
-def _turns(record: Column, mapping: Mapping) -> Column:
-    """The turns of a record in this layout: an array of (role, text)."""
-    get = lambda path: F.try_variant_get(record, path, "string")
+def _layouts(spark: SparkSession, mappings: tuple[Mapping, ...]) -> DataFrame:
+    """Rows (print, layout): the fingerprint of each set of known paths and the first mapping that it has all required paths of."""
+    paths, needs = _known(mappings), [m.required() for m in mappings]
+    if len(set(needs)) < len(needs):
+        raise ValueError("two mappings require the same paths")
+    if len(paths) > 14:
+        raise ValueError("the mappings know more than 14 paths")
+    has = [(F.shiftright("id", k) % 2) == 1 for k in range(len(paths))]
+    layout = F.lit(None).cast("int")
+    for k in reversed(range(len(mappings))):
+        fits = reduce(and_, [has[paths.index(p)] for p in needs[k]])
+        layout = F.when(fits, F.lit(k)).otherwise(layout)
+    prints = F.xxhash64(F.concat_ws("|", *[F.when(h, F.lit(p)) for h, p in zip(has, paths)]))
+    return spark.range(1 << len(paths)).select(prints.alias("_print"), layout.alias("layout"))
+
+
+def _said(value: Column) -> Column:
+    """The text of a VARIANT: its own, or that of its parts with an empty line between."""
+    own = F.try_variant_get(value, "$", "string")
+    parts = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda p: F.when(F.schema_of_variant(p) == "STRING", F.try_variant_get(p, "$", "string")).otherwise(F.try_variant_get(p, "$.text", "string")))
+    return F.coalesce(F.when(F.startswith(F.schema_of_variant(value), F.lit("ARRAY")), F.array_join(parts, "\n\n")), own)
+
 
-    def turn(role: Column, text: Column) -> Column:
-        for old, new in mapping.roles.items():
-            role = F.when(role == old, F.lit(new)).otherwise(role)
-        return F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+def _members(value: Column) -> Column:
+    """The members of a VARIANT that is a list, a single member or a string of either."""
+    text = F.try_variant_get(value, "$", "string")
 
+    def listed(v: Column) -> Column:
+        kind = F.schema_of_variant(v)
+        return F.when(F.startswith(kind, F.lit("ARRAY")), F.try_variant_get(v, "$", "array<variant>")).when(F.startswith(kind, F.lit("OBJECT")), F.array(v))
+
+    other = F.when(text.isNotNull(), F.array(F.to_variant_object(F.struct(text.alias("text")))))
+    return F.coalesce(listed(value), listed(F.try_parse_json(text)), other, F.array().cast("array<variant>"))
+
+
+def _turn(role: Column, text: Column, mapping: Mapping) -> Column:
+    for old, new in mapping.roles.items():
+        role = F.when(role == old, F.lit(new)).otherwise(role)
+    return F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+
+
+def _member_turn(member: Column, mapping: Mapping) -> Column:
+    """The turn of a list's member, by the member's own fingerprint; its role is null where no field is known."""
+    paths = sorted({*MEMBER_ROLES, *MEMBER_TEXTS})
+    made = None
+    for some in [c for n in range(len(paths), 0, -1) for c in combinations(paths, n)]:
+        role, text = (next((p for p in order if p in some), None) for order in (MEMBER_ROLES, MEMBER_TEXTS))
+        turn = _turn(F.try_variant_get(member, role, "string") if role else F.lit(""), _said(F.try_variant_get(member, text, "variant")) if text else F.lit(""), mapping)
+        case = fingerprint(member, paths) == F.xxhash64(F.lit("|".join(some)))
+        made = F.when(case, turn) if made is None else made.when(case, turn)
+    return made.otherwise(F.struct(F.lit(None).cast("string").alias("role"), F.lit("").alias("text")))
+
+
+def _turns(record: Column, mapping: Mapping) -> Column:
+    """The turns of a record in this layout: an array of (role, text)."""
     if mapping.items:
-        array, role, text = mapping.items
-        members = F.try_variant_get(record, array, f"array<struct<`{role}`:string,`{text}`:string>>")
-        return F.transform(F.coalesce(members, F.array().cast(f"array<struct<`{role}`:string,`{text}`:string>>")), lambda x: turn(x[role], x[text]))
+        return F.transform(_members(F.try_variant_get(record, mapping.items, "variant")), lambda m: _member_turn(m, mapping))
+    get = lambda path: F.coalesce(_said(F.try_variant_get(record, path, "variant")), F.lit(""))
     if mapping.row:
-        return F.array(turn(get(mapping.row[0]), get(mapping.row[1])))
+        return F.array(_turn(F.try_variant_get(record, mapping.row[0], "string"), get(mapping.row[1]), mapping))
     out, by_role = [], []
     for role, path, optional in mapping.fields:
         if by_role and by_role[-1][0] == role:
@@ -119,16 +170,15 @@ def _turns(record: Column, mapping: Mapping) -> Column:
             by_role.append((role, [(path, optional)]))
     for role, paths in by_role:
         # An empty optional field adds nothing, not even an empty line.
-        text = F.concat_ws("\n\n", *[F.when(get(p) != "", get(p)) if optional else F.coalesce(get(p), F.lit("")) for p, optional in paths])
-        absent = F.lit(True)
-        for p, optional in paths:
-            absent = absent & (F.coalesce(get(p), F.lit("")) == "") if optional else F.lit(False)
-        out.append(F.when(~absent, turn(F.lit(role), text)))
+        text = F.concat_ws("\n\n", *[F.when(get(p) != "", get(p)) if optional else get(p) for p, optional in paths])
+        absent = reduce(and_, [get(p) == "" if optional else F.lit(False) for p, optional in paths])
+        out.append(F.when(~absent, _turn(F.lit(role), text, mapping)))
     return F.filter(F.array(*out), lambda t: t.isNotNull())
 
 
 def canonical_turns(records: DataFrame, id_col: str, order_col: str | None, record_col: str, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """Rows (id, place, member, role, text): one per turn; a record of no known layout is one row with a null role.
+    """Rows (id, place, member, role, text): one per turn. What is of no known layout is a row with a null role,
+    an empty list one with a null member.
 
     ``record_col`` is a VARIANT, or a string of JSON; JSON that cannot be read is of no layout.
     """
@@ -136,22 +186,12 @@ def canonical_turns(records: DataFrame, id_col: str, order_col: str | None, reco
     if dict(records.dtypes)[record_col] == "string":
         record = F.try_parse_json(record)
     rows = records.select(F.col(id_col).alias("id"), (F.col(order_col) if order_col else F.lit(0)).alias("place"), record.alias("record"))
-    rows = rows.withColumn("print", fingerprint(F.col("record"), mappings))
-    none = F.lit(None).cast("array<struct<role:string,text:string>>")
-    turns, taken = none, set()
-    for mapping in mappings:
-        prints = []
-        for some in mapping.path_sets():
-            if some in taken:
-                raise ValueError(f"two mappings have the paths {sorted(some)}")
-            taken.add(some)
-            prints.append(F.xxhash64(F.lit("|".join(sorted(some)))))
-        chosen = F.lit(False)
-        for p in prints:
-            chosen = chosen | (F.col("print") == p)
-        turns = F.when(chosen, _turns(F.col("record"), mapping)).otherwise(turns)
-    unknown = F.array(F.struct(F.lit(None).cast("string").alias("role"), F.lit("").alias("text")))
-    return rows.select("id", "place", F.posexplode_outer(F.coalesce(turns, unknown)).alias("member", "t")).select("id", "place", "member", "t.role", F.coalesce("t.text", F.lit("")).alias("text"))
+    # A row for each set of known paths: their number depends on the mappings alone.
+    rows = rows.withColumn("_print", fingerprint(F.col("record"), _known(mappings))).join(F.broadcast(_layouts(records.sparkSession, mappings)), "_print", "left")
+    turns = F.array(F.struct(F.lit(None).cast("string").alias("role"), F.lit("").alias("text")))
+    for k, mapping in enumerate(mappings):
+        turns = F.when(F.col("layout") == k, _turns(F.col("record"), mapping)).otherwise(turns)
+    return rows.select("id", "place", F.posexplode_outer(turns).alias("member", "t")).select("id", "place", "member", "t.role", F.coalesce("t.text", F.lit("")).alias("text"))
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
@@ -166,7 +206,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
     made = turns.groupBy("id").agg(
         F.sort_array(F.collect_list(F.struct("at", F.col("role").isNull().alias("none"), "piece"))).alias("p"),
         F.sort_array(F.collect_list(F.when(F.col("role") == "assistant", span))).alias("loss_spans"),
-        F.count_if(F.col("role").isNull()).alias("n_unknown"),
+        F.count_if(F.col("role").isNull() & F.col("member").isNotNull()).alias("n_unknown"),
     )
     return made.select("id", F.array_join("p.piece", "").alias("formatted"), "loss_spans", "n_unknown")
 
