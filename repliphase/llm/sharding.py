@@ -1,21 +1,23 @@
 """Sharding: best-fit-decreasing bin packing of indivisible groups into fixed-capacity shards.
 
-Groups are rows with equal texts. Their sizes are counted in a histogram. For a given capacity its
-classes are the exact sizes; n of them need n * n / 2 bytes of input, so there are at most 250,000
-in 30 GB. For a given number of shards they are exact below 4096 bytes and have 12 significant bits
-above, rounded up, at most some tens of thousands whatever the input. The driver packs the classes, largest first, each
-into the bin with the tightest remaining capacity, found in a balanced tree; as many groups of
-a class as fit go at once, which is what packing them one after the other gives. Groups are then
-numbered within their class and read their shard from the class's row.
+Groups are rows with equal texts. Their exact sizes are counted in a histogram, whose classes the
+driver packs; n of them need n * n / 2 bytes of input, so there are at most 250,000 in 30 GB. The
+largest class goes first, each into the bin with the tightest remaining capacity, found in a
+balanced tree; as many groups of a class as fit go at once, which is what packing them one after
+the other gives. Groups are then numbered within their class and read their shard from the
+class's row. For a given number of shards the least capacity is searched with sizes rounded to 12
+significant bits, and then exact sizes are packed, with a little more room until they fit.
 
 Defined cases: null text equals empty text; repeated rows are rows of one group; an empty table
-gives gives no rows; a null id is an id; columns named sh_* or __* are replaced. Groups larger than an equal share get a shard of their own
-and the rest is shared by the other shards.
+gives no rows; a null id is an id; columns named like the five new ones are replaced, all others
+stay. Groups larger than an equal share get a shard of their own and the rest is shared by the
+other shards.
 """
 
 from __future__ import annotations
 
 import random
+from collections import Counter
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, Window
@@ -97,8 +99,14 @@ def best_fit_decreasing(classes: Iterable[tuple[int, int]], capacity: int, most:
     return runs
 
 
+def _rounded(size: int) -> int:
+    """A size rounded up to 12 significant bits."""
+    unit = 1 << max(0, size.bit_length() - 12)
+    return -(-size // unit) * unit
+
+
 def pack_evenly(classes: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int]]:
-    """Runs over at most ``shards`` bins of the least capacity that packs all, within 1/4096.
+    """Runs over at most ``shards`` bins of nearly the least capacity that packs all, within 1/1024.
 
     A group above an equal share of what is left has a bin of its own.
     """
@@ -112,28 +120,26 @@ def pack_evenly(classes: list[tuple[int, int]], shards: int) -> list[tuple[int,
     if not left:
         return runs
     free = shards - own
+    rough = Counter()
+    for size, count in left:
+        rough[_rounded(size)] += count
     low = max(-(-total // free), left[-1][0])
-    step = max(1, low // 4096)
-    high, found = low, best_fit_decreasing(left, low, free)
-    while found is None:
+    high, step = max(low, max(rough)), max(1, low // 4096)
+    while best_fit_decreasing(rough.items(), high, free) is None:
         low, high = high, high + step
         step *= 2
-        found = best_fit_decreasing(left, high, free)
     while high - low > max(1, high // 4096):
         middle = (low + high) // 2
-        if (better := best_fit_decreasing(left, middle, free)) is None:
+        if middle < max(rough) or best_fit_decreasing(rough.items(), middle, free) is None:
             low = middle
         else:
-            high, found = middle, better
+            high = middle
+    # Exact sizes are no larger; should their order still leave one over, a little more room takes it.
+    while (found := best_fit_decreasing(left, high, free)) is None:
+        high += max(1, high // 4096)
     return runs + [(size, own + name, count) for size, name, count in found]
 
 
-def _size_class(size: str) -> str:
-    """SQL for a size rounded up to 12 significant bits."""
-    unit = f"shiftleft(1L, greatest(0, length(bin({size})) - 12))"
-    return f"(({size} + {unit} - 1) div {unit}) * {unit}"
-
-
 def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shards: int = 40, overhead: int = 16, capacity: int | None = None) -> DataFrame:
     """The rows of ``docs`` with shard and slot, and size, text_crc32 and their text's group.
 
@@ -142,24 +148,27 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, sh
     Columns are prefixed: sh_size, sh_crc32, sh_group, sh_shard, sh_slot.
     """
     spark = docs.sparkSession
+    docs = docs.drop("sh_size", "sh_crc32", "sh_group", "sh_shard", "sh_slot")
+    key, times, one, whole, at, first, again = st.unused(docs.columns, "key", "times", "one", "whole", "at", "first", "again")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    docs = docs.drop(*[c for c in docs.columns if c.startswith(("sh_", "__"))])
-    rows = docs.withColumns({"sh_size": (F.octet_length(text) + overhead).cast("long"), "sh_crc32": F.crc32(text), "sh_group": F.md5(text.cast("binary")), "__id": F.xxhash64(id_col)})
-    # Rows with equal id and text are told apart only at the end; until then they are one entry.
-    entries = rows.groupBy("sh_group", "__id").agg(F.count("*").alias("__times"), F.first("sh_size").alias("__one"))
-    groups = entries.groupBy("sh_group").agg(F.sum(F.col("__times") * F.col("__one")).alias("__bytes")).withColumn("__class", F.col("__bytes") if capacity else F.expr(_size_class("__bytes")))
-    classes = [tuple(r) for r in groups.groupBy("__class").count().collect()]  # bounded by the classes, or the distinct sizes
+    size, group = (F.octet_length(text) + overhead).cast("long"), F.md5(text.cast("binary"))
+    # Rows with equal id and text are told apart only at the end; until then they are one entry. Texts are read once for these.
+    sized = docs.select(group.alias("sh_group"), F.xxhash64(id_col).alias(key), size.alias(one))
+    entries = st.written(sized.groupBy("sh_group", key).agg(F.count("*").alias(times), F.first(one).alias(one)), "entries")
+    groups = entries.groupBy("sh_group").agg(F.sum(F.col(times) * F.col(one)).alias(whole))
+    classes = [tuple(r) for r in groups.groupBy(whole).count().collect()]  # bounded by the distinct sizes
     runs = best_fit_decreasing(classes, capacity) if capacity else pack_evenly(classes, shards)
     plan: dict[int, tuple[list[int], list[int]]] = {}
-    for size, name, count in runs:
-        ends, names = plan.setdefault(size, ([], []))
+    for size_, name, count in runs:
+        ends, names = plan.setdefault(size_, ([], []))
         ends.append((ends[-1] if ends else 0) + count)
         names.append(name)
-    table = spark.createDataFrame([(size, ends, names) for size, (ends, names) in plan.items()], "__class long, ends array<long>, names array<int>")
-    groups = st.running(groups, ["__class"], ["sh_group"], None, "__at", 64).join(table, "__class")
-    placed = groups.select("sh_group", F.expr("names[size(filter(ends, e -> e <= __at))]").alias("sh_shard"))
-    entries = st.running(entries.join(placed, "sh_group"), ["sh_shard"], ["__id", "sh_group"], "__times", "__first", 64)
+    table = spark.createDataFrame([(size_, ends, names) for size_, (ends, names) in plan.items()], f"{whole} long, ends array<long>, names array<int>")
+    groups = st.running(groups, [whole], ["sh_group"], None, at, 64).join(table, whole)
+    placed = groups.select("sh_group", F.expr(f"names[size(filter(ends, e -> e <= {at}))]").alias("sh_shard"))
+    entries = st.running(entries.join(placed, "sh_group"), ["sh_shard"], [key, "sh_group"], times, first, 64)
     # The only step that moves texts: one shuffle by id and text.
-    again = Window.partitionBy("sh_group", "__id").orderBy("sh_crc32")
-    out = rows.withColumn("__again", F.row_number().over(again) - 1).join(entries.select("sh_group", "__id", "sh_shard", "__first"), ["sh_group", "__id"])
-    return out.select(*docs.columns, "sh_size", "sh_crc32", "sh_group", "sh_shard", (F.col("__first") + F.col("__again")).alias("sh_slot"))
+    rows = docs.withColumns({"sh_size": size, "sh_crc32": F.crc32(text), "sh_group": group, key: F.xxhash64(id_col)})
+    copies = Window.partitionBy("sh_group", key).orderBy("sh_crc32")
+    out = rows.withColumn(again, F.row_number().over(copies) - 1).join(entries.select("sh_group", key, "sh_shard", first), ["sh_group", key])
+    return out.select(*docs.columns, "sh_size", "sh_crc32", "sh_group", "sh_shard", (F.col(first) + F.col(again)).alias("sh_slot"))
