@@ -2,15 +2,14 @@ r"""Quality rules: cross-document line frequency, in DataFrame functions only.
 
 Lines are normalised (A-Z in lower case, runs of white space as one space, ends stripped) and
 hashed; for each host the distinct documents that hold a line are counted, copies of a text
-once. Lines in more documents than the host's limit are removed, and a document that loses more
-than a share of its words, or failed the basic rules, is rejected.
-
-The limit of a host is the larger of ``min_docs`` and ``share_percent`` of its distinct texts.
+once. Lines in more than ``most_docs`` documents of a host are removed, and a document that loses
+more than a share of its words, or failed the basic rules, is rejected. The limit is the same for
+a host of fifty documents and for one with a third of all.
 
 Defined cases: null text is empty, has no words and fails the basic rules; a null host is a host
 of its own; rows that repeat id, host and text have the same verdict; lines without a word are
-neither counted nor removed. Columns of the input keep their values, but those named qr_* or
-__* are replaced; new ones are prefixed qr_.
+neither counted nor removed. Columns named like the new ones are replaced, all others stay; new
+ones are prefixed qr_.
 """
 
 from __future__ import annotations
@@ -64,7 +63,12 @@ def repeat_words(tokens: Column, width: int) -> Column:
     def hashed(w: Column) -> Column:
         return F.transform(F.sequence(F.lit(1), F.size(w) - (width - 1)), lambda k: F.xxhash64(F.slice(w, k, width)))
 
-    return _let(tokens, lambda w: F.when(F.size(w) < width, F.lit(0).cast("long")).otherwise(_let(hashed(w), repeated)))
+    # Words are hashed once, windows then as numbers.
+    return _let(F.transform(tokens, lambda w: F.xxhash64(w)), lambda w: F.when(F.size(w) < width, F.lit(0).cast("long")).otherwise(_let(hashed(w), repeated)))
+
+
+#: The columns that ``quality_rules`` adds.
+MADE = ("qr_words", "qr_word_chars", "qr_symbols", "qr_repeat_words", "qr_dup_lines", "qr_base_failed", "qr_removed_lines", "qr_removed_words", "qr_kept", "qr_text")
 
 
 def _print(text: Column) -> Column:
@@ -101,16 +105,14 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
 
 
 def judge(
-    measured: DataFrame, *, min_words: int = 20, repeat_percent: int = 30, min_docs: int = 20, share_percent: int = 10, lost_percent: int = 50,
+    measured: DataFrame, *, min_words: int = 20, repeat_percent: int = 30, most_docs: int = 20, lost_percent: int = 50,
 ) -> DataFrame:
     """The measured rows with qr_base_failed, qr_removed_lines, qr_removed_words, qr_removed (their hashes) and qr_kept."""
     key = ["qr_id", "qr_host", "qr_print"]
     # Rows that repeat a document count once; copies under other ids are one text of their host.
     seen = measured.groupBy(*key).agg(F.first("qr_lines").alias("l")).select(*key, F.explode("l").alias("l")).select(*key, "l.h", "l.w")
-    hosts = measured.groupBy("qr_host").agg(F.count_distinct("qr_print").alias("n"))
-    hosts = hosts.select(F.col("qr_host").alias("_of"), F.greatest(F.lit(min_docs), F.ceil(F.col("n") * share_percent / F.lit(100))).alias("_limit"))
-    often = seen.groupBy("qr_host", "h").agg(F.count_distinct("qr_print").alias("n")).where(F.col("n") > min_docs)
-    often = often.join(hosts, F.col("qr_host").eqNullSafe(F.col("_of"))).where("n > _limit").select(F.col("qr_host").alias("_lh"), F.col("h").alias("_lk"))
+    often = seen.groupBy("qr_host", "h").agg(F.count_distinct("qr_print").alias("n")).where(F.col("n") > most_docs)
+    often = often.select(F.col("qr_host").alias("_lh"), F.col("h").alias("_lk"))
     hit = seen.join(often, F.col("qr_host").eqNullSafe(F.col("_lh")) & (F.col("h") == F.col("_lk")))
     lost = hit.groupBy(*key).agg(F.sum("w").alias("words"), F.count("*").alias("lines"), F.collect_set("h").alias("hashes"))
     out = measured.alias("a").join(lost.alias("b"), _same("a", "b"), "left")
@@ -131,14 +133,15 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     qr_text is the text without the removed lines.
     """
-    docs = docs.drop(*[c for c in docs.columns if c.startswith(("qr_", "__"))])
+    docs = docs.drop(*MADE)
     judged = judge(measure(docs, id_col, text_col, host_col, repeat_width=repeat_width), **limits)
-    judged = judged.dropDuplicates(["qr_id", "qr_host", "qr_print"])
+    doc, host, mark, removed = st.unused(docs.columns, "doc", "host", "print", "removed")
+    judged = judged.dropDuplicates(["qr_id", "qr_host", "qr_print"]).withColumnsRenamed({"qr_id": doc, "qr_host": host, "qr_print": mark, "qr_removed": removed})
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.withColumns({"__i": F.col(id_col), "__h": F.col(host_col).cast("string"), "__p": _print(text)})
-    out = rows.join(judged, F.col("__i").eqNullSafe(F.col("qr_id")) & F.col("__h").eqNullSafe(F.col("qr_host")) & (F.col("__p") == F.col("qr_print")))
-    left = F.filter(F.split(text, "\n", -1), lambda x: ~F.array_contains(F.col("qr_removed"), F.xxhash64(normal_line(x))))
-    return out.withColumn("qr_text", F.when(F.col("qr_removed").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))).drop("__i", "__h", "__p", "qr_id", "qr_host", "qr_print", "qr_removed")
+    same = F.col(id_col).eqNullSafe(F.col(doc)) & F.col(host_col).cast("string").eqNullSafe(F.col(host)) & (_print(text) == F.col(mark))
+    left = F.filter(F.split(text, "\n", -1), lambda x: ~F.array_contains(F.col(removed), F.xxhash64(normal_line(x))))
+    out = docs.join(judged, same).withColumn("qr_text", F.when(F.col(removed).isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n")))
+    return out.select(*docs.columns, *MADE)
 
 
 ORACLE = r"""
@@ -159,10 +162,7 @@ l AS (
   SELECT doc_id, source, t, trim(regexp_replace(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm,
     len(list_filter(string_split_regex(x, '[\x20\x09-\x0D]+'), lambda y: y <> '')) AS nw
   FROM (SELECT doc_id, source, t, unnest(ls) AS x FROM m)),
-hosts AS (SELECT source, greatest(20, ceil(count(DISTINCT t) * 10 / 100)) AS lim FROM d GROUP BY source),
-often AS (
-  SELECT l.source, l.norm FROM l JOIN hosts ON l.source IS NOT DISTINCT FROM hosts.source
-  GROUP BY l.source, l.norm, hosts.lim HAVING count(DISTINCT l.t) > hosts.lim),
+often AS (SELECT source, norm FROM l GROUP BY source, norm HAVING count(DISTINCT t) > 20),
 lost AS (
   SELECT l.doc_id, sum(l.nw) AS gone FROM l JOIN often o ON l.source IS NOT DISTINCT FROM o.source AND l.norm = o.norm GROUP BY l.doc_id),
 f AS (

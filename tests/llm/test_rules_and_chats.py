@@ -24,12 +24,11 @@ def repeated(words, width=8):
     return len(inside)
 
 
-def brute(rows, min_docs, share):
+def brute(rows, most_docs):
     norm = lambda x: re.sub(r"[\x20\x09-\x0d]+", " ", x.translate(LOWER)).strip(" ")
-    texts, holders = defaultdict(set), defaultdict(set)
+    holders = defaultdict(set)
     for _, text, host in rows:
         text = text or ""
-        texts[host].add(text)
         for line in text.split("\n"):
             if WORD.search(line):
                 holders[host, norm(line)].add(text)
@@ -38,8 +37,7 @@ def brute(rows, min_docs, share):
         text = text or ""
         words = WORD.findall(text)
         lines = [x for x in text.split("\n") if WORD.search(x)]
-        limit = max(min_docs, -(-len(texts[host]) * share // 100))
-        gone = [x for x in lines if len(holders[host, norm(x)]) > limit]
+        gone = [x for x in lines if len(holders[host, norm(x)]) > most_docs]
         lost = sum(len(WORD.findall(x)) for x in gone)
         again = repeated(words)
         failed = len(words) < 20 or 100 * again > 30 * len(words)
@@ -56,14 +54,30 @@ def test_rules(spark, odd_rows, words):
         rows.append((300 + k, f"{own}\n{common.upper() if k % 2 else common} \n# {'x ' * (k % 5)}|\n{own}", "h" if k < 30 else "g"))
     rows += [(400, "Q r s t u v w x y z " * 6, None), (401, "x y\n" * 30, "h"), (402, common, "h"), rows[-3], rows[-3]]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("qr_kept", F.lit("clash")).repartition(3)
-    found = qr.quality_rules(docs, min_docs=5)
+    found = qr.quality_rules(docs, most_docs=5)
     names = ["doc_id", "qr_words", "qr_word_chars", "qr_symbols", "qr_dup_lines", "qr_repeat_words", "qr_base_failed", "qr_removed_lines", "qr_removed_words", "qr_kept", "qr_text"]
     got = sorted((tuple(r[:-1]) + (r[-1] or "",) for r in found.select(*names).collect()), key=str)
-    want = brute(rows, 5, 10)
+    want = brute(rows, 5)
     assert got == want
     assert any(r[7] for r in want) and any(not r[6] and not r[9] for r in want)
 
 
+def test_a_line_counts_alike_in_small_and_hot_hosts(spark):
+    line, rows = "the same line at the foot of every page", []
+    for host, size in (("small", 25), ("hot", 3000)):
+        for held, name in ((21, "over"), (20, "at")):
+            rows += [(len(rows) + k, f"{host} {name} {k} " + " ".join(f"{host}{name}{k}w{j}" for j in range(40)) + f"\n{line} {name}", host) for k in range(held)]
+        rows += [(len(rows) + k, f"{host} page {k} " + " ".join(f"{host}{k}v{j}" for j in range(25)), host) for k in range(size)]
+    found = qr.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("source", "qr_removed_lines").count().collect()
+    assert sorted(map(tuple, found)) == [("hot", 0, 3020), ("hot", 1, 21), ("small", 0, 45), ("small", 1, 21)]
+
+
+def test_other_columns_stay(spark):
+    docs = spark.createDataFrame([(1, "a", "h", 5, 6, 7)], "doc_id long, text string, source string, __doc long, qr_mine long, qr_id long")
+    (found,) = qr.quality_rules(docs).collect()
+    assert (found["__doc"], found["qr_mine"], found["qr_id"], found["qr_words"]) == (5, 6, 7, 1)
+
+
 def test_rules_of_an_empty_table(empty):
     assert qr.quality_rules(empty).collect() == []
 
@@ -125,6 +139,37 @@ LAYOUTS = [
 ]
 
 
+U, A = {"role": "user", "content": "hi"}, {"role": "assistant", "content": "yo"}
+HI = [("user", "hi"), ("assistant", "yo")]
+ODD_LAYOUTS = [
+    ({"messages": [{"role": "system"}, U, A]}, [("system", ""), *HI], 0),
+    ({"messages": [{"content": "who?"}, U, A]}, [("", "who?"), *HI], 0),
+    ({"messages": [{"from": "user", "value": "hi"}, {"role": "assistant", "text": "yo"}]}, HI, 0),
+    ({"messages": [U, {"a": 1}, 7, None, A]}, HI, 3),
+    ({"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}, {"type": "image", "url": "u"}, "b"]}]}, [("user", "a\n\nb")], 0),
+    ({"messages": [{"role": "user", "content": 5}, {"role": "user", "content": []}, {"role": None, "content": None}]}, [("user", "5"), ("user", ""), ("", "")], 0),
+    ({"prompt": "hi", "messages": [U, A]}, HI, 0),
+    ({"prompt": "a", "completion": "b", "response": "c"}, [("user", "a"), ("assistant", "b\n\nc")], 0),
+    ({"messages": json.dumps([U, A])}, HI, 0),
+    ({"messages": "said by no one"}, [("", "said by no one")], 0),
+    ({"messages": "12"}, [("", "12")], 0),
+    ({"messages": U}, [("user", "hi")], 0),
+    ({"messages": None}, [], 0),
+    ({"conversations": [{"from": "human", "value": "hi"}, {"from": "gpt"}], "role": "x", "text": "y"}, [("user", "hi"), ("assistant", "")], 0),
+    ({"instruction": ["do", {"text": "it"}], "output": "done"}, [("user", "do\n\nit"), ("assistant", "done")], 0),
+    ({"text": "no role"}, [], 1),
+    ([U], [], 1),
+]
+
+
+def test_no_turn_of_an_odd_layout_is_lost(spark):
+    table = spark.createDataFrame([(k, json.dumps(record)) for k, (record, _, _) in enumerate(ODD_LAYOUTS)], "id long, record string")
+    made = cf.format_chats(cf.canonical_turns(table, "id", None, "record")).withColumn("turns", cf.read_back(F.col("formatted"))).collect()
+    found = {r.id: ([(t.role, t.text) for t in r.turns], r.n_unknown) for r in made}
+    for k, (_, want, unknown) in enumerate(ODD_LAYOUTS):
+        assert found[k] == (want, unknown), k
+
+
 def test_layouts(spark):
     rows = [(k, json.dumps(record)) for k, (record, _) in enumerate(LAYOUTS)] + [(90, "{broken"), (91, None)]
     table = spark.createDataFrame(rows, "id long, record string")
