@@ -11,12 +11,16 @@ that overlap by half; bands that reach the bound are kept and verified by an ali
 the band. Before that, stretches of a document where too few q-grams are known at all are
 skipped by running sums, which loses nothing.
 
-Items are the query set: they are read in blocks of at most ``block_bytes``, each of which is
-indexed on the driver, broadcast and run against all documents. Documents are never shuffled.
+Items are the query set: they are read in blocks of about ``block_bytes``, each of which is
+indexed on the driver, broadcast and run against all documents. One block is alive at a time: with
+more than one, its findings are written before the next is read, at one scan of the documents a
+block. ``leaks`` shuffles nothing. ``decontaminate`` filters rows in the same scan if there is one
+block; with more it takes the leaking rows out by a join on id and text, which shuffles the texts once.
 
 Defined cases: null, empty and too short texts (less than q bytes once normalised) leak nothing
-and are leaked by nothing; repeated rows are reported each; a null id is an id; an empty table on
-either side gives no rows. Only id and text are read.
+and are leaked by nothing; rows that repeat an id are judged each by its own text; a null id is an
+id; an empty table on either side gives no rows of ``leaks`` and takes none away. Columns other than
+id and text are passed on unread.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from repliphase.llm import spark_tools as st
+
 _U = np.uint64
 _CHUNK = 1 << 20
 _CLASS = np.arange(256, dtype=np.uint8)
@@ -96,8 +102,8 @@ class Index:
         grams = np.concatenate(grams) if grams else np.zeros(0, _U)
         by = np.argsort(grams, kind="stable")
         self.grams, first = np.unique(grams[by], return_index=True)
-        self.first = np.append(first, len(grams))
-        self.of, self.at = (np.concatenate(x)[by] if x else np.zeros(0, np.int64) for x in (of, at))
+        self.first = np.append(first, len(grams)).astype(np.int32)
+        self.of, self.at = (np.concatenate(x)[by].astype(np.int32) if x else np.zeros(0, np.int32) for x in (of, at))
         self.known = np.zeros(1 << _BITS, bool)
         self.known[self._cell(self.grams)] = True
 
@@ -128,7 +134,7 @@ class Index:
         places, slot = places[hit], slot[hit]
         found = []
         # Hits are expanded in bounded runs that end at the border of a text.
-        times = self.first[slot + 1] - self.first[slot]
+        times = (self.first[slot + 1] - self.first[slot]).astype(np.int64)
         owner = np.searchsorted(begin, places, "right") - 1
         ends = np.flatnonzero(np.r_[owner[1:] != owner[:-1], True]) + 1
         run, total = 0, np.concatenate([[0], np.cumsum(times)])
@@ -141,7 +147,7 @@ class Index:
     def _bands(self, code, begin, places, slot, times, owner) -> list[tuple[int, int, int, int, int]]:
         base = np.repeat(np.cumsum(times) - times, times)
         entry = np.arange(int(times.sum())) - base + np.repeat(self.first[slot], times)
-        seg, text = self.of[entry], np.repeat(owner, times)
+        seg, text = self.of[entry].astype(np.int64), np.repeat(owner, times)
         diagonal = np.repeat(places, times) - self.at[entry]
         step = self.edits[seg] + 1
         band = diagonal // step
@@ -189,74 +195,116 @@ class Index:
         return best, end
 
 
+def _hits(index: Index, texts: list[str | None]) -> dict[tuple[int, int], dict[int, tuple[int, int, int]]]:
+    """By row and item number the best (start, stop, edits) of each segment found, by its place in the item."""
+    sizes = np.cumsum([len(t or "") for t in texts])
+    rows, first = {}, 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(sizes, (sizes[first - 1] if first else 0) + _CHUNK, "right")))
+        for t, s, a, z, e in index.search(texts[first:last]):
+            item, place = int(index.segs[s, 0]), int(index.segs[s, 1])
+            hits = rows.setdefault((first + t, item), {})
+            if place not in hits or e < hits[place][2]:
+                hits[place] = (a, z, e)
+        first = last
+    return rows
+
+
 def _found(index):
+    """Rows (doc_id, ..., text) to one row (doc_id, ..., findings) per document and leaked item."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: Index = index.value
         total = np.bincount(made.segs[:, 0], minlength=len(made.items)) if len(made.segs) else []
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            sizes = np.cumsum([len(t or "") for t in texts])
-            rows, first = {}, 0
-            while first < len(texts):
-                last = max(first + 1, int(np.searchsorted(sizes, (sizes[first - 1] if first else 0) + _CHUNK, "right")))
-                for t, s, a, z, e in made.search(texts[first:last]):
-                    item, place = int(made.segs[s, 0]), int(made.segs[s, 1])
-                    hits = rows.setdefault((first + t, item), {})
-                    if place not in hits or e < hits[place][2]:
-                        hits[place] = (a, z, e)
-                first = last
+            rows = _hits(made, batch.column(batch.num_columns - 1).to_pylist())
             order = sorted(rows)
+            docs = pa.array([d for d, _ in order], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).take(pa.array([d for d, _ in order], pa.int64())),
+                    *[c.take(docs) for c in batch.columns[:-1]],
                     pa.array([made.items[i] for _, i in order], pa.int64()),
                     pa.array([len(rows[x]) for x in order], pa.int32()),
                     pa.array([int(total[i]) for _, i in order], pa.int32()),
                     pa.array([min(h[2] for h in rows[x].values()) for x in order], pa.int32()),
                     pa.array([[{"item_start": p, "start": h[0], "stop": h[1], "edits": h[2]} for p, h in sorted(rows[x].items())] for x in order], _SPANS),
                 ],
-                names=["doc_id", "item_id", "segments", "of_segments", "least_edits", "spans"],
+                names=[*batch.schema.names[:-1], "item_id", "segments", "of_segments", "least_edits", "spans"],
             )
 
     return work
 
 
+def _without_leaks(index):
+    """The rows, without their last column, in which no item is found; that column is their text."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(len(batch), bool)
+            keep[[d for d, _ in _hits(index.value, batch.column(batch.num_columns - 1).to_pylist())]] = False
+            yield batch.select(batch.schema.names[:-1]).filter(pa.array(keep))
+
+    return work
+
+
 _SPANS = pa.list_(pa.struct([("item_start", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("edits", pa.int32())]))
+_FOUND = "item_id long, segments int, of_segments int, least_edits int, spans array<struct<item_start:int,start:int,stop:int,edits:int>>"
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, length: int = 80, edit_percent: float = 7.5, block_bytes: int = 4 << 20) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, length: int = 80, edit_percent: float = 7.5, block_bytes: int = 1 << 20) -> DataFrame:
     """Rows (doc_id, item_id, segments, of_segments, least_edits, spans): one per document and leaked item.
 
     spans are (item_start, start, stop, edits) in the normalised texts.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id long, segments int, of_segments int, least_edits int, spans array<struct<item_start:int,start:int,stop:int,edits:int>>"
-    out = None
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).cast("string").alias("t")).where("t is not null")
-    for ids, texts in _blocks(items, block_bytes):
-        index = spark.sparkContext.broadcast(Index(ids, texts, length, edit_percent))
+    return _search(rows, _blocks(benchmark, item_col, item_text_col, block_bytes), length, edit_percent)
+
+
+def _search(rows: DataFrame, blocks: list, length: int, edit_percent: float) -> DataFrame:
+    """The findings in rows (doc_id, ..., text) of each block of items, one block after the other."""
+    spark, schema = rows.sparkSession, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", " + _FOUND
+    out = spark.createDataFrame([], schema)
+    for items in blocks:
+        index = spark.sparkContext.broadcast(Index(*_texts(items), length, edit_percent))
         part = rows.mapInArrow(_found(index), schema)
-        out = part if out is None else out.union(part)
-    return out if out is not None else spark.createDataFrame([], schema)
-
-
-def _blocks(items: DataFrame, most: int) -> Iterator[tuple[list, list]]:
-    """The items in blocks of about ``most`` bytes, without all of them on the driver at once."""
-    ids, texts, size = [], [], 0
-    for r in items.orderBy("i").toLocalIterator():
-        if texts and size + len(r.t) > most:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-        ids.append(r.i)
-        texts.append(r.t)
-        size += len(r.t)
-    if texts:
-        yield ids, texts
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that leak no item."""
-    found = leaks(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias("leaking")).distinct()
-    return docs.join(found, docs[id_col].eqNullSafe(found["leaking"]), "left_anti")
+        if len(blocks) == 1:
+            return part
+        out = out.union(st.written(part, "leaks"))
+        index.destroy()
+    return out
+
+
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> list[DataFrame]:
+    """The items in blocks of about ``most`` bytes, in the order of their ids; the driver sees the sizes of blocks."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null")
+    size = items.agg(F.sum(F.octet_length("t"))).first()[0]
+    if not size:
+        return []
+    if size <= most:
+        return [items]
+    ranges = int(-(-size // most))
+    # Dealt by a hash of id and text, which makes blocks of near-equal size unless an item is larger than a block.
+    items = st.written(items.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(ranges)).cast("int")), "items", by="b")
+    return [items.where(F.col("b") == b) for b in range(ranges)]
+
+
+def _texts(items: DataFrame) -> tuple[list, list]:
+    rows = sorted(((r.i is not None, r.i or 0, r.t, r.i) for r in items.select("i", "t").collect()), key=lambda r: r[:3])  # a block of items
+    return [r[3] for r in rows], [r[2] for r in rows]
+
+
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, length: int = 80, edit_percent: float = 7.5, block_bytes: int = 1 << 20,
+) -> DataFrame:
+    """The rows of ``docs`` in which no item is found."""
+    blocks, text = _blocks(benchmark, item_col, item_text_col, block_bytes), F.col(text_col).cast("string")
+    if not blocks:
+        return docs
+    key, one, two, said = st.unused([*docs.columns, "doc_id"], "key", "one", "two", "text")
+    if len(blocks) == 1:
+        index = docs.sparkSession.sparkContext.broadcast(Index(*_texts(blocks[0]), length, edit_percent))
+        return docs.withColumn(said, text).mapInArrow(_without_leaks(index), docs.schema)
+    prints = [F.xxhash64(text).alias(one), F.xxhash64(F.reverse(text)).alias(two)]
+    found = _search(docs.select(F.col(id_col).alias("doc_id"), *prints, text.alias("text")), blocks, length, edit_percent)
+    found = found.select(F.col("doc_id").alias(key), one, two).distinct()
+    return docs.join(found, docs[id_col].eqNullSafe(F.col(key)) & (F.xxhash64(text) == F.col(one)) & (F.xxhash64(F.reverse(text)) == F.col(two)), "left_anti")

@@ -57,8 +57,35 @@ def test_against_full_alignment(spark, odd, odd_rows, items, words):
     row = got[held[0]]
     plain = dc.normalised([dict(rows)[held[0][0]]])
     assert all(0 <= s.start < s.stop <= plain[1][1] - plain[1][0] and s.edits <= 6 for s in row.spans)
-    kept = {r.doc_id for r in dc.decontaminate(docs, bench).select("doc_id").collect()}
-    assert kept == {d for d, _ in [*[(r[0], 0) for r in odd_rows], *rows]} - {d for d, _ in got}
+    leaking = {x for d, _ in got for x in [*odd_rows, *rows] if x[0] == d}
+    want = sorted(((r[0], r[1]) for r in [*odd_rows, *rows] if r not in leaking), key=str)
+    for some in ({}, {"block_bytes": 900}):
+        assert sorted(map(tuple, dc.decontaminate(docs, bench, **some).collect()), key=str) == want
+
+
+def test_one_block_shuffles_nothing_and_rows_are_judged_by_their_own_text(spark, items, words):
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    leak = " ".join([*words[:50], next(t for i, t in items if i == 3), *words[50:99]])
+    rows = [(1, leak, 1.5), (1, "clean " * 30, 2.5), (None, leak, 3.5), (None, None, 4.5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __key double")
+    for some in ({}, {"block_bytes": 900}):
+        kept = dc.decontaminate(docs, bench, **some)
+        assert kept.columns == docs.columns and sorted(r["__key"] for r in kept.collect()) == [2.5, 4.5]
+    assert "Exchange" not in dc.decontaminate(docs, bench)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_long_texts_against_full_alignment(words):
+    rng = random.Random(3)
+    items = [" ".join(rng.choices(words, k=60)) for _ in range(3)]
+    index = dc.Index([0, 1, 2], items, 80, 7.5)
+    text = " ".join(rng.choices(words, k=20_000))
+    at = text.index(" ", 60_000)
+    part = items[1][:200].replace(items[1][50], "?", 3)
+    for whole in (text, text[:at] + " " + part + text[at:], items[2] + text + items[0]):
+        code, begin = dc.normalised([whole])
+        plain = code[begin[0] : begin[1] - 1].tobytes()
+        want = {s for s, (_, _, size) in enumerate(index.segs) if least_edits(index.text[s, :size].tobytes(), plain) <= index.edits[s]}
+        assert {s for _, s, *_ in index.search([whole])} == want
 
 
 def test_empty(spark, odd, empty, items):
