@@ -1,24 +1,32 @@
 """Quality classifier by co-training on text content and page metadata.
 
-Two logistic models see different things of a document. The content view has its words and word
+Two classifiers see different things of a document. The content view has its words and word
 shapes as hashed shares; the metadata view has source, language, size and the page's layout
-(lines, and shares of capitals, digits, symbols and spaces). Both learn from labelled
-documents; in each round either hands the pseudo-labels that it is surest of, from an unlabelled
-pool, to the other, in the proportion of the labels' classes. Afterwards each is calibrated on
-labelled documents that were held back, and a logistic blend of the two scores all documents.
+(lines, and shares of capitals, digits, symbols and spaces). A view's score is linear: a logistic
+model of labelled documents, together with the log odds of its features between the classes.
 
-The models are fitted on bounded samples, chosen by a hash of the id: ``most_labelled``
-labelled documents and a pool of ``most_pool``. Scoring reads every document, whole.
+In each round every unlabelled document is scored by both views. Whatever either is sure of it
+hands to the other as a pseudo-label, by adding the document's features to the other's counts of
+that class; these counts are sums over all documents, worked out by the tasks that score them,
+and weigh as much as the labels' however many documents there are. After each round the views are
+calibrated on labelled documents that were held back. At last a logistic blend of the calibrated
+views scores all documents.
+
+The only sample is that of ``most_labelled`` labelled documents, chosen by a hash of the id. The
+driver holds their features and the counts, whose size is fixed. Every round and the scoring read
+all documents, whole.
 
 Defined cases: null text is empty and is scored by its metadata; null or new sources and
-languages are categories of their own; labels that are null don't count, repeated ones are
-averaged (ties count as good); with labels of a single class or none, every score is the labels'
-share of good (one half without labels) and kept is true unless that share is below the
-threshold; rows that repeat an id are scored one by one.
+languages are categories of their own; labels that are null or of no document don't count,
+repeated ones are averaged (ties count as good); with labels of a single class or none, every
+score is the labels' share of good (one half without labels) and kept is true unless that share is
+below the threshold; rows that repeat a sampled id are one labelled document, that of the smallest
+hash of the text; otherwise rows that repeat an id are scored one by one.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -134,72 +142,175 @@ def _platt(scores: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+#: The numbers of the metadata view after its two categories, the bins that each has, and where these begin.
+_NUMBERS, _BINS = 12, 16
+_META = 2 * _NAMES + _NUMBERS * _BINS
+_TEXT = 2 << _WORD_BITS
+#: A pseudo-count for each feature, as a share of a document, and the unit of shares in sums, which are exact that way.
+_ALPHA, _UNIT = 0.01, 1 << 32
+_PARTS = 64
+
+
 @dataclass
-class CoTrained:
-    """Both views' weights with their calibration, and the blend."""
+class Views:
+    """Both views as linear scores that are calibrated log odds of good quality."""
 
     text: np.ndarray
-    text_fit: np.ndarray
+    text_shift: float
     meta: np.ndarray
-    meta_fit: np.ndarray
+    numbers: np.ndarray
+    meta_shift: float
     center: np.ndarray
     spread: np.ndarray
+    edges: list[np.ndarray]
+
+    def meta_scores(self, metadata: np.ndarray) -> np.ndarray:
+        return self.meta[_categories(metadata, self.edges)].sum(1) + (metadata[:, 2:] - self.center) / self.spread @ self.numbers + self.meta_shift
+
+    def text_scores(self, column: pa.Array) -> np.ndarray:
+        return _content_scores(column, self.text) + self.text_shift
+
+
+@dataclass
+class CoTrained:
+    """The views after the last round, their blend, and how many labels each was handed (content, metadata) by round."""
+
+    views: Views
     blend: np.ndarray
     rounds: list[tuple[int, int]]
 
-    def scores(self, content: np.ndarray, metadata: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def scores(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated content, metadata and blended probabilities of good quality."""
-        m = (metadata[:, 2:] - self.center) / self.spread
-        linear = m @ self.meta[2 * _NAMES :] + self.meta[metadata[:, 0].astype(int)] + self.meta[_NAMES + metadata[:, 1].astype(int)]
-        t, m = content * self.text_fit[0] + self.text_fit[1], linear * self.meta_fit[0] + self.meta_fit[1]
-        return _sigmoid(t), _sigmoid(m), _sigmoid(self.blend[0] * t + self.blend[1] * m + self.blend[2])
+        return _sigmoid(text), _sigmoid(meta), _sigmoid(self.blend[0] * text + self.blend[1] * meta + self.blend[2])
+
+
+def _categories(metadata: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
+    """The metadata view's features by number: source, language, and the bin of each measure."""
+    binned = [2 * _NAMES + _BINS * k + np.searchsorted(e, metadata[:, k + 2], "right") for k, e in enumerate(edges)]
+    return np.column_stack([metadata[:, 0], _NAMES + metadata[:, 1], *binned]).astype(np.int64)
 
 
 def _meta_rows(metadata: np.ndarray, center: np.ndarray, spread: np.ndarray) -> _Rows:
-    n, extra = len(metadata), metadata.shape[1] - 2
+    n = len(metadata)
     values = np.column_stack([np.ones((n, 2)), (metadata[:, 2:] - center) / spread])
-    columns = np.column_stack([metadata[:, 0], _NAMES + metadata[:, 1], np.tile(2 * _NAMES + np.arange(extra), (n, 1))]).astype(np.int64)
-    return _Rows(np.repeat(np.arange(n), extra + 2), columns.ravel(), values.ravel(), n, 2 * _NAMES + extra)
-
-
-def co_train(text: _Rows, metadata: np.ndarray, y: np.ndarray, hold: np.ndarray, *, rounds: int, share: float, sure: float) -> CoTrained:
-    """``y`` is 1, 0 or -1 (unlabelled); ``hold`` marks labelled rows that only calibrate."""
-    center, spread = metadata[:, 2:].mean(0), metadata[:, 2:].std(0) + 1e-6
-    views = (text, _meta_rows(metadata, center, spread))
-    learn, pool = np.flatnonzero((y >= 0) & ~hold), np.flatnonzero(y < 0)
-    given = [np.full(len(y), -1.0), np.full(len(y), -1.0)]  # pseudo-labels that each view was handed
-    fits, log = [], []
-    for turn in range(rounds + 1):
-        fits = []
-        for view, x in enumerate(views):
-            rows = np.concatenate([learn, np.flatnonzero(given[view] >= 0)])
-            target = np.where(y[rows] >= 0, y[rows], given[view][rows])
-            # A pseudo-label counts for half.
-            fits.append(_fit(x.take(rows), target, np.where(y[rows] >= 0, 1.0, 0.5), 1e-3))
-        if turn == rounds or not len(pool):
-            break
-        good = float(np.mean(y[learn]))
-        handed = []
-        for view, (w, bias) in enumerate(fits):
-            p, other = _sigmoid(views[view].times(w) + bias), 1 - view
-            open_rows = pool[given[other][pool] < 0]
-            most = max(2, int(share * len(pool)))
-            up = [k for k in open_rows[np.argsort(-p[open_rows], kind="stable")][: max(1, round(most * good))] if p[k] >= sure]
-            down = [k for k in open_rows[np.argsort(p[open_rows], kind="stable")][: max(1, round(most * (1 - good)))] if p[k] <= 1 - sure]
-            handed.append((other, up, down))
-        for other, up, down in handed:
-            given[other][up], given[other][down] = 1.0, 0.0
-        log.append(tuple(len(up) + len(down) for _, up, down in handed))
-    held = np.flatnonzero(hold)
-    if len(held) < 20 or len(np.unique(y[held])) < 2:
-        held = np.flatnonzero(y >= 0)
-    raw = [x.times(w) + bias for x, (w, bias) in zip(views, fits)]
-    plates = []
-    for r, (_, bias) in zip(raw, fits):
-        a, b = _platt(r[held, None], y[held])
-        plates.append(np.array([a, b + a * bias]))
-    calibrated = np.column_stack([(r - bias) * f[0] + f[1] for r, (_, bias), f in zip(raw, fits, plates)])
-    return CoTrained(fits[0][0], plates[0], fits[1][0], plates[1], center, spread, _platt(calibrated[held], y[held]), log)
+    columns = np.column_stack([metadata[:, 0], _NAMES + metadata[:, 1], np.tile(2 * _NAMES + np.arange(_NUMBERS), (n, 1))]).astype(np.int64)
+    return _Rows(np.repeat(np.arange(n), _NUMBERS + 2), columns.ravel(), values.ravel(), n, 2 * _NAMES + _NUMBERS)
+
+
+def _odds(labelled: np.ndarray, given: np.ndarray) -> np.ndarray:
+    """Log odds of each feature between good (row 1) and bad, pseudo-labels together weighing as much as labels."""
+    logs = []
+    for own, more in zip(labelled, given):
+        mass = own + more * (own.sum() / more.sum() if more.sum() else 0.0) + _ALPHA
+        logs.append(np.log(mass / mass.sum()))
+    return logs[1] - logs[0]
+
+
+class Trainer:
+    """The labelled sample's features, with which the views are fitted anew after each round's counts."""
+
+    def __init__(self, text: _Rows, metadata: np.ndarray, y: np.ndarray, hold: np.ndarray):
+        self.text, self.metadata, self.y = text, metadata, y
+        learn = np.flatnonzero(~hold)
+        self.held = np.flatnonzero(hold)
+        if len(self.held) < 20 or len(np.unique(y[self.held])) < 2:
+            self.held = np.arange(len(y))
+        if len(np.unique(y[learn])) < 2:
+            learn = np.arange(len(y))
+        self.center, self.spread = metadata[learn, 2:].mean(0), metadata[learn, 2:].std(0) + 1e-6
+        self.edges = [np.unique(np.quantile(metadata[learn, k + 2], np.linspace(0, 1, _BINS + 1)[1:-1])) for k in range(_NUMBERS)]
+        self.plain = _meta_rows(metadata, self.center, self.spread)
+        cats = _categories(metadata, self.edges)
+        self.cats = _Rows(np.repeat(np.arange(len(y)), cats.shape[1]), cats.ravel(), np.ones(cats.size), len(y), _META)
+        self.models = [_fit(x.take(learn), y[learn], np.ones(len(learn)), 1e-3) for x in (text, self.plain)]
+        self.labelled = [np.stack([np.bincount(p.column, p.value * (y[learn][p.row] == k), p.width) for k in (0, 1)]) for p in (text.take(learn), self.cats.take(learn))]
+
+    def fit(self, given: tuple[np.ndarray, np.ndarray]) -> tuple[Views, np.ndarray]:
+        """The views with the features that each was handed so far, and their scores of the sample."""
+        fitted, scores = [], []
+        for (w, bias), x, own, counted, more in zip(self.models, (self.text, self.plain), (self.text, self.cats), self.labelled, given):
+            odds = _odds(counted, more)
+            both = np.column_stack([x.times(w) + bias, own.times(odds)])
+            a, b, c = _platt(both[self.held], self.y[self.held])
+            fitted.append((a * w, b * odds, a * bias + c))
+            scores.append(both @ [a, b] + c)
+        (tw, to, ts), (mw, mo, ms) = fitted
+        meta = mo.copy()
+        meta[: 2 * _NAMES] += mw[: 2 * _NAMES]
+        return Views(tw + to, ts, meta, mw[2 * _NAMES :], ms, self.center, self.spread, self.edges), np.column_stack(scores)
+
+
+def _handed(sent, known: np.ndarray, sure: float):
+    """Rows (doc_id, source, lang, text) to rows (part, counts): the features that the surer view hands to the other, summed.
+
+    Parts of 0 and up are ranges of the content view's counts, both classes; part -1 has the
+    metadata view's counts and the numbers of documents handed to either.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        views: Views = sent.value
+        limit = np.log(sure / (1 - sure))
+        text, meta, numbers = np.zeros((2, _TEXT), np.int64), np.zeros((2, _META), np.int64), np.zeros(2, np.int64)
+        for batch in batches:
+            ids = batch.column(0)
+            free = ~np.isin(ids.fill_null(0).to_numpy(zero_copy_only=False), known) | ids.is_null().to_numpy(zero_copy_only=False)
+            metadata = _metadata(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3))
+            cats = _categories(metadata, views.edges)
+            by_meta, by_text = views.meta_scores(metadata), views.text_scores(batch.column(3))
+            for k, (m, t) in enumerate(((by_meta <= -limit, by_text <= -limit), (by_meta >= limit, by_text >= limit))):
+                meta[k] += np.bincount(cats[free & t].ravel(), minlength=_META) * _UNIT
+                _add_shares(text[k], batch.column(3), free & m)
+                numbers += [(free & m).sum(), (free & t).sum()]
+        step = _TEXT // _PARTS
+        rows = [(k, text[:, k * step : (k + 1) * step]) for k in range(_PARTS)]
+        rows = [(k, x) for k, x in rows if x.any()] + [(-1, np.concatenate([meta.ravel(), numbers]))]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for _, x in rows], pa.binary())], names=["part", "counts"])
+
+    return work
+
+
+def _add_shares(total: np.ndarray, column: pa.Array, chosen: np.ndarray) -> None:
+    """Adds the content view's shares of the chosen rows to ``total``, in whole units."""
+    for first, raw, at in bw.chunks(column):
+        rows = np.flatnonzero(chosen[first : first + len(at) - 1])
+        if not len(rows):
+            continue
+        starts, ends, before = bw.word_spans(raw, at)
+        n = before[rows + 1] - before[rows]
+        pick = np.repeat(before[rows] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        share = np.repeat(_UNIT // np.maximum(n, 1), n)
+        for source, lower, shift in ((raw, True, 0), (_SHAPE[raw], False, 1 << _WORD_BITS)):
+            cells = (bw.word_hashes(source, starts[pick], ends[pick], lower=lower) >> _U(64 - _WORD_BITS)).astype(np.int64) + shift
+            found, back = np.unique(cells, return_inverse=True)
+            sums = np.zeros(len(found), np.int64)
+            np.add.at(sums, back, share)
+            total[found] += sums
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per part that reaches this task."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            more = np.frombuffer(zlib.decompress(counts), np.int64)
+            sums[part] = sums[part] + more if part in sums else more
+    for part, total in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["part", "counts"])
+
+
+def _exchange(docs: DataFrame, views: Views, known: np.ndarray, sure: float) -> tuple[tuple[np.ndarray, np.ndarray], tuple[int, int]]:
+    """What one round hands to the content and to the metadata view: counts by class, and how many documents."""
+    sent = docs.sparkSession.sparkContext.broadcast(views)
+    rows = docs.mapInArrow(_handed(sent, known, sure), "part int, counts binary").repartition(_PARTS + 1, "part").mapInArrow(_summed, "part int, counts binary")
+    text, meta, numbers, step = np.zeros((2, _TEXT)), np.zeros((2, _META)), (0, 0), _TEXT // _PARTS
+    for r in rows.collect():  # at most a row per part
+        found = np.frombuffer(zlib.decompress(r.counts), np.int64)
+        if r.part < 0:
+            meta, numbers = found[:-2].reshape(2, -1) / _UNIT, tuple(found[-2:].tolist())
+        else:
+            text[:, r.part * step : (r.part + 1) * step] = found.reshape(2, -1) / _UNIT
+    sent.destroy()
+    return (text, meta), numbers
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,26 +326,33 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", *, most_labelled: int = 6000, most_pool: int = 6000, rounds: int = 3, share: float = 0.1, sure: float = 0.9) -> CoTrained | float:
-    """Fits both views; the share of good labels instead if they are of one class (one half if there are none)."""
+def _plain(docs: DataFrame, id_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", *, most_labelled: int = 6000, rounds: int = 3, sure: float = 0.9) -> CoTrained | float:
+    """Co-trains both views; the share of good labels instead if they are of one class (one half if there are none).
+
+    ``sure`` is the calibrated probability from which a view hands a label on.
+    """
+    base = _plain(docs, id_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     named = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg(label_col) >= 0.5).cast("double").alias("y"))
-    chosen = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
-    pool = docs.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(most_pool)
-    # At most most_labelled + most_pool ids.
-    ids = pool.distinct().join(chosen, "doc_id", "full").select("doc_id", F.coalesce("y", F.lit(-1.0)).alias("y"))
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col("text").cast("string"))
-    rows = base.join(F.broadcast(ids), "doc_id").mapInArrow(_sampled, "doc_id long, y double, features array<long>, shares array<double>, metadata array<double>")
-    found = rows.toArrow().sort_by([("doc_id", "ascending")])
-    _, once = np.unique(found["doc_id"].to_numpy(), return_index=True)
-    found = found.take(pa.array(once))
-    y = found["y"].to_numpy()
-    if len(np.unique(y[y >= 0])) < 2:
-        return float(y[y >= 0].mean()) if (y >= 0).any() else 0.5
+    chosen = named.join(base.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
+    rows = base.join(F.broadcast(chosen), "doc_id")  # at most most_labelled ids
+    rows = rows.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "source", "lang", "text")).alias("d")).select("doc_id", "d.source", "d.lang", "d.text", "y")
+    found = rows.mapInArrow(_sampled, "doc_id long, y double, features array<long>, shares array<double>, metadata array<double>").toArrow().sort_by([("doc_id", "ascending")])
+    y, ids = found["y"].to_numpy(), found["doc_id"].to_numpy()
+    if len(np.unique(y)) < 2:
+        return float(y.mean()) if len(y) else 0.5
     lists = found["features"].combine_chunks()
-    sizes = lists.value_lengths().to_numpy()
-    text = _Rows(np.repeat(np.arange(len(y)), sizes), lists.flatten().to_numpy(), found["shares"].combine_chunks().flatten().to_numpy(), len(y), 2 << _WORD_BITS)
-    hold = (y >= 0) & (bw.mix(found["doc_id"].to_numpy().view(_U)) % _U(5) == 0)
-    return co_train(text, np.array(found["metadata"].to_pylist()), y, hold, rounds=rounds, share=share, sure=sure)
+    text = _Rows(np.repeat(np.arange(len(y)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy(), found["shares"].combine_chunks().flatten().to_numpy(), len(y), _TEXT)
+    trainer = Trainer(text, np.array(found["metadata"].to_pylist()), y, bw.mix(ids.view(_U)) % _U(5) == 0)
+    given, log = (np.zeros((2, _TEXT)), np.zeros((2, _META))), []
+    for _ in range(rounds):
+        given, numbers = _exchange(base, trainer.fit(given)[0], ids, sure)
+        log.append(numbers)
+    views, scores = trainer.fit(given)
+    return CoTrained(views, _platt(scores[trainer.held], y[trainer.held]), log)
 
 
 def score(docs: DataFrame, model: CoTrained | float, id_col: str = "doc_id", *, threshold: float = 0.5) -> DataFrame:
@@ -244,14 +362,13 @@ def score(docs: DataFrame, model: CoTrained | float, id_col: str = "doc_id", *,
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = sent.value
         for batch in batches:
-            n = len(batch)
             if isinstance(made, float):
-                found = (np.full(n, made),) * 3
+                found = (np.full(len(batch), made),) * 3
             else:
                 meta = _metadata(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3))
-                found = made.scores(_content_scores(batch.column(3), made.text), meta)
+                found = made.scores(made.views.text_scores(batch.column(3)), made.views.meta_scores(meta))
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (found[2], found[0], found[1], found[2] >= threshold))], names=["doc_id", "score", "text_score", "meta_score", "kept"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col("text").cast("string"))
+    rows = _plain(docs, id_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(work, f"doc_id {kind}, score double, text_score double, meta_score double, kept boolean")

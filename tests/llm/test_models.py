@@ -131,6 +131,63 @@ def test_co_training(spark, graded):
         assert np.mean([(by[k][view] > 0.5) == bool(truth[k]) for k in range(120, 500)]) > 0.9
 
 
+def test_co_training_against_plain_sums(spark, graded):
+    """The exchange over Spark gives the rows that loops over all documents give."""
+    rows, truth = graded
+    rows = [*rows, (900, None, None, None), (901, "", "en", "new"), (902, "word " * 9000, "en", "a"), (None, rows[0][1], "en", "a"), rows[200]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(k, truth[k]) for k in range(150)], "doc_id long, quality int")
+    model = qc.train(docs.repartition(4), labels, rounds=2, sure=0.8)
+    assert all(a > 50 and b > 50 for a, b in model.rounds)
+
+    import pyarrow as pa
+
+    def features(some):
+        texts = pa.array([r[1] for r in some], pa.string())
+        content = {k: dict(zip(f.tolist(), v.tolist())) for k, f, v in qc._content(texts)}
+        return [content.get(k, {}) for k in range(len(some))], qc._metadata([r[3] for r in some], [r[2] for r in some], texts)
+
+    learn = sorted(rows[:150])
+    content, meta = features(learn)
+    flat = [(k, f, v) for k, x in enumerate(content) for f, v in sorted(x.items())]
+    text = qc._Rows(*(np.array(c) for c in zip(*flat)), len(learn), qc._TEXT)
+    y = np.array([float(truth[r[0]]) for r in learn])
+    hold = qc.bw.mix(np.array([r[0] for r in learn]).view(np.uint64)) % np.uint64(5) == 0
+    trainer = qc.Trainer(text, meta, y, hold)
+    rest = [r for r in rows if r[0] is None or r[0] >= 150]
+    content, meta = features(rest)
+    given = (np.zeros((2, qc._TEXT)), np.zeros((2, qc._META)))
+    for turn in range(2):
+        views, _ = trainer.fit(given)
+        given, handed = (np.zeros((2, qc._TEXT)), np.zeros((2, qc._META))), [0, 0]
+        for k, x in enumerate(content):
+            t = sum(views.text[f] * v for f, v in x.items()) + views.text_shift
+            m = views.meta_scores(meta[k : k + 1])[0]
+            for label, sure in ((0, lambda p: p <= 0.2), (1, lambda p: p >= 0.8)):
+                if sure(1 / (1 + np.exp(-m))):
+                    handed[0] += 1
+                    for f, v in x.items():
+                        given[0][label, f] += v
+                if sure(1 / (1 + np.exp(-t))):
+                    handed[1] += 1
+                    given[1][label, qc._categories(meta[k : k + 1], views.edges)[0]] += 1
+        assert tuple(handed) == model.rounds[turn]
+    views, scores = trainer.fit(given)
+    assert np.allclose(views.text, model.views.text, atol=1e-5) and np.allclose(views.meta, model.views.meta, atol=1e-5)
+    want = {r[0]: t for r, t in zip(rest, [sum(views.text[f] * v for f, v in x.items()) + views.text_shift for x in content])}
+    for r in qc.score(docs, model).collect():
+        if r.doc_id in want and r.doc_id != 900:
+            assert r.text_score == pytest.approx(1 / (1 + np.exp(-want[r.doc_id])), abs=1e-4)
+
+
+def test_repeated_ids_are_one_labelled_document(spark, graded):
+    rows, truth = graded
+    twice = [*rows, *[(k, f"another text {j} of {k}", "en", "a") for k in range(40) for j in range(3)]]
+    labels = spark.createDataFrame([(k, truth[k]) for k in range(120)], "doc_id long, quality int")
+    made = [qc.train(spark.createDataFrame(x, "doc_id long, text string, lang string, source string").repartition(n), labels, rounds=1) for x, n in ((twice, 2), (twice[::-1], 5))]
+    assert np.array_equal(made[0].views.text, made[1].views.text) and made[0].rounds == made[1].rounds
+
+
 def test_labels_of_one_class_or_none(spark, graded):
     docs = spark.createDataFrame(graded[0][:20], "doc_id long, text string, lang string, source string")
     labels = spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, quality int")
