@@ -1,6 +1,6 @@
-"""Command line: ``order``, ``bam2tag``, ``valid-bam`` and ``gc``.
+"""Command line: ``run``, ``order``, ``bam2tag``, ``valid-bam`` and ``gc``.
 
-``order`` takes every field of Config as an option, with dashes.
+``run`` and ``order`` take every field of Config as an option, with dashes.
 """
 
 from __future__ import annotations
@@ -30,10 +30,17 @@ def parser() -> argparse.ArgumentParser:
     order = sub.add_parser("order", help="order cells and infer the timing track")
     for name in ("fragments", "chrom-sizes", "anchor-bedgraph", "outdir"):
         order.add_argument(f"--{name}", required=True)
-    order.add_argument("--blacklist")
-    for f in dataclasses.fields(Config):
-        kind = {"bool": parse_bool, "int": int, "float": float}.get(str(f.type), str)
-        order.add_argument(f"--{f.name.replace('_', '-')}", type=kind, default=f.default)
+    run = sub.add_parser("run", help="from an alignment and a genome to the order: fragments, GC anchor and order in one")
+    for name in ("bam", "fasta", "chrom-sizes", "outdir"):
+        run.add_argument(f"--{name}", required=True)
+    run.add_argument("--barcode-tag", default="CB")
+    run.add_argument("--min-mapq", type=int, default=0)
+    run.add_argument("--window", type=int, default=200_000)
+    for command in (order, run):
+        command.add_argument("--blacklist")
+        for f in dataclasses.fields(Config):
+            kind = {"bool": parse_bool, "int": int, "float": float}.get(str(f.type), str)
+            command.add_argument(f"--{f.name.replace('_', '-')}", type=kind, default=f.default)
     tag = sub.add_parser("bam2tag", help="fragments and barcode counts of an alignment")
     tag.add_argument("-b", "--bam", required=True, help="a BAM or, by suffix, a SAM file")
     tag.add_argument("-p", "--prefix", required=True)
@@ -67,26 +74,48 @@ def main(argv: list[str] | None = None) -> int:
 
 
 def _order(spark, args) -> None:
+    from repliphase.sources import text_tables
+
+    _analyse(spark, args, lambda: text_tables.read_fragments(spark, args.fragments), lambda chroms: text_tables.read_bedgraph(spark, args.anchor_bedgraph, chroms))
+
+
+def _run(spark, args) -> None:
+    from repliphase.functions.storage import settled
+    from repliphase.sources import fasta, text_tables
+
+    def anchor(chroms):
+        return text_tables.on_chroms(fasta.gc_windows(spark, args.fasta, args.window), chroms).select("h", "s", "e", "value")
+
+    _analyse(spark, args, lambda: settled(_fragments(spark, args)), anchor)
+
+
+def _analyse(spark, args, fragments, anchor) -> None:
     from repliphase.plans import ordering
     from repliphase.sources import text_tables
 
     config = Config(**{f.name: getattr(args, f.name) for f in dataclasses.fields(Config)})
     chroms = text_tables.read_chrom_sizes(spark, args.chrom_sizes, config.chroms)
     blacklist = text_tables.read_intervals(spark, args.blacklist, chroms) if args.blacklist else None
-    anchor = text_tables.read_bedgraph(spark, args.anchor_bedgraph, chroms)
-    result = ordering.Ordering(text_tables.read_fragments(spark, args.fragments), chroms, anchor, blacklist, config).run()
+    result = ordering.Ordering(fragments(), chroms, anchor(chroms), blacklist, config).run()
     ordering.write(result, args.outdir, config.sample)
 
 
-def _bam2tag(spark, args) -> None:
-    from repliphase.sources import bam, sinks, text_tables
+def _fragments(spark, args):
+    """Fragments of the records of an alignment that have the tag."""
+    from repliphase.sources import bam, text_tables
 
     if args.bam.endswith((".sam", ".sam.gz")):
         rows = text_tables.read_sam(spark, args.bam)
     else:
         spark.dataSource.register(bam.BamSource)
         rows = spark.read.format("bam").load(args.bam).where("size(tags) > 0").withColumn("seq", F.monotonically_increasing_id())
-    found = text_tables.sam_fragments(rows, args.barcode_tag, args.min_mapq)
+    return text_tables.sam_fragments(rows, args.barcode_tag, args.min_mapq)
+
+
+def _bam2tag(spark, args) -> None:
+    from repliphase.sources import sinks, text_tables
+
+    found = _fragments(spark, args)
     table = found.select(F.col("chrom").alias("chr"), F.col("s").alias("start"), F.col("e").alias("end"), F.col("barcode").alias(args.barcode_tag), F.lit(1).alias("count"))
     sinks.write_table(table, f"{args.prefix}.fragments.txt", header=not args.no_header)
     counts = text_tables.barcode_counts(found).select(F.col("barcode").alias(args.barcode_tag), F.col("n").alias("count"))

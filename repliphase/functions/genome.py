@@ -43,7 +43,7 @@ def aliases(chroms: DataFrame) -> DataFrame:
 
 
 def expand_spec(spec: str, names: list[str]) -> list[str]:
-    """The names that a specification selects: ``auto``, ``auto+x``, or a list with ranges such as ``chr1-chr5``.
+    """The names that a specification selects: ``auto`` or ``autosomes``, either with ``+x`` (or ``auto_x``), or a list with ranges such as ``chr1-chr5``.
 
     Entries may leave ``chr`` out; an unknown entry is an error.
     """
@@ -52,9 +52,9 @@ def expand_spec(spec: str, names: list[str]) -> list[str]:
 
     numbered = [n for n in names if core(n).isdigit()]
     token = spec.strip().lower()
-    if token == "auto":
+    if token in ("auto", "autosomes"):
         return numbered
-    if token == "auto+x":
+    if token in ("auto+x", "autosomes+x", "auto_x"):
         return numbered + [n for n in names if core(n).upper() == "X"]
     by_alias: dict[str, str] = {}
     for name in names:

@@ -379,6 +379,65 @@ def quantile_map(t):
     return stats.quantile_map(cells, "n", "v", cells.select("cell", (F.col("n") * 1.25 - 10).alias("q")), "q").select("cell", *_six("mapped"))
 
 
+def _replicates(t: Tables) -> DataFrame:
+    return t.events().groupBy("cell", F.expr("cast(seq % 8 as int)").alias("rep")).agg(F.round(F.avg("value"), 6).alias("x"))
+
+
+_REPS = "rp AS (SELECT cell, (seq % 8)::INT AS rep, round(avg(value), 6) AS x FROM ev GROUP BY 1, 2)"
+
+
+def _knots(x: str, y: str, rows: str) -> str:
+    """Knots by rep of ``rows`` (rep, x, y), as qa, qb and ks of ``quantile_map`` have them."""
+    return f"""ra AS (SELECT rep, {x} AS x, row_number() OVER (PARTITION BY rep ORDER BY {x}) AS r, count(*) OVER (PARTITION BY rep) AS pairs FROM {rows}), rb AS (SELECT rep, {y} AS y, row_number() OVER (PARTITION BY rep ORDER BY {y}) AS r FROM {rows}),
+rx AS (SELECT rep, x, avg(y) AS y, max(pairs) AS pairs FROM ra JOIN rb USING (rep, r) GROUP BY rep, x),
+rs AS (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2, row_number() OVER w AS k, count(*) OVER (PARTITION BY rep) AS c FROM rx WINDOW w AS (PARTITION BY rep ORDER BY x))"""
+
+
+def _mapped(least: int) -> str:
+    return f"""mq AS (SELECT q.rep, q.cell, CASE WHEN pairs IS NULL OR pairs < {least} THEN q.q ELSE y + CASE WHEN c = 1 THEN 0 ELSE (y2 - y) / greatest(x2 - rs.x, 1e-12::DOUBLE) END * (q.q - rs.x) END AS p
+FROM q LEFT JOIN rs ON rs.rep = q.rep AND (x2 IS NOT NULL OR c = 1) AND (k = 1 OR q.q >= rs.x) AND (k >= c - 1 OR q.q < x2))"""
+
+
+@_query("SELECT rep, cell, round(p, 5) AS coord FROM mq", _REPS, "pv AS (SELECT rp.rep, rp.cell, x, v FROM rp JOIN pc USING (cell))", _knots("x", "v", "pv"), "q AS (SELECT rep, cell, x * 1.02::DOUBLE AS q FROM rp)", _mapped(20))
+def replicate_calibration(t):
+    """Values of each replicate mapped to the scale of the whole, every replicate with knots of its own."""
+    reps = _replicates(t)
+    asked = reps.select("rep", "cell", (F.col("x") * 1.02).alias("hat"))
+    found = stats.quantile_map(reps.join(t.per_cell(), "cell"), "x", "v", asked, "hat", "coord", keys=["rep"])
+    return found.select("rep", "cell", F.round("coord", 5).alias("coord"))
+
+
+@_query("SELECT cell, count(p) AS n_used, round(stddev_pop(p), 5) AS sd, round(quantile_cont(p, 0.1), 5) AS lo10, round(quantile_cont(p, 0.9), 5) AS hi90 FROM mq GROUP BY cell",
+  _REPS, "pr AS (SELECT cell, v, (row_number() OVER (ORDER BY n, v, cell) - 0.5::DOUBLE) / count(*) OVER () AS y FROM pc)", "pv AS (SELECT rep, v, y FROM pr, (SELECT DISTINCT rep FROM rp))", _knots("v", "y", "pv"), "q AS (SELECT rep, cell, x AS q FROM rp)", _mapped(5))
+def bootstrap_final_scale(t):
+    """The spread of each cell's replicates once they are on the scale of the final order."""
+    reps = _replicates(t)
+    order = timing.total_order(t.per_cell(), ["n", "v", "cell"])
+    knots = order.select("v", "progression", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("rep"))
+    mapped = stats.quantile_map(knots, "v", "progression", reps, "x", "p", 5, keys=["rep"])
+    return stats.reduce_replicates(mapped, "cell", "p").select("cell", "n_used", *[F.round(c, 5).alias(c) for c in ("sd", "lo10", "hi90")])
+
+
+@_query("""SELECT rho > 0 AS flipped, round(rho, 6) AS rho FROM (SELECT corr(a, b) AS rho FROM (
+  SELECT rank() OVER (ORDER BY x) AS a, rank() OVER (ORDER BY ca) + (count(*) OVER (PARTITION BY ca) - 1) / 2.0::DOUBLE AS b FROM (
+    SELECT cell, row_number() OVER (ORDER BY n, v, cell) AS x FROM pc) JOIN (
+    SELECT cell, round(sum(am.value) / count(*), 6) AS ca FROM eb JOIN us USING (h, bin) JOIN am USING (h, bin) GROUP BY cell) USING (cell)))""")
+def anchor_orientation(t):
+    """Whether the order is turned so that it runs from early to late, by its correlation with the anchor."""
+    anchor = events.cell_anchor(t.events(), t.chroms(), RT, t.usable(), intervals.bin_means(t.chroms(), t.anchor(), RT)).select("cell", *_six("cell_anchor"))
+    flip, rho = timing.orientation(_ordered(t).join(anchor, "cell"), "progression", "cell_anchor")
+    return t.spark.createDataFrame([(flip, rho)], "flipped boolean, rho double").select("flipped", *_six("rho"))
+
+
+@_query("""SELECT cell, CASE WHEN e < 0.01 OR e * n < 0.5 THEN 'NO_STRUCTURE_FAIL' WHEN coalesce(valid, 0) < 10 THEN 'LOW_INFO_FAIL' ELSE 'PASS' END AS status FROM (
+  SELECT cell, n, round((v - 50) / 100, 6) AS e FROM pc) LEFT JOIN (
+  SELECT cell, count(*) FILTER (m > 0) AS valid FROM (SELECT cell, least(count(*), nb - count(*)) AS m FROM occ JOIN bk USING (col) JOIN nb USING (block) GROUP BY cell, block, nb) GROUP BY cell) USING (cell)""")
+def structure_gate(t):
+    """The structure and information gates, in their order."""
+    rows = t.per_cell().withColumn("excess", F.round((F.col("v") - 50) / 100, 6)).withColumn("z", F.col("excess") * F.col("n"))
+    return gates.structure_status(rows.join(matrix.information(t.occupancy(), t.blocks()), "cell", "left"), 0.01, 0.5, 10).select("cell", "status")
+
+
 @_query("""SELECT round(CASE WHEN count(*) >= 5 THEN corr(a, b) END, 6) AS rho, count(*) AS n FROM (
   SELECT rank() OVER (ORDER BY n) + (count(*) OVER (PARTITION BY n) - 1) / 2.0::DOUBLE AS a, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0::DOUBLE AS b FROM pc)""")
 def spearman(t):

@@ -10,6 +10,8 @@ from repliphase.operators import events as ev_ops
 from repliphase.operators import intervals, matrix
 
 SIZE, RT, GRAPH = 2_592_000, 86_400, 21_600
+#: How many suppliers' intervals have their full width in all.
+WIDE, NARROW = 100, 34
 NAMES = ("click", "error", "purchase", "signup", "view")
 
 
@@ -43,9 +45,10 @@ class Tables:
         return self.read("events").selectExpr("event_id as seq", "user_id as cell", f"{h} as h", f"{p} as p", "value")
 
     def blacklist(self, overlapping: bool = False) -> DataFrame:
-        s = "(s_suppkey * 104729) % 2500000"
-        rows = self.read("supplier").where("s_suppkey < 100" if overlapping else "s_suppkey < 100 and s_suppkey % 3 = 0")
-        return rows.selectExpr("cast(s_suppkey % 5 as int) as h", f"{s} as s", f"{s} + 2000 + (s_suppkey % 7) * 25000 as e")
+        """An interval per supplier; widths shrink with their number, so that they cover the same share at any scale."""
+        rows, s = self.read("supplier"), "(s_suppkey * 104729) % 2500000"
+        width = f"greatest(1, (2000 + (s_suppkey % 7) * 25000) * {WIDE if overlapping else NARROW} div {max(1, rows.count())})"
+        return rows.selectExpr("cast(s_suppkey % 5 as int) as h", f"{s} as s", f"{s} + {width} as e")
 
     @_once
     def merged(self) -> DataFrame:
@@ -108,12 +111,18 @@ def means_sql(width: int) -> str:
 
 
 _S = "(s_suppkey * 104729) % 2500000"
+
+
+def _width(full: int) -> str:
+    return f"greatest(1, (2000 + (s_suppkey % 7) * 25000) * {full} // (SELECT count(*) FROM supplier))"
+
+
 _PAIR = "LEFT JOIN n11 ON n11.block = a.block AND n11.i = a.cell AND n11.j = b.cell"
 PREFIX = f"""WITH chroms AS (SELECT h, name, {SIZE}::BIGINT AS size FROM (VALUES {', '.join(f"({k}, '{n}')" for k, n in enumerate(NAMES))}) t(h, name)),
 ev AS (SELECT event_id AS seq, user_id AS cell, CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS h,
   (epoch_us(ts) - 1704067200000000) // 1000000 AS p, value FROM events),
-bo AS (SELECT (s_suppkey % 5)::INT AS h, {_S} AS s, {_S} + 2000 + (s_suppkey % 7) * 25000 AS e FROM supplier WHERE s_suppkey < 100),
-bl AS (SELECT (s_suppkey % 5)::INT AS h, {_S} AS s, {_S} + 2000 + (s_suppkey % 7) * 25000 AS e FROM supplier WHERE s_suppkey < 100 AND s_suppkey % 3 = 0),
+bo AS (SELECT (s_suppkey % 5)::INT AS h, {_S} AS s, {_S} + {_width(WIDE)} AS e FROM supplier),
+bl AS (SELECT (s_suppkey % 5)::INT AS h, {_S} AS s, {_S} + {_width(NARROW)} AS e FROM supplier),
 bm AS ({merged_sql("bl")}),
 an AS (SELECT h, w * {GRAPH} AS s, (w + 1) * {GRAPH} AS e, round(avg(value), 6) AS value FROM (SELECT h, p // {GRAPH} AS w, value FROM ev) GROUP BY h, w),
 sam AS (SELECT l_orderkey * 10 + l_linenumber AS seq, concat(l_returnflag, l_linestatus) AS chrom, l_partkey AS pos, l_quantity::INT AS mapq,

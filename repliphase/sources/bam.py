@@ -1,13 +1,17 @@
 """BAM files as a Spark data source (``format("bam")``): BGZF read with zlib, records by their layout.
 
 Columns: name, flag, chrom, pos (1-based, 0 if unplaced), mapq, cigar, tags (``TAG:Z:VALUE`` of
-the string tags) and raw, the record's bytes. Each file is one partition; options: ``path``
-(local to every executor).
+the string tags) and raw, the record's bytes. Options: ``path``, a file, a pattern of local files
+or a URI that Arrow's file systems open (``hdfs://``, ``s3://``), and ``split``, the bytes of a file
+that one task reads. A task begins at the first block after its first byte and, in it, at the first
+place from which a run of well-formed records follows; it ends before the first record that
+begins in the next task's blocks.
 """
 
 from __future__ import annotations
 
 import glob
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -30,32 +34,150 @@ class BamSource(DataSource):
         return "name string, flag int, chrom string, pos long, mapq int, cigar string, tags array<string>, raw binary"
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"])
+        return _Reader(self.options["path"], int(self.options.get("split", 64 << 20)))
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+class _Part(InputPartition):
+    def __init__(self, path: str, start: int, stop: int):
+        self.path, self.start, self.stop = path, start, stop
+
+
+def _files(path: str) -> list[tuple[str, int]]:
+    """The files of a path with their sizes."""
+    from pyarrow import fs
+
+    if "://" not in path:
+        return [(p, fs.LocalFileSystem().get_file_info(p).size) for p in sorted(glob.glob(path))]
+    system, inner = fs.FileSystem.from_uri(path)
+    info = system.get_file_info(inner)
+    if info.type != fs.FileType.Directory:
+        return [(path, info.size)]
+    return [(path.rstrip("/") + "/" + x.base_name, x.size) for x in system.get_file_info(fs.FileSelector(inner)) if x.type == fs.FileType.File]
+
+
+def _open(path: str):
+    from pyarrow import fs
+
+    if "://" not in path:
+        return open(path, "rb")  # noqa: SIM115
+    system, inner = fs.FileSystem.from_uri(path)
+    return system.open_input_file(inner)
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, split: int):
+        self.path, self.split = path, split
 
     def partitions(self) -> list[InputPartition]:
-        return [_File(p) for p in sorted(glob.glob(self.path))]
+        return [_Part(p, at, min(at + self.split, size)) for p, size in _files(self.path) for at in range(0, max(size, 1), self.split)]
 
-    def read(self, partition: _File) -> Iterator[tuple]:
+    def read(self, partition: _Part) -> Iterator[tuple]:
         with Bgzf(partition.path) as stream:
-            _, names = read_header(stream)
-            yield from records(stream, names)
+            header, names = read_header(stream)
+        for raw in _raw_records(partition.path, partition.start, partition.stop, len(header), len(names)):
+            yield parsed(raw, names)
+
+
+# Fixed values of the format: how a block begins, with the field that holds its size.
+_BLOCK = re.compile(rb"\x1f\x8b\x08\x04.{6}\x06\x00BC\x02\x00", re.DOTALL)
+_PROBE, _SURE = 1 << 20, 8
+
+
+def _blocks(path: str, start: int) -> Iterator[tuple[int, bytes]]:
+    """(offset in the file, bytes) of the blocks that begin at ``start`` or later."""
+    with _open(path) as file:
+        file.seek(start)
+        held, base, found = b"", start, start == 0
+        while True:
+            while not found:
+                # A block's size leads to another block or to the end of the file.
+                more = file.read(1 << 18)
+                held += more
+                for match in _BLOCK.finditer(held):
+                    after = match.start() + struct.unpack_from("<H", held, match.start() + 16)[0] + 1 if match.start() + 18 <= len(held) else len(held) + 1
+                    if _BLOCK.match(held, after) or (not more and after == len(held)):
+                        held, base, found = held[match.start() :], base + match.start(), True
+                        break
+                if not found and not more:
+                    return
+            while len(held) < 18 or len(held) < struct.unpack_from("<H", held, 16)[0] + 1:
+                if not (more := file.read(1 << 18)):
+                    return
+                held += more
+            size = struct.unpack_from("<H", held, 16)[0] + 1
+            yield base, zlib.decompress(held[:size], 31)
+            held, base = held[size:], base + size
+
+
+def _plausible(data: bytes, at: int, refs: int) -> int:
+    """The size of a well-formed record at this place, 0 if there is none."""
+    if at + 36 > len(data):
+        return 0
+    size, ref, pos, l_name, _, _, n_cigar, _, l_seq, mate, mate_pos = struct.unpack_from("<iiiBBHHHiii", data, at)
+    if not (32 <= size < 1 << 28 and -1 <= ref < refs and -1 <= mate < refs and pos >= -1 and mate_pos >= -1 and l_name and l_seq >= 0):
+        return 0
+    if 32 + l_name + 4 * n_cigar + (l_seq + 1) // 2 + l_seq > size:
+        return 0
+    name = data[at + 36 : at + 36 + l_name]
+    if len(name) == l_name and (name[-1] or any(not 33 <= c <= 126 for c in name[:-1])):
+        return 0
+    return size + 4
+
+
+def _first_record(data: bytes, refs: int, whole: bool) -> int | None:
+    """Where the first run of well-formed records begins; ``whole`` if the data end with the file."""
+    for at in range(len(data) - 35):
+        place, n = at, 0
+        while n < _SURE and (size := _plausible(data, place, refs)):
+            place, n = place + size, n + 1
+        if n and (n == _SURE or place == len(data) or (not whole and place > len(data) - 36)):
+            return at
+    return None
+
+
+def _raw_records(path: str, start: int, stop: int, header: int, refs: int) -> Iterator[bytes]:
+    """The records that begin in blocks from ``start`` to ``stop``, each with its size before it."""
+    blocks = _blocks(path, start)
+    data, ends, more = b"", [], True  # ends: (where a block's bytes end, where the block began in the file)
+
+    def grow() -> bool:
+        nonlocal data, more
+        offset, raw = next(blocks, (None, b""))
+        if offset is None:
+            more = False
+            return False
+        data += raw
+        ends.append((len(data), offset))
+        return True
+
+    at = header
+    if start:
+        while len(data) < _PROBE and grow():
+            pass
+        if (at := _first_record(data, refs, not more)) is None:
+            return
+    while True:
+        while len(data) < at + 4 or len(data) < at + 4 + struct.unpack_from("<i", data, at)[0]:
+            if not grow():
+                return
+        if next(offset for end, offset in ends if at < end) >= stop:
+            return
+        size = 4 + struct.unpack_from("<i", data, at)[0]
+        yield data[at : at + size]
+        at += size
+        if at > _PROBE:
+            done = [(end, offset) for end, offset in ends if end <= at]
+            if done:
+                cut = done[-1][0]
+                data, at = data[cut:], at - cut
+                ends[:] = [(end - cut, offset) for end, offset in ends[len(done) :]]
 
 
 class Bgzf:
     """A stream of the bytes within a file of gzip members."""
 
     def __init__(self, path: str):
-        self._file, self._inflate, self._held = open(path, "rb"), None, b""  # noqa: SIM115
+        self._file, self._inflate, self._held = _open(path), None, b""
 
     def __enter__(self) -> Bgzf:
         return self
@@ -76,7 +198,7 @@ class Bgzf:
                 self._inflate = None
                 if raw:
                     # Bytes of the next member go back for the next call.
-                    self._file.seek(-len(raw), 1)
+                    self._file.seek(self._file.tell() - len(raw))
                     raw = b""
             if out:
                 return out
@@ -109,15 +231,15 @@ def read_header(stream: Bgzf) -> tuple[bytes, list[str]]:
     return raw, names
 
 
-def records(stream: Bgzf, names: list[str]) -> Iterator[tuple]:
-    while len(size := stream.read(4)) == 4:
-        raw = stream.read(struct.unpack("<i", size)[0])
-        ref, pos, l_name, mapq, _, n_cigar, flag, l_seq = struct.unpack_from("<iiBBHHHi", raw)
-        at = 32 + l_name
-        ops = struct.unpack_from(f"<{n_cigar}I", raw, at)
-        cigar = "".join(f"{x >> 4}{_OPS[x & 15]}" for x in ops) or "*"
-        tags = list(_string_tags(raw, at + 4 * n_cigar + (l_seq + 1) // 2 + l_seq))
-        yield raw[32 : at - 1].decode(), flag, names[ref] if ref >= 0 else "*", pos + 1, mapq, cigar, tags, size + raw
+def parsed(record: bytes, names: list[str]) -> tuple:
+    """The columns of a record."""
+    raw = memoryview(record)[4:]
+    ref, pos, l_name, mapq, _, n_cigar, flag, l_seq = struct.unpack_from("<iiBBHHHi", raw)
+    at = 32 + l_name
+    ops = struct.unpack_from(f"<{n_cigar}I", raw, at)
+    cigar = "".join(f"{x >> 4}{_OPS[x & 15]}" for x in ops) or "*"
+    tags = list(_string_tags(bytes(raw), at + 4 * n_cigar + (l_seq + 1) // 2 + l_seq))
+    return bytes(raw[32 : at - 1]).decode(), flag, names[ref] if ref >= 0 else "*", pos + 1, mapq, cigar, tags, record
 
 
 def _string_tags(raw: bytes, at: int) -> Iterator[str]:
@@ -150,7 +272,8 @@ def compressed(raw: bytes) -> bytes:
 def filter_bam(spark, source: str, target: str, barcodes: set[str] | list[str], tag: str = "CB") -> int:
     """Writes the records whose tag is one of the barcodes, with the header of ``source``; returns their number.
 
-    Records pass through the driver one partition at a time, as the result is a single file.
+    Tasks compress their records; the driver only puts their blocks one behind the other, as the
+    result is a single file.
     """
     from pyspark.sql import functions as F
 
@@ -162,11 +285,18 @@ def filter_bam(spark, source: str, target: str, barcodes: set[str] | list[str],
     wanted = spark.createDataFrame([(b,) for b in barcodes], "barcode string").distinct()
     rows = spark.read.format("bam").load(source).withColumn("barcode", tag_value(F.col("tags"), tag))
     kept = rows.join(F.broadcast(wanted), "barcode", "left_semi") if len(barcodes) < 1_000_000 else rows.join(wanted, "barcode", "left_semi")
+
+    def packed(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([compressed(b"".join(batch.column(0).to_pylist()))]), pa.array([batch.num_rows])], names=["blocks", "n"])
+
     n = 0
     with open(target, "wb") as out:
         out.write(compressed(header))
-        for row in kept.select("raw").toLocalIterator():
-            out.write(compressed(bytes(row.raw)))
-            n += 1
+        for row in kept.select("raw").mapInArrow(packed, "blocks binary, n long").toLocalIterator():
+            out.write(row.blocks)
+            n += row.n
         out.write(EOF_BLOCK)
     return n

@@ -35,7 +35,7 @@ def read_chrom_sizes(spark: SparkSession, path: str, spec: str = "auto+x", minim
     return spark.createDataFrame([(k, r["name"], r["size"]) for k, r in enumerate(kept)], "h int, name string, size long")
 
 
-def _on_chroms(rows: DataFrame, chroms: DataFrame) -> DataFrame:
+def on_chroms(rows: DataFrame, chroms: DataFrame) -> DataFrame:
     """Rows with a known ``chrom``, as its number h."""
     return rows.join(genome.aliases(chroms), F.col("chrom") == F.col("alias")).drop("chrom", "alias")
 
@@ -44,7 +44,7 @@ def read_intervals(spark: SparkSession, path: str, chroms: DataFrame) -> DataFra
     """Merged intervals (h, s, e) of a BED file."""
     parts = F.split("value", r"\s+")
     rows = _lines(spark, path).where(~F.rlike(F.col("value"), F.lit(_TRACK))).select(F.get(parts, 0).alias("chrom"), F.get(parts, 1).try_cast("long").alias("s"), F.get(parts, 2).try_cast("long").alias("e"))
-    return intervals.merge(_on_chroms(rows.where("e > s"), chroms))
+    return intervals.merge(on_chroms(rows.where("e > s"), chroms))
 
 
 def read_bedgraph(spark: SparkSession, path: str, chroms: DataFrame) -> DataFrame:
@@ -52,7 +52,7 @@ def read_bedgraph(spark: SparkSession, path: str, chroms: DataFrame) -> DataFram
     parts = F.split("value", r"\s+")
     rows = _lines(spark, path).where(~F.rlike(F.col("value"), F.lit(_TRACK)) & (F.size(parts) >= 4))
     rows = rows.select(F.get(parts, 0).alias("chrom"), F.get(parts, 1).try_cast("long").alias("s"), F.get(parts, 2).try_cast("long").alias("e"), F.get(parts, 3).try_cast("double").alias("value"))
-    return _on_chroms(rows.where("e > s and not isnan(value) and abs(value) < double('infinity')"), chroms).select("h", "s", "e", "value")
+    return on_chroms(rows.where("e > s and not isnan(value) and abs(value) < double('infinity')"), chroms).select("h", "s", "e", "value")
 
 
 def sniff_fragments(spark: SparkSession, path: str) -> tuple[int, bool]:
@@ -85,7 +85,7 @@ def valid_fragments(rows: DataFrame, chroms: DataFrame, min_length: int = 0, max
         ok = ok.where(F.col("e") - F.col("s") >= min_length)
     if max_length > 0:
         ok = ok.where(F.col("e") - F.col("s") <= max_length)
-    return _on_chroms(ok, chroms).select("seq", "h", "s", "e", "barcode")
+    return on_chroms(ok, chroms).select("seq", "h", "s", "e", "barcode")
 
 
 def midpoints(fragments: DataFrame) -> DataFrame:

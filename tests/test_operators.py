@@ -59,6 +59,8 @@ def test_chromosome_choice():
     assert genome.expand_spec("1,chrX,chr10", names) == ["chr1", "chrX", "10"]
     assert genome.expand_spec("auto", names) == ["chr1", "chr2", "chr3", "10"]
     assert genome.expand_spec("auto+x", names)[-1] == "chrX"
+    assert genome.expand_spec("Autosomes", names) == genome.expand_spec("auto", names)
+    assert genome.expand_spec("autosomes+X", names) == genome.expand_spec("auto_x", names) == genome.expand_spec("auto+x", names)
     with pytest.raises(ValueError):
         genome.expand_spec("chr7", names)
 

@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import random
 import struct
 
 import pytest
@@ -101,6 +102,29 @@ def test_bam(spark, bam_file, tmp_path):
     assert again.count() == 1000 and {t for r in again.collect() for t in r.tags} == {"CB:Z:AA"}
 
 
+@pytest.mark.parametrize("split", [700, 5000, 60_000])
+def test_bam_in_parts(spark, bam_file, split):
+    spark.dataSource.register(bam.BamSource)
+    whole = spark.read.format("bam").load(str(bam_file)).collect()
+    parts = spark.read.format("bam").option("split", split).load(f"file://{bam_file}")
+    found = parts.collect()
+    assert parts.rdd.getNumPartitions() == -(-bam_file.stat().st_size // split)
+    assert found == whole
+
+
+def test_bam_records_across_blocks(tmp_path):
+    """Blocks of a few hundred bytes, so that records span several and begin anywhere."""
+    raw = b"BAM\1" + struct.pack("<i", 0) + struct.pack("<i", 1) + struct.pack("<i", 2) + b"c\0" + struct.pack("<i", 9000)
+    header = len(raw)
+    rows = [struct.pack("<iiiBBHHHiiii", 32 + 6 + 3 * k, 0, k, 6, 9, 0, 0, 0, 2 * k, -1, -1, 0) + b"r%04d\0" % k + bytes(3 * k) for k in range(300)]
+    whole = raw + b"".join(rows)
+    path = tmp_path / "b.bam"
+    path.write_bytes(b"".join(bam.compressed(whole[k : k + 333]) for k in range(0, len(whole), 333)) + bam.EOF_BLOCK)
+    size = path.stat().st_size
+    for split in (97, 1000, 7919):
+        assert [r for at in range(0, size, split) for r in bam._raw_records(str(path), at, min(at + split, size), header, 1)] == rows
+
+
 def test_command_line(spark, bam_file, tmp_path, capsys):
     names = tmp_path / "names"
     names.write_text("# c\n AA \n\nBB\nAA\n")
@@ -123,6 +147,28 @@ def test_gc_windows(spark, tmp_path):
     assert fasta.gc_windows(spark, str(path), 5, autosomes_only=False).count() == 5
 
 
+def test_gc_windows_of_many_pieces(spark, tmp_path):
+    rng = random.Random(2)
+    want, sizes = {}, {"chr1": 3000, "chr2": 10, "chr3": 0, "chr4": 2500}
+    (tmp_path / "g").mkdir()
+    for part, names in enumerate((("chr1", "chr2"), ("chr3", "chr4"))):
+        text = ""
+        for name in names:
+            bases = "".join(rng.choices("ACGTN", k=sizes[name]))
+            text += f">{name}\n" + "".join(bases[k : k + 60] + "\n" for k in range(0, len(bases), 60))
+            want |= {(name, k, k + len(bases[k : k + 70])): round(sum(c in "GC" for c in bases[k : k + 70]) / len(bases[k : k + 70]), 9) for k in range(0, len(bases), 70)}
+        (tmp_path / "g" / f"{part}.fa").write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        found = {(r.chrom, r.s, r.e): round(r.value, 9) for r in fasta.gc_windows(spark, str(tmp_path / "g"), 70).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert found == want
+
+
 def test_region(chroms):
     assert tt.parse_region("chr2:1,000-2,000", chroms) == (1, 1000, 2000)
     assert tt.parse_region("2:5-9", chroms) == (1, 5, 9)
