@@ -280,7 +280,8 @@ class LineDedup:
         left = self._stored(self.refs.join(ids, "doc_id", "left_anti"))
         keys = gone.select("k1", "k2").distinct()
         # Of the stored keys only those that lost a reference are looked at.
-        held = left.join(keys, ["k1", "k2"], "left_semi").select("k1", "k2").distinct()
+        # One row per key before the join, so that a line of very many documents is no hot task.
+        held = left.select("k1", "k2").distinct().join(keys, ["k1", "k2"], "left_semi")
         dead = st.written(keys.join(held, ["k1", "k2"], "left_anti").withColumn("n", F.lit(-1)), "dead")
         self.refs = left
         self._update(dead)
