@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repliphase.llm import chat_format, decontaminate, jaccard_join, language_id, line_dedup, mixing, quality_classifier, quality_rules, sharding, token_counts
+from repliphase.llm import chat_format, decontaminate, embedding_dedup, jaccard_join, language_id, line_dedup, mixing, prefix_trie, quality_classifier, quality_rules, sharding, token_counts
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,6 +93,18 @@ def op10_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.length_histogram(_docs(spark, sf_dir))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trie = prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    rows = trie.nodes.join(prefix_trie.end_digests(trie.ends), "node", "left")
+    nobody = F.sha2(F.lit("").cast("binary"), 256)
+    names = ("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens")
+    return rows.select(*names, F.coalesce("ends_sha256", nobody).alias("ends_sha256"))
+
+
+def op12_cross_polytope_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_decontaminate": op2_decontaminate,
@@ -104,6 +116,8 @@ QUERIES = {
     "op8_schema_chat_format": op8_schema_chat_format,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_histogram": op10_token_histogram,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_cross_polytope_dedup": op12_cross_polytope_dedup,
 }
 
 ORACLES: dict[str, str] = {
@@ -111,4 +125,6 @@ ORACLES: dict[str, str] = {
     "op4_line_frequency_rules": quality_rules.ORACLE,
     "op8_schema_chat_format": chat_format.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
+    "op11_prefix_trie": prefix_trie.ORACLE,
+    "op12_cross_polytope_dedup": embedding_dedup.ORACLE,
 }
