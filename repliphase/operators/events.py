@@ -72,6 +72,11 @@ def depth(events: DataFrame) -> DataFrame:
 def usable_bins(raw: DataFrame, chroms: DataFrame, width: int, blocked: DataFrame, anchor: DataFrame | None = None, low: float = 0.01, high: float = 0.999) -> DataFrame:
     """Rows (h, bin, n): bins neither blocked nor without anchor or events, of a coverage within these quantiles."""
     pooled = genome.binned(raw, chroms, width).groupBy("h", "bin").agg(F.count("*").alias("n"))
+    return usable_of(pooled, blocked, anchor, low, high)
+
+
+def usable_of(pooled: DataFrame, blocked: DataFrame, anchor: DataFrame | None = None, low: float = 0.01, high: float = 0.999) -> DataFrame:
+    """The same from the events of each bin (h, bin, n)."""
     found = pooled.join(blocked.where("fraction > 0.5"), ["h", "bin"], "left_anti")
     if anchor is not None:
         found = found.join(anchor, ["h", "bin"], "left_semi")
@@ -81,10 +86,14 @@ def usable_bins(raw: DataFrame, chroms: DataFrame, width: int, blocked: DataFram
 
 def breadth(events: DataFrame, chroms: DataFrame, width: int, usable: DataFrame, alias: str = "breadth") -> DataFrame:
     """Rows (cell, n_events, n_bins, breadth): events in usable bins, and the share of usable bins with any."""
-    total = usable.agg(F.count("*").alias("_n"))
     rows = genome.binned(events, chroms, width).join(usable.select("h", "bin"), ["h", "bin"])
     # Two steps keep a cell of very many events from being one task.
-    bins = rows.groupBy("cell", "h", "bin").agg(F.count("*").alias("c"))
+    return breadth_of(rows.groupBy("cell", "h", "bin").agg(F.count("*").alias("c")), usable, alias)
+
+
+def breadth_of(bins: DataFrame, usable: DataFrame, alias: str = "breadth") -> DataFrame:
+    """The same from the events of each cell in each usable bin that has any (cell, h, bin, c)."""
+    total = usable.agg(F.count("*").alias("_n"))
     out = bins.groupBy("cell").agg(F.sum("c").alias("n_events"), F.count("*").alias("n_bins"))
     return out.crossJoin(total).select("cell", "n_events", "n_bins", (F.col("n_bins") / F.col("_n")).alias(alias))  # total: one row
 

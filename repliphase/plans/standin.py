@@ -15,6 +15,14 @@ WIDE, NARROW = 100, 34
 NAMES = ("click", "error", "purchase", "signup", "view")
 
 
+def as_events(rows: DataFrame, *more: str) -> DataFrame:
+    """Rows (seq, cell, h, p, more...) of a table or stream of events."""
+    h = "case event_type when 'click' then 0 when 'error' then 1 when 'purchase' then 2 when 'signup' then 3 else 4 end"
+    # Microseconds of a timestamp without zone, whatever the session's zone is.
+    p = "timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts) div 1000000"
+    return rows.selectExpr("event_id as seq", "user_id as cell", f"{h} as h", f"{p} as p", *more)
+
+
 def _once(make):
     """The method's rows, settled when first asked for and then kept with the object."""
 
@@ -39,10 +47,7 @@ class Tables:
         return self.spark.createDataFrame([(k, n, SIZE) for k, n in enumerate(NAMES)], "h int, name string, size long")
 
     def events(self) -> DataFrame:
-        h = "case event_type when 'click' then 0 when 'error' then 1 when 'purchase' then 2 when 'signup' then 3 else 4 end"
-        # Microseconds of a timestamp without zone, whatever the session's zone is.
-        p = "timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts) div 1000000"
-        return self.read("events").selectExpr("event_id as seq", "user_id as cell", f"{h} as h", f"{p} as p", "value")
+        return as_events(self.read("events"), "value")
 
     def blacklist(self, overlapping: bool = False) -> DataFrame:
         """An interval per supplier; widths shrink with their number, so that they cover the same share at any scale."""
