@@ -49,9 +49,11 @@ def parser() -> argparse.ArgumentParser:
     tag.add_argument("--no-header", action="store_true")
     valid = sub.add_parser("valid-bam", help="the records of listed barcodes")
     valid.add_argument("-i", "--input", required=True)
-    valid.add_argument("-o", "--output", required=True)
-    valid.add_argument("-b", "--barcodes", required=True)
+    valid.add_argument("-o", "--out-prefix", required=True)
+    valid.add_argument("-b", "--barcodes", default="NEG.txt")
+    valid.add_argument("-s", "--suffix", default=".CB1K.bam", help="of the folder of BAM files that is written")
     valid.add_argument("-t", "--tag", default="CB")
+    valid.add_argument("--index", action="store_true", help="also write an index table of the result")
     gc = sub.add_parser("gc", help="GC content of windows as a bedGraph")
     gc.add_argument("--fasta", required=True)
     gc.add_argument("--output", required=True)
@@ -107,8 +109,8 @@ def _fragments(spark, args):
     if args.bam.endswith((".sam", ".sam.gz")):
         rows = text_tables.read_sam(spark, args.bam)
     else:
-        spark.dataSource.register(bam.BamSource)
-        rows = spark.read.format("bam").load(args.bam).where("size(tags) > 0").withColumn("seq", F.monotonically_increasing_id())
+        rows = bam.read(spark, args.bam, columns=["chrom", "pos", "mapq", "cigar", "tags"])
+        rows = rows.withColumn("seq", F.monotonically_increasing_id()).where("size(tags) > 0")
     return text_tables.sam_fragments(rows, args.barcode_tag, args.min_mapq)
 
 
@@ -125,9 +127,14 @@ def _bam2tag(spark, args) -> None:
 def _valid_bam(spark, args) -> None:
     from repliphase.sources import bam, text_tables
 
-    wanted = {r.barcode for r in text_tables.read_barcodes(spark, args.barcodes).collect()}
-    n = bam.filter_bam(spark, args.input, args.output, wanted, args.tag)
-    print(f"{n} records kept")
+    wanted = text_tables.read_barcodes(spark, args.barcodes)
+    if not wanted.take(1):
+        raise ValueError(f"{args.barcodes} lists no barcodes")
+    target = args.out_prefix + args.suffix
+    kept = bam.filter_bam(spark, args.input, target, wanted, args.tag, mode="overwrite")
+    if args.index:
+        bam.index(spark, target).write.mode("overwrite").parquet(f"{target}.index")
+    print(f"{kept.count()} records kept")
 
 
 def _gc(spark, args) -> None:

@@ -5,6 +5,7 @@ Floats are rounded to 6 decimals on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,10 +13,10 @@ from pyspark.sql import functions as F
 
 from repliphase.config import Config
 from repliphase.functions import genome, stats
-from repliphase.functions.storage import settled
+from repliphase.functions.storage import settled, shared_folder
 from repliphase.operators import events, extension, foreground, gates, intervals, matrix, report, seriation, similarity, timing
 from repliphase.plans.standin import GRAPH, PREFIX, RT, Tables, merged_sql, means_sql, phi_sql
-from repliphase.sources import text_tables
+from repliphase.sources import bam, bgzf, text_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,9 +38,11 @@ def _six(*names: str) -> list:
     return [F.round(n, 6).alias(n) for n in names]
 
 
-@_query('SELECT h, b AS bin, h * 26 + b AS gbin, b * 100000 AS "start", least((b + 1) * 100000, size) AS stop FROM (SELECT h, size, unnest(range(26)) AS b FROM chroms)')
+@_query("""SELECT h, b AS bin, upto - nbin + b AS gbin, b * 100000 AS "start", least((b + 1) * 100000, size) AS stop FROM (
+  SELECT *, sum(nbin) OVER (ORDER BY h)::BIGINT AS upto, unnest(range(nbin)) AS b FROM (SELECT h, max(p) + 1 AS size, (max(p) + 100000) // 100000 AS nbin FROM ev GROUP BY h))""")
 def grid_bins(t):
-    return genome.grid(t.chroms(), 100_000)
+    """Chromosomes as long as their last event says."""
+    return genome.grid(t.events().groupBy("h").agg((F.max("p") + 1).alias("size")), 100_000)
 
 
 @_query(r"""SELECT name, core, core ~ '^[0-9]+$' AS autosome, size, row_number() OVER (ORDER BY cls, num, name) AS rank FROM (
@@ -86,6 +89,51 @@ def sam_cigar_fragments(t):
     return text_tables.sam_fragments(t.sam(), min_mapq=10)
 
 
+def _new_folder(t: Tables, name: str) -> str:
+    return f"{shared_folder(t.spark)}/{uuid.uuid4().hex}-{name}"
+
+
+def _as_bam(t: Tables) -> str:
+    """The alignments as a folder of BAM files."""
+    rows, target = t.sam(), _new_folder(t, "bam")
+    refs = sorted(map(tuple, rows.groupBy("chrom").agg(F.max("pos")).collect()))  # a row per chromosome
+    rows = rows.select(F.col("seq").cast("string").alias("name"), F.lit(0).alias("flag"), "chrom", "pos", "mapq", "cigar", "tags")
+    bam.write(bam.encode(rows, refs), target, bam.header_of("@HD\tVN:1.6\n", refs))
+    return target
+
+
+@_query("SELECT * FROM sf")
+def bam_fragments(t):
+    rows = bam.read(t.spark, _as_bam(t), columns=["name", "chrom", "pos", "mapq", "cigar", "tags"], split=1 << 22)
+    return text_tables.sam_fragments(rows.withColumn("seq", F.col("name").cast("long")), min_mapq=10)
+
+
+_SPAN = r"coalesce(list_sum(list_transform(regexp_extract_all(cigar, '(\d+)[MDN=X]', 1), lambda x: x::BIGINT)), 0)"
+
+
+@_query(f"SELECT seq, pos, stop FROM (SELECT *, pos - 1 + greatest(1, {_SPAN})::BIGINT AS stop FROM sam) WHERE chrom = 'RF' AND pos <= 60 AND stop > 20")
+def bam_region(t):
+    rows = bam.read(t.spark, _as_bam(t), columns=["name", "pos", "stop"], region=("RF", 20, 60), split=1 << 22, granule=1 << 16)
+    return rows.select(F.col("name").cast("long").alias("seq"), "pos", "stop")
+
+
+@_query("SELECT sf.* FROM sf WHERE barcode IN (SELECT DISTINCT c_custkey::VARCHAR FROM customer WHERE c_mktsegment = 'BUILDING')")
+def bam_valid_barcodes(t):
+    wanted = t.barcodes().select(F.col("cell").cast("string").alias("barcode"))
+    target = _new_folder(t, "valid")
+    bam.filter_bam(t.spark, _as_bam(t), target, wanted, split=1 << 22)
+    rows = bam.read(t.spark, target, columns=["name", "chrom", "pos", "mapq", "cigar", "tags"], split=1 << 22)
+    return text_tables.sam_fragments(rows.withColumn("seq", F.col("name").cast("long")), min_mapq=10)
+
+
+@_query("SELECT chrom, s, e, barcode FROM sf")
+def bgzf_fragments(t):
+    target = _new_folder(t, "fragments.tsv.gz")
+    rows = text_tables.sam_fragments(t.sam(), min_mapq=10)
+    bgzf.write_lines(rows.select(F.concat_ws("\t", "chrom", "s", "e", "barcode").alias("value")), target)
+    return text_tables.read_fragments(t.spark, target, split=1 << 20).drop("seq")
+
+
 @_query("SELECT barcode, count(*) AS n FROM sf GROUP BY barcode")
 def cb_counts(t):
     return text_tables.barcode_counts(text_tables.sam_fragments(t.sam(), min_mapq=10))

@@ -1,245 +1,297 @@
-"""BAM files as a Spark data source (``format("bam")``): BGZF read with zlib, records by their layout.
-
-Columns: name, flag, chrom, pos (1-based, 0 if unplaced), mapq, cigar, tags (``TAG:Z:VALUE`` of
-the string tags) and raw, the record's bytes. Options: ``path``, a file, a pattern of local files
-or a URI that Arrow's file systems open (``hdfs://``, ``s3://``), and ``split``, the bytes of a file
-that one task reads. A task begins at the first block after its first byte and, in it, at the first
-place from which a run of well-formed records follows; it ends before the first record that
-begins in the next task's blocks.
+"""BAM files: an index of their records, reading by it, and a sink.
+
+``index`` makes, in one distributed pass, a table of granules: stretches of whole records with their
+place in the file and, for each chromosome, the range that they cover. It can be written and read like any
+table. A task of that pass does not know where the first record of its piece begins; it takes the first place
+from which a run of well-formed records follows. That is checked, not trusted: where a piece ends
+must be where the next one begins, else that piece is walked again from the right place. So every record
+is read exactly once, however long it is and wherever files are cut.
+
+``read`` takes the granules that a region touches, a task for each ``split`` bytes of them, and parses
+only the columns asked for. The sink (``format("bam")``) writes a folder of complete BAM files, one
+a task; they appear when all tasks are done, and not at all if one fails.
 """
 
 from __future__ import annotations
 
-import glob
 import re
 import struct
-import zlib
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter
 
-# Fixed values of the format: CIGAR operations by code, and sizes of tag types.
-_OPS = "MIDNSHP=X"
+from repliphase.functions.storage import settled
+from repliphase.session import ship
+from repliphase.sources import bgzf
+
+# Fixed values of the format: CIGAR operations by code, those that cover the reference, and sizes of tag types.
+_OPS, _COVER = "MIDNSHP=X", frozenset((0, 2, 3, 7, 8))
 _SIZES = {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4}
-#: Fixed value of the format: the empty block that ends a file.
-EOF_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
+#: How many well-formed records in a row make a beginning.
+_SURE = 8
+#: Compressed bytes of a granule.
+GRANULE = 1 << 20
 
+COLUMNS = {
+    "place": "long", "name": "string", "flag": "int", "chrom": "string", "pos": "long", "stop": "long", "mapq": "int", "cigar": "string", "tags": "array<string>", "raw": "binary",
+}
 
-class BamSource(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "bam"
 
-    def schema(self) -> str:
-        return "name string, flag int, chrom string, pos long, mapq int, cigar string, tags array<string>, raw binary"
+class Header:
+    """A file's header: its bytes, the names and sizes of its references, and the place of the first record."""
 
-    def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"], int(self.options.get("split", 64 << 20)))
+    def __init__(self, path: str):
+        window = bgzf.Window(path, 0)
 
+        def take(n: int) -> bytes:
+            if not window.reach(self._at + n):
+                raise ValueError(f"{path} is no BAM file, or its header is cut off")
+            self._at += n
+            return bytes(window.data[self._at - n : self._at])
 
-class _Part(InputPartition):
-    def __init__(self, path: str, start: int, stop: int):
-        self.path, self.start, self.stop = path, start, stop
+        self._at, self.chroms = 0, []
+        if take(4) != b"BAM\1":
+            raise ValueError(f"{path} is no BAM file")
+        take(struct.unpack("<i", take(4))[0])
+        for _ in range(struct.unpack("<i", take(4))[0]):
+            name = take(struct.unpack("<i", take(4))[0])[:-1].decode()
+            self.chroms.append((name, struct.unpack("<i", take(4))[0]))
+        self.raw, self.names = bytes(window.data[: self._at]), [n for n, _ in self.chroms]
+        self.first = _place(window, self._at)
 
 
-def _files(path: str) -> list[tuple[str, int]]:
-    """The files of a path with their sizes."""
-    from pyarrow import fs
+def header_of(text: str, chroms: list[tuple[str, int]]) -> bytes:
+    """The bytes of a header with this text and these references."""
+    raw = text.encode()
+    refs = [struct.pack("<i", len(n.encode()) + 1) + n.encode() + b"\0" + struct.pack("<i", size) for n, size in chroms]
+    return b"BAM\1" + struct.pack("<i", len(raw)) + raw + struct.pack("<i", len(refs)) + b"".join(refs)
 
-    if "://" not in path:
-        return [(p, fs.LocalFileSystem().get_file_info(p).size) for p in sorted(glob.glob(path))]
-    system, inner = fs.FileSystem.from_uri(path)
-    info = system.get_file_info(inner)
-    if info.type != fs.FileType.Directory:
-        return [(path, info.size)]
-    return [(path.rstrip("/") + "/" + x.base_name, x.size) for x in system.get_file_info(fs.FileSelector(inner)) if x.type == fs.FileType.File]
 
+_END = (1 << 62) - 1
 
-def _open(path: str):
-    from pyarrow import fs
 
-    if "://" not in path:
-        return open(path, "rb")  # noqa: SIM115
-    system, inner = fs.FileSystem.from_uri(path)
-    return system.open_input_file(inner)
+def _place(window: bgzf.Window, at: int) -> int:
+    """The place in the file of the byte ``at``, which may be the next to come; the largest place at the end of the file."""
+    if not window.reach(at + 1):
+        return _END
+    block, inside = window.offset(at)
+    return block << 16 | inside
 
 
-class _Reader(DataSourceReader):
-    def __init__(self, path: str, split: int):
-        self.path, self.split = path, split
+def _size_at(window: bgzf.Window, at: int, refs: int) -> int:
+    """The size of a well-formed record at this byte, 0 if there is none."""
+    if not window.reach(at + 36):
+        return 0
+    size, ref, pos, l_name, _, _, n_cigar, _, l_seq, mate, mate_pos = struct.unpack_from("<iiiBBHHHiii", window.data, at)
+    if not (32 <= size < 1 << 30 and -1 <= ref < refs and -1 <= mate < refs and pos >= -1 and mate_pos >= -1 and l_name and l_seq >= 0):
+        return 0
+    if 32 + l_name + 4 * n_cigar + (l_seq + 1) // 2 + l_seq > size or not window.reach(at + 36 + l_name):
+        return 0
+    name = window.data[at + 36 : at + 36 + l_name]
+    return 0 if name[-1] or any(not 33 <= c <= 126 for c in name[:-1]) else size + 4
 
-    def partitions(self) -> list[InputPartition]:
-        return [_Part(p, at, min(at + self.split, size)) for p, size in _files(self.path) for at in range(0, max(size, 1), self.split)]
 
-    def read(self, partition: _Part) -> Iterator[tuple]:
-        with Bgzf(partition.path) as stream:
-            header, names = read_header(stream)
-        for raw in _raw_records(partition.path, partition.start, partition.stop, len(header), len(names)):
-            yield parsed(raw, names)
+def _begins(window: bgzf.Window, at: int, refs: int) -> bool:
+    """Whether a run of well-formed records, or the last ones of the file, begin at this byte."""
+    n = 0
+    while n < _SURE and (size := _size_at(window, at, refs)):
+        at, n = at + size, n + 1
+        if not window.reach(at):
+            return False
+    return n == _SURE or (n > 0 and at == len(window.data) and not window.grow())
+
+
+def _first(window: bgzf.Window, stop: int, refs: int) -> int | None:
+    """The first byte of a block before ``stop`` at which records begin."""
+    at = 0
+    while window.reach(at + 36):
+        if window.offset(at)[0] >= stop:
+            return None
+        # What a record's size and references allow narrows the places down.
+        head = np.frombuffer(bytes(window.data[at:]), np.uint8)
+        count = len(head) - 35
+        size, ref = (head[k : k + count].astype(np.int64) | head[k + 1 : k + 1 + count].astype(np.int64) << 8 | head[k + 2 : k + 2 + count].astype(np.int64) << 16 | head[k + 3 : k + 3 + count].astype(np.int64) << 24 for k in (0, 4))
+        ref = np.where(ref >= 1 << 31, ref - (1 << 32), ref)
+        for k in np.flatnonzero((size >= 32) & (size < 1 << 30) & (ref >= -1) & (ref < refs) & (head[12 : 12 + count] > 0)).tolist():
+            if window.offset(at + k)[0] >= stop:
+                return None
+            if _begins(window, at + k, refs):
+                return at + k
+        at = window.drop(at + count)
+    return None
 
 
-# Fixed values of the format: how a block begins, with the field that holds its size.
-_BLOCK = re.compile(rb"\x1f\x8b\x08\x04.{6}\x06\x00BC\x02\x00", re.DOTALL)
-_PROBE, _SURE = 1 << 20, 8
+def _records(path: str, start: int, stop: int, entry: int | None, refs: int) -> Iterator[tuple[int, bytes]]:
+    """(place, record with its size before it) of the records that begin in blocks from ``start`` to ``stop``, then (place, b"") of what follows.
 
+    With an ``entry``, the place of the first of them, nothing is searched.
+    """
+    window = bgzf.Window(path, start if entry is None else entry >> 16, entry is not None)
+    at = _first(window, stop, refs) if entry is None else entry & 0xFFFF
+    if at is None:
+        return
+    while (place := _place(window, at)) >> 16 < stop and place != _END:
+        if not window.reach(at + 4) or not window.reach(at + 4 + struct.unpack_from("<i", window.data, at)[0]):
+            raise ValueError(f"{path} is cut off in a record")
+        size = 4 + struct.unpack_from("<i", window.data, at)[0]
+        yield place, bytes(window.data[at : at + size])
+        at += size
+        if at > 1 << 20:
+            at = window.drop(at)
+    yield place, b""
 
-def _blocks(path: str, start: int) -> Iterator[tuple[int, bytes]]:
-    """(offset in the file, bytes) of the blocks that begin at ``start`` or later."""
-    with _open(path) as file:
-        file.seek(start)
-        held, base, found = b"", start, start == 0
-        while True:
-            while not found:
-                # A block's size leads to another block or to the end of the file.
-                more = file.read(1 << 18)
-                held += more
-                for match in _BLOCK.finditer(held):
-                    after = match.start() + struct.unpack_from("<H", held, match.start() + 16)[0] + 1 if match.start() + 18 <= len(held) else len(held) + 1
-                    if _BLOCK.match(held, after) or (not more and after == len(held)):
-                        held, base, found = held[match.start() :], base + match.start(), True
-                        break
-                if not found and not more:
-                    return
-            while len(held) < 18 or len(held) < struct.unpack_from("<H", held, 16)[0] + 1:
-                if not (more := file.read(1 << 18)):
-                    return
-                held += more
-            size = struct.unpack_from("<H", held, 16)[0] + 1
-            yield base, zlib.decompress(held[:size], 31)
-            held, base = held[size:], base + size
-
-
-def _plausible(data: bytes, at: int, refs: int) -> int:
-    """The size of a well-formed record at this place, 0 if there is none."""
-    if at + 36 > len(data):
-        return 0
-    size, ref, pos, l_name, _, _, n_cigar, _, l_seq, mate, mate_pos = struct.unpack_from("<iiiBBHHHiii", data, at)
-    if not (32 <= size < 1 << 28 and -1 <= ref < refs and -1 <= mate < refs and pos >= -1 and mate_pos >= -1 and l_name and l_seq >= 0):
-        return 0
-    if 32 + l_name + 4 * n_cigar + (l_seq + 1) // 2 + l_seq > size:
-        return 0
-    name = data[at + 36 : at + 36 + l_name]
-    if len(name) == l_name and (name[-1] or any(not 33 <= c <= 126 for c in name[:-1])):
-        return 0
-    return size + 4
 
+def _fixed(record: bytes) -> tuple[int, int, int]:
+    """(reference, first base from 0, base after the last) of a record; one base at least."""
+    ref, pos, l_name, _, _, n_cigar = struct.unpack_from("<iiBBHH", record, 4)
+    ops = struct.unpack_from(f"<{n_cigar}I", record, 36 + l_name)
+    return ref, pos, pos + max(1, sum(x >> 4 for x in ops if x & 15 in _COVER))
 
-def _first_record(data: bytes, refs: int, whole: bool) -> int | None:
-    """Where the first run of well-formed records begins; ``whole`` if the data end with the file."""
-    for at in range(len(data) - 35):
-        place, n = at, 0
-        while n < _SURE and (size := _plausible(data, place, refs)):
-            place, n = place + size, n + 1
-        if n and (n == _SURE or place == len(data) or (not whole and place > len(data) - 36)):
-            return at
-    return None
 
+_INDEX = "file string, piece long, begin long, until long, chrom string, lo long, hi long, n long"
 
-def _raw_records(path: str, start: int, stop: int, header: int, refs: int) -> Iterator[bytes]:
-    """The records that begin in blocks from ``start`` to ``stop``, each with its size before it."""
-    blocks = _blocks(path, start)
-    data, ends, more = b"", [], True  # ends: (where a block's bytes end, where the block began in the file)
 
-    def grow() -> bool:
-        nonlocal data, more
-        offset, raw = next(blocks, (None, b""))
-        if offset is None:
-            more = False
-            return False
-        data += raw
-        ends.append((len(data), offset))
-        return True
-
-    at = header
-    if start:
-        while len(data) < _PROBE and grow():
-            pass
-        if (at := _first_record(data, refs, not more)) is None:
-            return
-    while True:
-        while len(data) < at + 4 or len(data) < at + 4 + struct.unpack_from("<i", data, at)[0]:
-            if not grow():
-                return
-        if next(offset for end, offset in ends if at < end) >= stop:
-            return
-        size = 4 + struct.unpack_from("<i", data, at)[0]
-        yield data[at : at + size]
-        at += size
-        if at > _PROBE:
-            done = [(end, offset) for end, offset in ends if end <= at]
-            if done:
-                cut = done[-1][0]
-                data, at = data[cut:], at - cut
-                ends[:] = [(end - cut, offset) for end, offset in ends[len(done) :]]
+def _walk(granule: int):
+    """Rows (file, piece, start, stop, entry) of pieces to rows of _INDEX; one with a null begin if no record begins in a piece."""
 
+    def work(batches):
+        for batch in batches:
+            for file, piece, start, stop, entry in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                header = Header(file)
+                entry = header.first if start == 0 else entry
+                out, begin, spans = [], None, {}
+                places = _records(file, start, stop, entry, len(header.names)) if entry is None or entry >> 16 < stop else iter(())
+                for place, record in places:
+                    if begin is not None and (not record or (place >> 16) - (begin >> 16) >= granule):
+                        out += [(file, piece, begin, place, header.names[r] if r >= 0 else "*", lo, hi, n) for r, (lo, hi, n) in spans.items()]
+                        begin, spans = None, {}
+                    if record:
+                        begin = place if begin is None else begin
+                        ref, lo, hi = _fixed(record)
+                        old = spans.get(ref, (lo, hi, 0))
+                        spans[ref] = (min(lo, old[0]), max(hi, old[1]), old[2] + 1)
+                out = out or [(file, piece, None, None, None, None, None, 0)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), *[pa.int64()] * 3, pa.string(), *[pa.int64()] * 3))], names=_INDEX.replace(" string", "").replace(" long", "").split(", "))
+
+    return work
+
+
+def index(spark: SparkSession, path: str, split: int = bgzf.SPLIT, granule: int = GRANULE) -> DataFrame:
+    """Rows (file, number, piece, begin, until, chrom, lo, hi, n): the records of each granule on each chromosome.
+
+    Records from place ``begin`` up to ``until`` make a granule; on ``chrom`` they cover bases ``lo`` to ``hi``,
+    from 0 and half-open (``*``: unplaced). ``number`` orders the files.
+    """
+    ship(spark)
+    parts = settled(bgzf.pieces(spark, path, split).withColumn("entry", F.lit(None).cast("long")))
 
-class Bgzf:
-    """A stream of the bytes within a file of gzip members."""
+    def walked(rows: DataFrame) -> DataFrame:
+        dealt = rows.repartition(max(1, rows.count()), "number", "piece")
+        return settled(dealt.select("file", "piece", "start", "stop", "entry").mapInArrow(_walk(granule), _INDEX))
 
-    def __init__(self, path: str):
-        self._file, self._inflate, self._held = _open(path), None, b""
-
-    def __enter__(self) -> Bgzf:
-        return self
-
-    def __exit__(self, *_) -> None:
-        self._file.close()
-
-    def _more(self) -> bytes:
-        raw = b""
-        while True:
-            if not raw and not (raw := self._file.read(1 << 16)):
-                return b""
-            if self._inflate is None:
-                self._inflate = zlib.decompressobj(31)
-            out = self._inflate.decompress(raw)
-            raw = self._inflate.unused_data
-            if self._inflate.eof:
-                self._inflate = None
-                if raw:
-                    # Bytes of the next member go back for the next call.
-                    self._file.seek(self._file.tell() - len(raw))
-                    raw = b""
-            if out:
-                return out
-
-    def read(self, n: int) -> bytes:
-        parts, have = [self._held], len(self._held)
-        while have < n and (more := self._more()):
-            parts.append(more)
-            have += len(more)
-        whole = b"".join(parts)
-        self._held = whole[n:]
-        return whole[:n]
-
-
-def read_header(stream: Bgzf) -> tuple[bytes, list[str]]:
-    """The header's bytes and the names of the references."""
-    raw = stream.read(8)
-    if raw[:4] != b"BAM\1":
-        raise ValueError("no BAM file")
-    text = stream.read(struct.unpack("<i", raw[4:])[0])
-    count = stream.read(4)
-    raw += text + count
-    names = []
-    for _ in range(struct.unpack("<i", count)[0]):
-        size = stream.read(4)
-        name = stream.read(struct.unpack("<i", size)[0])
-        length = stream.read(4)
-        raw += size + name + length
-        names.append(name[:-1].decode())
-    return raw, names
-
-
-def parsed(record: bytes, names: list[str]) -> tuple:
-    """The columns of a record."""
-    raw = memoryview(record)[4:]
-    ref, pos, l_name, mapq, _, n_cigar, flag, l_seq = struct.unpack_from("<iiBBHHHi", raw)
-    at = 32 + l_name
-    ops = struct.unpack_from(f"<{n_cigar}I", raw, at)
-    cigar = "".join(f"{x >> 4}{_OPS[x & 15]}" for x in ops) or "*"
-    tags = list(_string_tags(bytes(raw), at + 4 * n_cigar + (l_seq + 1) // 2 + l_seq))
-    return bytes(raw[32 : at - 1]).decode(), flag, names[ref] if ref >= 0 else "*", pos + 1, mapq, cigar, tags, record
+    found = walked(parts)
+    while True:
+        # Where the walk of all pieces before has come to, and whether this piece went on from there.
+        ends = parts.join(found.groupBy("file", "piece").agg(F.min("begin").alias("begin"), F.max("until").alias("until")), ["file", "piece"])
+        along = Window.partitionBy("file").orderBy("piece")  # a row per piece
+        ends = ends.withColumn("come", F.max("until").over(along.rowsBetween(Window.unboundedPreceding, -1)))
+        due = F.expr(f"come <> {_END} and shiftright(come, 16) < stop")
+        wrong = ends.where("come is not null").where(~F.when(due, F.coalesce(F.col("begin") == F.col("come"), F.lit(False))).otherwise(F.col("begin").isNull()))
+        first = settled(wrong.groupBy("file").agg(F.min(F.struct("piece", "come")).alias("w")).select("file", F.col("w.piece").alias("since"), F.col("w.come").alias("entry")))
+        if not first.take(1):
+            break
+        # The first wrong piece of a file, and those that a record which covers it covers too.
+        redo = settled(parts.drop("entry").join(first, "file").where("piece >= since and start <= shiftright(entry, 16)"))
+        found = settled(found.join(redo, ["file", "piece"], "left_anti").unionByName(walked(redo)))
+    return found.where("begin is not null").join(parts.select("file", "number").distinct(), "file").select("file", "number", "piece", "begin", "until", "chrom", "lo", "hi", "n")
+
+
+def granules(found: DataFrame, region: tuple[str, int, int] | None = None) -> DataFrame:
+    """Rows (number, file, begin, until) of an index, one per granule, of those that records in the region may lie in."""
+    if region:
+        chrom, start, end = region
+        found = found.where((F.col("chrom") == chrom) & (F.col("lo") < end) & (F.col("hi") > start))
+    return found.select("number", "file", "begin", "until").distinct()
+
+
+def read(
+    spark: SparkSession, path: str | None = None, *, columns: list[str] | None = None, region: tuple[str, int, int] | None = None,
+    found: DataFrame | None = None, split: int = bgzf.SPLIT, granule: int = GRANULE,
+) -> DataFrame:
+    """The records of BAM files in their order, of a region (chromosome, first base from 0, base after the last) if given.
+
+    Columns, of which only those named are parsed: place (in the file), name, flag, chrom, pos (from 1, 0 if
+    unplaced), stop (the base after the last, from 0), mapq, cigar, tags (``TAG:Z:VALUE`` of string
+    tags), and raw, the record's bytes. ``found`` is an index of the files; without one it is made.
+    """
+    names = list(columns or COLUMNS)
+    if unknown := set(names) - set(COLUMNS):
+        raise ValueError(f"unknown columns {sorted(unknown)}")
+    ship(spark)
+    rows = settled(granules(index(spark, path, split, granule) if found is None else found, region))
+    held = rows.agg(F.coalesce(F.sum(F.expr(f"case when until = {_END} then {granule} else shiftright(until, 16) - shiftright(begin, 16) end")), F.lit(0))).first()[0]
+    tasks = min(rows.count(), -(-held // split))
+    needed = [*names, *[c for c in ("chrom", "pos", "stop") if region and c not in names]]
+    schema = ", ".join(f"{c} {COLUMNS[c]}" for c in needed)
+    out = bgzf.in_order(rows, tasks, "number", "begin").select("file", "begin", "until").mapInArrow(_parse(needed), schema)
+    if region:
+        chrom, start, end = region
+        out = out.where((F.col("chrom") == chrom) & (F.col("pos") <= end) & (F.col("stop") > start))
+    return out.select(*names)
+
+
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "array<string>": pa.list_(pa.string())}
+
+
+def _parse(names: list[str], rows: int = 1 << 14, size: int = 1 << 23):
+    """Rows (file, begin, until) to batches of the records' columns."""
+
+    def batch(held: list[tuple[int, bytes]], refs: list[str]) -> pa.RecordBatch:
+        head = np.frombuffer(b"".join(r[:36] for _, r in held), np.dtype("<i4,<i4,<i4,u1,u1,<u2,<u2,<u2,<i4,<i4,<i4,<i4"))
+        ref, pos, l_name, mapq, n_cigar, flag, l_seq = (head[f"f{k}"] for k in (1, 2, 3, 4, 6, 7, 8))
+        made = {}
+        for name in names:
+            if name == "place":
+                made[name] = [p for p, _ in held]
+            elif name == "raw":
+                made[name] = [r for _, r in held]
+            elif name == "name":
+                made[name] = [r[36 : 35 + n].decode() for (_, r), n in zip(held, l_name.tolist())]
+            elif name == "chrom":
+                made[name] = [refs[k] if k >= 0 else "*" for k in ref.tolist()]
+            elif name == "stop":
+                made[name] = [_fixed(r)[2] for _, r in held]
+            elif name == "cigar":
+                made[name] = ["".join(f"{x >> 4}{_OPS[x & 15]}" for x in struct.unpack_from(f"<{c}I", r, 36 + n)) or "*" for (_, r), n, c in zip(held, l_name.tolist(), n_cigar.tolist())]
+            elif name == "tags":
+                begin = 36 + l_name.astype(np.int64) + 4 * n_cigar.astype(np.int64) + (l_seq.astype(np.int64) + 1) // 2 + l_seq
+                made[name] = [list(_string_tags(r, at)) for (_, r), at in zip(held, begin.tolist())]
+            else:
+                made[name] = {"flag": flag.astype(np.int32), "pos": pos.astype(np.int64) + 1, "mapq": mapq.astype(np.int32)}[name]
+        return pa.RecordBatch.from_arrays([pa.array(made[c], _ARROW[COLUMNS[c]]) for c in names], names=names)
+
+    def work(batches):
+        headers: dict[str, list[str]] = {}
+        for some in batches:
+            for file, begin, until in zip(*(some.column(k).to_pylist() for k in range(3))):
+                refs = headers.get(file) or headers.setdefault(file, Header(file).names)
+                held, have = [], 0
+                for place, record in _records(file, 0, (until >> 16) + 1, begin, len(refs)):
+                    if place >= until or not record:
+                        break
+                    held.append((place, record))
+                    have += len(record)
+                    if len(held) == rows or have > size:
+                        yield batch(held, refs)
+                        held, have = [], 0
+                if held:
+                    yield batch(held, refs)
+
+    return work
 
 
 def _string_tags(raw: bytes, at: int) -> Iterator[str]:
@@ -257,46 +309,59 @@ def _string_tags(raw: bytes, at: int) -> Iterator[str]:
             at += _SIZES[kind]
 
 
-def compressed(raw: bytes) -> bytes:
-    """The bytes as BGZF blocks, without the closing empty block."""
-    out = []
-    for k in range(0, len(raw), 0xFF00):
-        part = raw[k : k + 0xFF00]
-        deflate = zlib.compressobj(6, zlib.DEFLATED, -15)
-        body = deflate.compress(part) + deflate.flush()
-        head = struct.pack("<BBBBIBBHBBHH", 31, 139, 8, 4, 0, 0, 255, 6, 66, 67, 2, len(body) + 25)
-        out.append(head + body + struct.pack("<II", zlib.crc32(part), len(part)))
-    return b"".join(out)
+def encoded(name: str, flag: int, ref: int, pos: int, mapq: int, cigar: str, tags: list[str]) -> bytes:
+    """A record without bases; ``pos`` from 1, tags as ``TAG:Z:VALUE`` (others are left out)."""
+    ops = [int(n) << 4 | _OPS.index(op) for n, op in re.findall(r"(\d+)([MIDNSHP=X])", cigar or "")]
+    title = (name or "*").encode()[:254] + b"\0"
+    text = b"".join(t[:2].encode() + b"Z" + t[5:].encode() + b"\0" for t in tags or () if t[2:5] == ":Z:")
+    body = struct.pack("<iiBBHHHiiii", ref, pos - 1, len(title), mapq, 4680, len(ops), flag, 0, -1, -1, 0) + title + struct.pack(f"<{len(ops)}I", *ops) + text
+    return struct.pack("<i", len(body)) + body
 
 
-def filter_bam(spark, source: str, target: str, barcodes: set[str] | list[str], tag: str = "CB") -> int:
-    """Writes the records whose tag is one of the barcodes, with the header of ``source``; returns their number.
+def encode(rows: DataFrame, chroms: list[tuple[str, int]]) -> DataFrame:
+    """Rows (raw) of records (name, flag, chrom, pos, mapq, cigar, tags); a chromosome that is not among these is ``*``."""
+    numbers = {name: k for k, (name, _) in enumerate(chroms)}
+    ship(rows.sparkSession)
 
-    Tasks compress their records; the driver only puts their blocks one behind the other, as the
-    result is a single file.
-    """
-    from pyspark.sql import functions as F
+    def work(batches):
+        for b in batches:
+            cols = [b.column(k).to_pylist() for k in range(7)]
+            made = [encoded(n, f or 0, numbers.get(c, -1), p or 0, q or 0, g, t) for n, f, c, p, q, g, t in zip(*cols)]
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["raw"])
 
-    from repliphase.sources.text_tables import tag_value
+    return rows.selectExpr("name", "cast(flag as int)", "chrom", "cast(pos as long)", "cast(mapq as int)", "cigar", "tags").mapInArrow(work, "raw binary")
 
-    spark.dataSource.register(BamSource)
-    with Bgzf(source) as stream:
-        header, _ = read_header(stream)
-    wanted = spark.createDataFrame([(b,) for b in barcodes], "barcode string").distinct()
-    rows = spark.read.format("bam").load(source).withColumn("barcode", tag_value(F.col("tags"), tag))
-    kept = rows.join(F.broadcast(wanted), "barcode", "left_semi") if len(barcodes) < 1_000_000 else rows.join(wanted, "barcode", "left_semi")
 
-    def packed(batches):
-        import pyarrow as pa
+class BamSink(DataSource):
+    """Writes rows with a column raw as BAM files. Options: path, a folder, and header, a header's bytes in hexadecimal."""
 
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([compressed(b"".join(batch.column(0).to_pylist()))]), pa.array([batch.num_rows])], names=["blocks", "n"])
+    @classmethod
+    def name(cls) -> str:
+        return "bam"
 
-    n = 0
-    with open(target, "wb") as out:
-        out.write(compressed(header))
-        for row in kept.select("raw").mapInArrow(packed, "blocks binary, n long").toLocalIterator():
-            out.write(row.blocks)
-            n += row.n
-        out.write(EOF_BLOCK)
-    return n
+    def schema(self) -> str:
+        return "raw binary"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
+        return bgzf.Writer(self.options["path"], overwrite, "raw", bytes.fromhex(self.options["header"]), b"", ".bam")
+
+
+def write(rows: DataFrame, target: str, header: bytes, mode: str = "errorifexists") -> None:
+    """Writes rows (raw, ...) as a folder of BAM files with this header; they keep the order of the rows."""
+    ship(rows.sparkSession).dataSource.register(BamSink)
+    # What must not be there yet is checked by the commit; appending is the only other way that such a sink knows.
+    rows.select("raw").write.format("bam").option("header", header.hex()).mode("overwrite" if mode == "overwrite" else "append").save(target)
+
+
+def filter_bam(spark: SparkSession, source: str, target: str, barcodes: DataFrame, tag: str = "CB", split: int = bgzf.SPLIT, mode: str = "errorifexists") -> DataFrame:
+    """Writes the records whose tag is one of the barcodes, in their order, with the header of ``source``; returns them as read back."""
+    from repliphase.sources.text_tables import tag_value
+
+    wanted = barcodes.select(F.col(barcodes.columns[0]).alias("barcode")).distinct()
+    files = bgzf.files(source)
+    found = settled(index(spark, source, split))
+    rows = read(spark, found=found, split=split, columns=["tags", "raw"]).withColumn("at", F.monotonically_increasing_id())
+    kept = rows.withColumn("barcode", tag_value(F.col("tags"), tag)).join(wanted, "barcode", "left_semi")
+    tasks = max(1, -(-sum(size for _, size in files) // split))
+    write(bgzf.in_order(kept.select("at", "raw"), tasks, "at"), target, Header(files[0][0]).raw, mode)
+    return read(spark, target, columns=["place", "name", "chrom", "pos", "tags"], split=split)

@@ -1,7 +1,8 @@
 """Text tables: chromosome sizes, BED, bedGraph, fragments, SAM, barcode lists and region literals.
 
-All scans go through Spark's text reader, so gzip and any file system that Spark reads work.
-Lines that cannot be read are skipped; comments are lines that begin with ``#``.
+Scans go through Spark's text reader, so gzip and any file system that Spark reads work;
+block-gzipped files (``.gz``, ``.bgz``) are read in pieces, a file by many tasks. Lines that cannot be
+read are skipped; comments are lines that begin with ``#``.
 """
 
 from __future__ import annotations
@@ -13,14 +14,24 @@ from pyspark.sql import functions as F
 
 from repliphase.functions import genome
 from repliphase.operators import intervals
+from repliphase.sources import bgzf
 
 _TRACK = r"^(#|track|browser|\s*$)"
 #: CIGAR operations that consume the reference.
 REFERENCE_OPS = "MDN=X"
 
 
+def _blocked(path: str) -> bool:
+    return path.endswith((".gz", ".bgz")) and all(bgzf.is_bgzf(name) for name, _ in bgzf.files(path))
+
+
+def raw_lines(spark: SparkSession, path: str, split: int = bgzf.SPLIT) -> DataFrame:
+    """Rows (value), one per line."""
+    return bgzf.read_lines(spark, path, split) if _blocked(path) else spark.read.text(path)
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).withColumn("value", F.regexp_replace("value", "\r$", ""))
+    return raw_lines(spark, path).withColumn("value", F.regexp_replace("value", "\r$", ""))
 
 
 def read_chrom_sizes(spark: SparkSession, path: str, spec: str = "auto+x", minimum: int = genome.MIN_CHROM_SIZE) -> DataFrame:
@@ -57,20 +68,33 @@ def read_bedgraph(spark: SparkSession, path: str, chroms: DataFrame) -> DataFram
 
 def sniff_fragments(spark: SparkSession, path: str) -> tuple[int, bool]:
     """The number of columns of a fragment table, and whether its first line is a header."""
+    columns, header = _sniffed(spark, path)
+    return columns, header is not None
+
+
+def _sniffed(spark: SparkSession, path: str) -> tuple[int, str | None]:
+    """The number of columns and the header, if there is one."""
     first = spark.read.text(path).where("not startswith(value, '#') and length(trim(value)) > 0").head()
     if first is None:
         raise ValueError(f"{path} has no rows")
     parts = first.value.rstrip("\r").split("\t")
     if len(parts) < 4:
         raise ValueError(f"{path} has {len(parts)} columns; at least 4 are needed")
-    return len(parts), not all(re.fullmatch(r"\s*[+-]?\d+\s*", x) for x in parts[1:3])
+    return len(parts), None if all(re.fullmatch(r"\s*[+-]?\d+\s*", x) for x in parts[1:3]) else first.value
 
 
-def read_fragments(spark: SparkSession, path: str) -> DataFrame:
+def read_fragments(spark: SparkSession, path: str, split: int = bgzf.SPLIT) -> DataFrame:
     """Rows (seq, chrom, s, e, barcode) in file order; only the first four columns are parsed."""
-    columns, header = sniff_fragments(spark, path)
-    schema = ", ".join(["chrom string", "s string", "e string", "barcode string", *[f"extra_{k} string" for k in range(columns - 4)]])
-    rows = spark.read.schema(schema).csv(path, sep="\t", comment="#", header=header, mode="PERMISSIVE")
+    columns, header = _sniffed(spark, path)
+    if _blocked(path):
+        lines = bgzf.read_lines(spark, path, split).where("not startswith(value, '#') and length(value) > 0")
+        if header is not None:
+            lines = lines.where(F.col("value") != header)
+        parts = F.split("value", "\t", 5)
+        rows = lines.select(*[F.nullif(F.get(parts, k), F.lit("")).alias(c) for k, c in enumerate(("chrom", "s", "e", "barcode"))])
+    else:
+        schema = ", ".join(["chrom string", "s string", "e string", "barcode string", *[f"extra_{k} string" for k in range(columns - 4)]])
+        rows = spark.read.schema(schema).csv(path, sep="\t", comment="#", header=header is not None, mode="PERMISSIVE")
     # Within a file ids rise with the line; they need no shuffle.
     return rows.select(F.monotonically_increasing_id().alias("seq"), "chrom", F.col("s").try_cast("long"), F.col("e").try_cast("long"), "barcode")
 
@@ -102,7 +126,7 @@ def cigar_length(cigar: Column) -> Column:
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
     """Rows (seq, chrom, pos, mapq, cigar, tags) of SAM alignments with at least one optional field."""
     parts = F.split("value", "\t")
-    rows = spark.read.text(path).where("not startswith(value, '@')").withColumn("f", parts).where(F.size("f") >= 12)
+    rows = raw_lines(spark, path).where("not startswith(value, '@')").withColumn("f", parts).where(F.size("f") >= 12)
     return rows.select(
         F.monotonically_increasing_id().alias("seq"), F.get("f", 2).alias("chrom"), F.get("f", 3).try_cast("long").alias("pos"),
         F.get("f", 4).try_cast("int").alias("mapq"), F.get("f", 5).alias("cigar"), F.slice("f", 12, 1 << 20).alias("tags"),

@@ -3,7 +3,6 @@
 import gzip
 import json
 import random
-import struct
 
 import pytest
 
@@ -69,68 +68,15 @@ def test_sam(spark, tmp_path, chroms):
     assert sorted(r.barcode for r in tt.valid_fragments(tt.sam_fragments(sam, min_mapq=10, zero_based=True), chroms).collect()) == ["AA", "BB"]
 
 
-def record(name, ref, pos, mapq, cigar, tags):
-    body = struct.pack("<iiBBHHHiiii", ref, pos - 1, len(name) + 1, mapq, 0, len(cigar), 0, 4, -1, -1, 0) + name.encode() + b"\0"
-    body += b"".join(struct.pack("<I", n << 4 | "MIDNSHP=X".index(op)) for n, op in cigar) + b"\x11\x22" + b"\xff" * 4 + tags
-    return struct.pack("<i", len(body)) + body
-
-
-@pytest.fixture
-def bam_file(tmp_path):
-    head = b"BAM\1" + struct.pack("<i", 4) + b"@HD\n" + struct.pack("<i", 2)
-    for name in ("chr1", "chr2"):
-        head += struct.pack("<i", len(name) + 1) + name.encode() + b"\0" + struct.pack("<i", 5_000_000)
-    tag = lambda b: b"NMi" + struct.pack("<i", 3) + b"BQBc" + struct.pack("<i", 2) + b"\1\2" + b"CBZ" + b + b"\0"
-    rows = [record(f"r{k}", k % 2, 100 + k, 30, [(5, "M"), (2, "I"), (3, "D")], tag([b"AA", b"BB", b"-"][k % 3])) for k in range(3000)]
-    rows.append(record("u", -1, 0, 0, [], b""))
-    path = tmp_path / "a.bam"
-    path.write_bytes(bam.compressed(head + b"".join(rows)) + bam.EOF_BLOCK)
-    return path
-
-
-def test_bam(spark, bam_file, tmp_path):
-    spark.dataSource.register(bam.BamSource)
-    rows = spark.read.format("bam").load(str(bam_file))
-    assert rows.count() == 3001
-    r = rows.where("name = 'r1'").first()
-    assert (r.chrom, r.pos, r.mapq, r.cigar, r.tags) == ("chr2", 101, 30, "5M2I3D", ["CB:Z:BB"])
-    u = rows.where("name = 'u'").first()
-    assert (u.chrom, u.pos, u.cigar) == ("*", 0, "*")
-    out = tmp_path / "b.bam"
-    assert bam.filter_bam(spark, str(bam_file), str(out), {"AA"}) == 1000
-    again = spark.read.format("bam").load(str(out))
-    assert again.count() == 1000 and {t for r in again.collect() for t in r.tags} == {"CB:Z:AA"}
-
-
-@pytest.mark.parametrize("split", [700, 5000, 60_000])
-def test_bam_in_parts(spark, bam_file, split):
-    spark.dataSource.register(bam.BamSource)
-    whole = spark.read.format("bam").load(str(bam_file)).collect()
-    parts = spark.read.format("bam").option("split", split).load(f"file://{bam_file}")
-    found = parts.collect()
-    assert parts.rdd.getNumPartitions() == -(-bam_file.stat().st_size // split)
-    assert found == whole
-
-
-def test_bam_records_across_blocks(tmp_path):
-    """Blocks of a few hundred bytes, so that records span several and begin anywhere."""
-    raw = b"BAM\1" + struct.pack("<i", 0) + struct.pack("<i", 1) + struct.pack("<i", 2) + b"c\0" + struct.pack("<i", 9000)
-    header = len(raw)
-    rows = [struct.pack("<iiiBBHHHiiii", 32 + 6 + 3 * k, 0, k, 6, 9, 0, 0, 0, 2 * k, -1, -1, 0) + b"r%04d\0" % k + bytes(3 * k) for k in range(300)]
-    whole = raw + b"".join(rows)
-    path = tmp_path / "b.bam"
-    path.write_bytes(b"".join(bam.compressed(whole[k : k + 333]) for k in range(0, len(whole), 333)) + bam.EOF_BLOCK)
-    size = path.stat().st_size
-    for split in (97, 1000, 7919):
-        assert [r for at in range(0, size, split) for r in bam._raw_records(str(path), at, min(at + split, size), header, 1)] == rows
-
-
 def test_command_line(spark, bam_file, tmp_path, capsys):
     names = tmp_path / "names"
     names.write_text("# c\n AA \n\nBB\nAA\n")
     assert sorted(r.barcode for r in tt.read_barcodes(spark, str(names)).collect()) == ["AA", "BB"]
-    assert cli.main(["valid-bam", "-i", str(bam_file), "-o", str(tmp_path / "c.bam"), "-b", str(names)]) == 0
+    assert cli.main(["valid-bam", "-i", str(bam_file), "-o", str(tmp_path / "c"), "-b", str(names), "--index"]) == 0
     assert "2000 records" in capsys.readouterr().out
+    assert bam.read(spark, found=spark.read.parquet(str(tmp_path / "c.CB1K.bam.index"))).count() == 2000
+    names.write_text("# nobody\n")
+    assert cli.main(["valid-bam", "-i", str(bam_file), "-o", str(tmp_path / "d"), "-b", str(names), "-s", ".x"]) == 2
     assert cli.main(["bam2tag", "-b", str(bam_file), "-p", str(tmp_path / "p"), "-q", "10"]) == 0
     counts = [p.read_text() for p in (tmp_path / "p.CB_counts.txt").glob("part*")]
     assert counts == ["CB\tcount\nAA\t1000\nBB\t1000\n"]
