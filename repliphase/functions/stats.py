@@ -1,7 +1,6 @@
 """Rank, robust and quantile statistics over DataFrames; missing values are NULL.
 
-Ranks over a whole DataFrame have one order and so one task. They serve tables with a row per
-cell or per bin, which are small beside the events; nothing here ranks events.
+Ranks and quantiles over a whole DataFrame are those of ``ranks``; within keys they are windows.
 """
 
 from __future__ import annotations
@@ -11,6 +10,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from repliphase.functions import ranks
+from repliphase.functions.storage import settled
+
 
 def _over(partition: list[str]) -> Window:
     return Window.partitionBy(*partition) if partition else Window.partitionBy(F.lit(0))
@@ -18,22 +20,25 @@ def _over(partition: list[str]) -> Window:
 
 def unit_rank(df: DataFrame, order: list, alias: str = "rank01", partition: list[str] = ()) -> DataFrame:
     """Ranks from 0 to 1 in this order, ties broken by the later columns; 0 for a single row."""
+    if not partition:
+        rows = ranks.numbered(ranks.with_count(df, "_n"), order, "_r")
+        return rows.withColumn(alias, F.when(F.col("_n") <= 1, F.lit(0.0)).otherwise((F.col("_r") - 1) / (F.col("_n") - 1))).drop("_n", "_r")
     own = _over(list(partition))
     n = F.count("*").over(own)
     return df.withColumn(alias, F.when(n <= 1, F.lit(0.0)).otherwise((F.row_number().over(own.orderBy(*order)) - 1) / (n - 1)))
 
 
-def average_rank(value: str, partition: list[str] = ()) -> Column:
-    """The mean rank of equal values, from 1."""
+def average_rank(value: str, partition: list[str]) -> Column:
+    """The mean rank of equal values within keys, from 1."""
     own = _over(list(partition))
-    same = Window.partitionBy(*(list(partition) or [F.lit(0)]), value)
+    same = Window.partitionBy(*partition, value)
     return F.rank().over(own.orderBy(value)) + (F.count("*").over(same) - 1) / F.lit(2.0)
 
 
 def spearman(df: DataFrame, a: str, b: str, least: int = 5) -> DataFrame:
     """One row (rho, n): rank correlation of the rows where both are finite; NULL for fewer than ``least``."""
     both = finite(df.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")), "a", "b")
-    ranked = both.select(average_rank("a").alias("ra"), average_rank("b").alias("rb"))
+    ranked = ranks.average_ranks(ranks.average_ranks(settled(both), "a", "ra"), "b", "rb")
     n, size = F.count("*"), F.stddev_pop("ra") * F.stddev_pop("rb")
     return ranked.agg(F.when(n >= least, F.covar_pop("ra", "rb") / F.nullif(size, F.lit(0.0))).alias("rho"), n.alias("n"))
 
@@ -49,16 +54,21 @@ def robust_mad(df: DataFrame, value: str, keys: list[str] = ()) -> DataFrame:
     """Rows (keys..., med, scale): the median, and the first positive of 1.4826 MAD, standard deviation and 1e-9."""
     keys = list(keys)
     v = finite(df.select(*keys, F.col(value).cast("double").alias("v")), "v")
-    med = v.groupBy(*keys).agg(F.percentile("v", F.lit(0.5)).alias("med"), F.stddev_pop("v").alias("sd"))
-    joined = v.join(med, keys) if keys else v.crossJoin(med)
-    out = joined.groupBy(*keys, "med", "sd").agg((F.percentile(F.abs(F.col("v") - F.col("med")), F.lit(0.5)) * 1.4826).alias("mad"))
+    if keys:
+        med = v.groupBy(*keys).agg(F.percentile("v", F.lit(0.5)).alias("med"), F.stddev_pop("v").alias("sd"))
+        out = v.join(med, keys).groupBy(*keys, "med", "sd").agg(F.percentile(F.abs(F.col("v") - F.col("med")), F.lit(0.5)).alias("mad"))
+    else:
+        out = ranks.median_and_mad(settled(v), "v").where("med is not null")
+    out = out.withColumn("mad", F.col("mad") * 1.4826)
     scale = F.when(F.col("mad") > 0, F.col("mad")).when(F.col("sd") > 0, F.col("sd")).otherwise(F.lit(1e-9))
     return out.select(*keys, "med", scale.alias("scale"))
 
 
-def quantiles(df: DataFrame, value: str, probabilities: list[float]) -> DataFrame:
-    """One row q0, q1, ...: exact quantiles with linear interpolation."""
-    return df.agg(*[F.percentile(value, F.lit(float(p))).alias(f"q{k}") for k, p in enumerate(probabilities)])
+def quantiles(df: DataFrame, value: str, probabilities: list[float], few: bool = False) -> DataFrame:
+    """One row q0, q1, ...: exact quantiles with linear interpolation; ``few`` says that one task may hold the distinct values."""
+    if few:
+        return df.agg(*[F.percentile(value, F.lit(float(p))).alias(f"q{k}") for k, p in enumerate(probabilities)])
+    return ranks.quantiles(df, value, probabilities)
 
 
 def log10_histogram(df: DataFrame, value: str, step: float = 0.025, top: float = 6.0) -> DataFrame:
@@ -122,16 +132,19 @@ def binned_baseline(df: DataFrame, statistic: str, support: str, n_bins: int = 2
     """
     rows = finite(df.select(F.col(statistic).cast("double").alias("y"), F.col(support).cast("double").alias("s")), "y", "s").where("s > 0").select("y", F.log10("s").alias("x"))
     n = rows.count()
-    whole = robust_mad(rows, "y").select(F.lit(0.0).alias("centre"), F.col("med").alias("mean"), F.col("scale").alias("sd"))
+
+    def whole() -> DataFrame:
+        return robust_mad(rows, "y").select(F.lit(0.0).alias("centre"), F.col("med").alias("mean"), F.col("scale").alias("sd"))
+
     if n < max(3 * min_n, 60):
-        return whole
+        return whole()
     bins = max(3, min(n_bins, n // min_n))
-    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("x", "y")) - 1)
+    ranked = ranks.numbered(rows, ["x", "y"], "r").withColumn("r", F.col("r") - 1)
     # Bin b holds the ranks from floor(b n / bins) on.
     ranked = ranked.withColumn("b", F.expr(f"least({bins - 1}, ((r + 1) * {bins} - 1) div {n})"))
     stats = robust_mad(ranked, "y", ["b"]).join(ranked.groupBy("b").agg(F.percentile("x", F.lit(0.5)).alias("centre"), F.count("*").alias("n")), "b").where("n >= 5")
     knots = stats.select("centre", F.col("med").alias("mean"), F.col("scale").alias("sd"))
-    return knots if stats.count() >= 2 else whole
+    return knots if stats.count() >= 2 else whole()
 
 
 def along_baseline(df: DataFrame, support: str, knots: DataFrame, mean: str = "null_mean", sd: str = "null_sd") -> DataFrame:

@@ -80,7 +80,7 @@ def usable_of(pooled: DataFrame, blocked: DataFrame, anchor: DataFrame | None =
     found = pooled.join(blocked.where("fraction > 0.5"), ["h", "bin"], "left_anti")
     if anchor is not None:
         found = found.join(anchor, ["h", "bin"], "left_semi")
-    limits = stats.quantiles(found, "n", [low, high])
+    limits = stats.quantiles(found, "n", [low, high], few=True)  # a row per bin of the genome
     return found.crossJoin(limits).where("n >= q0 - 1e-9D and n <= q1 + 1e-9D").select("h", "bin", "n")  # limits: one row
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from repliphase.functions import genome
+from repliphase.functions import genome, ranks
 
 
 def cell_bins(events: DataFrame, chroms: DataFrame, width: int) -> DataFrame:
@@ -120,9 +120,9 @@ def pick_landmarks(sizes: DataFrame, cap: int) -> DataFrame:
     n = sizes.count()
     if cap <= 0 or n <= cap:
         return sizes
-    ranks = sizes.withColumn("r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("support", "cell")) - 1)
-    wanted = ranks.sparkSession.range(cap).select(F.rint(F.col("id") * ((n - 1) / max(cap - 1, 1))).cast("int").alias("r")).distinct()
-    return ranks.join(wanted, "r", "left_semi").drop("r")
+    placed = ranks.numbered(sizes, ["support", "cell"], "r").withColumn("r", F.col("r") - 1)
+    wanted = sizes.sparkSession.range(cap).select(F.rint(F.col("id") * ((n - 1) / max(cap - 1, 1))).cast("int").alias("r")).distinct()
+    return placed.join(wanted, "r", "left_semi").drop("r")
 
 
 def region_counts(events: DataFrame, h: int, start: int, end: int, width: int) -> DataFrame:

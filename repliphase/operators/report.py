@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from repliphase.functions import stats
+from repliphase.functions import ranks, stats
 
 
 def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
@@ -39,7 +39,7 @@ def evenly_spaced(cells: DataFrame, order: str, cap: int) -> DataFrame:
     n = cells.count()
     if n <= cap:
         return cells
-    ranked = cells.withColumn("_r", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order)) - 1).cast("long"))
+    ranked = ranks.numbered(cells, [order], "_r").withColumn("_r", F.col("_r") - 1)
     wanted = cells.sparkSession.range(cap).select(F.rint(F.col("id") * ((n - 1) / max(cap - 1, 1))).cast("long").alias("_r")).distinct()
     return ranked.join(wanted, "_r", "left_semi").drop("_r")
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from repliphase.functions import spectral
+from repliphase.functions import spectral, stats
+from repliphase.functions.storage import settled
 from repliphase.operators import similarity
 
 BASE, ODD, EVEN = -1, -2, -3
@@ -75,26 +76,37 @@ def seriate_replicates(landmarks: DataFrame, block_of: DataFrame, k: int, replic
 def aligned_replicates(made: DataFrame, min_rho: float = 0.3, min_cover: float = 0.9) -> tuple[DataFrame, dict]:
     """Rows (rep, cell, coord) of accepted replicates, turned to the base order and ranked 0..1; and a summary.
 
-    A replicate is dropped if it places too few of the base cells or correlates too weakly. The
-    tables have a row per landmark and replicate.
+    A replicate is accepted if it places enough of the base cells and correlates with them in rank, in
+    either direction. Every replicate is judged and ranked by itself, side by side with the others.
     """
-    pdf = made.toPandas()
-    base = pdf[pdf.rep == BASE].set_index("cell")["coord"].astype(float)
-    kept, rhos, failed = [], [], 0
-    placed = np.isfinite(base.to_numpy())
-    for rep, rows in pdf[pdf.rep >= 0].groupby("rep"):
-        x = rows.set_index("cell")["coord"].astype(float).reindex(base.index).to_numpy()
-        ok = placed & np.isfinite(x)
-        rho = spectral.rank_correlation(x[ok], base.to_numpy()[ok])
-        if ok.sum() < min_cover * max(placed.sum(), 1) or not np.isfinite(rho) or abs(rho) < min_rho:
-            failed += 1
-            continue
-        rhos.append(abs(rho))
-        kept.append(pd.DataFrame({"rep": rep, "cell": base.index[ok], "coord": spectral.unit_ranks(x[ok] if rho > 0 else -x[ok])}))
-    halves = [pdf[pdf.rep == r].set_index("cell")["coord"].astype(float).reindex(base.index).to_numpy() for r in (ODD, EVEN)]
-    split = spectral.rank_correlation(*halves) if len(halves[0]) == len(halves[1]) else float("nan")
-    score = pdf[pdf.rep == BASE]["score"].iloc[0] if len(base) else None
-    summary = {"failed": failed, "used": len(kept), "median_rho": float(np.median(rhos)) if rhos else None, "split_rho": abs(split) if np.isfinite(split) else None, "robinson": None if score is None or pd.isna(score) else float(score)}
-    out = pd.concat(kept) if kept else pd.DataFrame({"rep": [], "cell": [], "coord": []})
-    rows = [(int(r), int(c), float(x)) for r, c, x in out.itertuples(index=False)]
-    return made.sparkSession.createDataFrame(rows, "rep int, cell long, coord double"), summary
+    base = made.where(F.col("rep") == BASE)
+    met = made.where("rep >= 0").join(base.where("coord is not null").select("cell", F.col("coord").alias("at")), "cell")
+    met = settled(met.where("coord is not null").select("rep", "cell", "coord", "at"))
+    judged = rank_correlations(met, "rep", "coord", "at").crossJoin(base.agg(F.count("coord").alias("placed")))  # one row
+    judged = judged.withColumn("ok", (F.col("n") >= min_cover * F.greatest("placed", F.lit(1))) & (F.abs("rho") >= min_rho))
+    judged = settled(judged.select("rep", "rho", F.coalesce("ok", F.lit(False)).alias("ok")))
+    turned = met.join(judged.where("ok"), "rep").withColumn("coord", F.signum("rho") * F.col("coord"))
+    asked = made.where("rep >= 0").select("rep").distinct().count()
+    seen = judged.agg(F.count_if("ok").alias("used"), F.percentile(F.when(F.col("ok"), F.abs("rho")), F.lit(0.5)).alias("median_rho")).first()  # a row per replicate
+    _, split = halves(made)
+    score = base.agg(F.max("score").alias("score")).first().score
+    summary = {"failed": asked - seen.used, "used": seen.used, "median_rho": seen.median_rho, "split_rho": split, "robinson": score}
+    return stats.unit_rank(turned, ["coord", "cell"], "place", ["rep"]).select("rep", "cell", F.col("place").alias("coord")), summary
+
+
+def rank_correlations(rows: DataFrame, key: str, a: str, b: str, least: int = 5) -> DataFrame:
+    """Rows (key, rho, n): the rank correlation within each key; NULL for fewer than ``least`` rows."""
+    ranked = rows.select(key, stats.average_rank(a, [key]).alias("_a"), stats.average_rank(b, [key]).alias("_b"))
+    n, size = F.count(F.lit(1)), F.stddev_pop("_a") * F.stddev_pop("_b")
+    return ranked.groupBy(key).agg(F.when(n >= least, F.covar_pop("_a", "_b") / F.nullif(size, F.lit(0.0))).alias("rho"), n.alias("n"))
+
+
+def halves(made: DataFrame) -> tuple[DataFrame, float | None]:
+    """Rows (cell, order_odd_blocks, order_even_blocks), the even ones turned to run as the odd ones do; and their rank correlation."""
+    both = made.where(F.col("rep").isin(ODD, EVEN)).groupBy("cell").agg(*[F.max(F.when(F.col("rep") == r, F.col("coord"))).alias(c) for r, c in ((ODD, "order_odd_blocks"), (EVEN, "order_even_blocks"))])
+    both = settled(both)
+    rho = rank_correlations(both.where("order_odd_blocks is not null and order_even_blocks is not null").withColumn("_one", F.lit(1)), "_one", "order_odd_blocks", "order_even_blocks").select("rho").first()
+    rho = rho.rho if rho else None
+    if rho is not None and rho < 0:
+        both, rho = both.withColumn("order_even_blocks", 1 - F.col("order_even_blocks")), -rho
+    return both, rho

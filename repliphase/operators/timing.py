@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from repliphase.functions import stats
+from repliphase.functions import ranks, stats
 
 
 def total_order(cells: DataFrame, order: list[str], alias: str = "progression") -> DataFrame:
-    """``cells`` with progression (rank - 0.5)/n and global_order (rank from 1); one row per cell, so one task."""
-    one = Window.partitionBy(F.lit(0))
-    n, r = F.count("*").over(one), F.row_number().over(one.orderBy(*order))
-    return cells.withColumns({alias: (r - F.lit(0.5)) / n, "global_order": r.cast("long")})
+    """``cells`` with progression (rank - 0.5)/n and global_order (rank from 1)."""
+    rows = ranks.numbered(ranks.with_count(cells, "_n"), order, "global_order")
+    return rows.withColumn(alias, (F.col("global_order") - F.lit(0.5)) / F.col("_n")).drop("_n")
 
 
 def tiles(cells: DataFrame, by: str, n: int, alias: str = "pseudotime_bin") -> DataFrame:
     """``cells`` in n groups of near-equal count along ``by``, the larger ones first."""
-    return cells.withColumn(alias, F.ntile(n).over(Window.partitionBy(F.lit(0)).orderBy(by)))
+    rows, at = ranks.numbered(ranks.with_count(cells, "_n"), [by], "_at"), F.col("_at") - 1
+    size, more = F.floor(F.col("_n") / n), F.col("_n") % n
+    large = more * (size + 1)
+    tile = F.when(at < large, F.floor(at / (size + 1))).otherwise(more + F.floor((at - large) / F.greatest(size, F.lit(1))))
+    return rows.withColumn(alias, (tile + 1).cast("int")).drop("_n", "_at")
 
 
 def orientation(cells: DataFrame, progression: str, anchor: str, anchor_high: str = "early", flip: bool = False) -> tuple[bool, float | None]:

@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repliphase.config import Config
-from repliphase.functions import genome, stats
+from repliphase.functions import genome, ranks, stats
 from repliphase.functions.storage import settled, shared_folder
 from repliphase.operators import events, extension, foreground, gates, intervals, matrix, report, seriation, similarity, timing
-from repliphase.plans.standin import GRAPH, PREFIX, RT, Tables, merged_sql, means_sql, phi_sql
+from repliphase.plans.standin import GRAPH, PREFIX, RT, SIZE, Tables, merged_sql, means_sql, phi_sql, planted_place
 from repliphase.sources import bam, bgzf, text_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,7 +53,7 @@ def grid_bins(t):
 def chrom_select_sort(t):
     name = "concat(case p_partkey % 3 when 0 then 'chr' when 1 then 'Chr' else '' end, case when p_partkey % 31 = 23 then 'X' when p_partkey % 31 = 24 then 'Y' when p_partkey % 31 = 25 then concat('Un_', p_partkey % 7) else cast(p_partkey % 31 as string) end)"
     rows = t.read("part").selectExpr(f"{name} as name", "p_partkey * 10007 as size").groupBy("name").agg(F.max("size").alias("size")).where(f"size > {genome.MIN_CHROM_SIZE}")
-    ranked = stats.unit_rank(rows, genome.natural_order(rows)).withColumn("rank", F.row_number().over(stats._over([]).orderBy(*genome.natural_order(rows))).cast("long"))
+    ranked = ranks.numbered(rows, genome.natural_order(rows), "rank")
     return ranked.select("name", genome.chrom_core(F.col("name")).alias("core"), genome.is_autosome(F.col("name")).alias("autosome"), "size", "rank")
 
 
@@ -625,3 +625,51 @@ def landmark_extension(t):
     replicates, _ = seriation.aligned_replicates(made, _RUN.boot_min_abs_rho)
     coords = made.where(f"rep = {seriation.BASE} and coord is not null").select("cell", F.col("coord").alias("t"))
     return extension.place(occ, own, coords, replicates, t.blocks(), k)
+
+
+_PLANTED = f"""pl AS (SELECT seq, cell // 5 AS cell, h, p, unnest(range({RT // GRAPH})) AS j, (cell // 5 * 7919 % 1009 + 0.5::DOUBLE) / 1009.0::DOUBLE AS t FROM ev),
+po AS (SELECT DISTINCT cell, pl.h, col FROM pl JOIN cols ON pl.h = cols.h AND (p // {RT} * {RT} + (p + j * {GRAPH}) % {RT}) // {GRAPH} = cols.bin
+  WHERE ((pl.h * {SIZE // RT} + p // {RT}) * 104729 % 1009) / 1009.0::DOUBLE < 0.1::DOUBLE + 0.8::DOUBLE * t OR seq % 100 < 3)"""
+
+
+def _planted(t: Tables) -> DataFrame:
+    return settled(matrix.occupancy(t.planted(), t.chroms(), GRAPH, t.columns()))
+
+
+@_query("""SELECT rep, n AS cells, CASE WHEN n >= 20 THEN true END AS follows, CASE WHEN n >= 20 THEN true END AS halves_agree
+FROM (SELECT count(DISTINCT cell) AS n FROM po), (SELECT unnest(range(-3, 0))::INT AS rep)""", _PLANTED)
+def planted_seriation(t):
+    """Whether the order by all blocks, and by each half of them, is that which was planted; and whether the halves run the same way once turned."""
+    occ = _planted(t)
+    k = seriation.neighbour_count(occ.select("cell").distinct().count(), _RUN.knn)
+    made = settled(seriation.seriate_replicates(occ, t.blocks(), k, 0, _RUN.refine_rounds, _RUN.seed))
+    _, split = seriation.halves(made)
+    rows = made.withColumn("t", planted_place(F.col("cell")))
+    rho = seriation.rank_correlations(rows.where("coord is not null"), "rep", "coord", "t")
+    cells = rows.groupBy("rep").agg(F.count(F.lit(1)).alias("cells")).join(rho, "rep", "left")
+    return cells.select("rep", "cells", (F.abs("rho") >= 0.95).alias("follows"), F.lit(None if split is None else split >= 0.9).cast("boolean").alias("halves_agree"))
+
+
+_AROUND = """pk AS (SELECT n, least(greatest(3, least(least(greatest(n // 25, 10), 50), greatest(3, n - 1))), greatest(1, n - 1)) AS k FROM (SELECT count(DISTINCT cell) AS n FROM po)),
+ph2 AS (SELECT n, k, greatest(1, least(k // 3, greatest(1, n // 20))) AS half FROM pk),
+pt AS (SELECT DISTINCT cell, (cell * 7919 % 1009 + 0.5::DOUBLE) / 1009.0::DOUBLE AS t FROM po),
+pg AS (SELECT g.cell, g.landmark, g.t, b.phi, row_number() OVER (PARTITION BY g.cell ORDER BY g.t, g.landmark) AS o
+  FROM (SELECT a.cell, l.cell AS landmark, l.t FROM pt a, pt l) g LEFT JOIN bw b ON b.i = g.cell AND b.j = g.landmark),
+ps AS (SELECT pg.*, k, avg(pg.phi) OVER (PARTITION BY pg.cell ORDER BY o ROWS BETWEEN half PRECEDING AND half FOLLOWING) AS smooth FROM pg, ph2)"""
+
+
+def _centre(value: str) -> str:
+    return f"""(SELECT cell, sum(({value} - low + 1e-6::DOUBLE) * t) / sum({value} - low + 1e-6::DOUBLE) AS c FROM (SELECT *, min({value}) OVER (PARTITION BY cell) AS low FROM (
+      SELECT *, row_number() OVER (PARTITION BY cell ORDER BY {value} DESC, o) AS r FROM ps WHERE {value} IS NOT NULL) WHERE r <= k) GROUP BY cell)"""
+
+
+@_query(f"""SELECT pt.cell, round(s.c, 6) AS hat, round(q.c, 6) AS secondary, round(1 - s.c, 6) AS turned FROM pt
+LEFT JOIN {_centre("smooth")} s ON s.cell = pt.cell LEFT JOIN {_centre("phi")} q ON q.cell = pt.cell""", _PLANTED, phi_sql("po"), _AROUND)
+def planted_extension(t):
+    """Places of all cells among the others at their planted places, and under a replicate that runs the other way."""
+    occ = _planted(t)
+    marks = settled(occ.select("cell").distinct().withColumn("t", planted_place(F.col("cell"))))
+    replicates = marks.select(F.lit(0).alias("rep"), "cell", (1 - F.col("t")).alias("coord"))
+    k = seriation.neighbour_count(marks.count(), _RUN.knn)
+    placed = extension.place(occ, occ, marks, replicates, t.blocks(), k)
+    return placed.select("cell", *_six("hat", "secondary"), F.round(F.get("boot", F.lit(0)), 6).alias("turned"))

@@ -7,11 +7,11 @@ from dataclasses import dataclass, field
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repliphase.config import Config
-from repliphase.functions import stats
+from repliphase.functions import ranks, stats
 from repliphase.functions.storage import settled
 from repliphase.operators import events, extension, foreground, gates, intervals, matrix, seriation, similarity, timing
 from repliphase.sources import sinks, text_tables
@@ -52,7 +52,7 @@ class Ordering:
         # Cells are numbered by barcode, from all valid fragments, so a cell of blacklisted ones only stays in the result.
         valid = text_tables.valid_fragments(self.fragments, chroms, c.min_frag_len, c.max_frag_len)
         names = valid.groupBy("barcode").agg(F.count("*").alias("n_total"))
-        names = settled(names.withColumn("cell", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("barcode")).cast("long")))
+        names = settled(ranks.numbered(names, ["barcode"], "cell"))
         flagged = intervals.flag_hits(text_tables.midpoints(valid), self.blacklist, "black").join(names.select("barcode", "cell"), "barcode")
         flagged = settled(flagged.select("seq", "cell", "h", "p", "black"))
         raw = flagged.where("not black").drop("black")
@@ -170,7 +170,7 @@ class Ordering:
         if self.seriation["failed"] > 0.25 * max(c.n_bootstrap, 1):
             self.warn(f"{self.seriation['failed']} of {c.n_bootstrap} replicates failed")
         coords = settled(made.where(f"rep = {seriation.BASE} and coord is not null").select("cell", F.col("coord").alias("t")))
-        halves = made.where("rep < -1").groupBy("cell").agg(F.max(F.when(F.col("rep") == seriation.ODD, F.col("coord"))).alias("order_odd_blocks"), F.max(F.when(F.col("rep") == seriation.EVEN, F.col("coord"))).alias("order_even_blocks"))
+        halves, _ = seriation.halves(made)
 
         failed = judged.where("status <> 'PASS'").select("cell")
         pending = passed.join(coords, "cell", "left_anti").join(failed, "cell", "left_anti")
@@ -227,7 +227,7 @@ class Ordering:
             ordered = ordered.where("not low_confidence")
             ordered = timing.total_order(ordered, ["progression"])
         else:
-            ordered = ordered.withColumn("global_order", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("progression")).cast("long"))
+            ordered = ranks.numbered(ordered.drop("global_order"), ["progression"], "global_order")
         return settled(timing.tiles(ordered, "global_order", max(1, c.n_bins))), {"flipped": flip, "anchor_rho": None if rho is None else (-rho if flip else rho)}
 
     def _metrics(self, cells: DataFrame, status: DataFrame, placed: DataFrame, ordered: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repliphase.functions.storage import settled
@@ -15,6 +15,11 @@ WIDE, NARROW = 100, 34
 NAMES = ("click", "error", "purchase", "signup", "view")
 
 
+def planted_place(cell: Column) -> Column:
+    """The place between 0 and 1 of a cell of ``Tables.planted``."""
+    return (cell * 7919 % 1009 + F.lit(0.5)) / F.lit(1009.0)
+
+
 def as_events(rows: DataFrame, *more: str) -> DataFrame:
     """Rows (seq, cell, h, p, more...) of a table or stream of events."""
     h = "case event_type when 'click' then 0 when 'error' then 1 when 'purchase' then 2 when 'signup' then 3 else 4 end"
@@ -49,6 +54,16 @@ class Tables:
     def events(self) -> DataFrame:
         return as_events(self.read("events"), "value")
 
+    def planted(self) -> DataFrame:
+        """Events of cells whose place is known: five users make a cell, and of its events those remain whose day fires before its place.
+
+        Places of cells and days are congruences; three events in a hundred remain anyhow. Each counts in all four bins of its day,
+        so that cells are as full as sequencing makes them.
+        """
+        fires = F.expr(f"((h * {SIZE // RT} + p div {RT}) * 104729 % 1009) / 1009D")
+        rows = self.events().withColumn("cell", F.expr("cell div 5")).where((fires < 0.1 + 0.8 * planted_place(F.expr("cell"))) | (F.col("seq") % 100 < 3))
+        return rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(RT // GRAPH - 1)))).withColumn("p", F.expr(f"p div {RT} * {RT} + (p + j * {GRAPH}) % {RT}")).drop("j")
+
     def blacklist(self, overlapping: bool = False) -> DataFrame:
         """An interval per supplier; widths shrink with their number, so that they cover the same share at any scale."""
         rows, s = self.read("supplier"), "(s_suppkey * 104729) % 2500000"

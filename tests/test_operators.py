@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from repliphase.functions import genome, spectral, stats
+from repliphase.functions import genome, ranks, spectral, stats
 from repliphase.operators import events, extension, foreground, gates, intervals, matrix, similarity, timing
 
 
@@ -74,7 +74,8 @@ def test_natural_order_and_aliases(spark):
 
 def test_ranks(spark):
     df = frame(spark, [(k, v) for k, v in enumerate([1.0, 2.0, 2.0, 5.0])], "k int, v double")
-    assert [r.r for r in df.select("k", stats.average_rank("v").alias("r")).orderBy("k").collect()] == [1.0, 2.5, 2.5, 4.0]
+    assert [r.r for r in ranks.average_ranks(df, "v", "r").orderBy("k").collect()] == [1.0, 2.5, 2.5, 4.0]
+    assert [r.r for r in df.withColumn("one", F.lit(1)).select("k", stats.average_rank("v", ["one"]).alias("r")).orderBy("k").collect()] == [1.0, 2.5, 2.5, 4.0]
     assert [r.rank01 for r in stats.unit_rank(df, ["v", "k"]).orderBy("k").collect()] == pytest.approx([0, 1 / 3, 2 / 3, 1])
     assert [r.rank01 for r in stats.unit_rank(df.limit(1), ["v"]).collect()] == [0.0]
     assert spectral.ranks(np.array([1, 2, 2, 5])).tolist() == [1, 2.5, 2.5, 4]
