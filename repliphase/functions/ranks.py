@@ -29,7 +29,7 @@ def running_total(df: DataFrame, order: list, value: str | None = None, alias: s
 
 def numbered(df: DataFrame, order: list, alias: str) -> DataFrame:
     """``df`` with its row's number in this order, from 1."""
-    return running_total(df, order, None, "_at").withColumn(alias, (F.col("_at") + 1).cast("long")).drop("_at")
+    return running_total(df, order, None, alias).withColumn(alias, (F.col(alias) + 1).cast("long"))
 
 
 def with_count(df: DataFrame, alias: str) -> DataFrame:

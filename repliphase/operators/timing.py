@@ -16,11 +16,11 @@ def total_order(cells: DataFrame, order: list[str], alias: str = "progression")
 
 def tiles(cells: DataFrame, by: str, n: int, alias: str = "pseudotime_bin") -> DataFrame:
     """``cells`` in n groups of near-equal count along ``by``, the larger ones first."""
-    rows, at = ranks.numbered(ranks.with_count(cells, "_n"), [by], "_at"), F.col("_at") - 1
+    rows, at = ranks.numbered(ranks.with_count(cells, "_n"), [by], "_place"), F.col("_place") - 1
     size, more = F.floor(F.col("_n") / n), F.col("_n") % n
     large = more * (size + 1)
     tile = F.when(at < large, F.floor(at / (size + 1))).otherwise(more + F.floor((at - large) / F.greatest(size, F.lit(1))))
-    return rows.withColumn(alias, (tile + 1).cast("int")).drop("_n", "_at")
+    return rows.withColumn(alias, (tile + 1).cast("int")).drop("_n", "_place")
 
 
 def orientation(cells: DataFrame, progression: str, anchor: str, anchor_high: str = "early", flip: bool = False) -> tuple[bool, float | None]:
