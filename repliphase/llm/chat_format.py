@@ -1,11 +1,13 @@
 r"""Chat formatting by schema fingerprints, in DataFrame functions only.
 
-A record is a VARIANT in one of several layouts. The nested field paths that it has, of those
-that any mapping knows, are hashed; the fingerprint selects a declarative mapping, which turns
-the record into canonical turns (role, text). Where several mappings fit, the first in their
-order is taken; other fields of a record are ignored. Members of a list have fingerprints of
-their own, so that each may be laid out differently. Rows of one conversation are put together
-by their order and written in one template:
+A record is a VARIANT in one of several layouts. The nested field paths that hold something, of
+those that any mapping knows, are hashed; the fingerprint selects a declarative mapping, which
+turns the record into canonical turns (role, text). A field that is null or an empty list holds
+nothing, as in tables merged from several sources; only where no mapping fits what is held, those
+fields count too. Where several mappings fit, the first in their order is taken; other fields of a
+record are ignored, but a system text stays in front of a list of turns. Members of a list are
+read one by one, each by the first known role and text field that hold something. Rows of one
+conversation are put together by their order and written in one template:
 
     <turn:ROLE>\nTEXT</turn>\n
 
@@ -14,8 +16,9 @@ backslash, which reading back removes; in roles the characters ``% < >`` and lin
 percent-encoded. The loss mask holds the spans, in code points, of the assistant texts.
 
 Defined cases: null or absent text is empty, a null role is empty; a text that is a list of parts
-is its parts' texts with an empty line between; a list of turns may be a single turn, or a string
-of JSON, and any other string is one turn without a role; rows with the same place in a
+is its parts' texts with an empty line between, and a field that holds a list of turns instead of a
+text gives those turns; a list of turns may be a single turn, or a string of JSON, and any other
+string is one turn without a role; rows with the same place in a
 conversation are ordered by role and text, repeated ones stay; a record of no layout, and a member
 of a list without any known field, give no turn and are counted in n_unknown, while the rest of the
 conversation stays; an empty list gives no turns; a null id is an id; empty tables give no rows. A
@@ -26,8 +29,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import reduce
-from itertools import combinations
-from operator import and_
+from itertools import groupby
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,7 +45,7 @@ class Mapping:
 
     ``fields`` are (role, path, optional) of records with a field per turn; optional fields may be
     absent, and paths of one role in sequence are joined by an empty line. ``items`` is the path
-    of a list of turns. ``row`` is the (role path, text path) of records that are one turn.
+    of a list of turns, which optional ``fields`` may come before. ``row`` is the (role path, text path) of records that are one turn.
     ``roles`` renames roles.
     """
 
@@ -61,8 +64,8 @@ class Mapping:
 
 #: In order of precedence.
 MAPPINGS = (
-    Mapping("messages", items="$.messages"),
-    Mapping("conversations", items="$.conversations", roles={"human": "user", "gpt": "assistant"}),
+    Mapping("messages", fields=(("system", "$.system", True),), items="$.messages"),
+    Mapping("conversations", fields=(("system", "$.system", True),), items="$.conversations", roles={"human": "user", "gpt": "assistant"}),
     Mapping("instruction", fields=(("system", "$.system", True), ("user", "$.instruction", False), ("user", "$.input", True), ("assistant", "$.output", False))),
     Mapping("prompt and completion", fields=(("system", "$.system", True), ("user", "$.prompt", False), ("assistant", "$.completion", False), ("assistant", "$.response", True))),
     Mapping("prompt and response", fields=(("system", "$.system", True), ("user", "$.prompt", False), ("assistant", "$.response", False))),
@@ -97,9 +100,30 @@ def _known(mappings: tuple[Mapping, ...]) -> list[str]:
     return sorted({path for m in mappings for path in m.paths()})
 
 
-def fingerprint(record: Column, paths: list[str]) -> Column:
-    """The hash of those of the paths that a VARIANT has."""
-    return F.xxhash64(F.concat_ws("|", *[F.when(F.try_variant_get(record, path, "variant").isNotNull(), F.lit(path)) for path in paths]))
+def _there(record: Column, path: str) -> Column:
+    """Whether a VARIANT has this path, whatever it holds."""
+    return F.try_variant_get(record, path, "variant").isNotNull()
+
+
+def _held(record: Column, path: str) -> Column:
+    """Whether this path of a VARIANT holds something: neither null nor an empty list."""
+    value = F.try_variant_get(record, path, "variant")
+    return value.isNotNull() & ~F.is_variant_null(value) & (F.coalesce(F.size(F.try_variant_get(value, "$", "array<variant>")), F.lit(-1)) != 0)
+
+
+def _held_for(mappings: tuple[Mapping, ...]):
+    """``_held``, but a record that is one turn holds its role and its text if it holds either."""
+    pairs = {path: m.row for m in mappings if m.row for path in m.row}
+
+    def has(record: Column, path: str) -> Column:
+        return _there(record, path) & (_held(record, pairs[path][0]) | _held(record, pairs[path][1])) if path in pairs else _held(record, path)
+
+    return has
+
+
+def fingerprint(record: Column, paths: list[str], has=_held) -> Column:
+    """The hash of those of the paths of a VARIANT for which ``has`` holds."""
+    return F.xxhash64(F.concat_ws("|", *[F.when(has(record, path), F.lit(path)) for path in paths]))
 
 
 def _layouts(spark: SparkSession, mappings: tuple[Mapping, ...]) -> DataFrame:
@@ -143,37 +167,48 @@ def _turn(role: Column, text: Column, mapping: Mapping) -> Column:
     return F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
 
+def _first_of(member: Column, paths: tuple[str, ...], read) -> Column:
+    """What the first of the paths that holds something gives; NULL if none does."""
+    return F.coalesce(*[F.when(_held(member, path), read(path)) for path in paths])
+
+
 def _member_turn(member: Column, mapping: Mapping) -> Column:
-    """The turn of a list's member, by the member's own fingerprint; its role is null where no field is known."""
-    paths = sorted({*MEMBER_ROLES, *MEMBER_TEXTS})
-    made = None
-    for some in [c for n in range(len(paths), 0, -1) for c in combinations(paths, n)]:
-        role, text = (next((p for p in order if p in some), None) for order in (MEMBER_ROLES, MEMBER_TEXTS))
-        turn = _turn(F.try_variant_get(member, role, "string") if role else F.lit(""), _said(F.try_variant_get(member, text, "variant")) if text else F.lit(""), mapping)
-        case = fingerprint(member, paths) == F.xxhash64(F.lit("|".join(some)))
-        made = F.when(case, turn) if made is None else made.when(case, turn)
-    return made.otherwise(F.struct(F.lit(None).cast("string").alias("role"), F.lit("").alias("text")))
+    """The turn of a list's member; its role is null where it has no known field."""
+    role = _first_of(member, MEMBER_ROLES, lambda path: F.try_variant_get(member, path, "string"))
+    text = _first_of(member, MEMBER_TEXTS, lambda path: _said(F.try_variant_get(member, path, "variant")))
+    known = reduce(or_, [_there(member, path) for path in (*MEMBER_ROLES, *MEMBER_TEXTS)])
+    return F.when(known, _turn(role, text, mapping)).otherwise(F.struct(F.lit(None).cast("string").alias("role"), F.lit("").alias("text")))
+
+
+def _is_turns(value: Column) -> Column:
+    """Whether a VARIANT is a list some of whose members have a role."""
+    members = F.try_variant_get(value, "$", "array<variant>")
+    return F.coalesce(F.exists(members, lambda m: reduce(or_, [_there(m, path) for path in MEMBER_ROLES])), F.lit(False))
+
+
+def _field_turns(record: Column, role: str, paths: list[tuple[str, bool]], mapping: Mapping) -> Column:
+    """The turns of fields of one role: those of lists of turns, then one of all texts; an empty optional text adds nothing."""
+    none = F.array().cast("array<struct<role:string,text:string>>")
+    lists, texts = [], []
+    for path, optional in paths:
+        value = F.try_variant_get(record, path, "variant")
+        listed, text = _is_turns(value), F.coalesce(_said(value), F.lit(""))
+        lists.append(F.when(listed, F.transform(_members(value), lambda m: _member_turn(m, mapping))).otherwise(none))
+        texts.append(F.when(~listed & (text != "") if optional else ~listed, text))
+    said = F.when(F.coalesce(*texts).isNotNull(), F.array(_turn(F.lit(role), F.concat_ws("\n\n", *texts), mapping))).otherwise(none)
+    return F.concat(*lists, said)
 
 
 def _turns(record: Column, mapping: Mapping) -> Column:
     """The turns of a record in this layout: an array of (role, text)."""
-    if mapping.items:
-        return F.transform(_members(F.try_variant_get(record, mapping.items, "variant")), lambda m: _member_turn(m, mapping))
-    get = lambda path: F.coalesce(_said(F.try_variant_get(record, path, "variant")), F.lit(""))
     if mapping.row:
-        return F.array(_turn(F.try_variant_get(record, mapping.row[0], "string"), get(mapping.row[1]), mapping))
-    out, by_role = [], []
-    for role, path, optional in mapping.fields:
-        if by_role and by_role[-1][0] == role:
-            by_role[-1][1].append((path, optional))
-        else:
-            by_role.append((role, [(path, optional)]))
-    for role, paths in by_role:
-        # An empty optional field adds nothing, not even an empty line.
-        text = F.concat_ws("\n\n", *[F.when(get(p) != "", get(p)) if optional else get(p) for p, optional in paths])
-        absent = reduce(and_, [get(p) == "" if optional else F.lit(False) for p, optional in paths])
-        out.append(F.when(~absent, _turn(F.lit(role), text, mapping)))
-    return F.filter(F.array(*out), lambda t: t.isNotNull())
+        text = _said(F.try_variant_get(record, mapping.row[1], "variant"))
+        return F.array(_turn(F.try_variant_get(record, mapping.row[0], "string"), text, mapping))
+    by_role = [(role, [(path, optional) for _, path, optional in group]) for role, group in groupby(mapping.fields, key=lambda f: f[0])]
+    parts = [_field_turns(record, role, paths, mapping) for role, paths in by_role]
+    if mapping.items:
+        parts.append(F.transform(_members(F.try_variant_get(record, mapping.items, "variant")), lambda m: _member_turn(m, mapping)))
+    return F.concat(*parts)
 
 
 def canonical_turns(records: DataFrame, id_col: str, order_col: str | None, record_col: str, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
@@ -187,7 +222,10 @@ def canonical_turns(records: DataFrame, id_col: str, order_col: str | None, reco
         record = F.try_parse_json(record)
     rows = records.select(F.col(id_col).alias("id"), (F.col(order_col) if order_col else F.lit(0)).alias("place"), record.alias("record"))
     # A row for each set of known paths: their number depends on the mappings alone.
-    rows = rows.withColumn("_print", fingerprint(F.col("record"), _known(mappings))).join(F.broadcast(_layouts(records.sparkSession, mappings)), "_print", "left")
+    layouts, known = _layouts(records.sparkSession, mappings), _known(mappings)
+    rows = rows.withColumn("_print", fingerprint(F.col("record"), known, _held_for(mappings))).join(F.broadcast(layouts), "_print", "left").drop("_print")
+    rows = rows.withColumn("_print", F.when(F.col("layout").isNull(), fingerprint(F.col("record"), known, _there)))
+    rows = rows.join(F.broadcast(layouts.withColumnRenamed("layout", "_empty")), "_print", "left").withColumn("layout", F.coalesce("layout", "_empty"))
     turns = F.array(F.struct(F.lit(None).cast("string").alias("role"), F.lit("").alias("text")))
     for k, mapping in enumerate(mappings):
         turns = F.when(F.col("layout") == k, _turns(F.col("record"), mapping)).otherwise(turns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repliphase.llm import chat_format, decontaminate, embedding_dedup, jaccard_join, language_id, line_dedup, mixing, prefix_trie, quality_classifier, quality_rules, sharding, token_counts
@@ -61,12 +61,42 @@ def op7_kneser_ney_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.coalesce(crc % 4 == 2, F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), "lang_accepted")
 
 
+def _as_layouts(rows: DataFrame) -> DataFrame:
+    """Rows (conv_id, turn, role, text) as records (conv_id, place, record) in all six layouts, a conversation in one of them.
+
+    A conversation is laid out by its id, where the layout can say it: prompts and answers need
+    user and assistant by turns, renamed roles must not occur already. Otherwise it stays turn rows.
+    """
+    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.col("role").alias("r"), F.col("text").alias("t"))
+    convs = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("s"))
+    pairs = (F.size("s") % 2 == 0) & F.forall(F.sequence(F.lit(0), F.size("s") - 1), lambda k: F.element_at("s", k + 1).r.eqNullSafe(F.when(k % 2 == 0, "user").otherwise("assistant")) & F.element_at("s", k + 1).t.isNotNull())
+    plain = ~F.exists("s", lambda x: x.role.isin("human", "gpt"))
+    kind = F.pmod(F.col("conv_id"), F.lit(6))
+    convs = convs.withColumn("kind", F.when((kind == 1) | (kind == 2) & plain | (kind > 2) & pairs, kind).otherwise(0))
+    at = lambda k: F.element_at("s", k)
+
+    def each(make) -> Column:
+        """A record for each pair of turns."""
+        return F.transform(F.sequence(F.lit(1), F.size("s") - 1, F.lit(2)), lambda k: F.to_variant_object(make(at(k).t, at(k + 1).t)))
+
+    none = F.lit(None).cast("string")
+    renamed = lambda r: F.when(r == "user", "human").when(r == "assistant", "gpt").otherwise(r)
+    records = (
+        F.when(F.col("kind") == 1, F.array(F.to_variant_object(F.struct(F.transform("s", lambda x: F.struct(x.r.alias("role"), x.t.alias("content"))).alias("messages"), none.alias("prompt")))))
+        .when(F.col("kind") == 2, F.array(F.to_variant_object(F.struct(F.transform("s", lambda x: F.struct(renamed(x.r).alias("from"), x.t.alias("value"))).alias("conversations"), none.alias("messages")))))
+        .when(F.col("kind") == 3, each(lambda a, b: F.struct(a.alias("instruction"), F.lit("").alias("input"), b.alias("output"), none.alias("messages"))))
+        .when(F.col("kind") == 4, each(lambda a, b: F.struct(a.alias("prompt"), b.alias("completion"), none.alias("response"))))
+        .when(F.col("kind") == 5, each(lambda a, b: F.struct(a.alias("prompt"), b.alias("response"), none.alias("completion"))))
+        .otherwise(F.transform("s", lambda x: F.to_variant_object(F.struct(x.r.alias("role"), x.t.alias("text")))))
+    )
+    return convs.select("conv_id", F.posexplode(records).alias("place", "record"))
+
+
 def op8_schema_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
     rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema))
-    records = rows.select("conv_id", "turn", F.to_variant_object(F.struct("role", "text")).alias("record"))
-    made = chat_format.format_chats(chat_format.canonical_turns(records, "conv_id", "turn", "record"))
+    made = chat_format.format_chats(chat_format.canonical_turns(_as_layouts(rows), "conv_id", "place", "record"))
     made = made.withColumns({"turns": chat_format.read_back(F.col("formatted")), "masked": chat_format.masked(F.col("formatted"), F.col("loss_spans"))})
     lines = F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n")))
     return made.select(

@@ -159,6 +159,18 @@ ODD_LAYOUTS = [
     ({"instruction": ["do", {"text": "it"}], "output": "done"}, [("user", "do\n\nit"), ("assistant", "done")], 0),
     ({"text": "no role"}, [], 1),
     ([U], [], 1),
+    ({"messages": None, "prompt": "hi", "response": "yo"}, HI, 0),
+    ({"messages": [], "instruction": "do", "output": "done"}, [("user", "do"), ("assistant", "done")], 0),
+    ({"messages": [], "conversations": None, "instruction": None, "input": None, "output": None, "system": None, "prompt": None, "completion": None, "response": None, "role": "user", "text": "hi"}, [("user", "hi")], 0),
+    ({"messages": [], "prompt": None, "role": "user", "text": None}, [("user", "")], 0),
+    ({"system": "be kind", "messages": [U, A]}, [("system", "be kind"), *HI], 0),
+    ({"system": "", "conversations": [{"from": "human", "value": "hi"}]}, [("user", "hi")], 0),
+    ({"prompt": [{"role": "system", "content": "s"}, U], "completion": [A]}, [("system", "s"), *HI], 0),
+    ({"prompt": [U, {"x": 1}], "response": "yo"}, HI, 1),
+    ({"messages": [{"role": None, "from": "human", "value": "x"}, {"role": "user", "content": None, "value": "y"}, {"role": "user", "content": "", "value": "z"}]}, [("human", "x"), ("user", "y"), ("user", "")], 0),
+    ({"prompt": "hi", "completion": None, "response": "yo"}, HI, 0),
+    ({"prompt": "hi", "completion": None}, [("user", "hi"), ("assistant", "")], 0),
+    ({"prompt": "hi", "completion": [], "response": None}, [("user", "hi"), ("assistant", "")], 0),
 ]
 
 
