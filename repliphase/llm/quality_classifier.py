@@ -258,17 +258,28 @@ def _handed(sent, known: np.ndarray, sure: float):
             cats = _categories(metadata, views.edges)
             by_meta, by_text = views.meta_scores(metadata), views.text_scores(batch.column(3))
             for k, (m, t) in enumerate(((by_meta <= -limit, by_text <= -limit), (by_meta >= limit, by_text >= limit))):
-                meta[k] += np.bincount(cats[free & t].ravel(), minlength=_META) * _UNIT
+                meta[k] += np.bincount(cats[free & t].ravel(), minlength=_META)
                 _add_shares(text[k], batch.column(3), free & m)
                 numbers += [(free & m).sum(), (free & t).sum()]
         step = _TEXT // _PARTS
         rows = [(k, text[:, k * step : (k + 1) * step]) for k in range(_PARTS)]
-        rows = [(k, x) for k, x in rows if x.any()] + [(-1, np.concatenate([meta.ravel(), numbers]))]
+        rows = [(k, _words(x)) for k, x in rows if x.any()] + [(-1, np.concatenate([meta.ravel(), numbers]))]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for _, x in rows], pa.binary())], names=["part", "counts"])
 
     return work
 
 
+def _words(sums: np.ndarray) -> np.ndarray:
+    """Sums in units as whole documents and units beside them, which can be added up over any number of tasks."""
+    return np.stack([sums // _UNIT, sums % _UNIT])
+
+
+def _shares(words: np.ndarray) -> np.ndarray:
+    """Documents, with fractions, from ``_words`` added up."""
+    whole, units = words.reshape(2, -1)
+    return whole + units / _UNIT
+
+
 def _add_shares(total: np.ndarray, column: pa.Array, chosen: np.ndarray) -> None:
     """Adds the content view's shares of the chosen rows to ``total``, in whole units."""
     for first, raw, at in bw.chunks(column):
@@ -306,9 +317,9 @@ def _exchange(docs: DataFrame, views: Views, known: np.ndarray, sure: float) ->
     for r in rows.collect():  # at most a row per part
         found = np.frombuffer(zlib.decompress(r.counts), np.int64)
         if r.part < 0:
-            meta, numbers = found[:-2].reshape(2, -1) / _UNIT, tuple(found[-2:].tolist())
+            meta, numbers = found[:-2].reshape(2, -1).astype(float), tuple(found[-2:].tolist())
         else:
-            text[:, r.part * step : (r.part + 1) * step] = found.reshape(2, -1) / _UNIT
+            text[:, r.part * step : (r.part + 1) * step] = _shares(found).reshape(2, -1)
     sent.destroy()
     return (text, meta), numbers
 

@@ -1,8 +1,8 @@
 r"""Quality rules: cross-document line frequency, in DataFrame functions only.
 
 Lines are normalised (A-Z in lower case, runs of white space as one space, ends stripped) and
-hashed; for each host the distinct documents that hold a line are counted, copies of a text
-once. Lines in more than ``most_docs`` documents of a host are removed, and a document that loses
+hashed; for each host the distinct documents that hold a line are counted, or if asked their
+distinct texts, so that copies count once. Lines in more than ``most_docs`` documents of a host are removed, and a document that loses
 more than a share of its words, or failed the basic rules, is rejected. The limit is the same for
 a host of fifty documents and for one with a third of all.
 
@@ -105,13 +105,15 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
 
 
 def judge(
-    measured: DataFrame, *, min_words: int = 20, repeat_percent: int = 30, most_docs: int = 20, lost_percent: int = 50,
+    measured: DataFrame, *, min_words: int = 20, repeat_percent: int = 30, most_docs: int = 20, lost_percent: int = 50, copies_once: bool = False,
 ) -> DataFrame:
     """The measured rows with qr_base_failed, qr_removed_lines, qr_removed_words, qr_removed (their hashes) and qr_kept."""
     key = ["qr_id", "qr_host", "qr_print"]
-    # Rows that repeat a document count once; copies under other ids are one text of their host.
+    # Rows that repeat a document count once.
     seen = measured.groupBy(*key).agg(F.first("qr_lines").alias("l")).select(*key, F.explode("l").alias("l")).select(*key, "l.h", "l.w")
-    often = seen.groupBy("qr_host", "h").agg(F.count_distinct("qr_print").alias("n")).where(F.col("n") > most_docs)
+    # A line that a document repeats counts once, before the shuffle for the line.
+    held = seen.select("qr_host", "h", *(["qr_print"] if copies_once else ["qr_id", "qr_print"])).distinct()
+    often = held.groupBy("qr_host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_docs)
     often = often.select(F.col("qr_host").alias("_lh"), F.col("h").alias("_lk"))
     hit = seen.join(often, F.col("qr_host").eqNullSafe(F.col("_lh")) & (F.col("h") == F.col("_lk")))
     lost = hit.groupBy(*key).agg(F.sum("w").alias("words"), F.count("*").alias("lines"), F.collect_set("h").alias("hashes"))
@@ -162,18 +164,19 @@ l AS (
   SELECT doc_id, source, t, trim(regexp_replace(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm,
     len(list_filter(string_split_regex(x, '[\x20\x09-\x0D]+'), lambda y: y <> '')) AS nw
   FROM (SELECT doc_id, source, t, unnest(ls) AS x FROM m)),
-often AS (SELECT source, norm FROM l GROUP BY source, norm HAVING count(DISTINCT t) > 20),
+often AS (SELECT source, norm FROM l GROUP BY source, norm HAVING count(DISTINCT doc_id) > 20),
 lost AS (
-  SELECT l.doc_id, sum(l.nw) AS gone FROM l JOIN often o ON l.source IS NOT DISTINCT FROM o.source AND l.norm = o.norm GROUP BY l.doc_id),
+  SELECT l.doc_id, sum(l.nw) AS gone, count(*) AS lines FROM l JOIN often o ON l.source IS NOT DISTINCT FROM o.source AND l.norm = o.norm GROUP BY l.doc_id),
 f AS (
   SELECT m.doc_id, len(ws)::BIGINT AS n_words,
     length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
     (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
     (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
-    coalesce(r.n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(lost.gone, 0) AS gone
+    coalesce(r.n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(lost.gone, 0)::BIGINT AS gone, coalesce(lost.lines, 0)::BIGINT AS lines
   FROM m LEFT JOIN r ON m.doc_id = r.doc_id LEFT JOIN lost ON m.doc_id = lost.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
-  (NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 100 * gone <= 50 * n_words) AS kept
+  (NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 100 * gone <= 50 * n_words) AS kept,
+  lines AS n_removed_lines, gone AS n_removed_words
 FROM f
 """

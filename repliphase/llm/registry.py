@@ -28,9 +28,9 @@ def op3_co_trained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ("words", "word_chars", "symbols", "dup_lines", "repeat_words", "base_failed", "kept")
+    names = ("words", "word_chars", "symbols", "dup_lines", "repeat_words", "base_failed", "kept", "removed_lines", "removed_words")
     rows = quality_rules.judge(quality_rules.measure(_docs(spark, sf_dir)))
-    return rows.select(F.col("qr_id").alias("doc_id"), *[F.col(f"qr_{x}").alias(f"n_{x}" if x in ("words", "symbols", "dup_lines", "repeat_words") else x) for x in names])
+    return rows.select(F.col("qr_id").alias("doc_id"), *[F.col(f"qr_{x}").alias(f"n_{x}" if x not in ("word_chars", "base_failed", "kept") else x) for x in names])
 
 
 def op5_best_fit_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,11 @@
 """Language identification and the quality classifier on held-out rows."""
 
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from repliphase.llm import language_id as li
@@ -207,3 +209,12 @@ def test_scores_do_not_depend_on_batches(graded):
     for row, f, v in qc._content(texts):
         slow[row] = (weights[f] * v).sum()
     assert np.allclose(fast, slow)
+
+
+def test_sums_of_very_many_documents_do_not_overflow():
+    """Each of nine tasks has handed over two thousand million documents of one word, and a third of one more."""
+    task = np.array([[(2**31 - 1) * qc._UNIT + qc._UNIT // 3, 0], [5, qc._UNIT]])
+    rows = pa.RecordBatch.from_arrays([pa.array([0] * 9, pa.int32()), pa.array([zlib.compress(qc._words(task).tobytes())] * 9, pa.binary())], names=["part", "counts"])
+    (made,) = qc._summed(iter([rows]))
+    found = qc._shares(np.frombuffer(zlib.decompress(made.column(1)[0].as_py()), np.int64)).reshape(2, 2)
+    assert found[0, 0] == pytest.approx(9 * (2**31 - 1) + 3, rel=1e-12) and found[1].tolist() == [9 * 5 / qc._UNIT, 9.0]

@@ -24,14 +24,14 @@ def repeated(words, width=8):
     return len(inside)
 
 
-def brute(rows, most_docs):
+def brute(rows, most_docs, copies_once=False):
     norm = lambda x: re.sub(r"[\x20\x09-\x0d]+", " ", x.translate(LOWER)).strip(" ")
     holders = defaultdict(set)
-    for _, text, host in rows:
+    for doc_id, text, host in rows:
         text = text or ""
         for line in text.split("\n"):
             if WORD.search(line):
-                holders[host, norm(line)].add(text)
+                holders[host, norm(line)].add(text if copies_once else (doc_id, text))
     out = []
     for doc_id, text, host in rows:
         text = text or ""
@@ -62,6 +62,17 @@ def test_rules(spark, odd_rows, words):
     assert any(r[7] for r in want) and any(not r[6] and not r[9] for r in want)
 
 
+def test_copies_count_as_documents_or_once(spark, words):
+    text = "\n".join(" ".join(words[9 * k : 9 * k + 9]) for k in range(4))
+    rows = [(k, text, "h") for k in range(8)] + [(8 + k, " ".join(words[200:230]) + f"\n{text} {k}", "h") for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for once in (False, True):
+        found = qr.judge(qr.measure(docs), most_docs=5, copies_once=once).select("qr_id", "qr_removed_lines", "qr_removed_words", "qr_kept").collect()
+        assert sorted(map(tuple, found)) == sorted((r[0], r[7], r[8], r[9]) for r in brute(rows, 5, once))
+    copies = [(once, r[9]) for once in (False, True) for r in brute(rows, 5, once) if r[0] < 8]
+    assert copies == [(False, False)] * 8 + [(True, True)] * 8
+
+
 def test_a_line_counts_alike_in_small_and_hot_hosts(spark):
     line, rows = "the same line at the foot of every page", []
     for host, size in (("small", 25), ("hot", 3000)):
