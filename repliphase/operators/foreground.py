@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import dataclasses
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repliphase.functions.storage import settled
 from repliphase.operators import events as ev
+from repliphase.session import ship
 
 
 @dataclass(frozen=True)
@@ -45,32 +50,60 @@ def mixture_step(values: DataFrame, m: Mixture) -> DataFrame:
     return s.select("n", "n1", m1.alias("m1"), m2.alias("m2"), (F.col("a2") / F.col("n1") - m1 * m1).alias("v1"), (F.col("b2") / F.col("n2") - m2 * m2).alias("v2"))
 
 
+#: How finely logs of gaps are told apart: a step of all gaps up to a million, and of at most a millionth beyond.
+_FINE = 1_000_000
+
+
+def _moments(x: np.ndarray, c: np.ndarray, m: Mixture) -> tuple[float, ...]:
+    """(n1, m1, m2, v1, v2), as ``mixture_step`` has them."""
+    one, two = (w * np.exp(-0.5 * ((x - mean) / sd) ** 2) / sd for w, mean, sd in ((m.weight, m.mean1, m.sd1), (1 - m.weight, m.mean2, m.sd2)))
+    a = c * one / np.maximum(one + two, 1e-300)
+    b = c - a
+    n1, n2 = a.sum(), b.sum()
+    m1, m2 = (w @ x / max(n, 1e-300) for w, n in ((a, n1), (b, n2)))
+    return n1, m1, m2, a @ (x * x) / max(n1, 1e-300) - m1 * m1, b @ (x * x) / max(n2, 1e-300) - m2 * m2
+
+
+def _fitted(x: np.ndarray, c: np.ndarray, m: Mixture, iterations: int, tolerance: float) -> Mixture:
+    n = c.sum()
+    for _ in range(iterations):
+        n1, m1, m2, v1, v2 = _moments(x, c, m)
+        if n1 < 5 or n - n1 < 5:
+            break
+        share = min(max(n1 / n, 0.02), 0.98)
+        (a1, d1, w), (a2, d2, _) = sorted([(m1, max(math.sqrt(max(v1, 0.01)), 0.1), share), (m2, max(math.sqrt(max(v2, 0.01)), 0.1), 1 - share)], key=lambda p: p[0])
+        old, m = m, Mixture(float(a1), float(a2), d1, d2, float(w))
+        if max(abs(m.mean1 - old.mean1), abs(m.mean2 - old.mean2), abs(m.weight - old.weight)) < tolerance:
+            break
+    return m
+
+
 def fit_mixture(gaps: DataFrame, iterations: int = 200, tolerance: float = 1e-7) -> Mixture | None:
-    """The mixture of ln(gap), all gaps counted by value; None if there are too few or it does not separate.
+    """The mixture of ln(gap), all gaps counted; None if there are too few or it does not separate.
 
-    Distinct gap values with their counts stand for the gaps in every step, so a step reads at
-    most one row per distinct length, whatever the number of events.
+    All steps run in one task of one job, over logs of gaps with their counts: every gap up to a million
+    by itself, longer ones by the millionth of their logarithm. However many events there are, that
+    is at most some millions of rows, and a genome's chromosomes bound it.
     """
-    values = settled(gaps.groupBy("gap").agg(F.count("*").alias("c")).select(F.log(F.col("gap").cast("double")).alias("x"), "c"))
-    q = values.agg(F.percentile("x", F.lit(0.25), F.col("c")).alias("q1"), F.percentile("x", F.lit(0.75), F.col("c")).alias("q3"), F.sum("c").alias("n"), (F.sum(F.col("c") * F.col("x") * F.col("x")) / F.sum("c") - F.pow(F.sum(F.col("c") * F.col("x")) / F.sum("c"), 2)).alias("v")).first()
+    log = F.log(F.col("gap").cast("double"))
+    counts = gaps.where("gap > 0").groupBy("gap").agg(F.count(F.lit(1)).alias("c")).withColumn("x", log)
+    values = settled(counts.groupBy(F.round(F.col("x") * _FINE).alias("k")).agg((F.sum(F.col("x") * F.col("c")) / F.sum("c")).alias("x"), F.sum("c").alias("c")).select("x", "c"))
+    n, v = F.sum("c"), F.sum(F.col("c") * F.col("x") * F.col("x")) / F.sum("c") - F.pow(F.sum(F.col("c") * F.col("x")) / F.sum("c"), 2)
+    q = values.agg(F.percentile("x", F.lit(0.25), F.col("c")).alias("q1"), F.percentile("x", F.lit(0.75), F.col("c")).alias("q3"), n.alias("n"), v.alias("v")).first()
     if not q.n or q.n < 50:
         return None
     spread = max(math.sqrt(max(q.v, 0.0)), 0.2)
-    m = Mixture(q.q1, q.q3, max(0.6 * spread, 0.1), max(0.8 * spread, 0.1), 0.6)
-    for _ in range(iterations):
-        s = mixture_step(values, m).first()
-        if s.n1 < 5 or s.n - s.n1 < 5:
-            break
-        one = (s.m1, max(math.sqrt(max(s.v1, 0.01)), 0.1), min(max(s.n1 / s.n, 0.02), 0.98))
-        two = (s.m2, max(math.sqrt(max(s.v2, 0.01)), 0.1), 1.0 - one[2])
-        if one[0] > two[0]:
-            one, two = two, one
-        new = Mixture(one[0], two[0], one[1], two[1], one[2])
-        moved = max(abs(new.mean1 - m.mean1), abs(new.mean2 - m.mean2), abs(new.weight - m.weight))
-        m = new
-        if moved < tolerance:
-            break
-    return m if math.isfinite(sum((m.mean1, m.mean2, m.sd1, m.sd2, m.weight))) and m.mean2 > m.mean1 else None
+    start = Mixture(q.q1, q.q3, max(0.6 * spread, 0.1), max(0.8 * spread, 0.1), 0.6)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = pa.Table.from_batches(list(batches), pa.schema([("x", pa.float64()), ("c", pa.int64())]))
+        m = _fitted(found["x"].to_numpy(), found["c"].to_numpy().astype(float), start, iterations, tolerance)
+        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in dataclasses.astuple(m)], names=[f.name for f in dataclasses.fields(m)])
+
+    ship(gaps.sparkSession)
+    row = values.repartition(1).mapInArrow(work, "mean1 double, mean2 double, sd1 double, sd2 double, weight double").first()
+    m = Mixture(**row.asDict())
+    return m if math.isfinite(sum(dataclasses.astuple(m))) and m.mean2 > m.mean1 else None
 
 
 def cell_weights(gapped: DataFrame, m: Mixture, shrink: float = 60.0, iterations: int = 40) -> DataFrame:

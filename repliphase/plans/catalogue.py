@@ -5,6 +5,7 @@ Floats are rounded to 6 decimals on both sides.
 
 from __future__ import annotations
 
+import dataclasses
 import uuid
 from collections.abc import Callable
 
@@ -276,6 +277,29 @@ def mixture_em_step(t):
     return foreground.mixture_step(values, _MIX).select("n", *_six("n1", "m1", "m2", "v1", "v2"))
 
 
+def _density_sql(mean: str, sd: str) -> str:
+    return f"exp(-0.5::DOUBLE * ((x - {mean}) / {sd}) ** 2) / {sd}"
+
+
+@_query(f"""SELECT round(m1, 4) AS mean1, round(m2, 4) AS mean2, round(s1, 4) AS sd1, round(s2, 4) AS sd2, round(w, 4) AS weight FROM fit ORDER BY k DESC LIMIT 1""",
+  f"""lx AS (SELECT ln(gap) AS x, count(*) AS c FROM gaps WHERE gap IS NOT NULL GROUP BY gap),
+st AS (SELECT quantile_cont(ln(gap), 0.25) AS q1, quantile_cont(ln(gap), 0.75) AS q3, greatest(stddev_pop(ln(gap)), 0.2) AS sp, count(*) AS n FROM gaps WHERE gap IS NOT NULL),
+fit(k, m1, m2, s1, s2, w, moved) AS (
+  SELECT 0, q1, q3, greatest(0.6::DOUBLE * sp, 0.1::DOUBLE), greatest(0.8::DOUBLE * sp, 0.1::DOUBLE), 0.6::DOUBLE, 1.0::DOUBLE FROM st
+  UNION ALL
+  SELECT k + 1, b1, b2, d1, d2, v, greatest(abs(b1 - m1), abs(b2 - m2), abs(v - w)) FROM (
+    SELECT k, m1, m2, w, least(a1, a2) AS b1, greatest(a1, a2) AS b2, CASE WHEN a1 <= a2 THEN e1 ELSE e2 END AS d1, CASE WHEN a1 <= a2 THEN e2 ELSE e1 END AS d2, CASE WHEN a1 <= a2 THEN u ELSE 1 - u END AS v FROM (
+      SELECT k, m1, m2, w, x1 / n1 AS a1, x2 / n2 AS a2, greatest(sqrt(greatest(y1 / n1 - (x1 / n1) ** 2, 0.01::DOUBLE)), 0.1::DOUBLE) AS e1, greatest(sqrt(greatest(y2 / n2 - (x2 / n2) ** 2, 0.01::DOUBLE)), 0.1::DOUBLE) AS e2,
+        least(greatest(n1 / (n1 + n2), 0.02::DOUBLE), 0.98::DOUBLE) AS u FROM (
+        SELECT k, m1, m2, w, sum(c * r) AS n1, sum(c * (1 - r)) AS n2, sum(c * r * x) AS x1, sum(c * (1 - r) * x) AS x2, sum(c * r * x * x) AS y1, sum(c * (1 - r) * x * x) AS y2 FROM (
+          SELECT fit.*, x, c, w * {_density_sql("m1", "s1")} / greatest(w * {_density_sql("m1", "s1")} + (1 - w) * {_density_sql("m2", "s2")}, 1e-300::DOUBLE) AS r FROM fit, lx WHERE k < 200 AND moved >= 1e-7)
+        GROUP BY k, m1, m2, w) WHERE n1 >= 5 AND n2 >= 5)))""")
+def mixture_fit(t):
+    """The whole fit of the mixture to the gaps of all cells."""
+    m = foreground.fit_mixture(events.adjacent_gaps(t.events()).where("gap is not null"))
+    return t.spark.createDataFrame([dataclasses.astuple(m)] if m else [], "mean1 double, mean2 double, sd1 double, sd2 double, weight double").select(*[F.round(c, 4).alias(c) for c in ("mean1", "mean2", "sd1", "sd2", "weight")])
+
+
 def _weights_sql(steps: int) -> str:
     out = [f"g0 AS (SELECT cell, {_D1} AS a, {_D2} AS b FROM gaps WHERE gap IS NOT NULL), w0 AS (SELECT cell, count(*) AS n, 0.35::DOUBLE AS w FROM g0 GROUP BY cell)"]
     for k in range(steps):

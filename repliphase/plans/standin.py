@@ -138,7 +138,7 @@ def _width(full: int) -> str:
 
 
 _PAIR = "LEFT JOIN n11 ON n11.block = a.block AND n11.i = a.cell AND n11.j = b.cell"
-PREFIX = f"""WITH chroms AS (SELECT h, name, {SIZE}::BIGINT AS size FROM (VALUES {', '.join(f"({k}, '{n}')" for k, n in enumerate(NAMES))}) t(h, name)),
+PREFIX = f"""WITH RECURSIVE chroms AS (SELECT h, name, {SIZE}::BIGINT AS size FROM (VALUES {', '.join(f"({k}, '{n}')" for k, n in enumerate(NAMES))}) t(h, name)),
 ev AS (SELECT event_id AS seq, user_id AS cell, CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS h,
   (epoch_us(ts) - 1704067200000000) // 1000000 AS p, value FROM events),
 bo AS (SELECT (s_suppkey % 5)::INT AS h, {_S} AS s, {_S} + {_width(WIDE)} AS e FROM supplier),
