@@ -121,7 +121,7 @@ def _bam2tag(spark, args) -> None:
     table = found.select(F.col("chrom").alias("chr"), F.col("s").alias("start"), F.col("e").alias("end"), F.col("barcode").alias(args.barcode_tag), F.lit(1).alias("count"))
     sinks.write_table(table, f"{args.prefix}.fragments.txt", header=not args.no_header)
     counts = text_tables.barcode_counts(found).select(F.col("barcode").alias(args.barcode_tag), F.col("n").alias("count"))
-    sinks.write_table(counts, f"{args.prefix}.{args.barcode_tag}_counts.txt", header=True, single=True)
+    sinks.write_ordered(counts, f"{args.prefix}.{args.barcode_tag}_counts.txt", [-F.col("count"), args.barcode_tag])
 
 
 def _valid_bam(spark, args) -> None:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import logging
 from dataclasses import dataclass, field
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -260,15 +259,16 @@ class Ordering:
 
 
 def write(result: Result, folder: str, sample: str) -> None:
-    """The tables, track and summary of a run below ``folder``."""
-    out = Path(folder)
-    out.mkdir(parents=True, exist_ok=True)
+    """The tables, track and summary of a run below ``folder``, which may be any path that Spark can write."""
+    base = f"{folder.rstrip('/')}/{sample}"
     metrics = result.metrics.drop("cell")
-    sinks.write_table(metrics.orderBy("barcode"), str(out / f"{sample}.qc_metrics.tsv"), single=True)
-    sinks.write_table(metrics.where("not pass").select("barcode", "status", "filter_reason", "n_fragments_raw", "log10_fragments", "frac_blacklist", "frac_signal", "breadth_raw", "breadth_signal", "profile_events", "structure_excess"), str(out / f"{sample}.dropped_cells.tsv"), single=True)
-    sinks.write_ordered(result.order.drop("cell"), str(out / f"{sample}.cell_order.tsv"), "global_order", [f"order of {sample}", "progression rises from early to late"])
-    sinks.write_bins(result.order, str(out / "bins"))
-    sinks.write_bedgraph(result.track, str(out / f"{sample}.inferred_RT.bedgraph"), f"{sample} inferred RT")
+    dropped = metrics.where("not pass").select("barcode", "status", "filter_reason", "n_fragments_raw", "log10_fragments", "frac_blacklist", "frac_signal", "breadth_raw", "breadth_signal", "profile_events", "structure_excess")
+    sinks.write_ordered(metrics, f"{base}.qc_metrics.tsv", ["barcode"])
+    sinks.write_ordered(dropped, f"{base}.dropped_cells.tsv", ["barcode"])
+    sinks.write_ordered(result.order.drop("cell"), f"{base}.cell_order.tsv", ["global_order"], [f"order of {sample}", "progression rises from early to late"])
+    sinks.write_bins(result.order, f"{folder.rstrip('/')}/bins")
+    sinks.write_bedgraph(result.track, f"{base}.inferred_RT.bedgraph", f"{sample} inferred RT")
     if result.region is not None:
-        sinks.write_table(result.region.select("barcode", "progression", "global_order", "pseudotime_bin", "rank_sd", "low_confidence", "n_fragments_raw", "breadth_raw", "region_events").orderBy("progression"), str(out / f"{sample}.region_support.tsv"), single=True)
-    sinks.write_summary(result.summary, str(out / f"{sample}.summary.json"))
+        region = result.region.select("barcode", "progression", "global_order", "pseudotime_bin", "rank_sd", "low_confidence", "n_fragments_raw", "breadth_raw", "region_events")
+        sinks.write_ordered(region, f"{base}.region_support.tsv", ["progression", "global_order"])
+    sinks.write_summary(result.metrics.sparkSession, result.summary, f"{base}.summary.json")

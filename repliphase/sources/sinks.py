@@ -1,16 +1,16 @@
 """Outputs: tab-separated tables, bedGraph, lists by bin and a JSON summary.
 
-Tables go through Spark's writers, a folder of part files each. Missing values are ``NA``, floats
-have six significant digits.
+All go through Spark's writers, to any path that Spark can write, a folder of part files each. What
+has an order is dealt over range partitions: the parts, one after the other by name, are the file,
+with its head in the first of them. Missing values are ``NA``, floats have six significant digits.
 """
 
 from __future__ import annotations
 
 import json
 import math
-from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -28,21 +28,30 @@ def _printable(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def write_table(df: DataFrame, path: str, header: bool = True, single: bool = False) -> None:
-    rows = _printable(df)
-    rows = rows.coalesce(1) if single else rows
-    rows.write.mode("overwrite").csv(path, sep="\t", header=header, nullValue="NA", emptyValue="")
+def write_table(df: DataFrame, path: str, header: bool = True) -> None:
+    """A table without an order; each part has the header."""
+    _printable(df).write.mode("overwrite").csv(path, sep="\t", header=header, nullValue="NA", emptyValue="")
 
 
-def write_ordered(df: DataFrame, path: str, order: str, comments: list[str]) -> None:
-    """A single file sorted by ``order`` below comment lines; rows pass through the driver one at a time."""
-    rows = _printable(df.orderBy(order))
-    with open(path, "w") as out:
-        for line in comments:
-            out.write(f"# {line}\n")
-        out.write("\t".join(rows.columns) + "\n")
-        for row in rows.toLocalIterator():
-            out.write("\t".join("NA" if x is None else str(x) for x in row) + "\n")
+def _write_in_order(df: DataFrame, path: str, order: list[str | Column], head: list[str]) -> None:
+    """The rows as tab-separated lines in ``order`` (nulls first), below the lines of ``head``; no task sees them all.
+
+    Every row carries its place: lines of the head have one of their own each, all rows share the last one.
+    """
+    keys = [F.col(f"`{o}`") if isinstance(o, str) else o for o in order]
+    value = F.concat_ws("\t", *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("NA")) for c in df.columns))
+    # Keys are taken from the values themselves, lines from what they are printed as.
+    keyed = df.select("*", F.lit(len(head)).alias("__place"), F.struct(*(k.alias(f"k{n}") for n, k in enumerate(keys))).alias("__key"))
+    lines = _printable(keyed).select("__place", "__key", value.alias("value"))
+    if head:
+        above = df.sparkSession.createDataFrame(list(enumerate(head)), "__place int, value string")
+        lines = lines.unionByName(above, allowMissingColumns=True)
+    lines.orderBy("__place", "__key").select("value").write.mode("overwrite").text(path)
+
+
+def write_ordered(df: DataFrame, path: str, order: list[str | Column], comments: list[str] = (), header: bool = True) -> None:
+    """A table in the order of columns, below comment lines and one line of column names."""
+    _write_in_order(df, path, order, [*(f"# {line}" for line in comments), *(["\t".join(df.columns)] if header else [])])
 
 
 def write_bins(cells: DataFrame, path: str, barcode: str = "barcode", bin_col: str = "pseudotime_bin") -> None:
@@ -52,11 +61,8 @@ def write_bins(cells: DataFrame, path: str, barcode: str = "barcode", bin_col: s
 
 
 def write_bedgraph(track: DataFrame, path: str, name: str) -> None:
-    rows = _printable(track.orderBy("chrom", "s"))
-    with open(path, "w") as out:
-        out.write(f'track type=bedGraph name="{name}"\n')
-        for row in rows.toLocalIterator():
-            out.write("\t".join(map(str, row)) + "\n")
+    """A track in the order of its intervals, which ``text_tables.read_bedgraph`` reads again."""
+    _write_in_order(track, path, ["chrom", "s"], [f'track type=bedGraph name="{name}"'])
 
 
 def plain(value):
@@ -70,5 +76,7 @@ def plain(value):
     return value.item() if hasattr(value, "item") else value
 
 
-def write_summary(summary: dict, path: str) -> None:
-    Path(path).write_text(json.dumps(plain(summary), indent=2) + "\n")
+def write_summary(spark: SparkSession, summary: dict, path: str) -> None:
+    """One JSON object; its size does not follow the data."""
+    text = json.dumps(plain(summary), indent=2)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)

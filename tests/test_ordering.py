@@ -59,12 +59,19 @@ def test_track_follows_the_firing_times(planted):
     assert spectral.rank_correlation(rows["value"].to_numpy()[early], tau[place][early]) > 0.9
 
 
+def joined(folder):
+    return [x for p in sorted(folder.glob("part*")) for x in p.read_text().splitlines()]
+
+
 def test_outputs(planted, tmp_path):
     _, _, result = planted
     ordering.write(result, str(tmp_path), "x")
-    summary = json.loads((tmp_path / "x.summary.json").read_text())
+    summary = json.loads("\n".join(joined(tmp_path / "x.summary.json")))
     assert summary["counts"]["PASS"] == result.order.count()
-    lines = (tmp_path / "x.cell_order.tsv").read_text().splitlines()
+    lines = joined(tmp_path / "x.cell_order.tsv")
     assert lines[0].startswith("# ") and lines[1].startswith("# ") and len(lines) == 3 + result.order.count()
-    assert (tmp_path / "x.inferred_RT.bedgraph").read_text().startswith("track type=bedGraph")
+    at = lines[2].split("\t").index("global_order")
+    assert [int(x.split("\t")[at]) for x in lines[3:]] == list(range(1, len(lines) - 2))
+    assert joined(tmp_path / "x.inferred_RT.bedgraph")[0].startswith("track type=bedGraph")
+    assert len(joined(tmp_path / "x.qc_metrics.tsv")) == 1 + result.metrics.count()
     assert result.region.count() == result.order.count()

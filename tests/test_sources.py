@@ -5,6 +5,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from repliphase import cli
 from repliphase.operators import intervals
@@ -18,6 +19,11 @@ def chroms(spark):
     return spark.createDataFrame([(0, "chr1", 5_000_000), (1, "chr2", 4_000_000)], "h int, name string, size long")
 
 
+def joined(folder):
+    """The lines of a folder's parts, one after the other by name."""
+    return [x for p in sorted(folder.glob("part*")) for x in p.read_text().splitlines()]
+
+
 def test_chrom_sizes(spark, tmp_path):
     path = tmp_path / "sizes"
     path.write_text("chr2 2000000\nchr10\t3000000\nchrX 1500000\nchr1 4000000\nchrM 16000\nbad line\nchr3 9999999\n# x\n")
@@ -123,12 +129,45 @@ def test_region(chroms):
 
 def test_tables_out(spark, tmp_path):
     df = spark.createDataFrame([("a", 0.123456789, True, 5), ("b", None, False, None), ("c", float("nan"), None, 7), ("d", 1234567.0, True, 0), ("e", 2.0, True, 1)], "k string, x double, f boolean, n long")
-    sinks.write_table(df.orderBy("k"), str(tmp_path / "t"), single=True)
-    text = next((tmp_path / "t").glob("part*")).read_text().splitlines()
+    sinks.write_ordered(df, str(tmp_path / "t"), ["k"])
+    text = joined(tmp_path / "t")
     assert text[0] == "k\tx\tf\tn" and text[1] == "a\t0.123457\t1\t5" and text[2] == "b\tNA\t0\tNA" and text[3] == "c\tNA\tNA\t7" and text[5] == "e\t2\t1\t1"
     assert float(text[4].split("\t")[1]) == pytest.approx(1234567, rel=1e-5)
-    sinks.write_summary({"a": float("inf"), "b": [1, float("nan")]}, str(tmp_path / "s.json"))
-    assert json.loads((tmp_path / "s.json").read_text()) == {"a": None, "b": [1, None]}
+    sinks.write_table(df, str(tmp_path / "u"))
+    parts = [p.read_text().splitlines() for p in (tmp_path / "u").glob("part*")]
+    assert {p[0] for p in parts if p} == {text[0]} and sorted(x for p in parts for x in p[1:]) == text[1:]
+    sinks.write_summary(spark, {"a": float("inf"), "b": [1, float("nan")]}, str(tmp_path / "s.json"))
+    assert json.loads("\n".join(joined(tmp_path / "s.json"))) == {"a": None, "b": [1, None]}
+
+
+def test_ordered_parts_are_one_file(spark, tmp_path):
+    """Values decide the order, not what they are printed as; many parts, one head, nulls first, the same when written again."""
+    rows = [(f"c{k % 7}", (k * 7919) % 5000 - 2500, k / 3) for k in range(5000)] + [(None, None, None)]
+    df = spark.createDataFrame(rows, "name string, n long, x double").repartition(6)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for _ in range(2):
+            sinks.write_ordered(df, str(tmp_path / "t"), ["n"], ["one", "two"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert len(list((tmp_path / "t").glob("part*"))) > 1
+    lines = joined(tmp_path / "t")
+    assert lines[:4] == ["# one", "# two", "name\tn\tx", "NA\tNA\tNA"]
+    want = sorted(rows[:-1], key=lambda r: r[1])
+    assert [x.split("\t")[:2] for x in lines[4:]] == [[name, str(n)] for name, n, _ in want]
+    assert all(float(x.split("\t")[2]) == pytest.approx(r[2], rel=1e-5) for x, r in zip(lines[4:], want))
+    sinks.write_ordered(df, str(tmp_path / "e"), [-F.col("n"), "name"], header=False)
+    assert [int(x.split("\t")[1]) for x in joined(tmp_path / "e")[1:]] == [n for _, n, _ in want[::-1]]
+    sinks.write_ordered(df.limit(0), str(tmp_path / "z"), ["n"])
+    assert joined(tmp_path / "z") == ["name\tn\tx"]
+
+
+def test_track_is_read_again(spark, tmp_path, chroms):
+    track = spark.createDataFrame([("chr2", 50, 100, -0.25), ("chr1", 0, 100, 0.5), ("chr2", 0, 50, 2.0)], "chrom string, s long, e long, value double")
+    sinks.write_bedgraph(track, str(tmp_path / "t"), "a track")
+    assert joined(tmp_path / "t") == ['track type=bedGraph name="a track"', "chr1\t0\t100\t0.5", "chr2\t0\t50\t2", "chr2\t50\t100\t-0.25"]
+    assert sorted(map(tuple, tt.read_bedgraph(spark, str(tmp_path / "t"), chroms).collect())) == [(0, 0, 100, 0.5), (1, 0, 50, 2.0), (1, 50, 100, -0.25)]
 
 
 def test_stream_of_events(spark, tmp_path):
