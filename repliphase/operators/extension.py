@@ -55,14 +55,23 @@ def place(targets: DataFrame, landmarks: DataFrame, coords: DataFrame, replicate
     half = half_window(k, n)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = sent.value.cells
-        for cells, phi in similarity.against(batches, sent.value):
-            picked = []
-            for kind in (phi, box_mean(phi, half)):
-                columns, values = spectral.largest(kind, k)
-                picked.append((similarity._lists(names[columns], values, np.isfinite(values), "landmark", "value"), values))
-            contrast = similarity.contrasts(phi, picked[0][1])
-            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(contrast, mask=np.isnan(contrast)), picked[0][0], picked[1][0]], names=["cell", "contrast", "plain", "smooth"])
+        held = sent.value
+        for cells, side in held.tiles(batches):
+            plain, smooth = spectral.Best(len(cells), k), spectral.Best(len(cells), k)
+            total, known = np.zeros(len(cells)), np.zeros(len(cells))
+            for lo in range(0, n, similarity.CHUNK):
+                hi = min(n, lo + similarity.CHUNK)
+                left, right = max(0, lo - half), min(n, hi + half)
+                phi = held.against(cells, side, left, right)
+                own = phi[:, lo - left : hi - left]
+                total += np.where(np.isfinite(own), own, 0.0).sum(1)
+                known += np.isfinite(own).sum(1)
+                plain.add(own, lo)
+                smooth.add(box_mean(phi, half)[:, lo - left : hi - left], lo)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                contrast = np.where(plain.at >= 0, plain.value, 0.0).sum(1) / (plain.at >= 0).sum(1) - total / known
+            lists = [similarity._lists(held.cells[x.at], x.value, x.at >= 0, "landmark", "value") for x in (plain, smooth)]
+            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(contrast, mask=np.isnan(contrast)), *lists], names=["cell", "contrast", "plain", "smooth"])
 
     kind = "array<struct<landmark:long,value:double>>"
     rows = sent.value.rows(targets).mapInArrow(work, f"cell long, contrast double, plain {kind}, smooth {kind}")

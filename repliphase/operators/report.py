@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repliphase.functions import ranks, stats
+from repliphase.operators import similarity
 
 
 def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
@@ -16,22 +17,14 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) ->
     return df.sparkSession.range(bins).select(F.col("id").alias("bin")).join(found, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def _placed_pairs(pairs: DataFrame, order: DataFrame) -> DataFrame:
-    """``pairs`` (i, j, phi) with d, the distance of their cells in ``order`` (cell, progression)."""
-    a, b = (order.select(F.col("cell").alias(x), F.col("progression").alias(f"p{x}")) for x in "ij")
-    return pairs.where("phi is not null").join(a, "i").join(b, "j").withColumn("d", F.abs(F.col("pi") - F.col("pj")))
+def similarity_decay(occ: DataFrame, block_of: DataFrame, order: DataFrame, bins: int = 40) -> DataFrame:
+    """Rows (bin, n, phi): the mean similarity of pairs by their distance in the order, as ``timing.total_order`` gives it."""
+    return similarity.pair_decay(occ, block_of, order, bins)
 
 
-def similarity_decay(pairs: DataFrame, order: DataFrame, bins: int = 40) -> DataFrame:
-    """Rows (bin, n, phi): the mean similarity of pairs by their distance in the order."""
-    place = F.least(F.floor(F.col("d") * bins).cast("long"), F.lit(bins - 1).cast("long"))
-    return _placed_pairs(pairs, order).groupBy(place.alias("bin")).agg(F.count("*").alias("n"), F.avg("phi").alias("phi"))
-
-
-def robinson_score(pairs: DataFrame, order: DataFrame) -> DataFrame:
+def robinson_score(occ: DataFrame, block_of: DataFrame, order: DataFrame) -> DataFrame:
     """One row (rho, n): how well similarity falls with distance, as a rank correlation over landmark pairs."""
-    rows = _placed_pairs(pairs, order).select((-F.round("d", 9)).alias("near"), F.round("phi", 9).alias("phi"))
-    return stats.spearman(rows, "near", "phi", 50)
+    return similarity.pair_rank_correlation(occ, block_of, order, 50)
 
 
 def evenly_spaced(cells: DataFrame, order: str, cap: int) -> DataFrame:
