@@ -31,6 +31,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from repliphase.functions import ranks
 from repliphase.llm import byte_words as bw
 from repliphase.llm import spark_tools as st
 
@@ -219,25 +220,35 @@ class Model:
         names = [self.langs[b] if ok else "und" for b, ok in zip(best, lettered)]
         return names, np.where(lettered, score, 0.0), lettered & (low <= self.most[best]), low
 
-    def calibrate(self, h: np.ndarray, sizes: np.ndarray, langs: list[str], reject: float) -> None:
-        """Fits the confidence and the entropy limits on entropies of labelled texts outside the counts."""
-        if not len(h):
+    def calibrate(self, found: DataFrame, reject: float) -> None:
+        """Fits the confidence and the entropy limits on rows (best, right, low, margin) of labelled texts outside the counts.
+
+        Spark sums over all rows in each step of the fit, and numbers the entropies of a language for their quantile.
+        """
+        if not found.take(1):
             return
-        best, x = h.argmin(1), _margin(h, sizes)
-        right = np.array([self.langs[b] == lang for b, lang in zip(best, langs)], float)
-        # One wrong and one right pseudo-row keep the logistic fit finite.
-        x, y = np.r_[x, 0.0, 0.0], np.r_[right, 0.0, 1.0]
         w = np.zeros(2)
-        design = np.stack([x, np.ones_like(x)], 1)
         for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-            hessian = design.T @ (design * (p * (1 - p))[:, None]) + 1e-3 * np.eye(2)
-            w = w + np.clip(np.linalg.solve(hessian, design.T @ (y - p) - 1e-3 * w), -5, 5)
+            z = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("margin") * float(w[0]) + float(w[1])))
+            rows = found.select("margin", "right", (1 / (1 + F.exp(-z))).alias("p"))
+            r, e, x = F.col("p") * (1 - F.col("p")), F.col("right") - F.col("p"), F.col("margin")
+            xx, x1, one, gx, g1 = rows.agg(F.sum(r * x * x), F.sum(r * x), F.sum(r), F.sum(e * x), F.sum(e)).first()
+            # One wrong and one right pseudo-row of margin 0 keep the logistic fit finite.
+            p = 1 / (1 + np.exp(-np.clip(w[1], -30, 30)))
+            hessian = np.array([[xx, x1], [x1, one + 2 * p * (1 - p)]]) + 1e-3 * np.eye(2)
+            step = np.clip(np.linalg.solve(hessian, np.array([gx, g1 + 1 - 2 * p]) - 1e-3 * w), -5, 5)
+            w = w + step
+            if np.abs(step).max() < 1e-9:
+                break
         self.scale, self.shift = max(0.0, float(w[0])), float(w[1])
-        for k in range(len(self.langs)):
-            own = h[(best == k) & (right[: len(h)] > 0), k]
-            if len(own):
-                self.most[k] = np.quantile(own, 1 - reject) + 0.5
+        own = ranks.running_total(found.where("right = 1").select("best", "low"), ["best", "low"], None, "before")
+        held = own.groupBy("best").agg(F.min("before").alias("first"), F.count("*").alias("n")).collect()  # a row per language
+        places = {r.best: r.first + (r.n - 1) * (1 - reject) for r in held}
+        wanted = sorted({int(f(x)) for x in places.values() for f in (np.floor, np.ceil)})
+        value = {r.before: r.low for r in own.where(F.col("before").isin(wanted)).collect()}  # two rows per language
+        for k, x in places.items():
+            a, b = int(np.floor(x)), int(np.ceil(x))
+            self.most[k] = value[a] + (x - a) * (value[b] - value[a]) + 0.5
 
 
 def _margin(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -359,9 +370,9 @@ def _stored(counted: DataFrame, langs: list[str]) -> StoredModel:
     return StoredModel(langs, alphabet, [file.rsplit("/", 1)[1] for file in files], sizes)
 
 
-def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", *, calibration: DataFrame | None = None, most_in_memory: int = 8_000_000, most_calibration: int = 20_000, reject: float = 0.001) -> Model | None:
-    """A model from all rows and n-grams of ``docs``; None without any. ``calibration`` rows fit confidence and
-    rejection, at most ``most_calibration`` of them. ``most_in_memory`` (n-grams times languages) decides where the
+def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", *, calibration: DataFrame | None = None, most_in_memory: int = 8_000_000, reject: float = 0.001) -> Model | None:
+    """A model from all rows and n-grams of ``docs``; None without any. All ``calibration`` rows fit confidence and
+    rejection. ``most_in_memory`` (n-grams times languages) decides where the
     tables are held, not what is in them."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string"), F.col(text_col).cast("string"))
     counted = rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -386,11 +397,12 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", *, ca
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 h, sizes = sent.value.entropies(batch.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(h), pa.list_(pa.float64())), pa.array(sizes), batch.column(2)], names=["lang", "h", "n", "key"])
+                best = h.argmin(1)
+                right = np.array([sent.value.langs[k] == lang for k, lang in zip(best, batch.column(0).to_pylist())], np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(best.astype(np.int32)), pa.array(right), pa.array(h[np.arange(len(h)), best]), pa.array(_margin(h, sizes))], names=["best", "right", "low", "margin"])
 
-        some = calibration.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string"), F.col(text_col).cast("string"), F.xxhash64(text_col).alias("key"))
-        found = some.mapInArrow(work, "lang string, h array<double>, n long, key long").orderBy("key").limit(most_calibration).collect()
-        model.calibrate(np.array([r.h for r in found]), np.array([r.n for r in found]), [r.lang for r in found], reject)
+        some = calibration.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string"), F.col(text_col).cast("string"))
+        model.calibrate(st.written(some.mapInArrow(work, "best int, right int, low double, margin double"), "calibration"), reject)
     return model
 
 

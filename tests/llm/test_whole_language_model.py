@@ -1,5 +1,6 @@
 """A language's model keeps every n-gram, however many there are and wherever they are held."""
 
+import inspect
 import random
 
 import numpy as np
@@ -45,3 +46,23 @@ def test_both_places_give_the_same_rows(spark, rows):
     for a, b in zip(*found):
         assert (a.lang_pred, a.lang_accepted) == (b.lang_pred, b.lang_accepted)
         assert a.lang_score == pytest.approx(b.lang_score, abs=1e-4) and a.lang_entropy == pytest.approx(b.lang_entropy, abs=1e-4)
+
+
+def test_every_calibration_row_counts(spark, rows):
+    """The fit and the limits are NumPy's over all rows; no bound leaves any out."""
+    assert not [name for name in inspect.signature(li.train).parameters if "calibration" in name and name != "calibration"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    learn, aside = [r for r in rows if r[0] % 3], [(k, t, lang if k % 9 else "xx") for k, t, lang in rows if k % 3 == 0]
+    model = li.train(docs.where("doc_id % 3 > 0"), calibration=spark.createDataFrame(aside, "doc_id long, text string, lang string"), reject=0.1)
+    h, sizes = model.entropies([t for _, t, _ in aside])
+    best, x = h.argmin(1), li._margin(h, sizes)
+    right = np.array([model.langs[b] == lang for b, (_, _, lang) in zip(best, aside)])
+    x, y, w = np.r_[x, 0, 0], np.r_[right, 0, 1].astype(float), np.zeros(2)
+    for _ in range(100):
+        d = np.stack([x, np.ones_like(x)], 1)
+        p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
+        w = w + np.clip(np.linalg.solve(d.T @ (d * (p * (1 - p))[:, None]) + 1e-3 * np.eye(2), d.T @ (y - p) - 1e-3 * w), -5, 5)
+    assert (model.scale, model.shift) == pytest.approx((max(0, w[0]), w[1]), abs=1e-6)
+    for k in range(len(model.langs)):
+        own = h[(best == k) & right, k]
+        assert model.most[k] == (pytest.approx(np.quantile(own, 0.9) + 0.5) if len(own) else np.inf)
