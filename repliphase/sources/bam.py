@@ -14,12 +14,12 @@ a task; they appear when all tasks are done, and not at all if one fails.
 
 from __future__ import annotations
 
-import re
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter
@@ -125,31 +125,83 @@ def _first(window: bgzf.Window, stop: int, refs: int) -> int | None:
     return None
 
 
-def _records(path: str, start: int, stop: int, entry: int | None, refs: int) -> Iterator[tuple[int, bytes]]:
-    """(place, record with its size before it) of the records that begin in blocks from ``start`` to ``stop``, then (place, b"") of what follows.
+#: Bytes of whole records that are gone through at a time.
+_STRETCH = 1 << 21
+_SIZE = struct.Struct("<i")
+_HEAD = np.dtype([("size", "<i4"), ("ref", "<i4"), ("pos", "<i4"), ("l_name", "u1"), ("mapq", "u1"), ("bin", "<u2"), ("n_cigar", "<u2"), ("flag", "<u2"), ("l_seq", "<i4"), ("mate", "<i4"), ("mate_pos", "<i4"), ("span", "<i4")])
+
+
+def _stretches(path: str, start: int, stop: int, entry: int | None, refs: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
+    """(bytes, where each record begins in them and the last one ends, places of these) of the records that begin in blocks from ``start`` to ``stop``.
 
-    With an ``entry``, the place of the first of them, nothing is searched.
+    The last place is that of what follows. With an ``entry``, the place of the first record, nothing is searched.
     """
     window = bgzf.Window(path, start if entry is None else entry >> 16, entry is not None)
     at = _first(window, stop, refs) if entry is None else entry & 0xFFFF
     if at is None:
         return
-    while (place := _place(window, at)) >> 16 < stop and place != _END:
-        if not window.reach(at + 4) or not window.reach(at + 4 + struct.unpack_from("<i", window.data, at)[0]):
-            raise ValueError(f"{path} is cut off in a record")
-        size = 4 + struct.unpack_from("<i", window.data, at)[0]
-        yield place, bytes(window.data[at : at + size])
-        at += size
-        if at > 1 << 20:
-            at = window.drop(at)
-    yield place, b""
+    more = True
+    while more:
+        end = window.fill(at + _STRETCH, stop)
+        data, n, begins = window.data, len(window.data), [at]
+        while at < end:
+            size = _SIZE.unpack_from(data, at)[0] + 4 if at + 4 <= n else 4
+            if size < 36 and at + 4 <= n:
+                raise ValueError(f"{path} holds a record of {size} bytes")
+            if at + 4 > n or at + size > n:
+                if len(begins) > 1:
+                    break  # what is whole goes first
+                if not window.reach(at + 4) or not window.reach(at + 4 + _SIZE.unpack_from(data, at)[0]):
+                    raise ValueError(f"{path} is cut off in a record")
+                end, n = window.fill(0, stop), len(data)
+            at += size
+            begins.append(at)
+        # A record that ends with the bytes held may be the last of the file, or be followed by a block beyond the stop.
+        place = _place(window, at)
+        more = place != _END and place >> 16 < stop
+        begins = np.array(begins, np.int64)
+        places = window.places(begins)
+        places[-1] = place
+        yield bytes(window.data[begins[0] : at]), begins - begins[0], places
+        at = window.drop(at)
+
+
+def _records(path: str, start: int, stop: int, entry: int | None, refs: int) -> Iterator[tuple[int, bytes]]:
+    """(place, record with its size before it) of the records of ``_stretches``, then (place, b"") of what follows."""
+    place = None
+    for raw, at, places in _stretches(path, start, stop, entry, refs):
+        yield from zip(places[:-1].tolist(), (raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())))
+        place = int(places[-1])
+    if place is not None:
+        yield place, b""
+
+
+def _heads(buf: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The fixed fields of the records that begin there."""
+    return np.ascontiguousarray(buf[begin[:, None] + np.arange(36)]).view(_HEAD).ravel()
+
+
+def _runs(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each begin on, so many of each, one run after the other."""
+    return np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
 
 
-def _fixed(record: bytes) -> tuple[int, int, int]:
-    """(reference, first base from 0, base after the last) of a record; one base at least."""
-    ref, pos, l_name, _, _, n_cigar = struct.unpack_from("<iiBBHH", record, 4)
-    ops = struct.unpack_from(f"<{n_cigar}I", record, 36 + l_name)
-    return ref, pos, pos + max(1, sum(x >> 4 for x in ops if x & 15 in _COVER))
+def _ints(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(buf[at[:, None] + np.arange(4)]).view("<u4").ravel()
+
+
+def _operations(buf: np.ndarray, begin: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """The CIGAR operations of the records, one record's after the other's."""
+    first = np.repeat(begin + 36 + head["l_name"], head["n_cigar"])
+    return _ints(buf, first + 4 * _runs(np.zeros(len(begin), np.int64), head["n_cigar"].astype(np.int64)))
+
+
+def _stops(buf: np.ndarray, begin: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """The base after the last of each record; one base at least."""
+    ops = _operations(buf, begin, head).astype(np.int64)
+    covered = np.where(np.isin(ops & 15, list(_COVER)), ops >> 4, 0)
+    so_far, last = np.r_[0, np.cumsum(covered)], np.cumsum(head["n_cigar"].astype(np.int64))
+    return head["pos"] + np.maximum(1, so_far[last] - so_far[last - head["n_cigar"]])
 
 
 _INDEX = "file string, piece long, begin long, until long, chrom string, lo long, hi long, n long"
@@ -163,17 +215,29 @@ def _walk(granule: int):
             for file, piece, start, stop, entry in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 header = Header(file)
                 entry = header.first if start == 0 else entry
-                out, begin, spans = [], None, {}
-                places = _records(file, start, stop, entry, len(header.names)) if entry is None or entry >> 16 < stop else iter(())
-                for place, record in places:
-                    if begin is not None and (not record or (place >> 16) - (begin >> 16) >= granule):
-                        out += [(file, piece, begin, place, header.names[r] if r >= 0 else "*", lo, hi, n) for r, (lo, hi, n) in spans.items()]
-                        begin, spans = None, {}
-                    if record:
-                        begin = place if begin is None else begin
-                        ref, lo, hi = _fixed(record)
-                        old = spans.get(ref, (lo, hi, 0))
-                        spans[ref] = (min(lo, old[0]), max(hi, old[1]), old[2] + 1)
+                out, begin, spans, place = [], None, {}, None
+
+                def close(until: int) -> None:
+                    out.extend((file, piece, begin, until, header.names[r] if r >= 0 else "*", lo, hi, n) for r, (lo, hi, n) in spans.items())
+                    spans.clear()
+
+                for raw, at, places in _stretches(file, start, stop, entry, len(header.names)) if entry is None or entry >> 16 < stop else iter(()):
+                    place = int(places[-1])
+                    buf, where, block = np.frombuffer(raw, np.uint8), at[:-1], places[:-1] >> 16
+                    head = _heads(buf, where)
+                    ref, lo, hi, k = head["ref"], head["pos"], _stops(buf, where, head), 0
+                    while k < len(where):
+                        if begin is None or block[k] - (begin >> 16) >= granule:
+                            close(int(places[k]))
+                            begin = int(places[k])
+                        after = int(np.searchsorted(block, (begin >> 16) + granule))
+                        for r in np.unique(ref[k:after]).tolist():
+                            own = ref[k:after] == r
+                            low, high = int(lo[k:after][own].min()), int(hi[k:after][own].max())
+                            old = spans.get(r, (low, high, 0))
+                            spans[r] = (min(low, old[0]), max(high, old[1]), old[2] + int(own.sum()))
+                        k = after
+                close(place)
                 out = out or [(file, piece, None, None, None, None, None, 0)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), *[pa.int64()] * 3, pa.string(), *[pa.int64()] * 3))], names=_INDEX.replace(" string", "").replace(" long", "").split(", "))
 
@@ -233,8 +297,7 @@ def read(
         raise ValueError(f"unknown columns {sorted(unknown)}")
     ship(spark)
     rows = settled(granules(index(spark, path, split, granule) if found is None else found, region))
-    held = rows.agg(F.coalesce(F.sum(F.expr(f"case when until = {_END} then {granule} else shiftright(until, 16) - shiftright(begin, 16) end")), F.lit(0))).first()[0]
-    tasks = min(rows.count(), -(-held // split))
+    tasks = _tasks(rows, split, granule)
     needed = [*names, *[c for c in ("chrom", "pos", "stop") if region and c not in names]]
     schema = ", ".join(f"{c} {COLUMNS[c]}" for c in needed)
     out = bgzf.in_order(rows, tasks, "number", "begin").select("file", "begin", "until").mapInArrow(_parse(needed), schema)
@@ -244,90 +307,204 @@ def read(
     return out.select(*names)
 
 
+def _tasks(rows: DataFrame, split: int, granule: int = GRANULE) -> int:
+    """How many tasks read these granules."""
+    size = F.expr(f"case when until = {_END} then {granule} else shiftright(until, 16) - shiftright(begin, 16) end")
+    n, held = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return min(n, -(-held // split))
+
+
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "array<string>": pa.list_(pa.string())}
 
 
-def _parse(names: list[str], rows: int = 1 << 14, size: int = 1 << 23):
+def _parse(names: list[str]):
     """Rows (file, begin, until) to batches of the records' columns."""
 
-    def batch(held: list[tuple[int, bytes]], refs: list[str]) -> pa.RecordBatch:
-        head = np.frombuffer(b"".join(r[:36] for _, r in held), np.dtype("<i4,<i4,<i4,u1,u1,<u2,<u2,<u2,<i4,<i4,<i4,<i4"))
-        ref, pos, l_name, mapq, n_cigar, flag, l_seq = (head[f"f{k}"] for k in (1, 2, 3, 4, 6, 7, 8))
+    def batch(raw: bytes, at: np.ndarray, places: np.ndarray, refs: list[str]) -> pa.RecordBatch:
+        buf, begin = np.frombuffer(raw, np.uint8), at[:-1]
+        head = _heads(buf, begin)
         made = {}
         for name in names:
             if name == "place":
-                made[name] = [p for p, _ in held]
+                made[name] = pa.array(places)
             elif name == "raw":
-                made[name] = [r for _, r in held]
+                made[name] = _strings(at, buf, pa.binary())
             elif name == "name":
-                made[name] = [r[36 : 35 + n].decode() for (_, r), n in zip(held, l_name.tolist())]
+                size = np.maximum(head["l_name"].astype(np.int64) - 1, 0)
+                made[name] = _strings(np.r_[0, np.cumsum(size)], buf[_runs(begin + 36, size)])
             elif name == "chrom":
-                made[name] = [refs[k] if k >= 0 else "*" for k in ref.tolist()]
+                made[name] = pa.array([*refs, "*"], pa.string()).take(pa.array(np.where(head["ref"] >= 0, head["ref"], len(refs))))
             elif name == "stop":
-                made[name] = [_fixed(r)[2] for _, r in held]
+                made[name] = pa.array(_stops(buf, begin, head))
             elif name == "cigar":
-                made[name] = ["".join(f"{x >> 4}{_OPS[x & 15]}" for x in struct.unpack_from(f"<{c}I", r, 36 + n)) or "*" for (_, r), n, c in zip(held, l_name.tolist(), n_cigar.tolist())]
+                made[name] = _cigars(buf, begin, head)
             elif name == "tags":
-                begin = 36 + l_name.astype(np.int64) + 4 * n_cigar.astype(np.int64) + (l_seq.astype(np.int64) + 1) // 2 + l_seq
-                made[name] = [list(_string_tags(r, at)) for (_, r), at in zip(held, begin.tolist())]
+                made[name] = _tags(buf, at, head)
             else:
-                made[name] = {"flag": flag.astype(np.int32), "pos": pos.astype(np.int64) + 1, "mapq": mapq.astype(np.int32)}[name]
-        return pa.RecordBatch.from_arrays([pa.array(made[c], _ARROW[COLUMNS[c]]) for c in names], names=names)
+                made[name] = pa.array({"flag": head["flag"].astype(np.int32), "pos": head["pos"].astype(np.int64) + 1, "mapq": head["mapq"].astype(np.int32)}[name])
+        return pa.RecordBatch.from_arrays([made[c].cast(_ARROW[COLUMNS[c]]) for c in names], names=names)
 
     def work(batches):
         headers: dict[str, list[str]] = {}
         for some in batches:
             for file, begin, until in zip(*(some.column(k).to_pylist() for k in range(3))):
                 refs = headers.get(file) or headers.setdefault(file, Header(file).names)
-                held, have = [], 0
-                for place, record in _records(file, 0, (until >> 16) + 1, begin, len(refs)):
-                    if place >= until or not record:
+                for raw, at, places in _stretches(file, 0, (until >> 16) + 1, begin, len(refs)):
+                    n = int(np.searchsorted(places[:-1], until))
+                    if n:
+                        yield batch(raw, at[: n + 1], places[:n], refs)
+                    if places[-1] >= until:
                         break
-                    held.append((place, record))
-                    have += len(record)
-                    if len(held) == rows or have > size:
-                        yield batch(held, refs)
-                        held, have = [], 0
-                if held:
-                    yield batch(held, refs)
 
     return work
 
 
-def _string_tags(raw: bytes, at: int) -> Iterator[str]:
-    while at + 3 <= len(raw):
-        tag, kind = raw[at : at + 2].decode(), chr(raw[at + 2])
-        at += 3
-        if kind in "ZH":
-            end = raw.index(0, at)
-            if kind == "Z":
-                yield f"{tag}:Z:{raw[at:end].decode()}"
-            at = end + 1
-        elif kind == "B":
-            at += 5 + _SIZES[chr(raw[at])] * struct.unpack_from("<i", raw, at + 1)[0]
-        else:
-            at += _SIZES[kind]
-
-
-def encoded(name: str, flag: int, ref: int, pos: int, mapq: int, cigar: str, tags: list[str]) -> bytes:
-    """A record without bases; ``pos`` from 1, tags as ``TAG:Z:VALUE`` (others are left out)."""
-    ops = [int(n) << 4 | _OPS.index(op) for n, op in re.findall(r"(\d+)([MIDNSHP=X])", cigar or "")]
-    title = (name or "*").encode()[:254] + b"\0"
-    text = b"".join(t[:2].encode() + b"Z" + t[5:].encode() + b"\0" for t in tags or () if t[2:5] == ":Z:")
-    body = struct.pack("<iiBBHHHiiii", ref, pos - 1, len(title), mapq, 4680, len(ops), flag, 0, -1, -1, 0) + title + struct.pack(f"<{len(ops)}I", *ops) + text
-    return struct.pack("<i", len(body)) + body
+def _strings(offsets: np.ndarray, data: np.ndarray, kind: pa.DataType | None = None) -> pa.Array:
+    """Texts, or values of this kind, that lie one after the other."""
+    out = pa.Array.from_buffers(kind or pa.string(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+    if kind is None:
+        out.validate(full=True)
+    return out
+
+
+def _cigars(buf: np.ndarray, begin: np.ndarray, head: np.ndarray) -> pa.Array:
+    found, back = np.unique(_operations(buf, begin, head), return_inverse=True)
+    texts = [*(f"{x >> 4}{_OPS[x & 15]}".encode() for x in found.tolist()), b"*"]
+    n = head["n_cigar"].astype(np.int64)
+    # A record without operations has the last text.
+    which = np.full(int(np.maximum(n, 1).sum()), len(texts) - 1)
+    last = np.cumsum(np.maximum(n, 1))
+    which[_runs(last - np.maximum(n, 1), n)] = back
+    size = np.array([len(x) for x in texts])
+    first = np.cumsum(size) - size
+    data = np.frombuffer(b"".join(texts), np.uint8)[_runs(first[which], size[which])]
+    return _strings(np.r_[0, np.cumsum(size[which])][np.r_[0, last]], data)
+
+
+def _tags(buf: np.ndarray, at: np.ndarray, head: np.ndarray) -> pa.Array:
+    """The string tags of the records as lists; all records go from tag to tag together."""
+    bases = head["l_seq"].astype(np.int64)
+    here = at[:-1] + 36 + head["l_name"] + 4 * head["n_cigar"].astype(np.int64) + (bases + 1) // 2 + bases
+    zeros, end, live = np.r_[np.flatnonzero(buf == 0), len(buf)], at[1:], np.arange(len(at) - 1)
+    sizes = np.zeros(256, np.int64)
+    sizes[[ord(k) for k in _SIZES]] = list(_SIZES.values())
+    rows, tag, stop = [], [], []
+    while len(live := live[here[live] + 3 <= end[live]]):
+        begin = here[live]
+        kind, value = buf[begin + 2], begin + 3
+        after = value + sizes[kind]
+        text, many = (kind == ord("Z")) | (kind == ord("H")), kind == ord("B")
+        after[text] = zeros[np.searchsorted(zeros, value[text])] + 1
+        if many.any():
+            first = value[many]
+            if (first + 5 > end[live][many]).any():
+                raise ValueError("a record is cut off in its tags")
+            after[many] = first + 5 + sizes[buf[first]] * _ints(buf, first + 1).astype(np.int32)
+        if (after <= value).any() or (after > end[live]).any():
+            raise ValueError("a record has tags of unknown kind, or is cut off in them")
+        own = kind == ord("Z")
+        rows.append(live[own])
+        tag.append(begin[own])
+        stop.append(after[own] - 1)
+        here[live] = after
+    rows, tag, stop = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (rows, tag, stop))
+    by = np.argsort(rows, kind="stable")
+    tag, size = tag[by], (stop - tag)[by] - 3
+    offsets = np.r_[0, np.cumsum(size + 5)]
+    data = np.empty(offsets[-1], np.uint8)
+    first = offsets[:-1]
+    data[first], data[first + 1] = buf[tag], buf[tag + 1]
+    data[first + 2], data[first + 3], data[first + 4] = b":Z:"
+    data[_runs(first + 5, size)] = buf[_runs(tag + 3, size)]
+    lists = np.r_[0, np.cumsum(np.bincount(rows, minlength=len(at) - 1))]
+    return pa.ListArray.from_arrays(pa.array(lists.astype(np.int32)), _strings(offsets, data))
+
+
+def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The offsets and bytes of texts; those of a null are empty."""
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] else np.zeros(0, np.uint8)
+    return offsets, data
+
+
+def _parsed_cigars(cigars: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """How many operations each text has, and all of them: a number and the letter right after it."""
+    offsets, data = _bytes_of(cigars)
+    data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+    codes = np.full(256, -1)
+    codes[list(_OPS.encode())] = np.arange(len(_OPS))
+    first = np.zeros(len(data) + 1, bool)
+    first[offsets] = True
+    digit = (data >= 48) & (data <= 57)
+    after_digit = np.r_[False, digit[:-1]][: len(data)] & ~first[:-1]
+    op = np.flatnonzero((codes[data] >= 0) & after_digit)
+    # The digits before each of these letters: from the last byte that is none, or from the text's beginning.
+    along = np.arange(len(data))
+    since = np.maximum.accumulate(np.where(~digit, along + 1, np.where(first[:-1], along, 0)))[op - 1]
+    size = op - since
+    power, value = _runs(np.zeros(len(op), np.int64), size), data[_runs(since, size)].astype(np.int64) - 48
+    power = np.repeat(size, size) - 1 - power
+    if ((power > 8) & (value > 0)).any():
+        raise ValueError("a CIGAR operation is longer than a record can hold")
+    so_far, last = np.r_[0, np.cumsum(value * 10 ** np.minimum(power, 8))], np.cumsum(size)
+    length = so_far[last] - so_far[last - size]
+    if (length >= 1 << 28).any():
+        raise ValueError("a CIGAR operation is longer than a record can hold")
+    return np.diff(np.searchsorted(op, offsets)), (length << 4 | codes[data[op]]).astype("<u4")
+
+
+def encoded(batch: list[pa.Array], numbers: pa.Array) -> pa.Array:
+    """Records without bases of columns name, flag, chrom, pos, mapq, cigar and tags; ``pos`` from 1, tags as ``TAG:Z:VALUE`` (others are left out).
+
+    ``numbers`` are the names of the references in their order.
+    """
+    names, flag, chrom, pos, mapq, cigars, tags = batch
+    n = len(names)
+    title_at, titles = _bytes_of(pc.if_else(pc.equal(pc.fill_null(names, ""), ""), "*", names))
+    l_title = np.minimum(np.diff(title_at), 254)
+    n_ops, ops = _parsed_cigars(cigars)
+    # Tags one after the other, with the row of each.
+    flat, parent = tags.flatten(), pc.list_parent_indices(tags).to_numpy()
+    tag_at, text = _bytes_of(flat)
+    begin, size = tag_at[:-1], np.diff(tag_at)
+    own = np.flatnonzero(size >= 5)
+    own = own[(text[begin[own] + 2] == 58) & (text[begin[own] + 3] == 90) & (text[begin[own] + 4] == 58)] if len(own) else own
+    begin, parent, l_value = begin[own], parent[own].astype(np.int64), size[own] - 5
+    l_tags = np.bincount(parent, l_value + 4, n).astype(np.int64)
+    length = 36 + l_title + 1 + 4 * n_ops + l_tags
+    at = np.r_[0, np.cumsum(length)]
+    head = np.zeros(n, _HEAD)
+    ref = pc.fill_null(pc.index_in(chrom, value_set=numbers), -1).to_numpy()
+    head["mate"], head["mate_pos"], head["bin"] = -1, -1, 4680
+    given = {"size": length - 4, "ref": ref, "l_name": l_title + 1, "n_cigar": n_ops}
+    given |= {name: pc.fill_null(x, 0).to_numpy() for name, x in (("pos", pos), ("mapq", mapq), ("flag", flag))}
+    given["pos"] = given["pos"] - 1
+    for name, x in given.items():
+        most = np.iinfo(_HEAD[name])
+        if n and not most.min <= x.min() <= x.max() <= most.max:
+            raise ValueError(f"{name} is out of what a record can hold")
+        head[name] = x
+    out, first = np.zeros(at[-1], np.uint8), at[:-1]
+    out[first[:, None] + np.arange(36)] = head.view(np.uint8).reshape(n, 36)
+    out[_runs(first + 36, l_title)] = titles[_runs(title_at[:-1], l_title)]
+    out[_runs(first + 37 + l_title, 4 * n_ops)] = ops.view(np.uint8)
+    before = np.cumsum(l_value + 4) - (l_value + 4)
+    started = np.cumsum(l_tags) - l_tags
+    tag = (first + 37 + l_title + 4 * n_ops)[parent] + before - started[parent]
+    out[tag], out[tag + 1], out[tag + 2] = text[begin], text[begin + 1], 90
+    out[_runs(tag + 3, l_value)] = text[_runs(begin + 5, l_value)]
+    return _strings(at, out, pa.binary())
 
 
 def encode(rows: DataFrame, chroms: list[tuple[str, int]]) -> DataFrame:
     """Rows (raw) of records (name, flag, chrom, pos, mapq, cigar, tags); a chromosome that is not among these is ``*``."""
-    numbers = {name: k for k, (name, _) in enumerate(chroms)}
+    numbers = pa.array([name for name, _ in chroms], pa.string())
     ship(rows.sparkSession)
 
     def work(batches):
         for b in batches:
-            cols = [b.column(k).to_pylist() for k in range(7)]
-            made = [encoded(n, f or 0, numbers.get(c, -1), p or 0, q or 0, g, t) for n, f, c, p, q, g, t in zip(*cols)]
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["raw"])
+            yield pa.RecordBatch.from_arrays([encoded(b.columns, numbers)], names=["raw"])
 
     return rows.selectExpr("name", "cast(flag as int)", "chrom", "cast(pos as long)", "cast(mapq as int)", "cigar", "tags").mapInArrow(work, "raw binary")
 

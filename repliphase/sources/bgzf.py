@@ -15,6 +15,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
@@ -128,6 +129,18 @@ class Window:
                 return False
         return True
 
+    def fill(self, size: int, stop: int) -> int:
+        """Takes blocks until there are so many bytes or one begins at ``stop`` or later; where the bytes of the blocks before that end."""
+        while (not self._marks or self._marks[-1][1] < stop) and len(self.data) < size and self.grow():
+            pass
+        return next((at for at, block in self._marks if block >= stop), len(self.data))
+
+    def places(self, at: np.ndarray) -> np.ndarray:
+        """The places in the file of these bytes."""
+        begin, block = np.array(self._marks, np.int64).reshape(-1, 2).T
+        k = np.searchsorted(begin, at, "right") - 1
+        return block[k] << 16 | at - begin[k]
+
     def offset(self, at: int) -> tuple[int, int]:
         """(offset of the block, offset in it) of a byte that is held."""
         k = len(self._marks) - 1
@@ -224,6 +237,17 @@ def compressed(raw: bytes, level: int = 6) -> bytes:
     return b"".join(out)
 
 
+def _joined(values) -> bytes:
+    """The bytes of binary values, one after the other."""
+    import pyarrow.compute as pc
+
+    values = pc.fill_null(values, b"")
+    if not len(values):
+        return b""
+    ends = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1]
+    return bytes(memoryview(values.buffers()[2])[ends[0] : ends[-1]]) if values.buffers()[2] else b""
+
+
 class _Wrote(WriterCommitMessage):
     def __init__(self, name: str | None, n: int):
         self.name, self.n = name, n
@@ -257,7 +281,11 @@ class Writer(DataSourceArrowWriter):
         try:
             with system.open_output_stream(f"{target}/{self.aside}/{name}", compression=None) as out:
                 for batch in iterator:
-                    for value in batch.column(batch.schema.get_field_index(self.column)).cast(pa.binary()).to_pylist():
+                    values = batch.column(batch.schema.get_field_index(self.column)).cast(pa.binary())
+                    # With no ending between them values go out as they lie in memory.
+                    whole = [_joined(values)] if not self.ending else values.to_pylist()
+                    n += len(values) - len(whole)
+                    for value in whole:
                         held.append((value or b"") + self.ending)
                         size += len(held[-1])
                         n += 1

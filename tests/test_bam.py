@@ -3,7 +3,9 @@
 import gzip
 import random
 import struct
+import sys
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,3 +188,56 @@ def test_fragments_from_blocks(spark, tmp_path):
     rows = [tuple(r) for r in blocked.orderBy("seq").select(*names).collect()]
     assert rows == [tuple(r) for r in plain.orderBy("seq").select(*names).collect()] and len(rows) == 5001
     assert blocked.rdd.getNumPartitions() > 2
+
+
+def _calls(work) -> int:
+    """How many Python and C functions are called from Python code meanwhile."""
+    n = 0
+
+    def count(frame, event, arg):
+        nonlocal n
+        n += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        work()
+    finally:
+        sys.setprofile(None)
+    return n
+
+
+def test_records_are_worked_on_together(spark, tmp_path):
+    """A record brings no more than the two calls that step over it, once for the index and once for its columns."""
+    n = 20_000
+    rows = spark.range(n).selectExpr("cast(id as string) as name", "0 as flag", "'c1' as chrom", "id + 1 as pos", "30 as mapq", "concat(id % 50, 'M2D', id % 7, 'S') as cigar", "array('NM:i:0', concat('CB:Z:', id % 9)) as tags")
+    bam.write(bam.encode(rows.coalesce(1), REFS), str(tmp_path / "m"), bam.header_of("@HD\n", REFS))
+    path = bgzf.files(str(tmp_path / "m"))[0][0]
+    first = bam.Header(path).first
+    piece = pa.RecordBatch.from_arrays([pa.array([path]), pa.array([0]), pa.array([0]), pa.array([1 << 40]), pa.array([None], pa.int64())], names=["file", "piece", "start", "stop", "entry"])
+    granule = pa.RecordBatch.from_arrays([pa.array([path]), pa.array([first]), pa.array([bam._END])], names=["file", "begin", "until"])
+    found, parsed = [], []
+    assert _calls(lambda: found.extend(bam._walk(1 << 20)([piece]))) < 3 * n
+    assert _calls(lambda: parsed.extend(bam._parse(["name", "stop", "cigar", "tags", "raw"])([granule]))) < 3 * n
+    assert sum(found[0].column(7).to_pylist()) == n
+    got = pa.Table.from_batches(parsed).to_pylist()
+    assert [(r["name"], r["stop"], r["cigar"], r["tags"]) for r in got] == [(str(k), k + max(1, k % 50 + 2), f"{k % 50}M2D{k % 7}S", [f"CB:Z:{k % 9}"]) for k in range(n)]
+    columns = pa.table(rows.toArrow()).combine_chunks().to_batches()[0].columns
+    made = []
+    assert _calls(lambda: made.append(bam.encoded(columns, pa.array(["c1", "c2"])))) < n
+    assert made[0].to_pylist() == [r["raw"] for r in got]
+
+
+def test_tags_of_all_kinds_and_odd_operations(spark, tmp_path):
+    head = struct.pack("<iiBBHHHiiii", 0, 9, 2, 6, 9, 0, 0, 3, -1, -1, 0) + b"q\0" + b"\x11\x11" + b"\xff\xff\xff"
+    tails = [
+        (b"NMi" + struct.pack("<i", 7) + b"BBBs" + struct.pack("<ihh", 2, 0, 0) + b"AAZx y\0XHHff\0CCZ\0", ["AA:Z:x y", "CC:Z:"]), (b"", []),
+        (b"ZZZ\xc3\xa9\0AAAqBBBC" + struct.pack("<i", 0) + b"FFf" + struct.pack("<f", 1), ["ZZ:Z:é"]), (b"CBZa\0", ["CB:Z:a"]),
+    ]
+    rows = [struct.pack("<i", len(head + t)) + head + t for t, _ in tails]
+    got = bam.read(spark, _written(tmp_path / "t.bam", rows), columns=["tags", "raw", "stop", "cigar"]).collect()
+    assert [(r.tags, bytes(r.raw), r.stop, r.cigar) for r in got] == [(want, raw, 10, "*") for (_, want), raw in zip(tails, rows)]
+    odd = ["3M4", "M5I", "12MM3D", "7Q8X", "0005N", "", "1M*2S"]
+    df = spark.createDataFrame([(str(k), c) for k, c in enumerate(odd)], "name string, cigar string").coalesce(1)
+    df = df.selectExpr("name", "0 as flag", "'c2' as chrom", "5L as pos", "1 as mapq", "cigar", "array() as tags")
+    bam.write(bam.encode(df.withColumn("tags", F.col("tags").cast("array<string>")), REFS), str(tmp_path / "o"), bam.header_of("", REFS))
+    assert [r.cigar for r in bam.read(spark, str(tmp_path / "o"), columns=["cigar"]).collect()] == ["3M", "5I", "12M3D", "8X", "5N", "*", "1M2S"]
