@@ -530,15 +530,21 @@ def write(rows: DataFrame, target: str, header: bytes, mode: str = "errorifexist
     rows.select("raw").write.format("bam").option("header", header.hex()).mode("overwrite" if mode == "overwrite" else "append").save(target)
 
 
-def filter_bam(spark: SparkSession, source: str, target: str, barcodes: DataFrame, tag: str = "CB", split: int = bgzf.SPLIT, mode: str = "errorifexists") -> DataFrame:
-    """Writes the records whose tag is one of the barcodes, in their order, with the header of ``source``; returns them as read back."""
+def filter_bam(
+    spark: SparkSession, source: str, target: str, barcodes: DataFrame, tag: str = "CB", split: int = bgzf.SPLIT, mode: str = "errorifexists",
+    columns: tuple[str, ...] = ("place", "name", "chrom", "pos", "tags"),
+) -> DataFrame:
+    """Writes the records whose tag is one of the barcodes, in their order, with the header of ``source``; returns them as read back.
+
+    A file has what is kept of one reading task: the upper bits of a row's id say which, so nothing is read to learn how rows are to be dealt.
+    """
     from repliphase.sources.text_tables import tag_value
 
     wanted = barcodes.select(F.col(barcodes.columns[0]).alias("barcode")).distinct()
     files = bgzf.files(source)
     found = settled(index(spark, source, split))
-    rows = read(spark, found=found, split=split, columns=["tags", "raw"]).withColumn("at", F.monotonically_increasing_id())
-    kept = rows.withColumn("barcode", tag_value(F.col("tags"), tag)).join(wanted, "barcode", "left_semi")
-    tasks = max(1, -(-sum(size for _, size in files) // split))
-    write(bgzf.in_order(kept.select("at", "raw"), tasks, "at"), target, Header(files[0][0]).raw, mode)
-    return read(spark, target, columns=["place", "name", "chrom", "pos", "tags"], split=split)
+    rows = read(spark, found=found, split=split, columns=["tags", "raw"]).select("raw", tag_value(F.col("tags"), tag).alias("barcode"), F.monotonically_increasing_id().alias("at"))
+    kept = rows.join(wanted, "barcode", "left_semi").select("at", "raw")
+    dealt = kept.repartitionById(max(1, _tasks(granules(found), split)), F.shiftright("at", 33).cast("int"))
+    write(dealt.sortWithinPartitions("at"), target, Header(files[0][0]).raw, mode)
+    return read(spark, target, columns=list(columns), split=split)

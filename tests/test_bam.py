@@ -241,3 +241,12 @@ def test_tags_of_all_kinds_and_odd_operations(spark, tmp_path):
     df = df.selectExpr("name", "0 as flag", "'c2' as chrom", "5L as pos", "1 as mapq", "cigar", "array() as tags")
     bam.write(bam.encode(df.withColumn("tags", F.col("tags").cast("array<string>")), REFS), str(tmp_path / "o"), bam.header_of("", REFS))
     assert [r.cigar for r in bam.read(spark, str(tmp_path / "o"), columns=["cigar"]).collect()] == ["3M", "5I", "12M3D", "8X", "5N", "*", "1M2S"]
+
+
+def test_filtered_records_are_dealt_without_reading_them_first(spark, bam_file, tmp_path, monkeypatch):
+    plans, write = [], bam.write
+    monkeypatch.setattr(bam, "write", lambda rows, *more: (plans.append(rows._jdf.queryExecution().toString()), write(rows, *more)))
+    wanted = spark.createDataFrame([("AA",)], "barcode string")
+    kept = bam.filter_bam(spark, str(bam_file), str(tmp_path / "f"), wanted, split=10_000, columns=("name", "mapq"))
+    assert [r.name for r in kept.collect()] == [f"r{k}" for k in range(0, 3000, 3)]
+    assert "rangepartitioning(at" not in plans[0]
