@@ -111,3 +111,17 @@ def test_places_and_sketches_in_chunks(spark, tables, monkeypatch):
     whole = both()
     assert set(placed) == set(whole[0]) and all(placed[c] == pytest.approx(whole[0][c]) for c in placed)
     assert set(ordered) == set(whole[1]) and all(ordered[k] == pytest.approx(whole[1][k], nan_ok=True) for k in ordered)
+
+
+def test_values_of_pairs_come_in_turns(spark, tables, phi, monkeypatch):
+    """However few values may be shuffled at a time, the correlation is that over all pairs."""
+    n = len(phi)
+    order = timing.total_order(spark.createDataFrame([(c, c * 17 % 41) for c in range(n)], "cell long, x long"), ["x", "cell"])
+    whole = similarity.pair_rank_correlation(*tables, order, 50, 8).first()
+    turns = []
+    monkeypatch.setattr(similarity.storage, "release", lambda spark: turns.append(spark))
+    monkeypatch.setattr(similarity, "MOST_SORTED", 3)
+    monkeypatch.setattr(similarity, "MOST_SHUFFLED", 20)
+    few = similarity.pair_rank_correlation(*tables, order, 50, 8).first()
+    assert len(turns) > 2 and few.n == whole.n and few.rho == pytest.approx(whole.rho, abs=1e-12)
+    assert similarity._dealt(np.array([2, 9, 1, 1, 0, 5]), 4).tolist() == [0, 1, 2, 2, 2, 3]
