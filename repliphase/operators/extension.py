@@ -70,6 +70,9 @@ def place(targets: DataFrame, landmarks: DataFrame, coords: DataFrame, replicate
                 smooth.add(box_mean(phi, half)[:, lo - left : hi - left], lo)
             with np.errstate(divide="ignore", invalid="ignore"):
                 contrast = np.where(plain.at >= 0, plain.value, 0.0).sum(1) / (plain.at >= 0).sum(1) - total / known
+            if not n:
+                plain.at = smooth.at = np.zeros((len(cells), 0), np.int64)
+                plain.value = smooth.value = np.zeros((len(cells), 0))
             lists = [similarity._lists(held.cells[x.at], x.value, x.at >= 0, "landmark", "value") for x in (plain, smooth)]
             yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(contrast, mask=np.isnan(contrast)), *lists], names=["cell", "contrast", "plain", "smooth"])
 
