@@ -125,3 +125,20 @@ def test_values_of_pairs_come_in_turns(spark, tables, phi, monkeypatch):
     few = similarity.pair_rank_correlation(*tables, order, 50, 8).first()
     assert len(turns) > 2 and few.n == whole.n and few.rho == pytest.approx(whole.rho, abs=1e-12)
     assert similarity._dealt(np.array([2, 9, 1, 1, 0, 5]), 4).tolist() == [0, 1, 2, 2, 2, 3]
+
+
+def test_weights_of_few_bytes_and_one_side_at_a_time():
+    """Products of centred rows are phi, with counts beyond a byte too; landmarks are unpacked as they are met."""
+    rng = np.random.default_rng(4)
+    parts = [(rng.random((20, n)) < p).astype(np.float32) for n, p in ((700, 0.5), (40, 0.1), (9, 0.0))]
+    parts[0][3] = parts[1][5] = 1
+    num = den = 0
+    for m in parts:
+        x, w = similarity.block_phi(m, m)
+        num, den = num + x * w, den + w
+    side = similarity.Side(parts)
+    assert np.allclose(similarity.combined(side, iter([side])), np.where(den > 0, num / np.where(den > 0, den, 1), np.nan), atol=1e-14, equal_nan=True)
+    assert [w.dtype.itemsize for _, w in side.weighed(side)] == [2, 1, 1]
+    packed = np.concatenate([np.packbits(m.astype(bool), axis=1) for m in parts], 1)
+    sides = similarity.Held(np.arange(20), np.arange(749), [(0, 700), (700, 740), (740, 749)], packed).sides(slice(0, 20))
+    assert iter(sides) is sides and sum(len(s.parts[0][0]) for s in sides) == 20
